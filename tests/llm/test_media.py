@@ -1,0 +1,175 @@
+import hashlib
+import random
+import struct
+import zlib
+
+import numpy as np
+import pytest
+
+from spanforge.llm import media
+
+
+def test_columns(odd, none):
+    rows = media.payload_features(media.encode_text(odd)).collect()
+    want = []
+    for r in odd.collect():
+        raw = (r.text or "").encode()
+        p = raw + b"\0" * (-len(raw) % 64 or 64 * (not raw))
+        want.append((r.doc_id, len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:])))
+    assert sorted((tuple(r)[:5] for r in rows), key=repr) == sorted(want, key=repr)
+    by = {}
+    for r in rows:
+        assert by.setdefault(r.payload_sha256, (r.media_bytes, r.media_sha256, r.feature)) == (r.media_bytes, r.media_sha256, r.feature)
+    assert media.payload_features(media.encode_text(none)).count() == 0
+    tensors = media.decode(media.encode_text(odd.where("length(text) < 2000")), "doc_id").collect()
+    assert tensors and all(len(t.tensor) == 3 * t.height * t.width for t in tensors)
+
+
+@pytest.mark.parametrize("n", [64, 128, 64 * 77, media.IMAGE_BYTES + 64])
+def test_payloads_round_trip(n):
+    p = random.Random(n).randbytes(n)
+    found = [media.read_payload(i) for i in media.images(media.write_payload(p, n - 5))]
+    assert b"".join(x for x, _ in found) == p and sum(x for _, x in found) == n - 5
+
+
+def test_whole_scans_and_bits_give_the_same(monkeypatch):
+    m = media.write_payload(random.Random(1).randbytes(64 * 50), 3200)
+    fast = next(media.images(m))
+    monkeypatch.setattr(media.Image, "_whole", lambda *a: False)
+    slow = next(media.images(m))
+    for c in fast.components:
+        assert (fast.components[c].coefficients == slow.components[c].coefficients).all()
+
+
+# ---- an independent writer of ordinary progressive images
+
+
+class Writer:
+    def __init__(self):
+        self.bits = []
+
+    def put(self, value, n):
+        self.bits += [(value >> i) & 1 for i in range(n - 1, -1, -1)]
+
+    def signed(self, v, size):
+        self.put(v if v >= 0 else v + (1 << size) - 1, size)
+
+    def data(self):
+        self.bits += [1] * (-len(self.bits) % 8)
+        return np.packbits(self.bits).tobytes().replace(b"\xff", b"\xff\x00")
+
+
+def flat_table(kind):
+    """255 symbols: the first 254 of 8 and 9 bits in order, none of all ones."""
+    symbols = list(range(255))
+    counts = [0] * 16
+    counts[7], counts[8] = 200, 55
+    codes = {s: (i, 8) if i < 200 else (400 + i - 200, 9) for i, s in enumerate(symbols)}
+    return media._segment(0xC4, bytes([kind, *counts, *symbols])), codes
+
+
+def progressive(coefficients, height, width, factors):
+    """coefficients: per component, blocks of 64 in zigzag order. DC in two scans, AC in two bands of two scans each."""
+    dht0, codes = flat_table(0x00)
+    dht1, _ = flat_table(0x10)
+    out = [b"\xff\xd8", media._segment(0xDB, bytes([0] + [1 + i % 5 for i in range(64)])), dht0, dht1]
+    out.append(media._segment(0xC2, struct.pack(">BHHB", 8, height, width, len(factors)) + b"".join(bytes([i + 1, h << 4 | v, 0]) for i, (v, h) in enumerate(factors))))
+    vmax, hmax = max(v for v, _ in factors), max(h for _, h in factors)
+    mcus = (-(-height // (8 * vmax)), -(-width // (8 * hmax)))
+    order = [(i, (r * v + y) * (mcus[1] * h) + c * h + x) for r in range(mcus[0]) for c in range(mcus[1]) for i, (v, h) in enumerate(factors) for y in range(v) for x in range(h)]
+    if len(factors) == 1:
+        order = [(0, k) for k in range(mcus[0] * mcus[1])]
+    ids = b"".join(bytes([i + 1, 0]) for i in range(len(factors)))
+    for high, low in ((0, 1), (1, 0)):
+        w, before = Writer(), [0] * len(factors)
+        for i, k in order:
+            v = int(coefficients[i].reshape(-1, 64)[k, 0]) >> low
+            if high:
+                w.put(v & 1, 1)
+                continue
+            diff, before[i] = v - before[i], v
+            size = abs(diff).bit_length()
+            w.put(*codes[size])
+            w.signed(diff, size) if size else None
+        out += [media._segment(0xDA, bytes([len(factors)]) + ids + bytes([0, 0, high << 4 | low])), w.data()]
+    for i, (v, h) in enumerate(factors):
+        rows, cols = -(-(-(-height * v // vmax)) // 8), -(-(-(-width * h // hmax)) // 8)
+        grid = coefficients[i].reshape(mcus[0] * v, mcus[1] * h, 64)[:rows, :cols].reshape(-1, 64)
+        for first, last in ((1, 5), (6, 63)):
+            for high in (0, 1):
+                w = Writer()
+                for block in grid:
+                    refine(w, codes, block, first, last) if high else begin(w, codes, block, first, last)
+                out += [media._segment(0xDA, bytes([1, i + 1, 0, first, last, 0x10 if high else 0x01])), w.data()]
+    return b"".join([*out, b"\xff\xd9"])
+
+
+def begin(w, codes, block, first, last):
+    run = 0
+    for k in range(first, last + 1):
+        v = int(abs(block[k])) >> 1
+        if not v:
+            run += 1
+            continue
+        while run > 15:
+            w.put(*codes[0xF0])
+            run -= 16
+        size = v.bit_length()
+        w.put(*codes[run << 4 | size])
+        w.signed(v if block[k] > 0 else -v, size)
+        run = 0
+    if run:
+        w.put(*codes[0])
+
+
+def refine(w, codes, block, first, last):
+    new = [k for k in range(first, last + 1) if abs(block[k]) == 1]
+    end = new[-1] if new else first - 1
+    run, pending = 0, []
+    for k in range(first, last + 1):
+        v = int(abs(block[k]))
+        if v > 1:
+            pending.append(v & 1)
+        elif v == 0:
+            run += 1
+        if v == 0 and run == 16 and k < end:
+            w.put(*codes[0xF0])
+            w.bits += pending
+            run, pending = 0, []
+        if v == 1:
+            w.put(*codes[run << 4 | 1])
+            w.put(int(block[k] > 0), 1)
+            w.bits += pending
+            run, pending = 0, []
+    if run or pending:
+        w.put(*codes[0])
+        w.bits += pending
+
+
+@pytest.mark.parametrize(("height", "width", "factors"), [(16, 16, [(2, 2), (1, 1), (1, 1)]), (37, 51, [(2, 2), (1, 1), (1, 1)]), (20, 9, [(1, 1)]), (24, 40, [(1, 2), (1, 1), (1, 1)])])
+def test_ordinary_progressive_images(height, width, factors):
+    rng = np.random.default_rng(height)
+    vmax, hmax = max(v for v, _ in factors), max(h for _, h in factors)
+    mcus = (-(-height // (8 * vmax)), -(-width // (8 * hmax)))
+    given = []
+    for v, h in factors:
+        rows, cols = -(-(-(-height * v // vmax)) // 8), -(-(-(-width * h // hmax)) // 8)
+        c = rng.integers(-3, 4, (mcus[0] * v, mcus[1] * h, 64)) * (rng.random((mcus[0] * v, mcus[1] * h, 64)) < 0.2)
+        c[..., 0] = rng.integers(-200, 200, c.shape[:2])
+        c[rows:, :, 1:] = 0
+        c[:, cols:, 1:] = 0
+        given.append(c)
+    image = next(media.images(progressive(given, height, width, factors)))
+    for c, want in zip(image.components.values(), given, strict=True):
+        assert (c.coefficients == want).all()
+    assert image.rgb().shape == (height, width, 3)
+
+
+def test_transform_is_the_inverse_cosine_transform():
+    image = next(media.images(progressive([np.eye(64)[[3]].reshape(1, 1, 64).astype(int) * 90], 8, 8, [(1, 1)])))
+    u, v = divmod(int(media.ZIGZAG[3]), 8)
+    q = 1 + 3 % 5
+    scale = lambda k: np.sqrt(1 / 8) if k == 0 else 0.5
+    want = [[128 + 90 * q * scale(u) * scale(v) * np.cos((2 * y + 1) * u * np.pi / 16) * np.cos((2 * x + 1) * v * np.pi / 16) for x in range(8)] for y in range(8)]
+    assert np.abs(image.rgb()[..., 0] - np.clip(np.rint(want), 0, 255)).max() <= 1
+    assert media.ZIGZAG[:10].tolist() == [0, 1, 8, 16, 9, 2, 3, 10, 17, 24]

@@ -1,0 +1,67 @@
+import re
+from collections import Counter, defaultdict
+
+import pytest
+
+from spanforge.llm import mixing
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def shares(sizes, weights=(5, 2, 1), most=3.0):
+    """Targets by sharing again and again."""
+    names = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + [None] * (None in sizes)
+    weight = {s: weights[i % 3] for i, s in enumerate(names)}
+    target, left, over = {}, sum(sizes.values()), set(names)
+    while True:
+        total = sum(weight[s] for s in over)
+        full = [s for s in over if total and left * weight[s] / total >= most * sizes[s]]
+        if not full:
+            return target | {s: left * weight[s] / total for s in over}
+        for s in full:
+            target[s] = most * sizes[s]
+            left -= target[s]
+            over.discard(s)
+
+
+def test_report_against_brute_force(odd):
+    rows = mixing.mix_report(odd).collect()
+    docs = odd.select("doc_id", "text", "source").collect()
+    assert Counter((r.doc_id, r.size) for r in rows) == Counter((d.doc_id, len(WORD.findall(d.text or ""))) for d in docs)
+    sizes = defaultdict(int)
+    for d in docs:
+        sizes[d.source] += len(WORD.findall(d.text or ""))
+    want = shares(dict(sizes))
+    got = {r.source_size: r.target for r in rows}
+    assert got == pytest.approx({sizes[s]: want[s] for s in sizes})
+    assert all(0 <= r.taken <= 3 * r.size and r.taken == r.copies * r.size for r in rows)
+    assert sorted(map(tuple, rows), key=repr) == sorted(map(tuple, mixing.mix_report(odd).collect()), key=repr)
+
+
+def test_targets_that_stop_are_shared_again(spark):
+    rows = [(i, "w " * 10, "a") for i in range(2)] + [(100 + i, "w " * 10, s) for i in range(300) for s in "bc"]
+    got = mixing.mix_report(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    by = {r.source_size: r.target for r in got}
+    assert by[20] == 60 and sum({r.source_size: 0 for r in got}) == 3020
+    taken = defaultdict(int)
+    for r in got:
+        taken[(r.doc_id < 100)] += r.taken
+    assert taken[True] == 60 and abs(taken[False] - 5960) <= 20
+
+
+def test_taken_words_come_near_the_target(spark):
+    rows = [(i, "w " * (1 + i * i % 977), f"s{i % 6}") for i in range(3000)]
+    got = mixing.mix_report(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    taken, target = defaultdict(int), {}
+    for r in got:
+        taken[r.doc_id % 6] += r.taken
+        target[r.doc_id % 6] = r.target
+    assert all(abs(taken[s] / target[s] - 1) < 0.02 for s in target)
+
+
+def test_mix_repeats_whole_rows(odd, none):
+    rows, report = mixing.mix(odd).collect(), mixing.mix_report(odd).collect()
+    assert mixing.mix(odd).columns == odd.columns
+    assert sum(len(WORD.findall(r.text or "")) for r in rows) == sum(r.taken for r in report)
+    assert set(map(tuple, rows)) <= set(map(tuple, odd.collect()))
+    assert mixing.mix(none).count() == 0 and mixing.mix_report(none).count() == 0
