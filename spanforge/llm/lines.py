@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import cut, fields, map_lists, row_key, shingles, word_hashes
 
 #: Leading tokens of a leaf, surroundings that make a line recur, their least share of the texts with the line,
-#: constant tokens' least share of a template, tokens that a line has at least.
+#: constant tokens' (never <*>) least share of a template, tokens that a line has at least.
 DEPTH, RECURS, SHARE, CONSTANT, LEAST_TOKENS = 3, 5, 0.5, 0.5, 4
 _NUMBER = re.compile(r"[^\x20\x09-\x0D]*\d[^\x20\x09-\x0D]*")
 _GAP = re.compile(r"[\x20\x09-\x0D]+")
@@ -93,7 +93,7 @@ def recurring(keyed: DataFrame, text_col: str = "text", depth: int = DEPTH, recu
     tokens = cut(_tokens(keyed, lines, text_col))
     weighed = tokens.join(lines.select("leaf", "masked", "n"), ["leaf", "masked"])
     support = weighed.groupBy("leaf", "place", "token").agg(F.sum("n").alias("s")).where(F.col("s") >= recurs)
-    marked = tokens.join(cut(support), ["leaf", "place", "token"], "left").withColumn("fixed", F.col("s").isNotNull())
+    marked = tokens.join(cut(support), ["leaf", "place", "token"], "left").withColumn("fixed", F.col("s").isNotNull() & (F.col("token") != _hash("<*>")))
     spelled = F.when(F.col("fixed"), F.xxhash64("place", "token")).otherwise(F.lit(0))
     templates = marked.groupBy("leaf", "masked").agg(F.sum(spelled.cast("decimal(38,0)")).alias("t"), F.avg(F.col("fixed").cast("int")).alias("c")).where(F.col("c") >= constant)
     templates = cut(templates.select("leaf", "masked", F.xxhash64("leaf", "t").alias("template")))
