@@ -1,7 +1,7 @@
 """Quality by positive-unlabelled learning: the non-negative unbiased risk, with an estimated class prior.
 
 Trusted positives are labelled rows of class 1; the unlabelled set is a sample of all learnable text. A linear model over
-hashed features of the whole text (which kinds of characters follow one another) minimises, by SGD in numpy, the risk
+hashed features of the whole text (which kinds of characters follow one another, how often words repeat) minimises, by SGD in numpy, the risk
 prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives)). The prior is estimated as the share of
 positives among the sampled labelled rows; without
 labelled negatives it is a half.
@@ -20,11 +20,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import add_columns, fields
+from .common import add_columns, fields, word_hashes
 
 #: Rows of each kind (positive, negative, unlabelled) that training may read, and characters of a window.
 TRAIN_ROWS, TRAIN_CHARS = 2000, 1500
-BUCKETS = 1 << 13
+BUCKETS = 1 << 11
+#: How many words back a repetition is looked for.
+BACK = (1, 2, 3, 4)
+SLOTS = BUCKETS + len(BACK) + 1
 _CHUNK = 1 << 20
 #: Classes of bytes: 0 space, 1 line feed, 2 small letter, 3 capital, 4 digit, 5 beyond ASCII, 6 and more: each mark alone.
 _KIND = np.zeros(256, dtype=np.uint32)
@@ -34,9 +37,9 @@ for _b in range(256):
 
 
 def features(text: str | None) -> np.ndarray:
-    """Counts of hashed 1-, 2- and 4-grams of the kinds of characters, scaled to unit sum; the last slot is 1."""
+    """Counts of hashed 1-, 2- and 4-grams of the kinds of characters, scaled to unit sum; the share of words that repeat one BACK before; 1."""
     raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), dtype=np.uint8)
-    out = np.zeros(BUCKETS + 1)
+    out = np.zeros(SLOTS)
     for at in range(0, len(raw), _CHUNK):
         kind = _KIND[raw[at : at + _CHUNK]]
         runs = kind[np.concatenate(([True], kind[1:] != kind[:-1]))]  # what follows what, whatever the lengths
@@ -50,8 +53,12 @@ def features(text: str | None) -> np.ndarray:
     total = out.sum()
     if total:
         out /= total
-    out[BUCKETS] = 1.0
-    return out
+    words = word_hashes(text, fold=False)
+    for i, n in enumerate(BACK):
+        if len(words) > n:
+            out[BUCKETS + i] = (words[n:] == words[:-n]).mean()
+    out[-1] = 1.0
+    return out.astype(np.float32)
 
 
 @dataclass
@@ -65,20 +72,18 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.slope * z + self.offset, -30, 30))))
 
 
-def nonnegative_risk(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int = 40, rate: float = 8.0, seed: int = 5) -> np.ndarray:
+def nonnegative_risk(positive: np.ndarray, unlabelled: np.ndarray, prior: float, scale: np.ndarray | float = 1.0, steps: int = 300, rate: float = 5.0, batch: int = 512, seed: int = 5) -> np.ndarray:
     """Weights that minimise the non-negative unbiased risk of the sigmoid loss; where the bracket is negative, the step goes back up it."""
     rng = np.random.default_rng(seed)
     w = np.zeros(positive.shape[1])
-    steps = max(1, max(len(positive), len(unlabelled)) // 64)
-    for epoch in range(epochs):
-        for _ in range(steps):
-            p, u = positive[rng.integers(len(positive), size=64)], unlabelled[rng.integers(len(unlabelled), size=64)]
-            sp, su = 1 / (1 + np.exp(-p @ w)), 1 / (1 + np.exp(-u @ w))
-            dp, du = (sp * (1 - sp)) @ p / len(p), (su * (1 - su)) @ u / len(u)
-            # the loss of calling x positive is 1 - s(x), of calling it negative s(x)
-            bracket = su.mean() - prior * sp.mean()
-            gradient = -prior * dp + (du - prior * dp) if bracket >= 0 else -(du - prior * dp)
-            w -= rate * (1 - epoch / epochs) * gradient
+    for step in range(steps):
+        p, u = positive[rng.integers(len(positive), size=batch)] * scale, unlabelled[rng.integers(len(unlabelled), size=batch)] * scale
+        sp, su = 1 / (1 + np.exp(-p @ w)), 1 / (1 + np.exp(-u @ w))
+        dp, du = (sp * (1 - sp)) @ p / len(p), (su * (1 - su)) @ u / len(u)
+        # the loss of calling x positive is 1 - s(x), of calling it negative s(x)
+        bracket = su.mean() - prior * sp.mean()
+        gradient = -prior * dp + (du - prior * dp) if bracket >= 0 else -(du - prior * dp)
+        w -= rate * (1 - step / steps) * gradient
     return w
 
 
@@ -89,13 +94,13 @@ def estimate_prior(positives: int, negatives: int) -> float:
 
 def fit(positive: list[str], negative: list[str], unlabelled: list[str], prior: float) -> Model:
     if not positive:
-        return Model(np.zeros(BUCKETS + 1), 0.0, 0.0)
+        return Model(np.zeros(SLOTS), 0.0, 0.0)
     x = np.stack([features(t) for t in positive])
     u = np.stack([features(t) for t in unlabelled or positive])
-    scale = 1 / np.sqrt(np.maximum((np.concatenate([x, u]) ** 2).mean(axis=0), 1e-6))
+    scale = 1 / np.sqrt(np.maximum((x**2).mean(axis=0) + (u**2).mean(axis=0), 1e-6))
     scale[-1] = 1.0
     train = np.arange(len(x)) % 4 != 3 if len(x) >= 8 else np.ones(len(x), bool)
-    w = nonnegative_risk(x[train] * scale, u * scale, prior) * scale
+    w = nonnegative_risk(x[train], u, prior, scale) * scale
     good = x[~train] @ w if (~train).any() else x @ w
     bad = np.stack([features(t) for t in negative]) @ w if negative else u @ w
     z, y = np.concatenate([good, bad]), np.concatenate([np.ones(len(good)), np.zeros(len(bad))])
