@@ -154,25 +154,30 @@ def _pieces(data: np.ndarray) -> Iterator[np.ndarray]:
     yield data[start:]
 
 
-def word_hashes(text: str | None, fold: bool = True) -> np.ndarray:
-    """A 64-bit hash of each word of the text, A-Z lower-cased with fold; no words: an empty array."""
+def word_hashes(text: str | None, fold: bool = True, lines: bool = False):
+    """A 64-bit hash of each word of the text, A-Z lower-cased with fold (and, with lines, the number of its line)."""
     if not text:
-        return np.empty(0, dtype=np.uint64)
+        return (np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)) if lines else np.empty(0, dtype=np.uint64)
     raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
     if not _POWERS:
         _POWERS.extend((_powers(_P), _powers(_P_INV)))
-    out = []
+    out, at, line = [], [], 0
     for data in _pieces(raw):
         space = _SPACE[data]
         edge = np.flatnonzero(np.diff(space, prepend=True, append=True))
         starts, ends = edge[::2], edge[1::2]
+        if lines:
+            feeds = np.flatnonzero(data == 10)
+            at.append(np.searchsorted(feeds, starts) + line)
+            line += len(feeds)
         if not len(starts):
             continue
         up, down = _POWERS if len(data) <= _PIECE else (_grown(_P, len(data)), _grown(_P_INV, len(data)))
         total = np.zeros(len(data) + 1, dtype=np.uint64)
         np.cumsum((_FOLD[data] if fold else data).astype(np.uint64) * up[: len(data)] + up[: len(data)], out=total[1:])
         out.append(mix64((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _MULT))
-    return np.concatenate(out) if out else np.empty(0, dtype=np.uint64)
+    hashes = np.concatenate(out) if out else np.empty(0, dtype=np.uint64)
+    return (hashes, np.concatenate(at)) if lines else hashes
 
 
 def _grown(base: int, n: int) -> np.ndarray:

@@ -27,8 +27,7 @@ from .common import cut, fields, map_lists, row_key, shingles, word_hashes
 #: Leading tokens of a leaf, surroundings that make a line recur, their least share of the texts with the line,
 #: constant tokens' (never <*>) least share of a template, tokens that a line has at least.
 DEPTH, RECURS, SHARE, CONSTANT, LEAST_TOKENS = 3, 5, 0.5, 0.5, 4
-_NUMBER = re.compile(r"[^\x20\x09-\x0D]*\d[^\x20\x09-\x0D]*")
-_GAP = re.compile(r"[\x20\x09-\x0D]+")
+_DIGIT = re.compile(r"\d")
 
 
 def _hash(text: str) -> int:
@@ -36,13 +35,32 @@ def _hash(text: str) -> int:
 
 
 def masked_tokens(line: str) -> list[str]:
-    return [t for t in _GAP.split(_NUMBER.sub("<*>", line)) if t]
+    tokens = line.split()
+    return ["<*>" if _DIGIT.search(t) else t for t in tokens] if _DIGIT.search(line) else tokens
+
+
+def smallest_shingles(text: str, lines: int) -> list[int | None]:
+    """The smallest hash of each line's 5-word shingles; None for a line without words."""
+    words, line = word_hashes(text, lines=True)
+    out: list[int | None] = [None] * lines
+    if len(words) >= 5:
+        whole = line[4:] == line[:-4]
+        found, of = shingles(words)[whole], line[4:][whole]
+        if len(found):
+            starts = np.flatnonzero(np.diff(of, prepend=-1))
+            for i, h in zip(of[starts].tolist(), np.minimum.reduceat(found, starts).tolist()):
+                out[i] = h
+    starts = np.flatnonzero(np.diff(line, prepend=-1))
+    for i, a, b in zip(line[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(line)]):
+        if b - a < 5:
+            out[i] = int(shingles(words[a:b])[0])
+    return out
 
 
 def line_facts(text: str | None, least_tokens: int = LEAST_TOKENS, depth: int = DEPTH) -> list[tuple[int, int, int, int]]:
     """(line, leaf, masked line, surroundings) of each line that may be dropped."""
     lines = (text or "").split("\n")
-    smallest = [int(h.min()) if len(h := shingles(word_hashes(x))) else None for x in lines]
+    smallest = smallest_shingles(text or "", len(lines))
     ranked = sorted({x for x in smallest if x is not None})[:2]
     out = []
     for i, line in enumerate(lines):
