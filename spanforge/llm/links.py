@@ -87,7 +87,7 @@ def candidate_components(multi: DataFrame, test: Callable[[DataFrame], DataFrame
         if not nodes:
             break
         groups = split.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()[0]
-        more = groups > 8 * nodes and attempt < rounds
+        more = groups > 40 * nodes and attempt < rounds
         if more:
             turn = F.xxhash64(F.lit(attempt), "node")
             best = rest.groupBy("key", "label").agg(F.min(F.struct(turn.alias("t"), "node", "n")).alias("l"))

@@ -7,9 +7,10 @@ differing shingles can touch only some of them, so a linked pair agrees in other
 the next, meet where a part agrees (key: band, part and the part's parity vector, folded to 64 bits by XOR), and every
 pair that could be linked is verified on its full sets.
 
-Parts are tuned for each band: as few as leave a pair at the threshold without an agreeing part of at least some shingles
-with a probability under MISS (for sets too small for that in one cut, several independent cuts are made). Parts with
-too few shingles give no key: they would bring together documents that share a common line only.
+Parts are tuned for each band: a pair at the threshold is left without an agreeing part of at least some shingles with a
+probability under MISS (in small sets, by several independent cuts), and pairs far from it agree in as few parts as can
+be. Parts with too few shingles give no key: they would bring together documents that share a common line only. Before
+texts meet, pairs whose whole sketches lie too far apart are dropped.
 
 Defined results: A-Z are lower-cased; with fewer than five words the whole sequence is one shingle; null and wordless
 texts have no shingles and are linked with nothing; documents of equal sets are one class, whatever their ids;
@@ -31,6 +32,8 @@ from .links import candidate_components, components, verify
 
 #: Chance that a pair exactly at the threshold shares no key.
 MISS = 1e-6
+#: Keys for each shingle of a document in one band, about; BITS of the sketch by which pairs are sifted before their texts meet.
+KEYS, BITS = 0.16, 512
 
 
 def shingle_set(text: str | None, k: int = 5) -> np.ndarray:
@@ -43,28 +46,42 @@ def node_of(found: np.ndarray) -> int:
     return int(mix64(np.array([np.bitwise_xor.reduce(mixed) + np.uint64(len(found))], dtype=np.uint64)).view(np.int64)[0])
 
 
+def _agrees(parts: int, least: int, same: int, apart: int) -> float:
+    """Chance that a part of two sets agrees and holds `least` of their `same` common shingles, `apart` others being in one set."""
+    p = 1 / parts
+    if same < 200:
+        thin = sum(math.comb(same, i) * p**i * (1 - p) ** (same - i) for i in range(min(least, same + 1)))
+    else:
+        thin = sum(math.exp(-same * p) * (same * p) ** i / math.factorial(i) for i in range(least))
+    return (1 - p) ** apart * max(0.0, 1 - thin)
+
+
 @lru_cache(maxsize=None)
 def tuned(band: int, percent: int) -> tuple[int, int, int]:
-    """(parts, cuts, least shingles of a part) for pairs of which the smaller set is in band."""
+    """(parts, cuts, least shingles of a part) for pairs of which the smaller set is in band.
+
+    Among the choices that keep MISS, and give a document at most about KEYS keys a shingle, the one under which a pair
+    far from the threshold (half as similar) shares the fewest keys."""
     t = percent / 100
     low, high = math.ceil(t**-band - 1e-9), t ** -(band + 1)
     best = None
-    for least in (1, 2, 3):
-        for parts in sorted({max(2, round(high / x)) for x in np.geomspace(1.5, 12, 40)}):
-            log_miss = 0.0
+    for least in (1, 2, 3, 4, 5, 6):
+        for parts in sorted({max(2, round(high / x)) for x in np.geomspace(1.5, 24, 40)}):
+            worst = 1.0
             for smaller in np.linspace(low, high, 4):
                 for ratio in (1.0, t):
                     union = smaller / t if ratio == t else 2 * smaller / (1 + t)
                     same = round(union * t)
-                    apart = math.floor(union - union * t + 1e-9)
-                    fill = same / parts
-                    thin = sum(math.comb(same, i) * (1 / parts) ** i * (1 - 1 / parts) ** (same - i) for i in range(least)) if same < 200 else sum(math.exp(-fill) * fill**i / math.factorial(i) for i in range(least))
-                    p = (1 - 1 / parts) ** apart * (1 - thin)
-                    log_miss = max(log_miss, parts * math.log(1 - p)) if log_miss else parts * math.log(1 - min(p, 1 - 1e-12))
-            cuts = math.ceil(math.log(MISS) / log_miss) if log_miss < 0 else 10**6
-            cost = parts * cuts * (1.6 if least == 1 else 1.15 if least == 2 else 1.0)
-            if best is None or cost < best[0]:
-                best = (cost, parts, cuts, least)
+                    worst = min(worst, _agrees(parts, least, same, math.floor(union - union * t + 1e-9)))
+            if worst <= 1e-6:
+                continue
+            cuts = max(1, math.ceil(math.log(MISS) / (parts * math.log(1 - min(worst, 1 - 1e-12)))))
+            held = _agrees(parts, least, round(high), 0)
+            union = 2 * high / (1 + t / 2)
+            far = parts * cuts * _agrees(parts, least, round(union * t / 2), round(union * (1 - t / 2)))
+            over = max(1.0, parts * cuts * held / (KEYS * high + 40))
+            if best is None or (over, far) < best[0]:
+                best = ((over, far), parts, cuts, least)
     return best[1:]
 
 
@@ -137,19 +154,34 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int)
     one = sets.where(F.col("node").isNotNull()).join(needed, "node", "left_semi").groupBy("node").agg(F.min(id_col).alias(id_col))
     # An id may stand for several texts: those of other nodes are sorted out where the sets are made.
     texts = cut(_texts(docs, one, id_col, text_col, k))
-    labels, _ = candidate_components(multi, lambda pairs: verify(pairs, texts, lambda t: shingle_set(t, k), percent), percent)
+    labels, _ = candidate_components(multi, lambda pairs: verify(_sifted(pairs, texts, percent), texts.select("node", "text"), lambda t: shingle_set(t, k), percent), percent)
     return sets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
+def sketch(found: np.ndarray) -> list[int]:
+    """The parity of the shingles that fall on each of BITS bits, as 64-bit words."""
+    bits = np.bincount((mix64(found) >> np.uint64(20)).astype(np.int64) % BITS, minlength=BITS) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64).tolist()
+
+
+def _sifted(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose sketches' Hamming distance, a lower bound of the symmetric difference, allows a link."""
+    side = lambda c: texts.select(F.col("node").alias(c), F.col("sketch").alias(f"__s{c}"), F.col("n").alias(f"__n{c}"))
+    both = pairs.join(side("b"), "b").join(side("a"), "a")
+    apart = F.aggregate(F.zip_with("__sa", "__sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    # |A xor B| <= (1 - t) / (1 + t) * (|A| + |B|)
+    return both.where(apart * (100 + percent) <= (F.col("__na") + F.col("__nb")) * (100 - percent)).select("a", "b")
+
+
 def _texts(docs: DataFrame, one: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """node, text: a text of each node."""
+    """node, text, n, sketch: a text of each node, the size of its set and its sketch."""
     found = docs.select(id_col, F.col(text_col).alias("text")).join(one.withColumnRenamed("node", "__node"), id_col)
 
     def step(batch: dict[str, list]) -> dict[str, list]:
-        rows = [(n, t) for n, t in zip(batch["__node"], batch["text"]) if t and node_of(shingle_set(t, k)) == n]
-        return {"node": [n for n, _ in rows], "text": [t for _, t in rows]}
+        rows = [(n, t, s) for n, t in zip(batch["__node"], batch["text"]) if t and node_of(s := shingle_set(t, k)) == n]
+        return {"node": [n for n, _, _ in rows], "text": [t for _, t, _ in rows], "n": [len(s) for *_, s in rows], "sketch": [sketch(s) for *_, s in rows]}
 
-    return map_lists(found.select("__node", "text"), lambda: step, fields("node long, text string")).dropDuplicates(["node"])
+    return map_lists(found.select("__node", "text"), lambda: step, fields("node long, text string, n long, sketch array<long>")).dropDuplicates(["node"])
 
 
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
