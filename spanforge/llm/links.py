@@ -65,15 +65,27 @@ def verify(pairs: DataFrame, texts: DataFrame, set_of: Callable[[str], np.ndarra
     return map_lists(rows.select("a", "b", "__ta", "__tb"), make, schema)
 
 
-def candidate_components(multi: DataFrame, test: Callable[[DataFrame], DataFrame], percent: int, rounds: int = 3) -> tuple[DataFrame, DataFrame]:
+def candidate_components(multi: DataFrame, test: Callable[[DataFrame], DataFrame], percent: int, sketches: DataFrame | None = None, rounds: int = 3) -> tuple[DataFrame, DataFrame]:
     """(labels, links) from multi (key, node, n): every pair of nodes that share a key is in one component or is tested.
 
+    sketches (node, and 64-bit words of a parity sketch): the Hamming distance of two sketches is at most the symmetric
+    difference of their sets, so pairs too far apart are passed over inside the join, before they are rows.
+
     First each key's nodes are tested against one of them, the leader. Pairs of one component need no test any more.
     What is left are pairs across components under a shared key; while they are many against the nodes, further
     leaders are tried; then all that are left are tested."""
     multi = cut(multi)
     near = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
     leader = F.min(F.struct("node", "n"))
+    words = [c for c in sketches.columns if c != "node"] if sketches is not None else []
+
+    def allowed(mine: str = "", other: str = "__o_"):
+        """|A xor B| <= (1 - t) / (1 + t) * (|A| + |B|)"""
+        if not words:
+            return F.lit(True)
+        apart = sum((F.bit_count(F.col(f"{mine}{w}").bitwiseXOR(F.col(f"{other}{w}"))) for w in words[1:]), F.bit_count(F.col(f"{mine}{words[0]}").bitwiseXOR(F.col(f"{other}{words[0]}"))))
+        return apart * (100 + percent) <= (F.col("n") + F.col("m")) * (100 - percent)
+
     first = multi.groupBy("key").agg(leader.alias("l")).select("key", F.col("l.node").alias("a"), F.col("l.n").alias("m"))
     tried = cut(multi.join(first, "key").where(near & (F.col("a") != F.col("node"))).select("a", F.col("node").alias("b")).distinct())
     links = cut(test(tried))
@@ -82,7 +94,8 @@ def candidate_components(multi: DataFrame, test: Callable[[DataFrame], DataFrame
         labelled = multi.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         counts = labelled.groupBy("key", "label").count().groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.sum("count").alias("s"), F.sum(F.col("count") * F.col("count")).alias("q"))
         split = counts.where("parts > 1")
-        rest = cut(labelled.join(split.select("key"), "key"))
+        rest = labelled.join(split.select("key"), "key")
+        rest = cut(rest.join(sketches, "node") if words else rest)
         nodes = rest.select("node").distinct().count()
         if not nodes:
             break
@@ -93,10 +106,12 @@ def candidate_components(multi: DataFrame, test: Callable[[DataFrame], DataFrame
             best = rest.groupBy("key", "label").agg(F.min(F.struct(turn.alias("t"), "node", "n")).alias("l"))
             best = best.select("key", F.col("label").alias("la"), F.col("l.node").alias("a"), F.col("l.n").alias("m"))
             top = best.groupBy("key").agg(F.max(F.struct("la", "a", "m")).alias("x")).select("key", "x.*")
-            pairs = rest.join(top, "key").where(near & (F.col("la") != F.col("label")))
+            if words:
+                top = top.join(sketches.withColumnsRenamed({"node": "a"} | {w: f"__o_{w}" for w in words}), "a")
+            pairs = rest.join(top, "key").where((F.col("la") != F.col("label")) & near & allowed())
         else:
-            other = rest.select("key", F.col("node").alias("a"), F.col("n").alias("m"), F.col("label").alias("la"))
-            pairs = rest.join(other, "key").where(near & (F.col("la") < F.col("label")))
+            other = rest.select("key", F.col("node").alias("a"), F.col("n").alias("m"), F.col("label").alias("la"), *[F.col(w).alias(f"__o_{w}") for w in words])
+            pairs = rest.join(other, "key").where((F.col("la") < F.col("label")) & near & allowed())
         fresh = cut(pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
         found = cut(test(fresh))
         links = cut(links.union(found))

@@ -9,8 +9,8 @@ pair that could be linked is verified on its full sets.
 
 Parts are tuned for each band: a pair at the threshold is left without an agreeing part of at least some shingles with a
 probability under MISS (in small sets, by several independent cuts), and pairs far from it agree in as few parts as can
-be. Parts with too few shingles give no key: they would bring together documents that share a common line only. Before
-texts meet, pairs whose whole sketches lie too far apart are dropped.
+be. Parts with too few shingles give no key: they would bring together documents that share a common line only. Pairs
+whose whole sketches lie too far apart are passed over in the join itself.
 
 Defined results: A-Z are lower-cased; with fewer than five words the whole sequence is one shingle; null and wordless
 texts have no shingles and are linked with nothing; documents of equal sets are one class, whatever their ids;
@@ -36,13 +36,16 @@ MISS = 1e-6
 KEYS, BITS = 0.16, 512
 
 
+NODE_SALT = np.uint64(0xA0761D6478BD642F)
+
+
 def shingle_set(text: str | None, k: int = 5) -> np.ndarray:
     return np.unique(shingles(word_hashes(text), k))
 
 
 def node_of(found: np.ndarray) -> int:
     """64 bits that name a set."""
-    mixed = mix64(found ^ np.uint64(0xA0761D6478BD642F))
+    mixed = mix64(found ^ NODE_SALT)
     return int(mix64(np.array([np.bitwise_xor.reduce(mixed) + np.uint64(len(found))], dtype=np.uint64)).view(np.int64)[0])
 
 
@@ -154,7 +157,9 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int)
     one = sets.where(F.col("node").isNotNull()).join(needed, "node", "left_semi").groupBy("node").agg(F.min(id_col).alias(id_col))
     # An id may stand for several texts: those of other nodes are sorted out where the sets are made.
     texts = cut(_texts(docs, one, id_col, text_col, k))
-    labels, _ = candidate_components(multi, lambda pairs: verify(_sifted(pairs, texts, percent), texts.select("node", "text"), lambda t: shingle_set(t, k), percent), percent)
+    sketches = texts.select("node", *[F.col("sketch")[i].alias(f"w{i}") for i in range(BITS // 64)])
+    plain = texts.select("node", "text")
+    labels, _ = candidate_components(multi, lambda pairs: verify(pairs, plain, lambda t: shingle_set(t, k), percent), percent, sketches)
     return sets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
@@ -164,24 +169,15 @@ def sketch(found: np.ndarray) -> list[int]:
     return np.packbits(bits.astype(np.uint8)).view(np.int64).tolist()
 
 
-def _sifted(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose sketches' Hamming distance, a lower bound of the symmetric difference, allows a link."""
-    side = lambda c: texts.select(F.col("node").alias(c), F.col("sketch").alias(f"__s{c}"), F.col("n").alias(f"__n{c}"))
-    both = pairs.join(side("b"), "b").join(side("a"), "a")
-    apart = F.aggregate(F.zip_with("__sa", "__sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-    # |A xor B| <= (1 - t) / (1 + t) * (|A| + |B|)
-    return both.where(apart * (100 + percent) <= (F.col("__na") + F.col("__nb")) * (100 - percent)).select("a", "b")
-
-
 def _texts(docs: DataFrame, one: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """node, text, n, sketch: a text of each node, the size of its set and its sketch."""
+    """node, text, sketch: a text of each node and the sketch of its set."""
     found = docs.select(id_col, F.col(text_col).alias("text")).join(one.withColumnRenamed("node", "__node"), id_col)
 
     def step(batch: dict[str, list]) -> dict[str, list]:
         rows = [(n, t, s) for n, t in zip(batch["__node"], batch["text"]) if t and node_of(s := shingle_set(t, k)) == n]
-        return {"node": [n for n, _, _ in rows], "text": [t for _, t, _ in rows], "n": [len(s) for *_, s in rows], "sketch": [sketch(s) for *_, s in rows]}
+        return {"node": [n for n, _, _ in rows], "text": [t for _, t, _ in rows], "sketch": [sketch(s) for *_, s in rows]}
 
-    return map_lists(found.select("__node", "text"), lambda: step, fields("node long, text string, n long, sketch array<long>")).dropDuplicates(["node"])
+    return map_lists(found.select("__node", "text"), lambda: step, fields("node long, text string, sketch array<long>")).dropDuplicates(["node"])
 
 
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
