@@ -14,6 +14,7 @@ alone are no repeats across documents; rows of equal id count as one document; a
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD, cut, fields, map_lists, mix64, row_key, shingles, word_hashes
 from .links import candidate_components, verify
-from .ngram_join import node_of, shingle_set
+from .ngram_join import NODE_SALT, shingle_set
 
 #: Words to each side of a cut, MinHash bands and rows of a band, words of a span that is reported.
 REACH, BANDS, ROWS, LEAST_WORDS = 6, 4, 1, 25
@@ -40,34 +41,66 @@ def cuts(words: np.ndarray, reach: int = REACH) -> np.ndarray:
     return np.concatenate(([0], np.flatnonzero(lowest) + reach, [n]))
 
 
-def paragraphs(text: str | None) -> list[tuple[int, int, np.ndarray]]:
-    """(first word, end, distinct shingles in order of hash) of each paragraph."""
-    words = word_hashes(text)
-    if not len(words):
-        return []
-    edges = cuts(words).tolist()
-    return [(a, b, np.unique(shingles(words[a:b]))) for a, b in zip(edges, edges[1:])]
+@dataclass
+class Paragraphs:
+    """Of one text: where each paragraph starts and ends (words), its node, the size of its set, its band keys."""
 
+    starts: np.ndarray
+    ends: np.ndarray
+    nodes: np.ndarray
+    sizes: np.ndarray
+    keys: np.ndarray
 
-def band_keys(found: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
-    out = np.empty(bands, dtype=np.uint64)
+
+def _set_keys(found: np.ndarray, at: np.ndarray, sizes: np.ndarray, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Node and band keys of each set; sets stand one after another in found, from at."""
+    nodes = mix64(np.bitwise_xor.reduceat(mix64(found ^ NODE_SALT), at) + sizes.astype(np.uint64)).view(np.int64)
+    keys = np.empty((len(at), bands), dtype=np.uint64)
     for b in range(bands):
-        key = np.uint64(b + 1)
+        key = np.full(len(at), b + 1, dtype=np.uint64)
         for r in range(rows):
-            low = mix64(found + np.uint64(((b * rows + r + 1) * 0x9E3779B97F4A7C15) & ((1 << 64) - 1))).min()
-            key = mix64(np.array([key ^ low], dtype=np.uint64))[0]
-        out[b] = key
-    return out
+            salt = np.uint64(((b * rows + r + 1) * 0x9E3779B97F4A7C15) & ((1 << 64) - 1))
+            key = mix64(key ^ np.minimum.reduceat(mix64(found + salt), at))
+        keys[:, b] = key
+    return nodes, keys.view(np.int64)
+
+
+def paragraphs(text: str | None, bands: int = BANDS, rows: int = ROWS) -> Paragraphs | None:
+    """All paragraphs of the text at once; None without words."""
+    words = word_hashes(text)
+    if not len(words):
+        return None
+    edges = cuts(words)
+    starts, ends = edges[:-1], edges[1:]
+    owner = np.repeat(np.arange(len(starts)), ends - starts)
+    found, of = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
+    if len(words) >= 5:
+        inside = owner[4:] == owner[:-4]
+        found, of = shingles(words)[inside], owner[4:][inside]
+    for i in np.flatnonzero(ends - starts < 5).tolist():  # at most a text's first and last
+        found, of = np.append(found, shingles(words[starts[i] : ends[i]])), np.append(of, i)
+    order = np.lexsort((found, of))
+    found, of = found[order], of[order]
+    fresh = np.ones(len(found), dtype=bool)
+    fresh[1:] = (found[1:] != found[:-1]) | (of[1:] != of[:-1])
+    found, of = found[fresh], of[fresh]
+    at = np.flatnonzero(np.diff(of, prepend=-1))
+    sizes = np.diff(np.append(at, len(of)))
+    nodes, keys = _set_keys(found, at, sizes, bands, rows)
+    return Paragraphs(starts, ends, nodes, sizes, keys)
 
 
 def _rows(docs: DataFrame, text_col: str) -> DataFrame:
     schema = fields("__k1 long, __k2 long, doc_id long, place int, start int, end int, node long")
 
     def step(batch: dict[str, list]) -> dict[str, list]:
-        rows = []
+        out: dict[str, list] = {n: [] for n in schema.names}
         for k1, k2, doc_id, text in zip(batch["__k1"], batch["__k2"], batch["__id"], batch[text_col]):
-            rows += [(k1, k2, doc_id, i, a, b, node_of(s)) for i, (a, b, s) in enumerate(paragraphs(text))]
-        return dict(zip(schema.names, map(list, zip(*rows)))) if rows else {n: [] for n in schema.names}
+            if p := paragraphs(text):
+                n = len(p.nodes)
+                for name, values in zip(schema.names, ([k1] * n, [k2] * n, [doc_id] * n, range(n), p.starts.tolist(), p.ends.tolist(), p.nodes.tolist())):
+                    out[name].extend(values)
+        return out
 
     return map_lists(docs.select("__k1", "__k2", "__id", text_col), lambda: step, schema)
 
@@ -81,15 +114,18 @@ def _keys(docs: DataFrame, text_col: str, bands: int, rows: int) -> DataFrame:
         def step(batch: dict[str, list]) -> dict[str, list] | None:
             keys, nodes, sizes = [], [], []
             for text in batch[text_col]:
-                for _, _, found in paragraphs(text):
-                    if (node := node_of(found)) in seen:
-                        continue
-                    if len(seen) < 1_000_000:
-                        seen.add(node)
-                    keys.append(band_keys(found, bands, rows).view(np.int64))
-                    nodes += [node] * bands
-                    sizes += [len(found)] * bands
-            return {"key": np.concatenate(keys), "node": nodes, "n": sizes} if keys else None
+                if (p := paragraphs(text, bands, rows)) is None:
+                    continue
+                new = []
+                for i, node in enumerate(p.nodes.tolist()):
+                    if node not in seen:
+                        new.append(i)
+                        if len(seen) < 1_000_000:
+                            seen.add(node)
+                keys.append(p.keys[new].ravel())
+                nodes.append(np.repeat(p.nodes[new], bands))
+                sizes.append(np.repeat(p.sizes[new], bands))
+            return {"key": np.concatenate(keys), "node": np.concatenate(nodes), "n": np.concatenate(sizes)} if keys else None
 
         return step
 
