@@ -157,9 +157,8 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int)
     one = sets.where(F.col("node").isNotNull()).join(needed, "node", "left_semi").groupBy("node").agg(F.min(id_col).alias(id_col))
     # An id may stand for several texts: those of other nodes are sorted out where the sets are made.
     texts = cut(_texts(docs, one, id_col, text_col, k))
-    sketches = texts.select("node", *[F.col("sketch")[i].alias(f"w{i}") for i in range(BITS // 64)])
     plain = texts.select("node", "text")
-    labels, _ = candidate_components(multi, lambda pairs: verify(pairs, plain, lambda t: shingle_set(t, k), percent), percent, sketches)
+    labels, _ = candidate_components(multi, lambda pairs: verify(pairs, plain, lambda t: shingle_set(t, k), percent), percent, sketch_words(texts))
     return sets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
@@ -169,6 +168,10 @@ def sketch(found: np.ndarray) -> list[int]:
     return np.packbits(bits.astype(np.uint8)).view(np.int64).tolist()
 
 
+def sketch_words(texts: DataFrame) -> DataFrame:
+    return texts.select("node", *[F.col("sketch")[i].alias(f"w{i}") for i in range(BITS // 64)])
+
+
 def _texts(docs: DataFrame, one: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     """node, text, sketch: a text of each node and the sketch of its set."""
     found = docs.select(id_col, F.col(text_col).alias("text")).join(one.withColumnRenamed("node", "__node"), id_col)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD, cut, fields, map_lists, mix64, row_key, shingles, word_hashes
 from .links import candidate_components, verify
-from .ngram_join import NODE_SALT, shingle_set
+from .ngram_join import NODE_SALT, shingle_set, sketch, sketch_words
 
 #: Words to each side of a cut, MinHash bands and rows of a band, words of a span that is reported.
 REACH, BANDS, ROWS, LEAST_WORDS = 6, 4, 1, 25
@@ -133,7 +133,7 @@ def _keys(docs: DataFrame, text_col: str, bands: int, rows: int) -> DataFrame:
 
 
 def _texts(docs: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
-    """node, text of the paragraphs that wanted (__k1, __k2, start, end, node) names."""
+    """node, text, sketch of the paragraphs that wanted (__k1, __k2, start, end, node) names."""
     refs = wanted.groupBy("__k1", "__k2").agg(F.collect_list(F.struct("start", "end", "node")).alias("__refs"))  # of one row
 
     def step(batch: dict[str, list]) -> dict[str, list]:
@@ -143,10 +143,10 @@ def _texts(docs: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
             for x in refs:
                 nodes.append(x["node"])
                 texts.append(text[spans[x["start"]][0] : spans[x["end"] - 1][1]])
-        return {"node": nodes, "text": texts}
+        return {"node": nodes, "text": texts, "sketch": [sketch(shingle_set(t)) for t in texts]}
 
     found = docs.select("__k1", "__k2", text_col).join(refs, ["__k1", "__k2"]).select(text_col, "__refs")
-    return map_lists(found, lambda: step, fields("node long, text string"), rows=100).dropDuplicates(["node"])
+    return map_lists(found, lambda: step, fields("node long, text string, sketch array<long>"), rows=100).dropDuplicates(["node"])
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, bands: int = BANDS, rows: int = ROWS, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -160,7 +160,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     needed = cut(multi.select("node").distinct())
     wanted = found.join(needed, "node", "left_semi").groupBy("node").agg(F.min(F.struct("__k1", "__k2", "start", "end")).alias("x")).select("x.*", "node")
     texts = cut(_texts(keyed, cut(wanted), text_col))
-    labels, _ = candidate_components(multi, lambda pairs: verify(pairs, texts, shingle_set, percent), percent)
+    plain = texts.select("node", "text")
+    labels, _ = candidate_components(multi, lambda pairs: verify(pairs, plain, shingle_set, percent), percent, sketch_words(texts))
     placed = found.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).drop("node")
     shared = placed.select("label", "doc_id").distinct().groupBy("label").agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("first")).where("docs > 1").select("label", "first")
     marked = placed.join(cut(shared), "label")
