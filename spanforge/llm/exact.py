@@ -1,7 +1,8 @@
 """Exact dedup by content sort, with DataFrame functions only.
 
-Sampled splitters range-partition the normalised bytes, an external sort places equals adjacent, and neighbouring rows
-are compared in full (a window over the text itself: a group ends where the next text differs). Texts that make up more
+Sampled splitters range-partition the normalised texts by their first characters and a hash of the whole, an external
+sort places equals adjacent, and neighbouring rows are compared in full (a window over the text itself: a group ends
+where the next text differs). Texts that make up more
 than a five-hundredth of a sample are salted before the sort, so that splitters may cut their group; their few partial
 groups are then joined, again by full text. The sample steers the layout only: results don't depend on it.
 
@@ -18,6 +19,8 @@ from .common import ascii_lower
 
 #: Rows of the sample, its share that makes a text heavy, and the parts that a heavy text's copies are dealt to.
 SAMPLE, HEAVY, SALTS = 50_000, 500, 32
+#: Characters by which texts are ordered at first; Spark samples splitters on the driver, so their keys are kept short.
+START = 24
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
@@ -27,8 +30,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     base = docs.select(F.col(id_col).alias("__id"), norm.alias("__text")).withColumn("__sha", F.sha2("__text", 256))
     heavy = _heavy(docs, base, id_col)
     salt = F.when(F.col("__sha").isin(heavy), F.pmod(F.xxhash64("__id"), F.lit(SALTS))).otherwise(F.lit(0)) if heavy else F.lit(0)
-    ordered = base.withColumn("__salt", salt.cast("int")).repartitionByRange("__text", "__salt")
-    adjacent = Window.partitionBy("__text", "__salt")
+    ordered = base.withColumns({"__salt": salt.cast("int"), "__start": F.substring("__text", 1, START), "__rest": F.xxhash64("__text")})
+    ordered = ordered.repartitionByRange("__start", "__rest", "__salt")
+    adjacent = Window.partitionBy("__start", "__rest", "__salt", "__text")
     found = ordered.select("__id", "__sha", best("__id").over(adjacent).alias("__keep"), F.count(F.lit(1)).over(adjacent).alias("__n"))
     if heavy:
         found = _joined(base, found, heavy, best)
