@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -65,6 +65,14 @@ def verify(pairs: DataFrame, texts: DataFrame, set_of: Callable[[str], np.ndarra
     return map_lists(rows.select("a", "b", "__ta", "__tb"), make, schema)
 
 
+def shared_keys(keys: DataFrame) -> DataFrame:
+    """keys (key, node, n) under which several nodes meet. Keys that bring together the same nodes become one, named by
+    a hash of these nodes: pairs that share many keys meet once. (Should two hashes be equal, groups merge and lose none.)"""
+    group = Window.partitionBy("key")
+    multi = keys.withColumns({"__lo": F.min("node").over(group), "__hi": F.max("node").over(group)}).where("__lo != __hi").select("key", "node", "n").distinct()
+    return cut(multi.select(F.bit_xor(F.xxhash64("node")).over(group).alias("key"), "node", "n").distinct())
+
+
 def candidate_components(multi: DataFrame, test: Callable[[DataFrame], DataFrame], percent: int, sketches: DataFrame | None = None, rounds: int = 3) -> tuple[DataFrame, DataFrame]:
     """(labels, links) from multi (key, node, n): every pair of nodes that share a key is in one component or is tested.
 
@@ -74,7 +82,6 @@ def candidate_components(multi: DataFrame, test: Callable[[DataFrame], DataFrame
     First each key's nodes are tested against one of them, the leader. Pairs of one component need no test any more.
     What is left are pairs across components under a shared key; while they are many against the nodes, further
     leaders are tried; then all that are left are tested."""
-    multi = cut(multi)
     near = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
     leader = F.min(F.struct("node", "n"))
     words = [c for c in sketches.columns if c != "node"] if sketches is not None else []

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .common import cut, fields, map_lists, mix64, row_key, shingles, word_hashes
-from .links import candidate_components, components, verify
+from .links import candidate_components, shared_keys, verify
 
 #: Chance that a pair exactly at the threshold shares no key.
 MISS = 1e-6
@@ -151,8 +151,7 @@ def _keys(docs: DataFrame, text_col: str, k: int, percent: int) -> DataFrame:
 def _labelled(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
     """docs without the text, with n_shingles, node and label (equal within a component; null without shingles)."""
     sets = cut(_sets(docs, id_col, text_col, k))
-    group = Window.partitionBy("key")
-    multi = cut(_keys(docs, text_col, k, percent).withColumns({"__lo": F.min("node").over(group), "__hi": F.max("node").over(group)}).where("__lo != __hi").select("key", "node", "n").distinct())
+    multi = shared_keys(_keys(docs, text_col, k, percent))
     needed = cut(multi.select("node").distinct())
     one = sets.where(F.col("node").isNotNull()).join(needed, "node", "left_semi").groupBy("node").agg(F.min(id_col).alias(id_col))
     # An id may stand for several texts: those of other nodes are sorted out where the sets are made.

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, cut, fields, map_lists, mix64, row_key, shingles, word_hashes
-from .links import candidate_components, verify
+from .links import candidate_components, shared_keys, verify
 from .ngram_join import NODE_SALT, shingle_set, sketch, sketch_words
 
 #: Words to each side of a cut, MinHash bands and rows of a band, words of a span that is reported.
@@ -154,9 +154,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     k1, k2 = row_key(docs)
     keyed = docs.withColumns({"__k1": k1, "__k2": k2, "__id": F.col(id_col).cast("long")})
     found = cut(_rows(keyed, text_col))
-    group = Window.partitionBy("key")
-    multi = _keys(keyed, text_col, bands, rows).withColumns({"__lo": F.min("node").over(group), "__hi": F.max("node").over(group)}).where("__lo != __hi")
-    multi = cut(multi.select("key", "node", "n").distinct())
+    multi = shared_keys(_keys(keyed, text_col, bands, rows))
     needed = cut(multi.select("node").distinct())
     wanted = found.join(needed, "node", "left_semi").groupBy("node").agg(F.min(F.struct("__k1", "__k2", "start", "end")).alias("x")).select("x.*", "node")
     texts = cut(_texts(keyed, cut(wanted), text_col))
