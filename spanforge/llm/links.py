@@ -12,6 +12,10 @@ from pyspark.sql.types import StructType
 from .common import cut, fields, map_lists
 
 
+#: Turns that keys are dealt to; a pair of many shared keys is made at most so often.
+TURNS = 8
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, label (the smallest node of its component) for each node of links (a, b: long).
 
@@ -81,7 +85,8 @@ def candidate_components(multi: DataFrame, test: Callable[[DataFrame], DataFrame
 
     First each key's nodes are tested against one of them, the leader. Pairs of one component need no test any more.
     What is left are pairs across components under a shared key; while they are many against the nodes, further
-    leaders are tried; then all that are left are tested."""
+    leaders are tried, of the component that is the largest under the key; then all that are left are tested. Keys are
+    dealt to TURNS; of the keys of a turn that a pair shares, only the smallest gives the pair."""
     near = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
     leader = F.min(F.struct("node", "n"))
     words = [c for c in sketches.columns if c != "node"] if sketches is not None else []
@@ -110,15 +115,18 @@ def candidate_components(multi: DataFrame, test: Callable[[DataFrame], DataFrame
         more = groups > 40 * nodes and attempt < rounds
         if more:
             turn = F.xxhash64(F.lit(attempt), "node")
-            best = rest.groupBy("key", "label").agg(F.min(F.struct(turn.alias("t"), "node", "n")).alias("l"))
-            best = best.select("key", F.col("label").alias("la"), F.col("l.node").alias("a"), F.col("l.n").alias("m"))
-            top = best.groupBy("key").agg(F.max(F.struct("la", "a", "m")).alias("x")).select("key", "x.*")
+            best = rest.groupBy("key", "label").agg(F.min(F.struct(turn.alias("t"), "node", "n")).alias("l"), F.count(F.lit(1)).alias("c"))
+            best = best.select("key", "c", F.col("label").alias("la"), F.col("l.node").alias("a"), F.col("l.n").alias("m"))
+            top = best.groupBy("key").agg(F.max(F.struct("c", "la", "a", "m")).alias("x")).select("key", "x.la", "x.a", "x.m")
             if words:
                 top = top.join(sketches.withColumnsRenamed({"node": "a"} | {w: f"__o_{w}" for w in words}), "a")
             pairs = rest.join(top, "key").where((F.col("la") != F.col("label")) & near & allowed())
         else:
-            other = rest.select("key", F.col("node").alias("a"), F.col("n").alias("m"), F.col("label").alias("la"), *[F.col(w).alias(f"__o_{w}") for w in words])
-            pairs = rest.join(other, "key").where((F.col("la") < F.col("label")) & near & allowed())
+            turn = F.pmod("key", F.lit(TURNS))
+            rest = cut(rest.withColumn("__keys", F.collect_list("key").over(Window.partitionBy("node", turn))))
+            other = rest.select("key", F.col("node").alias("a"), F.col("n").alias("m"), F.col("label").alias("la"), F.col("__keys").alias("__o_keys"), *[F.col(w).alias(f"__o_{w}") for w in words])
+            once = F.array_min(F.array_intersect("__keys", "__o_keys")) == F.col("key")
+            pairs = rest.join(other, "key").where((F.col("la") < F.col("label")) & near & allowed() & once)
         fresh = cut(pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
         found = cut(test(fresh))
         links = cut(links.union(found))
