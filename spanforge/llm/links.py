@@ -14,6 +14,8 @@ from .common import cut, fields, map_lists
 
 #: Turns that keys are dealt to; a pair of many shared keys is made at most so often.
 TURNS = 8
+#: Pairs for each node that one join may sift by sketches; beyond that, more leaders are tried first.
+SIFTED = 10_000
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -112,7 +114,7 @@ def candidate_components(multi: DataFrame, test: Callable[[DataFrame], DataFrame
         if not nodes:
             break
         groups = split.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()[0]
-        more = groups > 40 * nodes and attempt < rounds
+        more = groups > SIFTED * nodes and attempt < rounds
         if more:
             turn = F.xxhash64(F.lit(attempt), "node")
             best = rest.groupBy("key", "label").agg(F.min(F.struct(turn.alias("t"), "node", "n")).alias("l"), F.count(F.lit(1)).alias("c"))
