@@ -4,11 +4,13 @@ Every text is cut into content-defined paragraphs: a cut is where the hash of a
 neighbourhood, so a passage is cut alike wherever it stands, inside a line too. A paragraph is the set of its 5-word
 shingles. Equal sets are one node; bands of MinHash values (BANDS of ROWS, which find 99.6 % of the pairs just at
 the threshold) bring other nodes together, and every pair that collides and could be linked is verified by exact Jaccard.
-Components of the links are the clusters. Runs of neighbouring clustered paragraphs, of at least `least_words` words,
-are the repeated spans; the document with the smallest id keeps its copy, the others' are removals.
+Components of the links are the clusters. The document with the smallest id of a cluster keeps its paragraph, the others'
+are removals. Runs of neighbouring clustered paragraphs that share this decision, of at least `least_words` words, are the
+repeated spans.
 
 Defined results: null and wordless texts have no paragraphs; a short text is one paragraph; repeats within one document
-alone are no repeats across documents; rows of equal id count as one document; an empty table gives no rows.
+alone are no repeats across documents; rows of equal id, and all of a null
+id, count as one document (null is after every other id); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -162,11 +164,12 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     labels, _ = candidate_components(multi, lambda pairs: verify(pairs, plain, shingle_set, percent), percent, sketch_words(texts))
     placed = found.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).drop("node")
     shared = placed.select("label", "doc_id").distinct().groupBy("label").agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("first")).where("docs > 1").select("label", "first")
-    marked = placed.join(cut(shared), "label")
-    row = Window.partitionBy("__k1", "__k2", "doc_id").orderBy("place")
+    # Each paragraph is decided by its own cluster, so that the smallest id of every cluster keeps its copy.
+    marked = placed.join(cut(shared), "label").withColumn("removed", ~F.col("first").eqNullSafe(F.col("doc_id")))
+    row = Window.partitionBy("__k1", "__k2", "doc_id", "removed").orderBy("place")
     # Equal rows share their key: place then repeats, and dense ranks keep the run.
     runs = marked.withColumn("__run", F.col("place") - F.dense_rank().over(row))
-    spans = runs.groupBy("__k1", "__k2", "doc_id", "__run").agg(F.min("start").alias("start_word"), F.max("end").alias("end_word"), F.min("first").alias("first_doc_id"))
+    spans = runs.groupBy("__k1", "__k2", "doc_id", "removed", "__run").agg(F.min("start").alias("start_word"), F.max("end").alias("end_word"), F.min("first").alias("first_doc_id"))
     words = (F.col("end_word") - F.col("start_word")).alias("n_words")
     out = spans.where(F.col("end_word") - F.col("start_word") >= least_words)
-    return out.select(F.col("doc_id").alias(id_col), "start_word", "end_word", words, "first_doc_id", (F.col("first_doc_id") != F.col("doc_id")).alias("removed"))
+    return out.select(F.col("doc_id").alias(id_col), "start_word", "end_word", words, "first_doc_id", "removed")

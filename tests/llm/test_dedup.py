@@ -195,6 +195,20 @@ def test_near_paragraphs_are_joined(spark):
     assert got == {1, 2}
 
 
+def test_a_copied_text_that_quotes_an_earlier_one_keeps_a_copy(spark):
+    rng = random.Random(5)
+    say = lambda n: [f"{rng.choice('abcdefgh')}{rng.randint(0, 99999)}" for _ in range(n)]
+    passage, before, after = say(80), say(150), say(150)
+    whole = " ".join(before + passage + after)
+    rows = [(5, " ".join(say(60) + passage + say(60))), (10, whole), (50, whole), (None, whole)]
+    got = defaultdict(list)
+    for r in paragraphs.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got[r.doc_id].append((r.start_word, r.end_word, r.removed))
+    assert [r[2] for r in sorted(got[10])] == [False, True, False]
+    assert all(125 <= a and b <= 255 for a, b, gone in got[10] if gone)
+    assert got[50] == got[None] == [(0, 380, True)] and [r[2] for r in got[5]] == [False]
+
+
 def test_paragraphs_of_odd_rows(odd, none):
     rows = paragraphs.repeated_spans(odd).collect()
     assert {20, 21, 22, 23, 24, 25} <= {r.doc_id for r in rows} and all(r.n_words >= 25 for r in rows)
