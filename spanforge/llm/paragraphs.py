@@ -5,8 +5,9 @@ neighbourhood, so a passage is cut alike wherever it stands, inside a line too.
 shingles. Equal sets are one node; bands of MinHash values (BANDS of ROWS, which find 99.6 % of the pairs just at
 the threshold) bring other nodes together, and every pair that collides and could be linked is verified by exact Jaccard.
 Components of the links are the clusters. The document with the smallest id of a cluster keeps its paragraph, the others'
-are removals. Runs of neighbouring clustered paragraphs that share this decision, of at least `least_words` words, are the
-repeated spans.
+are removals. Since such pieces are short and mix with their surroundings at a passage's ends, stretches that documents
+share word by word (see stretches) are found up to their ends, over edits too, and join them. Runs of neighbouring words
+that share the decision, of at least `least_words` words, are the repeated spans.
 
 Defined results: null and wordless texts have no paragraphs; a short text is one paragraph; repeats within one document
 alone are no repeats across documents; rows of equal id, and all of a null
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 from .common import WORD, cut, fields, map_lists, mix64, row_key, shingles, word_hashes
 from .links import candidate_components, shared_keys, verify
 from .ngram_join import NODE_SALT, shingle_set, sketch, sketch_words
+from .stretches import decided, repeated_stretches
 
 #: Words to each side of a cut, MinHash bands and rows of a band, words of a span that is reported.
 REACH, BANDS, ROWS, LEAST_WORDS = 6, 4, 1, 25
@@ -169,7 +171,16 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     row = Window.partitionBy("__k1", "__k2", "doc_id", "removed").orderBy("place")
     # Equal rows share their key: place then repeats, and dense ranks keep the run.
     runs = marked.withColumn("__run", F.col("place") - F.dense_rank().over(row))
-    spans = runs.groupBy("__k1", "__k2", "doc_id", "removed", "__run").agg(F.min("start").alias("start_word"), F.max("end").alias("end_word"), F.min("first").alias("first_doc_id"))
-    words = (F.col("end_word") - F.col("start_word")).alias("n_words")
-    out = spans.where(F.col("end_word") - F.col("start_word") >= least_words)
-    return out.select(F.col("doc_id").alias(id_col), "start_word", "end_word", words, "first_doc_id", "removed")
+    near = runs.groupBy("__k1", "__k2", "doc_id", "removed", "__run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("first").alias("first"))
+    names = ["__k1", "__k2", "doc_id", "start", "end", "first", "removed"]
+    spans = near.select(*names).union(repeated_stretches(keyed, text_col, least_words, percent).select(*names))
+    spans = spans.groupBy("__k1", "__k2", "doc_id").agg(F.collect_set(F.struct("start", "end", "first", "removed")).alias("spans"))
+    schema = fields("__k1 long, __k2 long, doc_id long, start_word int, end_word int, n_words int, first_doc_id long, removed boolean")
+
+    def step(batch: dict[str, list]) -> dict[str, list]:
+        rows = []
+        for k1, k2, doc_id, found in zip(batch["__k1"], batch["__k2"], batch["doc_id"], batch["spans"]):
+            rows += [(k1, k2, doc_id, a, b, b - a, first, gone) for a, b, first, gone in decided([(x["start"], x["end"], x["first"], x["removed"]) for x in found], least_words)]
+        return dict(zip(schema.names, map(list, zip(*rows)))) if rows else {n: [] for n in schema.names}
+
+    return map_lists(spans, lambda: step, schema).select(F.col("doc_id").alias(id_col), "start_word", "end_word", "n_words", "first_doc_id", "removed")

@@ -1,0 +1,215 @@
+"""Stretches of words that stand in several documents, exactly and up to their ends.
+
+A window of `least_words` words is known by the smallest hash of its `least_words // 2`-word shingles, its anchor: two texts
+with an equal window share the anchor. An anchor is compared word by word, to both sides, with the same anchor in the
+document of the smallest id. Where that doesn't give a window, but other documents have the anchor too, all windows
+around it are compared instead, so a line that is common, and shorter than a window, hides no longer passage.
+
+Stretches of one pair of texts that are at most GAP words apart in both become one where the whole reaches `percent`
+(Jaccard of 5-word shingles), so edits inside a passage don't end it.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import cut, fields, map_lists, mix64, shingles, word_hashes
+
+#: Words between two stretches, in either text, over which they may be one passage.
+GAP = 3
+_MULT = np.uint64(0x9E3779B97F4A7C15)
+_PLACE = "key long, __k1 long, __k2 long, doc_id long, pos int"
+_PAIR = "__k1 long, __k2 long, doc_id long, f1 long, f2 long, first long, start int, end int, fstart int"
+
+
+def anchors(words: np.ndarray, least_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(where, hash) of the text's anchors; every window of least_words words holds one, chosen by the window alone."""
+    gram = max(1, least_words // 2)
+    if len(words) < least_words:
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64)
+    found = shingles(words, gram)
+    lowest = np.lib.stride_tricks.sliding_window_view(found, least_words - gram + 1).argmin(axis=1)
+    at = np.unique(lowest + np.arange(len(lowest)))
+    return at, found[at]
+
+
+def _places(docs: DataFrame, text_col: str, least_words: int) -> DataFrame:
+    schema = fields(_PLACE)
+
+    def step(batch: dict[str, list]) -> dict[str, list]:
+        out: dict[str, list] = {n: [] for n in schema.names}
+        for k1, k2, doc_id, text in zip(batch["__k1"], batch["__k2"], batch["__id"], batch[text_col]):
+            at, found = anchors(word_hashes(text), least_words)
+            n = len(at)
+            for name, values in zip(schema.names, (found.view(np.int64).tolist(), [k1] * n, [k2] * n, [doc_id] * n, at.tolist())):
+                out[name].extend(values)
+        return out
+
+    return map_lists(docs.select("__k1", "__k2", "__id", text_col), lambda: step, schema)
+
+
+def _shared(places: DataFrame) -> DataFrame:
+    """Keys that several documents have."""
+    ids = places.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("doc_id").alias("known"), F.count(F.lit(1)).alias("all"))
+    return ids.where("lo < hi or (known > 0 and known < all)").select("key")
+
+
+def _around(docs: DataFrame, places: DataFrame, text_col: str, least_words: int) -> DataFrame:
+    """places with n, the words of the text, and around, the 32-bit hashes of the words to each side that a window may hold."""
+    gram = max(1, least_words // 2)
+    side = least_words - gram
+    schema = fields(f"{_PLACE}, n int, around binary")
+    refs = places.groupBy("__k1", "__k2").agg(F.collect_set("pos").alias("__at"))
+
+    def step(batch: dict[str, list]) -> dict[str, list]:
+        out: dict[str, list] = {n: [] for n in schema.names}
+        for k1, k2, doc_id, text, refs in zip(batch["__k1"], batch["__k2"], batch["__id"], batch[text_col], batch["__at"]):
+            words, at = word_hashes(text), np.sort(np.array(refs, dtype=np.int64))
+            padded = np.pad(words.astype(np.uint32), side)
+            near = padded[at[:, None] + np.concatenate((np.arange(side), np.arange(side + gram, 2 * side + gram)))]
+            n = len(at)
+            for name, values in zip(schema.names, (shingles(words, gram)[at].view(np.int64).tolist(), [k1] * n, [k2] * n, [doc_id] * n, at.tolist(), [len(words)] * n, [row.tobytes() for row in near])):
+                out[name].extend(values)
+        return out
+
+    found = docs.select("__k1", "__k2", "__id", text_col).dropDuplicates(["__k1", "__k2"]).join(refs, ["__k1", "__k2"])
+    return map_lists(found, lambda: step, schema, rows=200)
+
+
+def _with_first(places: DataFrame, *more: str) -> DataFrame:
+    """places of a key, each with that of the smallest id (f1, f2, first, fpos, f_...); those of its own document are left out."""
+    x = F.min(F.struct(F.col("doc_id").isNull().alias("o"), "doc_id", "__k1", "__k2", "pos", *more)).alias("x")
+    first = places.groupBy("key").agg(x).select("key", F.col("x.__k1").alias("f1"), F.col("x.__k2").alias("f2"), F.col("x.doc_id").alias("first"), F.col("x.pos").alias("fpos"), *[F.col(f"x.{c}").alias(f"f_{c}") for c in more])
+    return places.join(first, "key").where(~F.col("first").eqNullSafe(F.col("doc_id")))
+
+
+def _compared(near: DataFrame, least_words: int) -> DataFrame:
+    """key and pair of each place: how far its text and that of the first document agree around the anchor."""
+    gram = max(1, least_words // 2)
+    side = least_words - gram
+    schema = fields(f"key long, {_PAIR}")
+    same = ("key", "__k1", "__k2", "doc_id", "f1", "f2", "first")
+
+    def step(batch: dict[str, list]) -> dict[str, list]:
+        a, b = (np.frombuffer(b"".join(batch[c]), dtype=np.uint32).reshape(-1, 2 * side) for c in ("around", "f_around"))
+        pos, fpos, n, fn = (np.array(batch[c], dtype=np.int64) for c in ("pos", "fpos", "n", "f_n"))
+        equal = a == b
+        left = np.minimum(np.cumprod(equal[:, :side][:, ::-1], axis=1).sum(axis=1), np.minimum(pos, fpos))
+        right = np.minimum(np.cumprod(equal[:, side:], axis=1).sum(axis=1), np.minimum(n - pos, fn - fpos) - gram)
+        return {c: batch[c] for c in same} | {"start": (pos - left).tolist(), "end": (pos + gram + right).tolist(), "fstart": (fpos - left).tolist()}
+
+    return map_lists(_with_first(near, "n", "around").drop("o"), lambda: step, schema)
+
+
+def _windows(near: DataFrame, least_words: int) -> DataFrame:
+    """Every window of least_words words around each anchor, as places."""
+    gram = max(1, least_words // 2)
+    side = least_words - gram
+    schema = fields(_PLACE)
+
+    def step(batch: dict[str, list]) -> dict[str, list]:
+        words = np.frombuffer(b"".join(batch["around"]), dtype=np.uint32).reshape(-1, 2 * side).astype(np.uint64)
+        keys, pos, n = np.array(batch["key"], dtype=np.int64).view(np.uint64), np.array(batch["pos"], dtype=np.int64), np.array(batch["n"], dtype=np.int64)
+        out: dict[str, list] = {c: [] for c in schema.names}
+        for before in range(side + 1):
+            # The anchor's place in the window is left out: equal windows have one anchor.
+            h = mix64(keys + np.uint64(before))
+            for c in range(side - before, 2 * side - before):
+                h = mix64(h * _MULT + words[:, c])
+            start = pos - before
+            for i in np.flatnonzero((start >= 0) & (start + least_words <= n)).tolist():
+                for c, v in zip(schema.names, (int(h[i : i + 1].view(np.int64)[0]), batch["__k1"][i], batch["__k2"][i], batch["doc_id"][i], int(start[i]))):
+                    out[c].append(v)
+        return out
+
+    return map_lists(near, lambda: step, schema)
+
+
+def passages(parts: list[tuple[int, int, int]], least_words: int, percent: int) -> list[tuple[int, int, int, int]]:
+    """(start, end, start and end in the other text) of one pair of texts from its equal parts (start, end, other start)."""
+    equal: list[list[int]] = []
+    for shift, start, end in sorted((f - s, s, e) for s, e, f in parts):
+        if equal and equal[-1][0] == shift and start <= equal[-1][2]:
+            equal[-1][2] = max(equal[-1][2], end)
+        else:
+            equal.append([shift, start, end])
+    equal.sort(key=lambda x: (x[1], x[2], x[0]))
+    chains: list[list[list[int]]] = []
+    for x in equal:
+        if chains and all(-GAP <= gap <= GAP for gap in (x[1] - chains[-1][-1][2], x[1] + x[0] - chains[-1][-1][2] - chains[-1][-1][0])):
+            chains[-1].append(x)
+        else:
+            chains.append([x])
+    out = []
+    for chain in chains:
+        at, done = 0, np.cumsum([0, *(max(0, e - s - 4) for _, s, e in chain)]).tolist()
+        while at < len(chain):
+            for last in range(len(chain) - 1, at - 1, -1):
+                start, end, other, other_end = chain[at][1], chain[last][2], chain[at][1] + chain[at][0], chain[last][2] + chain[last][0]
+                both, sizes = done[last + 1] - done[at], max(1, end - start - 4) + max(1, other_end - other - 4)
+                if last == at or 100 * both >= percent * (sizes - both):
+                    break
+            if min(end - start, other_end - other) >= least_words:
+                out.append((start, end, other, other_end))
+            at = last + 1
+    return out
+
+
+def repeated_stretches(docs: DataFrame, text_col: str, least_words: int, percent: int) -> DataFrame:
+    """__k1, __k2, doc_id, start, end, first, removed: the later document's stretch of each pair is removed, the first one's stays.
+
+    docs: __k1, __k2, __id and the text."""
+    places = cut(_places(docs, text_col, least_words))
+    near = cut(_around(docs, places.join(cut(_shared(places)), "key", "left_semi"), text_col, least_words))
+    pairs = cut(_compared(near, least_words))
+    # Only where three texts meet can another than the first share more.
+    short = pairs.groupBy("key").agg(F.min(F.col("end") - F.col("start")).alias("least"), F.count(F.lit(1)).alias("c")).where((F.col("least") < least_words) & (F.col("c") > 1)).select("key")
+    windows = cut(_windows(near.join(cut(short), "key", "left_semi"), least_words).distinct())
+    more = _with_first(windows.join(cut(_shared(windows)), "key", "left_semi"))
+    more = more.select("__k1", "__k2", "doc_id", "f1", "f2", "first", F.col("pos").alias("start"), (F.col("pos") + least_words).alias("end"), F.col("fpos").alias("fstart"))
+    row = ["__k1", "__k2", "doc_id", "f1", "f2", "first"]
+    parts = pairs.drop("key").union(more).groupBy(*row).agg(F.collect_set(F.struct("start", "end", "fstart")).alias("parts"))
+    schema = fields("__k1 long, __k2 long, doc_id long, start int, end int, first long, removed boolean")
+
+    def step(batch: dict[str, list]) -> dict[str, list]:
+        rows = set()
+        for k1, k2, doc_id, f1, f2, first, parts in zip(*(batch[c] for c in row), batch["parts"]):
+            for start, end, other, other_end in passages([(p["start"], p["end"], p["fstart"]) for p in parts], least_words, percent):
+                rows |= {(k1, k2, doc_id, start, end, first, True), (f1, f2, first, other, other_end, first, False)}
+        return dict(zip(schema.names, map(list, zip(*rows)))) if rows else {n: [] for n in schema.names}
+
+    return map_lists(parts, lambda: step, schema).distinct()
+
+
+def decided(spans: list[tuple[int, int, int | None, bool]], least_words: int) -> list[tuple[int, int, int | None, bool]]:
+    """Disjoint (start, end, smallest first, removed) from spans that overlap; what any span removes is removed.
+
+    Removals that don't make least_words words in a row stay, and are part of what is kept around them."""
+    edges = sorted({x for s in spans for x in s[:2]})
+    place = {x: i for i, x in enumerate(edges)}
+    state: list[list] = [[None, None] for _ in edges[1:]]  # the smallest first of what is kept and removed between edges
+    for start, end, first, removed in spans:
+        for i in range(place[start], place[end]):
+            old = state[i][removed]
+            state[i][removed] = first if old is None else min(old, first)
+    at = 0
+    while at < len(state):
+        last = at
+        while last < len(state) and state[last][1] is not None:
+            last += 1
+        if last > at and edges[last] - edges[at] < least_words:
+            for i in range(at, last):
+                state[i] = [min(x for x in state[i] if x is not None), None]
+        at = max(last, at + 1)
+    out: list[list] = []
+    for i, (kept, gone) in enumerate(state):
+        if kept is None and gone is None:
+            continue
+        removed, first = gone is not None, kept if gone is None else gone
+        if out and out[-1][1] == edges[i] and out[-1][3] == removed:
+            out[-1][1], out[-1][2] = edges[i + 1], min(out[-1][2], first)
+        else:
+            out.append([edges[i], edges[i + 1], first, removed])
+    return [tuple(x) for x in out if x[1] - x[0] >= least_words]

@@ -209,6 +209,44 @@ def test_a_copied_text_that_quotes_an_earlier_one_keeps_a_copy(spark):
     assert got[50] == got[None] == [(0, 380, True)] and [r[2] for r in got[5]] == [False]
 
 
+def test_edited_passages_against_brute_force(spark):
+    rng, rows, whole = random.Random(12), [], {}
+    say = lambda n: [f"{rng.choice('abcdefgh')}{rng.randint(0, 99999)}" for _ in range(n)]
+    for n in [51, 51, 51, 51, 55, 60, 60, 60, 70, 80, 90, 100] * 3:
+        passage, edits = say(n), len(rows) // 2 % 3
+        for copy in range(2):
+            words = list(passage)
+            for i in range(edits * copy):
+                words[(i + 1) * n // (edits + 1)] = "edited"
+            a = say(rng.randint(30, 90))
+            if n >= 25 * (edits + 1) + edits:  # each stretch alone is long enough
+                whole[len(rows)] = (len(a), len(a) + n)
+            rows.append((len(rows), " ".join(a + words + say(rng.randint(30, 90)))))
+    line = say(20)  # common, shorter than a span; two of its documents share more
+    for _ in range(8):
+        rows.append((len(rows), " ".join(say(40) + line + say(40))))
+    tail = say(6)
+    for _ in range(2):
+        rows.append((len(rows), " ".join(say(40) + line + tail + say(40))))
+    held, marks = defaultdict(set), {}
+    texts = [t.split() for _, t in rows]
+    for d, w in enumerate(texts):
+        for i in range(len(w) - 24):
+            held[tuple(w[i : i + 25])].add(d)
+    for d, w in enumerate(texts):
+        marks[d] = {j for i in range(len(w) - 24) if len(held[tuple(w[i : i + 25])]) > 1 for j in range(i, i + 25)}
+    got = defaultdict(list)
+    for r in paragraphs.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect():
+        got[r.doc_id].append((r.start_word, r.end_word))
+    for d in range(len(rows)):
+        assert marks[d] <= {j for a, b in got[d] for j in range(a, b)}, d
+        assert bool(marks[d]) == bool(got[d]) or d < 72
+    assert len(whole) > 30
+    for d, (a, b) in whole.items():
+        ((start, end),) = got[d]
+        assert a - paragraphs.REACH <= start <= a and b <= end <= b + paragraphs.REACH
+
+
 def test_paragraphs_of_odd_rows(odd, none):
     rows = paragraphs.repeated_spans(odd).collect()
     assert {20, 21, 22, 23, 24, 25} <= {r.doc_id for r in rows} and all(r.n_words >= 25 for r in rows)
