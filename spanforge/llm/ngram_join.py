@@ -112,7 +112,7 @@ def sketch_keys(found: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _sets(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
+def _sets(docs: DataFrame, text_col: str, k: int) -> DataFrame:
     """docs without the text, with n_shingles and node."""
     kept = [f for f in docs.schema.fields if f.name != text_col]
     schema = StructType([*kept, *fields("n_shingles long, node long").fields])
@@ -148,14 +148,14 @@ def _keys(docs: DataFrame, text_col: str, k: int, percent: int) -> DataFrame:
     return map_lists(docs.select(text_col), make, fields("key long, node long, n long"), rows=200)
 
 
-def _labelled(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
-    """docs without the text, with n_shingles, node and label (equal within a component; null without shingles)."""
-    sets = cut(_sets(docs, id_col, text_col, k))
+def labelled(docs: DataFrame, text_col: str, k: int = 5, percent: int = 75) -> DataFrame:
+    """docs (with their row_key as __k1, __k2) without the text, with n_shingles, node and label (equal within a component;
+    null without shingles)."""
+    sets = cut(_sets(docs, text_col, k))
     multi = shared_keys(_keys(docs, text_col, k, percent))
     needed = cut(multi.select("node").distinct())
-    one = sets.where(F.col("node").isNotNull()).join(needed, "node", "left_semi").groupBy("node").agg(F.min(id_col).alias(id_col))
-    # An id may stand for several texts: those of other nodes are sorted out where the sets are made.
-    texts = cut(_texts(docs, one, id_col, text_col, k))
+    one = sets.where(F.col("node").isNotNull()).join(needed, "node", "left_semi").groupBy("node").agg(F.min(F.struct("__k1", "__k2")).alias("x")).select("node", "x.*")
+    texts = cut(_texts(docs, one, text_col, k))
     plain = texts.select("node", "text")
     labels, _ = candidate_components(multi, lambda pairs: verify(pairs, plain, lambda t: shingle_set(t, k), percent), percent, sketch_words(texts))
     return sets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -171,9 +171,9 @@ def sketch_words(texts: DataFrame) -> DataFrame:
     return texts.select("node", *[F.col("sketch")[i].alias(f"w{i}") for i in range(BITS // 64)])
 
 
-def _texts(docs: DataFrame, one: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
+def _texts(docs: DataFrame, one: DataFrame, text_col: str, k: int) -> DataFrame:
     """node, text, sketch: a text of each node and the sketch of its set."""
-    found = docs.select(id_col, F.col(text_col).alias("text")).join(one.withColumnRenamed("node", "__node"), id_col)
+    found = docs.select("__k1", "__k2", F.col(text_col).alias("text")).join(one.withColumnRenamed("node", "__node"), ["__k1", "__k2"])
 
     def step(batch: dict[str, list]) -> dict[str, list]:
         rows = [(n, t, s) for n, t in zip(batch["__node"], batch["text"]) if t and node_of(s := shingle_set(t, k)) == n]
@@ -184,7 +184,9 @@ def _texts(docs: DataFrame, one: DataFrame, id_col: str, text_col: str, k: int)
 
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
     """One row for each document: id, n_shingles, component_id."""
-    found = cut(_labelled(docs.select(id_col, text_col), id_col, text_col, k, percent))
+    docs = docs.select(id_col, text_col)
+    k1, k2 = row_key(docs)
+    found = cut(labelled(docs.withColumns({"__k1": k1, "__k2": k2}), text_col, k, percent).drop("__k1", "__k2"))
     least = cut(found.where(F.col("label").isNotNull()).groupBy("label").agg(F.min(id_col).alias("__least")))
     joined = found.join(least, "label", "left")
     return joined.select(id_col, "n_shingles", F.when(F.col("label").isNull(), F.col(id_col)).otherwise(F.col("__least")).alias("component_id"))
@@ -194,7 +196,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     """docs with one row of each component, that of the smallest id; rows without shingles stay."""
     k1, k2 = row_key(docs)
     keyed = docs.withColumns({"__k1": k1, "__k2": k2})
-    found = cut(_labelled(keyed.select(id_col, text_col, "__k1", "__k2"), id_col, text_col, k, percent))
+    found = cut(labelled(keyed.select(id_col, text_col, "__k1", "__k2"), text_col, k, percent))
     pick = F.min(F.struct(F.col(id_col).isNull().alias("o"), F.col(id_col).alias("i"), "__k1", "__k2"))
     stays = found.where(F.col("label").isNotNull()).groupBy("label").agg(pick.alias("x")).select("x.__k1", "x.__k2", F.lit(True).alias("__one"))
     alone = found.where(F.col("label").isNull()).select("__k1", "__k2", F.lit(False).alias("__one")).distinct()

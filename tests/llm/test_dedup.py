@@ -70,6 +70,17 @@ def test_ngram_join_of_odd_rows(odd, none):
     assert ngram_join.ngram_join(none).count() == 0 and ngram_join.keep_one(none).count() == 0
 
 
+def test_ngram_join_of_rows_without_id(spark):
+    rng = random.Random(7)
+    base = [f"w{rng.randint(0, 5000)}" for _ in range(60)]
+    apart = [["start", *base], ["start", *base[:-6]], base[:-14]]  # the first and the last alone are no link
+    other = [f"z{rng.randint(0, 5000)}" for _ in range(60)]
+    rows = [(1, " ".join(apart[0])), (None, " ".join(apart[1])), (2, " ".join(apart[2])), (9, " ".join(other)), (None, " ".join(other[1:]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted((tuple(r) for r in ngram_join.ngram_join(df).collect()), key=repr) == brute(rows)
+    assert sorted(r.doc_id for r in ngram_join.keep_one(df).collect()) == sorted({c for _, _, c in brute(rows)})
+
+
 def test_one_of_each_group_stays(odd):
     kept = ngram_join.keep_one(odd)
     assert kept.columns == odd.columns
