@@ -4,9 +4,9 @@ A line falls by its number of tokens and its first tokens (tokens with digits re
 token is constant at its place if enough lines have it there; all others generalise to <*>, which gives the line's
 template. Templates that recur across documents are dropped, with all their lines.
 
-What counts as a document is its surroundings: the rest of a document, without the line itself, is known by the smallest
-hash of its 5-word shingles. A line that stays the same while its surroundings differ recurs; the lines of copies and
-near copies of one document do not, since their surroundings are one.
+What counts as a document is a class of near copies: texts of which one of the line's holders is linked with another by
+Jaccard of their 5-word shingles (components, see ngram_join). A line in `recurs` classes recurs, however many copies of
+one document have it too; the lines of copies and near copies of one document alone do not.
 
 Defined results: null and empty texts have no lines to drop and stay as they are; lines of fewer than `least_tokens`
 tokens are never dropped; a text may become empty, its row stays; equal rows lose equal lines; columns other than the
@@ -17,16 +17,16 @@ from __future__ import annotations
 
 import re
 
-import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fields, map_lists, row_key, shingles, word_hashes
+from .common import cut, fields, map_lists, row_key
+from .ngram_join import labelled
 
-#: Leading tokens of a leaf, surroundings that make a line recur, their least share of the texts with the line,
-#: constant tokens' (never <*>) least share of a template, tokens that a line has at least.
-DEPTH, RECURS, SHARE, CONSTANT, LEAST_TOKENS = 3, 5, 0.5, 0.5, 4
+#: Leading tokens of a leaf, classes of near copies that make a line recur, constant tokens' (never <*>) least share of
+#: a template, tokens that a line has at least, Jaccard (percent) of near copies.
+DEPTH, RECURS, CONSTANT, LEAST_TOKENS, NEAR = 3, 5, 0.5, 4, 75
 _DIGIT = re.compile(r"\d")
 
 
@@ -39,40 +39,18 @@ def masked_tokens(line: str) -> list[str]:
     return ["<*>" if _DIGIT.search(t) else t for t in tokens] if _DIGIT.search(line) else tokens
 
 
-def smallest_shingles(text: str, lines: int) -> list[int | None]:
-    """The smallest hash of each line's 5-word shingles; None for a line without words."""
-    words, line = word_hashes(text, lines=True)
-    out: list[int | None] = [None] * lines
-    if len(words) >= 5:
-        whole = line[4:] == line[:-4]
-        found, of = shingles(words)[whole], line[4:][whole]
-        if len(found):
-            starts = np.flatnonzero(np.diff(of, prepend=-1))
-            for i, h in zip(of[starts].tolist(), np.minimum.reduceat(found, starts).tolist()):
-                out[i] = h
-    starts = np.flatnonzero(np.diff(line, prepend=-1))
-    for i, a, b in zip(line[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(line)]):
-        if b - a < 5:
-            out[i] = int(shingles(words[a:b])[0])
-    return out
-
-
-def line_facts(text: str | None, least_tokens: int = LEAST_TOKENS, depth: int = DEPTH) -> list[tuple[int, int, int, int]]:
-    """(line, leaf, masked line, surroundings) of each line that may be dropped."""
-    lines = (text or "").split("\n")
-    smallest = smallest_shingles(text or "", len(lines))
-    ranked = sorted({x for x in smallest if x is not None})[:2]
+def line_facts(text: str | None, least_tokens: int = LEAST_TOKENS, depth: int = DEPTH) -> list[tuple[int, int, int]]:
+    """(line, leaf, masked line) of each line that may be dropped."""
     out = []
-    for i, line in enumerate(lines):
+    for i, line in enumerate((text or "").split("\n")):
         tokens = masked_tokens(line)
         if len(tokens) >= least_tokens:
-            rest = next((x for x in ranked if x != smallest[i]), 0)
-            out.append((i, _hash(f"{len(tokens)} {' '.join(tokens[:depth])}"), _hash(" ".join(tokens)), int(np.uint64(rest).view(np.int64))))
+            out.append((i, _hash(f"{len(tokens)} {' '.join(tokens[:depth])}"), _hash(" ".join(tokens))))
     return out
 
 
 def _facts(keyed: DataFrame, text_col: str, least_tokens: int, depth: int) -> DataFrame:
-    schema = fields("__k1 long, __k2 long, line int, leaf long, masked long, around long, doc long")
+    schema = fields("__k1 long, __k2 long, line int, leaf long, masked long, doc long")
 
     def step(batch: dict[str, list]) -> dict[str, list]:
         rows = []
@@ -102,10 +80,10 @@ def _tokens(keyed: DataFrame, refs: DataFrame, text_col: str) -> DataFrame:
     return map_lists(found, lambda: step, schema, rows=100).distinct()
 
 
-def recurring(keyed: DataFrame, text_col: str = "text", depth: int = DEPTH, recurs: int = RECURS, share: float = SHARE, constant: float = CONSTANT, least_tokens: int = LEAST_TOKENS) -> tuple[DataFrame, DataFrame]:
+def recurring(keyed: DataFrame, text_col: str = "text", depth: int = DEPTH, recurs: int = RECURS, constant: float = CONSTANT, least_tokens: int = LEAST_TOKENS, percent: int = NEAR) -> tuple[DataFrame, DataFrame]:
     """(facts of all lines, leaf and masked of the lines to drop)."""
     facts = cut(_facts(keyed, text_col, least_tokens, depth))
-    leaves = facts.select("leaf", "around").distinct().groupBy("leaf").count().where(F.col("count") >= recurs).select("leaf")
+    leaves = facts.select("leaf", "doc").distinct().groupBy("leaf").count().where(F.col("count") >= recurs).select("leaf")
     lines = facts.join(cut(leaves), "leaf", "left_semi").groupBy("leaf", "masked").agg(F.min(F.struct("__k1", "__k2", "line")).alias("x"), F.count(F.lit(1)).alias("n"))
     lines = cut(lines.select("leaf", "masked", "x.*", "n"))
     tokens = cut(_tokens(keyed, lines, text_col))
@@ -115,10 +93,14 @@ def recurring(keyed: DataFrame, text_col: str = "text", depth: int = DEPTH, recu
     spelled = F.when(F.col("fixed"), F.xxhash64("place", "token")).otherwise(F.lit(0))
     templates = marked.groupBy("leaf", "masked").agg(F.sum(spelled.cast("decimal(38,0)")).alias("t"), F.avg(F.col("fixed").cast("int")).alias("c")).where(F.col("c") >= constant)
     templates = cut(templates.select("leaf", "masked", F.xxhash64("leaf", "t").alias("template")))
-    placed = facts.select("leaf", "masked", "around", "doc").join(templates, ["leaf", "masked"])
-    texts = placed.select("template", "doc").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("docs"))
-    places = placed.select("template", "around").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("places"))
-    dropped = texts.join(places, "template").where((F.col("places") >= recurs) & (F.col("places") >= share * F.col("docs"))).select("template")
+    placed = cut(facts.select("__k1", "__k2", "leaf", "masked", "doc").join(templates, ["leaf", "masked"]).groupBy("template", "doc").agg(F.min(F.struct("__k1", "__k2")).alias("x")).select("template", "x.*"))
+    # Only templates in so many texts can be in so many classes; equal texts are one.
+    many = placed.groupBy("template").count().where(F.col("count") >= recurs).select("template")
+    held = cut(placed.join(many, "template", "left_semi"))
+    holders = cut(held.select("__k1", "__k2").distinct())
+    classes = cut(labelled(keyed.select("__k1", "__k2", text_col).join(holders, ["__k1", "__k2"], "left_semi"), text_col, percent=percent).select("__k1", "__k2", "label").distinct())
+    places = held.join(classes, ["__k1", "__k2"]).select("template", "label").distinct().groupBy("template").count()
+    dropped = places.where(F.col("count") >= recurs).select("template")
     return facts, cut(templates.join(dropped, "template", "left_semi").select("leaf", "masked"))
 
 

@@ -157,6 +157,26 @@ def test_recurring_lines_go_and_copies_stay(spark):
     assert report == {i: int(i < 22) for i, _ in rows}
 
 
+def test_lines_recur_beside_other_boilerplate_and_copies(spark):
+    rng = random.Random(16)
+    say = lambda n: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(n))
+    footer, line, rows = "\n".join(say(20) for _ in range(3)), say(8), []
+    for i in range(8):  # the footer is more than half of the text
+        rows.append((i, f"{say(40)}\n{footer}"))
+    copied = say(200)
+    for i in range(60):  # near copies, and a few unlike documents with the same line
+        words = copied.split()
+        words[rng.randrange(200)] = f"edit{i}"
+        rows.append((100 + i, " ".join(words) + f"\n{line}"))
+    rows += [(200 + i, f"{say(60)}\n{line}") for i in range(6)]
+    only = say(9)
+    rows += [(300 + i, f"{copied[:400]}\n{only}\n{i}") for i in range(30)]  # a line of near copies alone
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    gone = set(footer.split("\n")) | {line}
+    for r, want in ((r, dict(rows)[r.doc_id]) for r in lines.drop_lines(df).collect()):
+        assert r.text == "\n".join(x for x in want.split("\n") if x not in gone)
+
+
 def test_lines_of_odd_rows(odd, none):
     rows = lines.drop_lines(odd).collect()
     assert lines.drop_lines(odd).columns == odd.columns
