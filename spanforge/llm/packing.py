@@ -105,5 +105,6 @@ def pack(parts: DataFrame, tokens: int = 1024, id_col: str = "doc_id", **capacit
     return parts.repartition(shares).mapInArrow(run, StructType([*parts.schema.fields, *fields("sequence_id long, offset long").fields]))
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, tokens: int = 1024, **options) -> DataFrame:
-    return pack(pieces(docs, tokenizer, tokens, **options), tokens, options.get("id_col", "doc_id"))
+def pack_documents(docs: DataFrame, tokenizer: str, tokens: int = 1024, capacities: dict | None = None, **options) -> DataFrame:
+    """capacities: documents, attention, weights and rule of best_fit; as they are by default, only tokens bind."""
+    return pack(pieces(docs, tokenizer, tokens, **options), tokens, options.get("id_col", "doc_id"), **(capacities or {}))

@@ -1,5 +1,6 @@
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -85,3 +86,15 @@ def test_any_width_and_random_access(bits):
     for a, b in ((0, 1), (127, 129), (5000, 9999), (10_000, 10_001), (3, 3)):
         assert (f.ids(a, b) == ids[a:b]).all()
     assert len(f.data) <= 10_001 * bits / 8 + 16 * 90 + 200
+
+
+def test_packing_keeps_every_capacity(spark):
+    df = spark.createDataFrame([(i, "one two three") for i in range(12)], "doc_id long, text string")
+    for capacities, most in (({"documents": 3}, 3), ({"attention": 40, "rule": "dot"}, 11), (None, 12)):
+        rows = packing.pack_documents(df, TOKENIZER, capacities=capacities).collect()
+        counts = Counter(r.sequence_id for r in rows)
+        assert len(rows) == 12 and max(counts.values()) <= most
+        if capacities and "attention" in capacities:
+            assert all(n == 1 or sum(r.length**2 for r in rows if r.sequence_id == s) <= 40 for s, n in counts.items())
+        else:
+            assert max(counts.values()) == most
