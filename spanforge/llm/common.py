@@ -6,14 +6,16 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, MapType, StructType
 
 #: A word: a run without space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -56,15 +58,52 @@ def cut(df: DataFrame, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spent(*tables: DataFrame) -> None:
+    """Deletes the files of tables that cut() wrote and that nothing reads any more."""
+    for df in tables:
+        spark, folder = df.sparkSession, f"{shared_dir(df.sparkSession)}/spanforge-"
+        at = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+        for name in (f for f in at if "/spanforge-" in f and f.split(":", 1)[-1].lstrip("/").startswith(folder.split(":", 1)[-1].lstrip("/"))):
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z only; the common case of plain ASCII text takes Spark's fast path."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
 def row_key(df: DataFrame) -> tuple[Column, Column]:
-    """128 bits that name a row by all its values; equal rows share them."""
-    columns = [F.col(f"`{c}`") for c in df.columns]
-    return F.xxhash64(*columns), F.xxhash64(F.lit("row"), *columns)
+    """128 bits that name a row by all its values; equal rows share them. Nulls are told from values and from each other."""
+    told = []
+    for f in df.schema.fields:
+        value = F.col(f"`{f.name}`")
+        plain = not isinstance(f.dataType, (ArrayType, MapType, StructType)) and f.dataType.typeName() != "variant"
+        told += [value.isNull(), value if plain else F.to_json(F.struct(value.alias("v")), {"ignoreNullFields": "false"})]
+    return F.xxhash64(*told), F.xxhash64(F.lit("row"), *told)
+
+
+def packed(docs: DataFrame, text_col: str) -> DataFrame:
+    """k1, k2 (the row_key), text, and doc: the whole row as a struct, so that no column's name can clash with others."""
+    k1, k2 = row_key(docs)
+    return docs.select(k1.alias("k1"), k2.alias("k2"), F.col(f"`{text_col}`").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+
+
+#: Bits of a bitmap of hashes; it is broadcast, and takes BITS / 8 bytes whatever the data.
+BITS = 1 << 26
+
+
+def bitmap(df: DataFrame, column: str) -> np.ndarray:
+    """A bit for each hash (modulo BITS) that df holds, as bytes."""
+    spot = F.pmod(F.col(column), F.lit(BITS)) + 1
+    rows = df.select(F.bitmap_bucket_number(spot).alias("bucket"), F.bitmap_bit_position(spot).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    out = np.zeros(BITS // 8, dtype=np.uint8)
+    width = 4096  # bytes of one of Spark's bitmaps
+    for bucket, bits in rows.toLocalIterator():
+        raw = np.unpackbits(np.frombuffer(bits, dtype=np.uint8), bitorder="little")
+        at = np.flatnonzero(raw) + (bucket - 1) * 8 * width
+        np.bitwise_or.at(out, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    return out
 
 
 def ranged(df: DataFrame, *order: Column) -> DataFrame:
@@ -88,6 +127,26 @@ def with_prefix(df: DataFrame, group: Sequence[str], order: Sequence[Column], va
     return rows.alias("a").join(starts.alias("b"), on).select("a.*", (F.col("__in") + F.col("__start")).alias(out)).drop("__in")
 
 
+#: Keys that hold a thousandth of all rows or more are at most so many.
+HEAVY = 1000
+
+
+def join_keyed(rows: DataFrame, keyed: DataFrame, key: str, count: str) -> DataFrame:
+    """rows joined with keyed (one row for each key, and how many of rows have it, at least).
+
+    Keys of a HEAVY-th of all these rows or more are at most HEAVY; their few rows of keyed meet rows by broadcast, so
+    that no task gets one key's rows. keyed is a written table."""
+    total = keyed.agg(F.sum(count)).first()[0] or 0
+    least = max(total // HEAVY, 10_000)
+    small = keyed.where(F.col(count) > least).drop(count).limit(HEAVY)
+    hot = [r[0] for r in small.select(key).collect()]
+    rest = keyed.where(F.col(count) <= least).drop(count)
+    if not hot:
+        return rows.join(rest, key)
+    is_hot = F.col(key).isin(hot)
+    return rows.where(~is_hot).join(rest, key).unionByName(rows.where(is_hot).join(F.broadcast(small), key))
+
+
 def map_lists(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[str, list] | None]], schema: StructType, rows: int = 1000) -> DataFrame:
     """df mapped by make()(columns as lists) -> columns as lists, `rows` rows at a time; nulls stay None and ids exact."""
     arrow = to_arrow_schema(schema)
@@ -184,6 +243,75 @@ def word_hashes(text: str | None, fold: bool = True, lines: bool = False):
     return (hashes, np.concatenate(at)) if lines else hashes
 
 
+@dataclass
+class Words:
+    """The words of a batch of texts, one after another."""
+
+    hashes: np.ndarray
+    first: np.ndarray  # where each text's words start, and their number
+    line: np.ndarray  # number of the line of each word, counted through the batch
+    first_line: np.ndarray  # number of each text's first line
+    digits: np.ndarray  # whether a word holds a digit 0-9
+
+    @property
+    def owner(self) -> np.ndarray:
+        """The text of each word."""
+        return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
+
+
+def batch_words(texts: pa.Array, fold: bool = True) -> Words:
+    """word_hashes of all texts of a string column at once; null counts as empty."""
+    if texts.null_count:
+        texts = pc.fill_null(texts, "")
+    wide = pa.types.is_large_string(texts.type)
+    _, offsets, data = texts.buffers()
+    at = np.frombuffer(offsets, dtype=np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    raw = np.frombuffer(data, dtype=np.uint8)[at[0] : at[-1]] if data is not None and len(texts) else np.empty(0, dtype=np.uint8)
+    at = at - at[0] if len(at) else np.zeros(1, dtype=np.int64)
+    if not _POWERS:
+        _POWERS.extend((_powers(_P), _powers(_P_INV)))
+    hashes, places, lines, digits, feeds_at, begun, feeds_before = [], [], [], [], [], 0, 0
+    for data in _pieces(raw):
+        edges = at[np.searchsorted(at, begun, "right") : np.searchsorted(at, begun + len(data))] - begun  # texts that start inside
+        word = ~_SPACE[data]
+        head, tail = word.copy(), word.copy()
+        head[1:] &= ~word[:-1]
+        tail[:-1] &= ~word[1:]
+        head[edges], tail[edges - 1] = word[edges], word[edges - 1]
+        starts, ends = np.flatnonzero(head), np.flatnonzero(tail) + 1
+        feeds = np.flatnonzero(data == 10)
+        up, down = _POWERS if len(data) <= _PIECE else (_grown(_P, len(data)), _grown(_P_INV, len(data)))
+        total = np.zeros(len(data) + 1, dtype=np.uint64)
+        np.cumsum(((_FOLD[data] if fold else data).astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
+        hashes.append(mix64((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _MULT))
+        held = np.concatenate(([0], np.cumsum((data >= 48) & (data <= 57), dtype=np.int32)))
+        digits.append(held[ends] > held[starts])
+        feeds_at.append(feeds + begun)
+        places.append(starts + begun)
+        lines.append(np.searchsorted(feeds, starts) + feeds_before)
+        begun, feeds_before = begun + len(data), feeds_before + len(feeds)
+    where = np.concatenate(places)
+    return Words(np.concatenate(hashes), np.searchsorted(where, at), np.concatenate(lines), np.searchsorted(np.concatenate(feeds_at), at[:-1]), np.concatenate(digits))
+
+
+def lists(values: pa.Array, counts: np.ndarray) -> pa.Array:
+    """values dealt to lists of the given lengths."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), type=pa.int32()), values)
+
+
+def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: StructType, rows: int = 1000) -> DataFrame:
+    """df mapped by make()(Arrow batch) -> Arrow batch, `rows` rows at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = make()
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                if (out := step(batch.slice(at, rows))) is not None:
+                    yield out
+
+    return df.mapInArrow(run, schema)
+
+
 def _grown(base: int, n: int) -> np.ndarray:
     out = np.ones(n + 1, dtype=np.uint64)
     out[1:] = np.uint64(base)
@@ -205,6 +333,25 @@ def shingles(words: np.ndarray, k: int = 5) -> np.ndarray:
     return mix64(h)
 
 
+def sequence_hashes(words: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A hash of each of the sequences of `sizes` words from `starts`."""
+    if not len(starts):
+        return np.empty(0, dtype=np.uint64)
+    up, down = _POWERS if len(words) < _PIECE else (_grown(_P, len(words)), _grown(_P_INV, len(words)))
+    total = np.zeros(len(words) + 1, dtype=np.uint64)
+    np.cumsum((mix64(words + _MULT)) * up[: len(words)], out=total[1:])
+    return mix64((total[starts + sizes] - total[starts]) * down[starts] + sizes.astype(np.uint64) * _MULT)
+
+
+def sliding(values: np.ndarray, size: int, best) -> np.ndarray:
+    """best (np.minimum or np.maximum) of each `size` values in a row."""
+    wide, out = 1, values
+    while 2 * wide <= size:
+        out = best(out[:-wide], out[wide:])
+        wide *= 2
+    return best(out[: len(out) - (size - wide)], out[size - wide :]) if size > wide else out.copy()
+
+
 def spans(text: str) -> list[tuple[int, int]]:
     """Where each word of the text starts and ends."""
     return [m.span() for m in re.finditer(WORD, text)]

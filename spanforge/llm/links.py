@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import cut, fields, map_lists
+from .common import cut, fields, join_keyed, map_batches, map_lists, spent
 
 
 #: Turns that keys are dealt to; a pair of many shared keys is made at most so often.
@@ -137,3 +138,88 @@ def candidate_components(multi: DataFrame, test: Callable[[DataFrame], DataFrame
             break
         tried = cut(tried.union(fresh))
     return labels, links
+
+
+#: Parts that a leader's pairs are dealt to; each part is sent the leader's set once.
+PARTS = 32
+#: Pairs for each node under which all that are left are sifted at once, and the share of them that a round must take away.
+OPEN, LESS = 64, 0.1
+
+
+def tested(pairs: DataFrame, sets: DataFrame, set_of: Callable[[bytes], np.ndarray], percent: int) -> DataFrame:
+    """Those of pairs (a, b) whose sets reach percent; sets: node, words. Each pair is tested in full.
+
+    A leader's (a's) pairs are dealt to PARTS, so neither its pairs meet in one task nor its words travel with each pair."""
+    dealt = pairs.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(PARTS)))
+    words = sets.select("node", "words")
+    heads = dealt.select("a", "part").distinct().join(words.withColumnRenamed("node", "a"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "words")
+    others = dealt.join(words.withColumnRenamed("node", "b"), "b").select("a", "part", "b", "words")
+    rows = heads.union(others).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+
+    def make():
+        mine: list[np.ndarray] = []
+
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            kept: list[tuple[int, int]] = []
+            for a, b, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                found = set_of(words.as_py())
+                if b is None:
+                    mine[:] = [found]
+                elif jaccard_at_least(mine[0], found, percent):
+                    kept.append((a, b))
+            return pa.RecordBatch.from_pydict({"a": [a for a, _ in kept], "b": [b for _, b in kept]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+        return step
+
+    return map_batches(rows.select("a", "b", "words"), make, fields("a long, b long"))
+
+
+def _near(percent: int) -> Column:
+    """Of two rows (n, sketch and m, other): whether their sets could reach percent by their sizes and sketches.
+
+    The Hamming distance of two parity sketches is at most the symmetric difference of their sets."""
+    words = F.zip_with("sketch", "other", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    apart = F.aggregate(words, F.lit(0), lambda x, y: x + y)
+    return (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent) & (apart * (100 + percent) <= (F.col("n") + F.col("m")) * (100 - percent))
+
+
+def clusters(keys: DataFrame, sets_of: Callable[[DataFrame], DataFrame], set_of: Callable[[bytes], np.ndarray], percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(labels (node, label), tables that may go after use) from keys (key, node): nodes that share a key and whose sets
+    reach percent are linked; label is the smallest node of the component. sets_of: the sets (node, words, n, sketch) of some nodes.
+
+    Each key's nodes are tested against one of them, the leader; pairs within one component need no test any more. Of the
+    keys that still span components, again and again a node of the largest component is the leader for the nodes of the others, as
+    long as that takes away a share of the open pairs. What is left meets under its key, sifted by sketches in the join."""
+    lead = cut(keys.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z"), F.count(F.lit(1)).alias("rows")).where("a < z").select("key", "a", "rows"))
+    multi = cut(join_keyed(keys, lead, "key", "rows").distinct())
+    sets = cut(sets_of(multi.select("node").distinct()))
+    links = cut(tested(multi.where("a != node").select("a", F.col("node").alias("b")).distinct(), sets, set_of, percent))
+    groups = cut(multi.select("key", "node"))
+    spent(lead, multi)
+    attempt, before = 0, None
+    while True:
+        labels = components(links)
+        named = groups.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        counts = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.sum("c").alias("rows"), F.sum(F.col("c") * F.col("c")).alias("q"))
+        split = cut(counts.where("parts > 1"))
+        open_pairs = split.agg(F.sum((F.col("rows") * F.col("rows") - F.col("q")) / 2)).first()[0] or 0
+        if not open_pairs:
+            return labels, [sets, groups]
+        rest = cut(join_keyed(named, split.select("key", "rows"), "key", "rows").join(sets.drop("words"), "node"))
+        spent(groups)
+        groups = rest.select("key", "node")
+        last = open_pairs <= OPEN * rest.select("node").distinct().count() or (before is not None and open_pairs > (1 - LESS) * before)
+        attempt, before = attempt + 1, open_pairs
+        if last:
+            other = rest.select("key", F.col("node").alias("a"), F.col("label").alias("la"), F.col("n").alias("m"), F.col("sketch").alias("other"))
+            pairs = rest.join(other, "key").where((F.col("la") < F.col("label")) & _near(percent))
+        else:
+            turn = F.xxhash64(F.lit(attempt), "node")
+            best = rest.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"), F.min_by(F.struct("node", "n", "sketch"), turn).alias("l"))
+            top = best.groupBy("key").agg(F.max_by(F.struct("label", "l"), F.struct("c", "label")).alias("x"), F.sum("c").alias("rows"))
+            top = cut(top.select("key", "rows", F.col("x.label").alias("la"), F.col("x.l.node").alias("a"), F.col("x.l.n").alias("m"), F.col("x.l.sketch").alias("other")))
+            pairs = join_keyed(rest, top, "key", "rows").where((F.col("la") != F.col("label")) & _near(percent))
+        found = cut(tested(pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct(), sets, set_of, percent))
+        links = cut(links.union(found))
+        if last:
+            return components(links), [sets, rest]

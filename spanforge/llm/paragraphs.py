@@ -1,186 +1,212 @@
 """Substring dedup: paragraph MinHash banding.
 
-Every text is cut into content-defined paragraphs: a cut is where the hash of a word pair is the smallest of its
-neighbourhood, so a passage is cut alike wherever it stands, inside a line too. A paragraph is the set of its 5-word
-shingles. Equal sets are one node; bands of MinHash values (BANDS of ROWS, which find 99.6 % of the pairs just at
-the threshold) bring other nodes together, and every pair that collides and could be linked is verified by exact Jaccard.
-Components of the links are the clusters. The document with the smallest id of a cluster keeps its paragraph, the others'
-are removals. Since such pieces are short and mix with their surroundings at a passage's ends, stretches that documents
-share word by word (see stretches) are found up to their ends, over edits too, and join them. Runs of neighbouring words
-that share the decision, of at least `least_words` words, are the repeated spans.
-
-Defined results: null and wordless texts have no paragraphs; a short text is one paragraph; repeats within one document
-alone are no repeats across documents; rows of equal id, and all of a null
-id, count as one document (null is after every other id); an empty table gives no rows.
+Paragraphs are a text's lines; long lines are cut where the hash of a word pair is the smallest of its neighbourhood, so
+the same words are cut alike wherever they stand. A paragraph is the set of its 5-word shingles. Equal paragraphs are
+one node; bands of MinHash values (BANDS of ROWS, which find 97.8 % of the pairs just at the threshold and more of closer
+ones) bring the others together, pairs that collide are verified by exact Jaccard, and components of the links are the
+clusters.
+
+A passage inside unlike lines is in no such paragraph, so windows of `least_words` words are nodes too, of equal words
+only. A text's windows are chosen by their own hashes (the smallest of every `window` words in a row), so any `window`
+words that two documents share hold a window chosen in both; with window = least_words, all windows are chosen.
+
+The document with the smallest id of a cluster keeps its words, the others' are removals. Runs of words with the same
+decision, also over edits of up to GAP words, are the repeated spans.
+
+Defined results: null and wordless texts, and those of fewer than `least_words` words, have no spans; repeats within one
+document alone are no repeats across documents; rows of equal id, and all of a null id, count as one document (null is
+after every other id); equal rows give equal spans each; other columns are not carried; an empty table gives no rows.
+Words are compared by 32-bit and whole windows and paragraphs by 64-bit hashes.
 """
 
 from __future__ import annotations
 
-import re
-from dataclasses import dataclass
-
 import numpy as np
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, fields, map_lists, mix64, row_key, shingles, word_hashes
-from .links import candidate_components, shared_keys, verify
-from .ngram_join import NODE_SALT, shingle_set, sketch, sketch_words
-from .stretches import decided, repeated_stretches
-
-#: Words to each side of a cut, MinHash bands and rows of a band, words of a span that is reported.
-REACH, BANDS, ROWS, LEAST_WORDS = 6, 4, 1, 25
-
-
-def cuts(words: np.ndarray, reach: int = REACH) -> np.ndarray:
-    """Where paragraphs start, with 0 and the end; a cut depends on `reach` words to its sides only."""
-    n = len(words)
-    if n <= 2 * reach + 1:
-        return np.array([0, n])
-    h = shingles(words, 2)
-    core = h[reach : len(h) - reach]
-    lowest = np.ones(len(core), dtype=bool)
-    for i in range(1, reach + 1):
-        lowest &= (core < h[reach - i : len(h) - reach - i]) & (core < h[reach + i : len(h) - reach + i])
-    return np.concatenate(([0], np.flatnonzero(lowest) + reach, [n]))
-
-
-@dataclass
-class Paragraphs:
-    """Of one text: where each paragraph starts and ends (words), its node, the size of its set, its band keys."""
-
-    starts: np.ndarray
-    ends: np.ndarray
-    nodes: np.ndarray
-    sizes: np.ndarray
-    keys: np.ndarray
-
-
-def _set_keys(found: np.ndarray, at: np.ndarray, sizes: np.ndarray, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Node and band keys of each set; sets stand one after another in found, from at."""
-    nodes = mix64(np.bitwise_xor.reduceat(mix64(found ^ NODE_SALT), at) + sizes.astype(np.uint64)).view(np.int64)
-    keys = np.empty((len(at), bands), dtype=np.uint64)
+from .common import batch_words, cut, fields, join_keyed, lists, map_batches, map_lists, mix64, sequence_hashes, shingles, sliding, spent
+from .links import clusters
+from .ngram_join import sketch
+
+#: Words to each side of a cut in a long line, MinHash bands and rows of a band, words of a span that is reported, words
+#: in a row that hold a window for sure, words of an edit inside a span.
+REACH, BANDS, ROWS, LEAST_WORDS, WINDOW, GAP = 32, 7, 3, 25, 50, 3
+_NONE = np.uint64((1 << 64) - 1)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def cuts(pairs: np.ndarray, part: np.ndarray, reach: int = REACH) -> np.ndarray:
+    """Marks words at which a new paragraph starts, by the hash of each word and the next; `reach` words to both sides
+    are of the same part, and no pair there is smaller (nor equal, if it comes before)."""
+    n = len(pairs)
+    out = np.zeros(n, dtype=bool)
+    if n > 2 * reach + 1:
+        low = sliding(pairs, reach, np.minimum)  # of reach pairs from each
+        here = np.arange(reach, n - reach)
+        out[here] = (pairs[here] < low[here - reach]) & (pairs[here] <= low[here + 1]) & (part[here - reach] == part[here + reach])
+    return out
+
+
+def chosen_windows(words: np.ndarray, owner: np.ndarray, first: np.ndarray, least_words: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, hash) of the windows of least_words words that are chosen; a text of under `window` words has one at least."""
+    n = len(words) - least_words + 1
+    if n <= 0:
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64)
+    grams = sequence_hashes(words, np.arange(n), np.full(n, least_words))
+    grams[owner[:n] != owner[least_words - 1 :]] = _NONE
+    wide = window - least_words + 1
+    chosen = grams == _NONE
+    if wide > 1 and n >= wide:
+        lowest = sliding(grams, wide, np.minimum)
+        lowest[owner[: len(lowest)] != owner[window - 1 :]] = 0  # windows that reach beyond their text choose none
+        padded = np.concatenate((np.zeros(wide - 1, dtype=np.uint64), lowest, np.zeros(wide - 1, dtype=np.uint64)))
+        chosen |= sliding(padded, wide, np.maximum) == grams
+    elif wide <= 1:
+        chosen[:] = True
+    sizes = np.diff(first)
+    for text in np.flatnonzero((sizes >= least_words) & (sizes < window)).tolist() if wide > 1 else ():
+        a, b = first[text], first[text + 1] - least_words + 1
+        chosen[a + int(grams[a:b].argmin())] = True
+    at = np.flatnonzero(chosen & (grams != _NONE))
+    return at, mix64(grams[at] + np.uint64(1))
+
+
+def band_keys(words: np.ndarray, starts: np.ndarray, sizes: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """A line of band keys for each paragraph (of five words at least; they start at starts)."""
+    inside = np.repeat(starts, sizes - 4) + (np.arange((sizes - 4).sum()) - np.repeat(np.cumsum(sizes - 4) - (sizes - 4), sizes - 4))
+    found = shingles(words)[inside]
+    at = np.cumsum(sizes - 4) - (sizes - 4)
+    keys = np.empty((len(starts), bands), dtype=np.uint64)
     for b in range(bands):
-        key = np.full(len(at), b + 1, dtype=np.uint64)
+        key = np.full(len(starts), b + 1, dtype=np.uint64)
         for r in range(rows):
-            salt = np.uint64(((b * rows + r + 1) * 0x9E3779B97F4A7C15) & ((1 << 64) - 1))
-            key = mix64(key ^ np.minimum.reduceat(mix64(found + salt), at))
+            salt = np.uint64((((b * rows + r) * 2 + 1) * 0xD1B54A32D192ED03) & ((1 << 64) - 1))
+            turned = found * salt
+            turned ^= turned >> np.uint64(32)
+            turned *= _ODD
+            key = mix64(key ^ np.minimum.reduceat(turned, at))
         keys[:, b] = key
-    return nodes, keys.view(np.int64)
-
-
-def paragraphs(text: str | None, bands: int = BANDS, rows: int = ROWS) -> Paragraphs | None:
-    """All paragraphs of the text at once; None without words."""
-    words = word_hashes(text)
-    if not len(words):
-        return None
-    edges = cuts(words)
-    starts, ends = edges[:-1], edges[1:]
-    owner = np.repeat(np.arange(len(starts)), ends - starts)
-    found, of = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
-    if len(words) >= 5:
-        inside = owner[4:] == owner[:-4]
-        found, of = shingles(words)[inside], owner[4:][inside]
-    for i in np.flatnonzero(ends - starts < 5).tolist():  # at most a text's first and last
-        found, of = np.append(found, shingles(words[starts[i] : ends[i]])), np.append(of, i)
-    order = np.lexsort((found, of))
-    found, of = found[order], of[order]
-    fresh = np.ones(len(found), dtype=bool)
-    fresh[1:] = (found[1:] != found[:-1]) | (of[1:] != of[:-1])
-    found, of = found[fresh], of[fresh]
-    at = np.flatnonzero(np.diff(of, prepend=-1))
-    sizes = np.diff(np.append(at, len(of)))
-    nodes, keys = _set_keys(found, at, sizes, bands, rows)
-    return Paragraphs(starts, ends, nodes, sizes, keys)
-
-
-def _rows(docs: DataFrame, text_col: str) -> DataFrame:
-    schema = fields("__k1 long, __k2 long, doc_id long, place int, start int, end int, node long")
+    return keys
+
+
+def _pieces(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int, least_words: int, window: int) -> DataFrame:
+    """A row for each document: doc_id, words (32-bit hashes), pieces (start, end, node of paragraphs and windows), bands (key, node)."""
+    schema = fields("doc_id long, words binary, pieces array<struct<start int, end int, node long>>, bands array<struct<key long, node long>>")
+    least = max(5, least_words)
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        w = batch_words(batch.column(1))
+        owner, n = w.owner, len(w.hashes)
+        words = w.hashes & np.uint64(0xFFFFFFFF)
+        part = np.cumsum(np.concatenate(([0], (owner[1:] != owner[:-1]) | (w.line[1:] != w.line[:-1]))))[:n]
+        new = np.ones(n, dtype=bool)
+        new[1:] = part[1:] != part[:-1]
+        if n > 1:
+            new[:-1] |= cuts(shingles(words, 2), part[:-1])
+        starts = np.flatnonzero(new)
+        sizes = np.diff(np.append(starts, n))
+        starts, sizes = starts[sizes >= least], sizes[sizes >= least]
+        nodes = sequence_hashes(words, starts, sizes)
+        at, hashes = chosen_windows(words, owner, w.first, least_words, window)
+        begin, end = np.concatenate((starts, at)), np.concatenate((starts + sizes, at + least_words))
+        of = owner[begin] if n else begin
+        order = np.argsort(of, kind="stable")
+        head = w.first[:-1][of[order]]
+        pieces = pa.StructArray.from_arrays([pa.array((x[order] - head).astype(np.int32)) for x in (begin, end)] + [pa.array(np.concatenate((nodes, hashes))[order].view(np.int64))], ["start", "end", "node"])
+        held, one = np.unique(nodes, return_index=True)  # equal paragraphs of a batch give their keys once
+        keys = band_keys(words, starts[one], sizes[one], bands, rows) if len(one) else np.empty((0, bands), dtype=np.uint64)
+        owners = owner[starts[one]] if n else one
+        turn = np.argsort(owners, kind="stable")
+        given = pa.StructArray.from_arrays([pa.array(keys[turn].ravel().view(np.int64)), pa.array(np.repeat(held[turn], bands).view(np.int64))], ["key", "node"])
+        raw = pa.array(words.astype("<u4")).buffers()[1] if n else pa.py_buffer(b"")
+        binary = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer((w.first * 4).astype(np.int32)), raw])
+        count = lambda x: np.bincount(x.astype(np.int64), minlength=batch.num_rows)
+        return pa.RecordBatch.from_arrays([batch.column(0), binary, lists(pieces, count(of)), lists(given, count(owners) * bands)], names=schema.names)
+
+    return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col), lambda: step, schema, rows=500)
+
+
+def paragraph_set(words: bytes) -> np.ndarray:
+    """The distinct 5-word shingles of a paragraph from its words' 32-bit hashes."""
+    return np.unique(shingles(np.frombuffer(words, dtype="<u4").astype(np.uint64)))
+
+
+def _sets(table: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node, words, n, sketch of the paragraphs that wanted (row, start, end, node) names."""
+    schema = fields("node long, words binary, n long, sketch array<long>")
+    refs = wanted.groupBy("row").agg(F.collect_list(F.struct("start", "end", "node")).alias("refs"))  # of one document
 
     def step(batch: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {n: [] for n in schema.names}
-        for k1, k2, doc_id, text in zip(batch["__k1"], batch["__k2"], batch["__id"], batch[text_col]):
-            if p := paragraphs(text):
-                n = len(p.nodes)
-                for name, values in zip(schema.names, ([k1] * n, [k2] * n, [doc_id] * n, range(n), p.starts.tolist(), p.ends.tolist(), p.nodes.tolist())):
-                    out[name].extend(values)
-        return out
-
-    return map_lists(docs.select("__k1", "__k2", "__id", text_col), lambda: step, schema)
+        parts = [(x["node"], words[4 * x["start"] : 4 * x["end"]]) for words, refs in zip(batch["words"], batch["refs"]) for x in refs]
+        sets = [paragraph_set(p) for _, p in parts]
+        return {"node": [n for n, _ in parts], "words": [p for _, p in parts], "n": [len(s) for s in sets], "sketch": [sketch(s) for s in sets]}
 
+    return map_lists(table.select("row", "words").join(refs, "row").select("words", "refs"), lambda: step, schema, rows=100)
 
-def _keys(docs: DataFrame, text_col: str, bands: int, rows: int) -> DataFrame:
-    """key, node, n; a paragraph that a task has met already gives no keys again."""
 
-    def make():
-        seen: set[int] = set()
+def _several(lo: str, hi: str, known: str, rows: str):
+    """Whether these are of several documents; all rows of a null id are one."""
+    return (F.col(lo) < F.col(hi)) | ((F.col(known) > 0) & (F.col(known) < F.col(rows)))
 
-        def step(batch: dict[str, list]) -> dict[str, list] | None:
-            keys, nodes, sizes = [], [], []
-            for text in batch[text_col]:
-                if (p := paragraphs(text, bands, rows)) is None:
-                    continue
-                new = []
-                for i, node in enumerate(p.nodes.tolist()):
-                    if node not in seen:
-                        new.append(i)
-                        if len(seen) < 1_000_000:
-                            seen.add(node)
-                keys.append(p.keys[new].ravel())
-                nodes.append(np.repeat(p.nodes[new], bands))
-                sizes.append(np.repeat(p.sizes[new], bands))
-            return {"key": np.concatenate(keys), "node": np.concatenate(nodes), "n": np.concatenate(sizes)} if keys else None
 
-        return step
-
-    return map_lists(docs.select(text_col), make, fields("key long, node long, n long"), rows=200)
-
-
-def _texts(docs: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
-    """node, text, sketch of the paragraphs that wanted (__k1, __k2, start, end, node) names."""
-    refs = wanted.groupBy("__k1", "__k2").agg(F.collect_list(F.struct("start", "end", "node")).alias("__refs"))  # of one row
-
-    def step(batch: dict[str, list]) -> dict[str, list]:
-        nodes, texts = [], []
-        for text, refs in zip(batch[text_col], batch["__refs"]):
-            spans = [m.span() for m in re.finditer(WORD, text)]
-            for x in refs:
-                nodes.append(x["node"])
-                texts.append(text[spans[x["start"]][0] : spans[x["end"] - 1][1]])
-        return {"node": nodes, "text": texts, "sketch": [sketch(shingle_set(t)) for t in texts]}
-
-    found = docs.select("__k1", "__k2", text_col).join(refs, ["__k1", "__k2"]).select(text_col, "__refs")
-    return map_lists(found, lambda: step, fields("node long, text string, sketch array<long>"), rows=100).dropDuplicates(["node"])
-
-
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, bands: int = BANDS, rows: int = ROWS, least_words: int = LEAST_WORDS) -> DataFrame:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, bands: int = BANDS, rows: int = ROWS, least_words: int = LEAST_WORDS, window: int = WINDOW) -> DataFrame:
     """One row for each repeated span: id, start_word, end_word, n_words, first_doc_id (the smallest id that shares any of it), removed."""
-    k1, k2 = row_key(docs)
-    keyed = docs.withColumns({"__k1": k1, "__k2": k2, "__id": F.col(id_col).cast("long")})
-    found = cut(_rows(keyed, text_col))
-    multi = shared_keys(_keys(keyed, text_col, bands, rows))
-    needed = cut(multi.select("node").distinct())
-    wanted = found.join(needed, "node", "left_semi").groupBy("node").agg(F.min(F.struct("__k1", "__k2", "start", "end")).alias("x")).select("x.*", "node")
-    texts = cut(_texts(keyed, cut(wanted), text_col))
-    plain = texts.select("node", "text")
-    labels, _ = candidate_components(multi, lambda pairs: verify(pairs, plain, shingle_set, percent), percent, sketch_words(texts))
-    placed = found.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).drop("node")
-    shared = placed.select("label", "doc_id").distinct().groupBy("label").agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("first")).where("docs > 1").select("label", "first")
-    # Each paragraph is decided by its own cluster, so that the smallest id of every cluster keeps its copy.
-    marked = placed.join(cut(shared), "label").withColumn("removed", ~F.col("first").eqNullSafe(F.col("doc_id")))
-    row = Window.partitionBy("__k1", "__k2", "doc_id", "removed").orderBy("place")
-    # Equal rows share their key: place then repeats, and dense ranks keep the run.
-    runs = marked.withColumn("__run", F.col("place") - F.dense_rank().over(row))
-    near = runs.groupBy("__k1", "__k2", "doc_id", "removed", "__run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("first").alias("first"))
-    names = ["__k1", "__k2", "doc_id", "start", "end", "first", "removed"]
-    spans = near.select(*names).union(repeated_stretches(keyed, text_col, least_words, percent).select(*names))
-    spans = spans.groupBy("__k1", "__k2", "doc_id").agg(F.collect_set(F.struct("start", "end", "first", "removed")).alias("spans"))
-    schema = fields("__k1 long, __k2 long, doc_id long, start_word int, end_word int, n_words int, first_doc_id long, removed boolean")
+    table = cut(_pieces(docs, id_col, text_col, bands, rows, least_words, max(window, least_words)).withColumn("row", F.monotonically_increasing_id()))
+    placed = table.select("row", "doc_id", F.inline("pieces"))
+    place = F.min(F.struct("row", "start", "end")).alias("x")
+    nodes = cut(placed.groupBy("node").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("doc_id").alias("known"), F.count(F.lit(1)).alias("rows"), place))
+    labels, tables = clusters(table.select(F.inline("bands")), lambda needed: _sets(table, nodes.join(needed, "node").select("node", "x.*")), paragraph_set, percent)
+    joined = nodes.drop("x").join(labels, "node", "left").where(F.col("label").isNotNull() | _several("lo", "hi", "known", "rows"))
+    joined = cut(joined.withColumn("label", F.coalesce("label", "node")))
+    spent(nodes, *tables)
+    found = joined.groupBy("label").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("known").alias("known"), F.sum("rows").alias("rows"))
+    found = found.where(_several("lo", "hi", "known", "rows")).select("label", F.col("lo").alias("first"))
+    # Each piece is decided by its own cluster, so that the smallest id of every cluster keeps its copy.
+    shared = cut(joined.join(found, "label").select("node", "first", "rows"))
+    marked = join_keyed(placed, shared, "node", "rows").select("row", "doc_id", F.struct("start", "end", "first", (~F.col("first").eqNullSafe(F.col("doc_id"))).alias("removed")).alias("s"))
+    spans = marked.groupBy("row", "doc_id").agg(F.collect_list("s").alias("spans"))  # of one document
+    schema = fields("doc_id long, start_word int, end_word int, n_words int, first_doc_id long, removed boolean")
 
     def step(batch: dict[str, list]) -> dict[str, list]:
-        rows = []
-        for k1, k2, doc_id, found in zip(batch["__k1"], batch["__k2"], batch["doc_id"], batch["spans"]):
-            rows += [(k1, k2, doc_id, a, b, b - a, first, gone) for a, b, first, gone in decided([(x["start"], x["end"], x["first"], x["removed"]) for x in found], least_words)]
-        return dict(zip(schema.names, map(list, zip(*rows)))) if rows else {n: [] for n in schema.names}
-
-    return map_lists(spans, lambda: step, schema).select(F.col("doc_id").alias(id_col), "start_word", "end_word", "n_words", "first_doc_id", "removed")
+        out = []
+        for doc_id, found in zip(batch["doc_id"], batch["spans"]):
+            out += [(doc_id, a, b, b - a, first, gone) for a, b, first, gone in decided([(x["start"], x["end"], x["first"], x["removed"]) for x in found], least_words)]
+        return dict(zip(schema.names, map(list, zip(*out)))) if out else {n: [] for n in schema.names}
+
+    return map_lists(spans.select("doc_id", "spans"), lambda: step, schema).select(F.col("doc_id").cast(docs.schema[id_col].dataType).alias(id_col), "start_word", "end_word", "n_words", "first_doc_id", "removed")
+
+
+def decided(spans: list[tuple[int, int, int | None, bool]], least_words: int) -> list[tuple[int, int, int | None, bool]]:
+    """Disjoint (start, end, smallest first, removed) from spans that overlap; what any span removes is removed.
+
+    Removals that don't make least_words words in a row stay, and are part of what is kept around them."""
+    gone = [r for r in _runs([s for s in spans if s[3]]) if r[1] - r[0] >= least_words]
+    kept = _runs([s for s in spans if not s[3]])
+    out, at = [(*r, True) for r in gone], 0
+    for start, end, first in kept:
+        while at < len(gone) and gone[at][1] <= start:
+            at += 1
+        here = at
+        while start < end:
+            stop = min(end, gone[here][0]) if here < len(gone) else end
+            if stop - start >= least_words:
+                out.append((start, stop, first, False))
+            if here == len(gone) or stop == end:
+                break
+            start, here = gone[here][1], here + 1
+    return sorted(out)
+
+
+def _runs(spans: list[tuple[int, int, int | None, bool]]) -> list[tuple[int, int, int | None]]:
+    """(start, end, smallest first) of spans that overlap or touch, or that are of one first document and up to GAP words apart."""
+    out: list[list] = []
+    for start, end, first, _ in sorted(spans, key=lambda s: s[:2]):
+        if out and start <= out[-1][1] + (GAP if first == out[-1][2] else 0):
+            out[-1][1] = max(out[-1][1], end)
+            if out[-1][2] is None or (first is not None and first < out[-1][2]):
+                out[-1][2] = first
+        else:
+            out.append([start, end, first])
+    return [tuple(r) for r in out]

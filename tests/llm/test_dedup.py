@@ -267,7 +267,7 @@ def test_edited_passages_against_brute_force(spark):
     for d, w in enumerate(texts):
         marks[d] = {j for i in range(len(w) - 24) if len(held[tuple(w[i : i + 25])]) > 1 for j in range(i, i + 25)}
     got = defaultdict(list)
-    for r in paragraphs.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect():
+    for r in paragraphs.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), window=25).collect():
         got[r.doc_id].append((r.start_word, r.end_word))
     for d in range(len(rows)):
         assert marks[d] <= {j for a, b in got[d] for j in range(a, b)}, d
@@ -282,4 +282,5 @@ def test_paragraphs_of_odd_rows(odd, none):
     rows = paragraphs.repeated_spans(odd).collect()
     assert {20, 21, 22, 23, 24, 25} <= {r.doc_id for r in rows} and all(r.n_words >= 25 for r in rows)
     assert paragraphs.repeated_spans(none).count() == 0
-    assert paragraphs.cuts(word_hashes("same " * 1000)).tolist() == [0, 1000]
+    same = shingles(word_hashes("same " * 1000), 2)
+    assert not paragraphs.cuts(same, np.zeros(len(same))).any()
