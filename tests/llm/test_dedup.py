@@ -3,10 +3,11 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from spanforge.llm import lines, links, ngram_join, paragraphs
-from spanforge.llm.common import shingles, word_hashes
+from spanforge.llm.common import batch_words, shingles, word_hashes
 
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -185,9 +186,106 @@ def test_lines_of_odd_rows(odd, none):
     assert lines.drop_lines(none).count() == 0 and lines.line_report(none).count() == 0
 
 
+def brute_lines(rows, classes):
+    """Numbers of the lines to drop of each text, by the rules as they are written; classes: the class of each row."""
+
+    def tokens(line):
+        return ["<*>" if any(c in "0123456789" for c in w) else w for w in WORD.findall(line)]
+
+    held = defaultdict(lambda: defaultdict(set))  # leaf, line: classes
+    for (_, text), c in zip(rows, classes):
+        for line in text.split("\n"):
+            if t := tokens(line):
+                held[len(t), *t[: lines.DEPTH]][tuple(t)].add(c)
+    drop = set()
+    for found in held.values():
+        size = len(next(iter(found)))
+        need = lines.SHORT_RECURS if size < lines.SHORT else lines.RECURS
+        if len(set().union(*found.values())) < need:
+            continue
+        support = defaultdict(int)
+        for t, cs in found.items():
+            for i, w in enumerate(t):
+                support[i, w] += len(cs)
+        fixed = {t: tuple(w if w != "<*>" and support[i, w] >= lines.RECURS else "<*>" for i, w in enumerate(t)) for t in found}
+        spread = defaultdict(set)
+        for t, f in fixed.items():
+            if sum(w != "<*>" for w in f) >= lines.CONSTANT * size:
+                spread[f] |= found[t]
+        drop |= {t for t, f in fixed.items() if len(spread.get(f, ())) >= need}
+    return [[i for i, line in enumerate(text.split("\n")) if tuple(tokens(line)) in drop] for _, text in rows]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_lines_against_brute_force(spark, seed):
+    rng = random.Random(seed)
+    say = lambda n: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(n))
+    names = [say(1) for _ in range(4)]
+    made = [lambda: f"Posted by {rng.choice(names)} at {rng.randint(1, 99)}:{rng.randint(10, 99)}", lambda: f"Read {rng.choice(names)} more", lambda: "All rights reserved here", lambda: "x y", lambda: "--", lambda: f"{rng.randint(1, 9)} 2 3", lambda: f"see also {say(1)} {say(1)} {rng.choice(names)}", lambda: ""]
+    rows, classes = [], []
+    for c in range(40):
+        parts = [say(rng.randint(1, 12)) for _ in range(8)] + [say(60)]
+        parts += [rng.choice(made)() for _ in range(rng.randint(0, 6))]
+        rng.shuffle(parts)
+        for copy in range(rng.choice([1, 1, 1, 7])):
+            edited = list(parts)
+            if copy % 2:
+                edited[0] += " also"
+            rows.append((len(rows), "\n".join(edited)))
+            classes.append(c)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute_lines(rows, classes)
+    got = {r.doc_id: r.out or [] for r in lines.drop_lines(df, dropped_col="out").collect()}
+    assert sum(map(len, want)) > 60
+    for (d, _), w in zip(rows, want):
+        assert sorted(got[d]) == w, d
+
+
+def test_signatures_tell_near_copies():
+    rng = random.Random(5)
+    words = [f"w{rng.randint(0, 10**6)}" for _ in range(400)]
+    near, far = list(words), words[:200] + [f"v{i}" for i in range(200)]
+    near[50], near[300] = "edit", "edit"
+    w = batch_words(pa.array([" ".join(x) for x in (words, words, near, far)] + ["", "a b", None]))
+    s = lines.signatures(w.hashes, w.first)
+    share = lambda a, b: (s[a] == s[b]).mean()
+    assert share(0, 1) == 1 and share(0, 2) > 0.8 and share(0, 3) < 0.5 and not s[4].any() and s[5].any() and not s[6].any()
+
+
 # ---- paragraphs
 
 
+def test_bands_find_pairs_at_the_threshold():
+    rng, met, pairs = random.Random(15), 0, 0
+    for n in (25, 40, 60, 150):
+        for _ in range(150):
+            base = [rng.getrandbits(32) for _ in range(n)]
+            other, at = list(base), sorted(rng.sample(range(n), rng.choice([1, 2, 3])))
+            for i in at:
+                other[i] = rng.getrandbits(32)
+            a, b = (paragraphs.paragraph_set(np.array(x, dtype="<u4").tobytes()) for x in (base, other))
+            both = len(np.intersect1d(a, b))
+            if not 75 * (len(a) + len(b) - both) <= 100 * both <= 82 * (len(a) + len(b) - both):
+                continue
+            words = np.array(base + other, dtype=np.uint64)
+            keys = paragraphs.band_keys(words, np.array([0, n]), np.array([n, n]), paragraphs.BANDS, paragraphs.ROWS)
+            pairs, met = pairs + 1, met + bool((keys[0] == keys[1]).any())
+    assert pairs > 100 and met / pairs >= 0.95
+
+
+def test_every_stretch_of_a_window_is_chosen_alike():
+    rng = np.random.default_rng(4)
+    passage = rng.integers(0, 1 << 32, 50, dtype=np.uint64)
+    for _ in range(60):
+        a, b = (rng.integers(0, 1 << 32, rng.integers(0, 120), dtype=np.uint64) for _ in range(2))
+        found = []
+        for before, after in ((a, b), (b, a)):
+            words = np.concatenate((before, passage, after))
+            at, keys = paragraphs.chosen_windows(words, np.zeros(len(words), int), np.array([0, len(words)]), 25, 50)
+            found.append(set(keys.tolist()))
+        assert found[0] & found[1]
+
+
 def passages(seed=8):
     rng = random.Random(seed)
     say = lambda n: [f"{rng.choice('abcdefgh')}{rng.randint(0, 99999)}" for _ in range(n)]
