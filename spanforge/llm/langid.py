@@ -2,12 +2,12 @@
 
 A text's subwords are the byte 3- and 4-grams inside its words (A-Z folded, every run of other ASCII characters one
 boundary). Their embeddings, found by hash, are averaged over the whole text and classified by a linear softmax. A
-temperature, and the probability under which a prediction is rejected, are fitted on labelled windows kept from training.
-Training reads a bounded sample of labelled rows (TRAIN_ROWS, windows of TRAIN_CHARS at a hashed place); predictions
-always read whole texts.
+temperature, and the probability under which a prediction is rejected, are fitted on labelled texts kept from training.
+Training reads a bounded sample of labelled rows (about TRAIN_ROWS, whole texts, of which tasks send the shares of their
+buckets only), as many of each language as can be; beyond the MANY commonest languages, all others are sampled alike.
 
-Defined results: a null text, or one without any letter, is `und` with score 0 and is rejected; no labelled row: all
-are `und`; equal texts, equal predictions; an empty table gives no rows.
+Defined results: a null text, or one without any letter (Unicode L), is `und` with score 0 and is rejected; no labelled row:
+all are `und`; equal texts, equal predictions; other columns are kept; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,12 +20,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import add_columns, fields
+from .common import add_columns, fields, map_lists
 
-#: Labelled rows that training may read, characters of a window, and languages at most.
-TRAIN_ROWS, TRAIN_CHARS, MAX_LANGS = 3000, 600, 200
+#: Labelled rows that training may read, and languages that are sampled each by itself.
+TRAIN_ROWS, MANY = 3000, 200
 BUCKETS, DIMENSIONS = 1 << 15, 8
-_LETTER = re.compile(r"[^\W\d_]")
+#: Characters of a piece from a text's middle, by which short texts are learnt too.
+SHORT = 60
+_WORDS = re.compile(r"[^\W\d_]+")  # letters, and numerals that are no decimal digits
 #: Bytes as the subwords see them: A-Z folded, other ASCII that is no letter a boundary.
 _CLASS = np.array([b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], dtype=np.uint8)
 _CHUNK = 1 << 20
@@ -48,6 +50,22 @@ def subwords(text: str) -> Iterator[np.ndarray]:
             yield np.concatenate(out)
 
 
+def has_letter(text: str) -> bool:
+    return any(c.isalpha() for m in _WORDS.finditer(text) for c in m.group())
+
+
+Bag = tuple[np.ndarray, np.ndarray]
+
+
+def bag(text: str) -> Bag:
+    """The buckets of a text's subwords, and the share of each."""
+    total = np.zeros(BUCKETS, dtype=np.int64)
+    for b in subwords(text):
+        total += np.bincount(b, minlength=BUCKETS)
+    found = np.flatnonzero(total)
+    return found.astype(np.int32), (total[found] / max(1, total.sum())).astype(np.float32)
+
+
 @dataclass
 class Model:
     labels: list[str]
@@ -61,27 +79,29 @@ class Model:
         for b in subwords(text):
             total += self.table[b].sum(axis=0, dtype=np.float64)
             n += len(b)
-        z = (total / max(n, 1) + self.bias) / self.temperature
+        return self._softmax(total / max(n, 1))
+
+    def _softmax(self, logits: np.ndarray) -> np.ndarray:
+        z = (logits + self.bias) / self.temperature
         e = np.exp(z - z.max())
         return e / e.sum()
 
+    def of_bag(self, bag: Bag) -> np.ndarray:
+        return self._softmax((self.table[bag[0]] * bag[1][:, None]).sum(axis=0, dtype=np.float64))
+
     def predict(self, text: object) -> tuple[str, float, bool]:
-        if not self.labels or not isinstance(text, str) or not _LETTER.search(text):
+        if not self.labels or not isinstance(text, str) or not has_letter(text):
             return "und", 0.0, True
         p = self.probabilities(text)
         best = int(p.argmax())
         return self.labels[best], float(p[best]), bool(p[best] < self.reject_below)
 
 
-def sgd(texts: list[str], targets: np.ndarray, classes: int, epochs: int = 6, rate: float = 6.0, seed: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def sgd(bags: list[Bag], targets: np.ndarray, classes: int, epochs: int = 6, rate: float = 6.0, seed: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Embeddings, weights and bias of the averaged-embedding softmax, by mini-batches."""
     rng = np.random.default_rng(seed)
     embed = rng.normal(0, 0.1, (BUCKETS, DIMENSIONS)).astype(np.float32)
     weights, bias = rng.normal(0, 0.5, (DIMENSIONS, classes)).astype(np.float32), np.zeros(classes, np.float32)
-    bags = []
-    for t in texts:
-        found, counts = np.unique(np.concatenate([*subwords(t), np.zeros(0, np.uint32)]), return_counts=True)
-        bags.append((found.astype(np.int64), (counts / max(1, counts.sum())).astype(np.float32)))
     use = np.array([i for i, b in enumerate(bags) if len(b[0])], dtype=np.int64)
     for epoch in range(epochs if len(use) else 0):
         step = rate * (1 - epoch / epochs)
@@ -104,23 +124,33 @@ def sgd(texts: list[str], targets: np.ndarray, classes: int, epochs: int = 6, ra
     return embed, weights, bias
 
 
+def learnt(text: str) -> tuple[Bag, Bag]:
+    """What is learnt of a text: the whole, and a short piece of its middle."""
+    middle = len(text) // 2
+    return bag(text), bag(text[middle : middle + SHORT])
+
+
 def fit(rows: list[tuple[str, str]], keep: float = 0.999) -> Model:
-    """From (text, label); every fifth row calibrates. Predictions under the (1 - keep) quantile of the right ones' probabilities are rejected."""
-    labels = sorted({label for _, label in rows})
+    """From (text, label)."""
+    return fit_bags([(*learnt(text), label) for text, label in rows], keep)
+
+
+def fit_bags(rows: list[tuple[Bag, Bag, str]], keep: float = 0.999) -> Model:
+    """From (whole, piece, label); every fifth row calibrates. Predictions under the (1 - keep) quantile of the right ones' probabilities are rejected."""
+    labels = sorted({label for *_, label in rows})
     if not labels:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0, 0.0)
-    target = np.array([labels.index(label) for _, label in rows])
+    place = {label: i for i, label in enumerate(labels)}
+    target = np.array([place[label] for *_, label in rows])
     tuned = np.arange(len(rows)) % 5 == 4 if len(rows) >= 50 else np.zeros(len(rows), bool)
-    texts, targets = [], []
+    bags, targets = [], []
     for i in np.flatnonzero(~tuned):
-        text = rows[i][0]
-        middle = len(text) // 2
-        texts += [text, text[middle : middle + 60]]  # short texts are classified too
+        bags += rows[i][:2]
         targets += [target[i]] * 2
-    embed, weights, bias = sgd(texts, np.array(targets), len(labels))
+    embed, weights, bias = sgd(bags, np.array(targets), len(labels))
     model = Model(labels, (embed @ weights).astype(np.float32), bias.astype(np.float64), 1.0, 0.0)
     if tuned.any():
-        p = np.stack([model.probabilities(rows[i][0]) for i in np.flatnonzero(tuned)])
+        p = np.stack([model.of_bag(rows[i][0]) for i in np.flatnonzero(tuned)])
         logits, right = np.log(np.maximum(p, 1e-12)), target[tuned]
         scale = np.geomspace(0.1, 10, 61)
 
@@ -137,25 +167,35 @@ def fit(rows: list[tuple[str, str]], keep: float = 0.999) -> Model:
 
 
 def train(docs: DataFrame, learnable, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", rows: int = TRAIN_ROWS) -> Model:
-    """Fits a model on at most about `rows` labelled rows of docs where learnable holds, as many of each language."""
+    """Fits a model on at most about `rows` labelled rows of docs where learnable holds."""
     labelled = docs.where(learnable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = docs.where(learnable & F.col(lang_col).isNotNull()).groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(MAX_LANGS).collect()
+    by_lang = labelled.groupBy(lang_col).count()
+    counts = by_lang.orderBy(F.desc("count"), lang_col).limit(MANY).collect()
     if not counts:
         return fit([])
-    spread = F.pmod(F.xxhash64(F.lit("train"), id_col), F.lit(1 << 40))
-    each = -(-rows // len(counts))
-    chosen = F.lit(False)
+    others, theirs = by_lang.agg(F.count(F.lit(1)), F.sum("count")).first()
+    others, theirs = others - len(counts), theirs - sum(n for _, n in counts)
+    spread = F.pmod(F.xxhash64(F.lit("train"), id_col, text_col), F.lit(1 << 40))
+    each = -(-rows // (len(counts) + (others > 0)))
+    common = F.col(lang_col).isin([lang for lang, _ in counts])
+    chosen = ~common & (spread < int(min(1.0, 1.2 * each / max(1, theirs)) * (1 << 40)))
     for lang, n in counts:
         chosen = chosen | ((F.col(lang_col) == lang) & (spread < int(min(1.0, 1.2 * each / n) * (1 << 40))))
-    start = (F.pmod(F.xxhash64(F.lit("window"), id_col), F.greatest(F.length(text_col) - TRAIN_CHARS, F.lit(1))) + 1).cast("int")
-    found = labelled.where(chosen).select(spread.alias("o"), F.substring(F.col(text_col), start, F.lit(TRAIN_CHARS)).alias("t"), F.col(lang_col).alias("l"))
-    sample = found.orderBy("o", "t", "l").limit(rows + rows // 5).collect()
-    return fit([(r.t, r.l) for r in sample])
+    schema = fields("o long, l string, whole_at binary, whole binary, piece_at binary, piece binary")
+
+    def step(batch: dict[str, list]) -> dict[str, list]:
+        out = [(o, label, *(x.tobytes() for part in learnt(text) for x in part)) for o, text, label in zip(batch["o"], batch["t"], batch["l"])]
+        return dict(zip(schema.names, map(list, zip(*out)))) if out else {n: [] for n in schema.names}
+
+    found = map_lists(labelled.where(chosen).select(spread.alias("o"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")), lambda: step, schema, rows=100)
+    sample = found.orderBy("o", "l", "whole").limit(rows + rows // 5).collect()
+    both = lambda at, share: (np.frombuffer(at, np.int32), np.frombuffer(share, np.float32))
+    return fit_bags([(both(r.whole_at, r.whole), both(r.piece_at, r.piece), r.l) for r in sample])
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", prefix: str = "") -> DataFrame:
-    """docs with lang_pred, score and rejected (names after prefix)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # buckets x languages, both bounded above
+    """docs with lang_pred, score and rejected (names after prefix, which must make them new)."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # buckets x languages of the bounded sample
 
     added = fields(f"`{prefix}lang_pred` string, `{prefix}score` double, `{prefix}rejected` boolean")
 
@@ -163,3 +203,9 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", prefix: str =
         return dict(zip(added.names, map(list, zip(*map(shared.value.predict, texts)))))
 
     return add_columns(docs, lambda: step, text_col, added)
+
+
+def recognised(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """docs whose language is not rejected, with their own columns, whatever their names."""
+    found = predict(docs.select(F.col(f"`{text_col}`").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")), model)
+    return found.where("not rejected").select("doc.*")

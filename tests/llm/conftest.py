@@ -3,6 +3,9 @@ import random
 import pytest
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, target string, score string, copies int, node string, line string, label string, data string, media string, piece int, start string"
+#: Columns named as operators name theirs.
+CLASHING = ["__k1", "__k2", "k1", "k2", "doc", "gone", "__gone", "rejected", "__rejected", "__score", "lang_pred", "copies_", "__copies", "__row", "turn", "times", "__size", "__source", "__part", "id", "one", "n"]
+SCHEMA += "".join(f", {c} long" for c in CLASHING) + ", marks map<string,int>, parts array<struct<a:int,b:string>>"
 
 
 def words(rng, n):
@@ -18,7 +21,8 @@ def odd_rows():
     rows += [(20 + i, base, "en", "a", len(base)) for i in range(6)]
     rows += [(30, base.upper(), None, "b", len(base)), (31, base + " end", "en", "b", None), (32, base.replace("alpha", "omega", 1), "en", "c", None)]
     rows += [rows[6], rows[6], (None, words(rng, 30), "fr", "a", 5), (None, None, None, None, None), (7, words(rng, 50), "fr", "b", 1)]
-    return [(*r, 1, "t", "s", 2, "n", "l", "k", "d", "m", 3, "z") for r in rows]
+    clashing = [[None, 5, -1][i % 3] for i in range(len(CLASHING))]
+    return [(*r, 1, "t", "s", 2, "n", "l", "k", "d", "m", 3, "z", *clashing, {"a": 1, "b": None}, [(1, None), None]) for r in rows]
 
 
 @pytest.fixture(scope="session")

@@ -1,4 +1,5 @@
 import random
+import unicodedata
 
 import numpy as np
 import pytest
@@ -25,16 +26,20 @@ def test_held_out_language_accuracy(spark):
 
 def test_language_of_odd_rows(odd, none):
     model = langid.train(odd, ~held_out(F.col("doc_id")))
-    rows = langid.predict(odd, model, prefix="__").collect()
+    rows = langid.predict(odd, model, prefix="x_").collect()
     assert len(rows) == odd.count() and rows[0].asDict().keys() >= set(odd.columns)
     for r in rows:
-        if not r.text or not any(c.isalpha() for c in r.text):
-            assert (r["__lang_pred"], r["__score"], r["__rejected"]) == ("und", 0.0, True)
+        if not r.text or not any(unicodedata.category(c)[0] == "L" for c in r.text):
+            assert (r["x_lang_pred"], r["x_score"], r["x_rejected"]) == ("und", 0.0, True)
         else:
-            assert r["__lang_pred"] in ("en", "fr")
+            assert r["x_lang_pred"] in ("en", "fr")
+    assert [model.predict(t)[0] for t in ("½ ² ①", "Ⅷ", "²", "٣ 7", "!?")] == ["und"] * 5 and model.predict("ª")[0] != "und"
+    kept = langid.recognised(odd, model)
+    assert kept.schema == odd.schema
+    assert kept.count() == sum(not r["x_rejected"] for r in rows)
     empty = langid.train(none, F.lit(True))
     assert langid.predict(none, empty).count() == 0
-    assert {r.lang_pred for r in langid.predict(odd.drop("score"), empty).collect()} == {"und"}
+    assert {r.lang_pred for r in langid.predict(odd.select("doc_id", "text"), empty).collect()} == {"und"}
 
 
 def test_subwords_read_the_whole_text(monkeypatch):
@@ -81,7 +86,27 @@ def test_quality_of_odd_rows(spark, odd, none):
     blank = quality.train(none, labels.limit(0), lambda c: ~held_out(c))
     assert {r.score for r in quality.score(odd.drop("score"), blank).collect()} == {0.5}
     assert quality.score(none.drop("score"), blank).count() == 0
-    assert quality.estimate_prior(30, 10) == 0.75 and quality.estimate_prior(3, 0) == 0.5
+
+
+@pytest.mark.parametrize("share", [0.2, 0.5, 0.8])
+def test_prior_of_mixtures(share):
+    rng = np.random.default_rng(11)
+    good = quality.bins(rng.normal(1.5, 1, 2000))
+    mixed = quality.bins(np.concatenate([rng.normal(1.5, 1, int(20000 * share)), rng.normal(-1.5, 1, int(20000 * (1 - share)))]))
+    count = lambda x: np.bincount(x, minlength=quality.BINS)
+    assert abs(quality.estimate_prior(count(good), count(mixed)) - share) < 0.06
+    assert quality.estimate_prior(count(good[:0]), count(mixed)) == 0.5
+
+
+def test_calibration_without_negatives():
+    rng = np.random.default_rng(12)
+    good, bad = rng.normal(2, 1, 3000), rng.normal(-1, 1, 7000)
+    a, b = quality.calibrated(rng.normal(2, 1, 1000), np.concatenate([good, bad]), 0.3)
+    s = lambda x: 1 / (1 + np.exp(-(a * x + b)))
+    score = s(np.concatenate([good, bad]))
+    assert abs(score.mean() - 0.3) < 0.02
+    near = (score > 0.4) & (score < 0.6)
+    assert 0.3 < near[:3000].sum() / near.sum() < 0.7
 
 
 @pytest.mark.parametrize("text", [None, "", "a"])
