@@ -1,15 +1,17 @@
 """Quality by positive-unlabelled learning: the non-negative unbiased risk, with an estimated class prior.
 
-Trusted positives are labelled rows of class 1; the unlabelled set is a sample of all learnable text. A linear model over
-hashed features of the whole text (which kinds of characters follow one another, how often words repeat) minimises, by SGD in numpy, the risk
-prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives)). The prior is estimated as the share of
-positives among the sampled labelled rows; without
-labelled negatives it is a half.
-Scores are calibrated on labelled rows kept from training. Samples are bounded (TRAIN_ROWS of each kind, TRAIN_CHARS of
-a text at a hashed place); scores always read whole texts.
-
-Defined results: null text counts as empty and gets the score of no features; no positives: every score is the
-prior of a half; equal texts, equal scores; an empty table gives no rows.
+Trusted positives are labelled rows of class 1; the unlabelled set is all learnable text. No negative label is used. A
+linear model over hashed features of the whole text (which kinds of characters follow one another, how often words
+repeat) minimises, by SGD in numpy, the risk prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives)).
+
+The prior is the best-bin estimate: a first model tells positives from unlabelled text; of all thresholds on its score, the
+one where the share of unlabelled texts above it, divided by that of kept positives, is least for sure. The scores of all
+learnable texts are counted for it. Scores are calibrated on kept positives and unlabelled texts by the unbiased log risk.
+
+The model is fitted on bounded samples (about TRAIN_ROWS positives, TRAIN_ROWS others), of which tasks send the features of whole texts.
+
+Defined results: null text counts as empty and gets the score of no features; no positives: every score is a half; equal
+texts, equal scores; other columns are kept; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,10 +22,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import add_columns, fields, word_hashes
+from .common import add_columns, fields, map_lists, word_hashes
 
-#: Rows of each kind (positive, negative, unlabelled) that training may read, and characters of a window.
-TRAIN_ROWS, TRAIN_CHARS = 2000, 1500
+#: Rows of each kind (positive, unlabelled) that a model is fitted on.
+TRAIN_ROWS = 2000
+#: Bins in which scores are counted.
+BINS = 1000
 BUCKETS = 1 << 11
 #: How many words back a repetition is looked for.
 BACK = (1, 2, 3, 4)
@@ -87,59 +91,104 @@ def nonnegative_risk(positive: np.ndarray, unlabelled: np.ndarray, prior: float,
     return w
 
 
-def estimate_prior(positives: int, negatives: int) -> float:
-    """The share of positives among the sampled labelled rows, kept from the ends."""
-    return float(np.clip(positives / (positives + negatives), 0.02, 0.98)) if negatives else 0.5
+def _scale(positive: np.ndarray, unlabelled: np.ndarray) -> np.ndarray:
+    scale = 1 / np.sqrt(np.maximum((positive**2).mean(axis=0) + (unlabelled**2).mean(axis=0), 1e-6))
+    scale[-1] = 1.0
+    return scale
 
 
-def fit(positive: list[str], negative: list[str], unlabelled: list[str], prior: float) -> Model:
-    if not positive:
-        return Model(np.zeros(SLOTS), 0.0, 0.0)
-    x = np.stack([features(t) for t in positive])
-    u = np.stack([features(t) for t in unlabelled or positive])
-    scale = 1 / np.sqrt(np.maximum((x**2).mean(axis=0) + (u**2).mean(axis=0), 1e-6))
-    scale[-1] = 1.0
-    train = np.arange(len(x)) % 4 != 3 if len(x) >= 8 else np.ones(len(x), bool)
-    w = nonnegative_risk(x[train], u, prior, scale) * scale
-    good = x[~train] @ w if (~train).any() else x @ w
-    bad = np.stack([features(t) for t in negative]) @ w if negative else u @ w
-    z, y = np.concatenate([good, bad]), np.concatenate([np.ones(len(good)), np.zeros(len(bad))])
-    weight = np.where(y == 1, prior / len(good), (1 - prior) / len(bad))
-    spread = z.std() or 1.0
-    z = (z - z.mean()) / spread
+def apart(positive: np.ndarray, unlabelled: np.ndarray, scale: np.ndarray, steps: int = 300, rate: float = 1.0) -> np.ndarray:
+    """Weights of a logistic model that tells positives from unlabelled rows."""
+    p, u, w = positive * scale, unlabelled * scale, np.zeros(positive.shape[1])
+    for step in range(steps):
+        sp, su = 1 / (1 + np.exp(-p @ w)), 1 / (1 + np.exp(-u @ w))
+        w -= rate * (1 - step / steps) * ((sp - 1) @ p / len(p) + su @ u / len(u) + 0.001 * w)
+    return w * scale
+
+
+def bins(z: np.ndarray) -> np.ndarray:
+    """The bin of each score, rising with it."""
+    return np.minimum((BINS / (1 + np.exp(-np.clip(z, -30, 30)))).astype(np.int64), BINS - 1)
+
+
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, doubt: float = 0.1) -> float:
+    """The share of positives in unlabelled rows, from counts of kept positives and of unlabelled rows by bins of a score:
+    the ratio of the shares above a threshold, at the threshold where it is least with its uncertainty added."""
+    n_p, n_u = positive.sum(), unlabelled.sum()
+    if not n_p or not n_u:
+        return 0.5
+    above_p, above_u = (np.cumsum(x[::-1])[::-1] / x.sum() for x in (positive, unlabelled))
+    use = above_p > 0
+    width = np.sqrt(np.log(4 / doubt) / (2 * n_p)) + np.sqrt(np.log(4 / doubt) / (2 * n_u))
+    ratio = above_u[use] / above_p[use]
+    return float(np.clip(ratio[np.argmin(ratio + width / above_p[use])], 0.02, 0.98))
+
+
+def calibrated(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[float, float]:
+    """Slope and offset that minimise the unbiased log risk of scores: mean over unlabelled of log(1 + e^t) less prior times the mean over positives of t."""
+    middle, spread = unlabelled.mean(), unlabelled.std() or 1.0
+    p, u = (positive - middle) / spread, (unlabelled - middle) / spread
     a, b = 1.0, 0.0
-    for _ in range(300):  # logistic calibration, lightly held
-        s = 1 / (1 + np.exp(-(a * z + b)))
-        g = weight * (s - y)
-        a, b = a - 4 * (float(g @ z) + 0.001 * a), b - 4 * float(g.sum())
-    mean = float(np.concatenate([good, bad]).mean())
-    return Model(w, a / spread, b - a * mean / spread)
+    for _ in range(2000):
+        s = 1 / (1 + np.exp(-np.clip(a * u + b, -30, 30)))
+        a, b = max(a - 2 * (float((s * u).mean()) - prior * float(p.mean()) + 0.001 * a), 0.0), b - 2 * (float(s.mean()) - prior)
+    return a / spread, b - a * middle / spread
+
+
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, train: np.ndarray) -> Model:
+    """From features; train marks the positives that the risk may see, the others calibrate."""
+    scale = _scale(positive, unlabelled)
+    w = nonnegative_risk(positive[train], unlabelled, prior, scale) * scale
+    kept = positive[~train] if (~train).any() else positive
+    return Model(w, *calibrated(kept @ w, unlabelled @ w, prior))
 
 
 def train(docs: DataFrame, labels: DataFrame, learnable, text_col: str = "text", id_col: str = "doc_id", label_col: str = "quality", rows: int = TRAIN_ROWS) -> Model:
-    """Samples positives, negatives and unlabelled rows, at most about `rows` of each, and fits."""
-    marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).alias("__label"))
-    known = {r[0]: r[1] for r in marks.where(learnable(F.col("__id"))).groupBy("__label").count().where("__label in (0, 1)").collect()}
-    spread = F.pmod(F.xxhash64(F.lit("train"), "__id"), F.lit(1 << 40))
-    start = (F.pmod(F.xxhash64(F.lit("window"), F.col(id_col)), F.greatest(F.length(text_col) - TRAIN_CHARS, F.lit(1))) + 1).cast("int")
-    texts = docs.where(F.col(text_col).isNotNull() & learnable(F.col(id_col))).select(F.col(id_col).alias("__id"), F.substring(F.col(text_col), start, F.lit(TRAIN_CHARS)).alias("t"))
-    bound = int(1.2 * rows)
+    """Samples positives and unlabelled rows, at most about `rows` of each, estimates the prior over all learnable rows, and fits."""
+    positives = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("label")).where("label = 1").where(learnable(F.col("id"))).select("id")
+    texts = docs.where(F.col(text_col).isNotNull() & learnable(F.col(id_col))).select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
+    spread = F.pmod(F.xxhash64(F.lit("train"), "id"), F.lit(1 << 40))
+    schema = fields("o long, x binary")
+
+    def step(batch: dict[str, list]) -> dict[str, list]:
+        return {"o": batch["o"], "x": [features(t).tobytes() for t in batch["t"]]}
+
+    def sampled(df: DataFrame, n: int) -> np.ndarray:
+        some = df.where(spread < int(min(1.0, 1.2 * rows / n) * (1 << 40))).select(spread.alias("o"), "t") if n else df.limit(0).select(spread.alias("o"), "t")
+        found = map_lists(some, lambda: step, schema, rows=100).orderBy("o", "x").limit(int(1.2 * rows)).collect()
+        return np.stack([np.frombuffer(r.x, dtype=np.float32) for r in found]) if found else np.empty((0, SLOTS), dtype=np.float32)
+
+    n = positives.count()
+    chosen = positives.where(spread < int(min(1.0, 1.2 * rows / n) * (1 << 40))) if n else positives
+    positive, unlabelled = sampled(texts.join(chosen, "id", "left_semi"), n), sampled(texts, texts.count())
+    if not len(positive):
+        return Model(np.zeros(SLOTS), 0.0, 0.0)
+    mine = np.arange(len(positive)) % 4 != 3 if len(positive) >= 8 else np.ones(len(positive), bool)
+    first = apart(positive[mine], unlabelled, _scale(positive, unlabelled))
+    kept = positive[~mine] if (~mine).any() else positive
+    prior = estimate_prior(np.bincount(bins(kept @ first), minlength=BINS), counted(texts.select("t"), first))
+    return fit(positive, unlabelled, prior, mine)
+
 
-    def sampled(df: DataFrame, n: int) -> list[str]:
-        share = min(1.0, 1.2 * rows / n) if n else 1.0
-        return [r.t for r in df.where(spread < int(share * (1 << 40))).select(spread.alias("o"), "t").orderBy("o", "t").limit(bound).collect()]
+def counted(texts: DataFrame, weights: np.ndarray) -> np.ndarray:
+    """How many of all texts (t) score in each bin."""
+    shared = texts.sparkSession.sparkContext.broadcast(weights)  # of fixed size
 
-    some = lambda k: marks.where((F.col("__label") == k) & (spread < int(min(1.0, 1.2 * rows / max(1, known.get(k, 0))) * (1 << 40)))).select("__id")
-    positive, negative = (sampled(texts.join(some(k), "__id", "left_semi"), known.get(k, 0)) if known.get(k) else [] for k in (1, 0))
-    unlabelled = sampled(texts, docs.count())
-    return fit(positive, negative, unlabelled, estimate_prior(known.get(1, 0), known.get(0, 0)))
+    def step(batch: dict[str, list]) -> dict[str, list]:
+        got = bins(np.array([features(t) @ shared.value for t in batch["t"]], dtype=float))
+        found, n = np.unique(got, return_counts=True)
+        return {"bin": found.tolist(), "n": n.tolist()}
+
+    out = np.zeros(BINS, dtype=np.int64)
+    for r in map_lists(texts, lambda: step, fields("bin int, n long")).groupBy("bin").agg(F.sum("n").alias("n")).collect():  # BINS rows at most
+        out[r.bin] = r.n
+    return out
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
     """docs with score and predicted (1 from the threshold on)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
 
-
     def step(texts: list) -> dict[str, list]:
         got = [shared.value.score(t) for t in texts]
         return {"score": got, "predicted": [int(x >= threshold) for x in got]}
