@@ -9,8 +9,10 @@ The payload writer stores bytes losslessly as quantised coefficients, 64 to a bl
 ten scans: the first byte of a block is the size of its DC difference, the others are signed AC coefficients of 8 bits,
 of which the first scans carry 7 and the refining scans the last. A long payload takes several images, one after another.
 
+The media column is written as a table in the shared folder and read back from there.
+
 Defined results: null text counts as empty; a payload of no bytes takes one block; equal texts give equal media;
-other columns are not carried; an empty table gives no rows.
+other columns are not carried; null media give no image; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import add_columns, fields, map_lists
+from .common import add_columns, cut, fields, map_lists
 
 #: Fixed values of the JPEG standard: the zigzag order of an 8 by 8 block.
 ZIGZAG = np.array(sorted(range(64), key=lambda i: (i // 8 + i % 8, (i // 8 if (i // 8 + i % 8) % 2 else i % 8))))
@@ -466,6 +468,11 @@ def encode_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return map_lists(docs.select(id_col, text_col), lambda: step, schema, rows=200)
 
 
+def store(media: DataFrame) -> DataFrame:
+    """The table of media as it is stored: written once, and read from its files."""
+    return cut(media)
+
+
 def payload_features(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Reads the stored media back: sizes and digests of the payload and of the stored form, and a feature of the RGB tensor."""
 

@@ -10,7 +10,9 @@ from spanforge.llm import media
 
 
 def test_columns(odd, none):
-    rows = media.payload_features(media.encode_text(odd)).collect()
+    stored = media.store(media.encode_text(odd))
+    assert stored.inputFiles()
+    rows = media.payload_features(stored).collect()
     want = []
     for r in odd.collect():
         raw = (r.text or "").encode()
