@@ -3,8 +3,9 @@
 Sampled splitters range-partition the normalised texts by their first characters and a hash of the whole, an external
 sort places equals adjacent, and neighbouring rows are compared in full (a window over the text itself: a group ends
 where the next text differs). Texts that make up more
-than a five-hundredth of a sample are salted before the sort, so that splitters may cut their group; their few partial
-groups are then joined, again by full text. The sample steers the layout only: results don't depend on it.
+than a five-hundredth of a sample are salted before the sort, so that splitters may cut their group; these few texts are
+also grouped as wholes, by full text with partial sums, and their rows take the result by the text's SHA-256. The sample
+steers the layout only: results don't depend on it.
 
 Defined results: null text counts as empty; equal rows are one group; documents of equal id and text share keep_id;
 a group without any id has a null keep_id and keeps nothing; an empty table gives no rows.
@@ -29,7 +30,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     norm = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
     base = docs.select(F.col(id_col).alias("__id"), norm.alias("__text")).withColumn("__sha", F.sha2("__text", 256))
     heavy = _heavy(docs, base, id_col)
-    salt = F.when(F.col("__sha").isin(heavy), F.pmod(F.xxhash64("__id"), F.lit(SALTS))).otherwise(F.lit(0)) if heavy else F.lit(0)
+    salt = F.when(F.col("__sha").isin(heavy), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).otherwise(F.lit(0)) if heavy else F.lit(0)
     ordered = base.withColumns({"__salt": salt.cast("int"), "__start": F.substring("__text", 1, START), "__rest": F.xxhash64("__text")})
     ordered = ordered.repartitionByRange("__start", "__rest", "__salt")
     adjacent = Window.partitionBy("__start", "__rest", "__salt", "__text")
@@ -50,7 +51,7 @@ def _heavy(docs: DataFrame, base: DataFrame, id_col: str) -> list[str]:
 
 
 def _joined(base: DataFrame, found: DataFrame, heavy: list[str], best) -> DataFrame:
-    """found, with the partial groups of heavy texts made whole: at most HEAVY rows, compared by full text."""
+    """found, with the partial groups of heavy texts made whole: at most HEAVY rows."""
     partial = base.where(F.col("__sha").isin(heavy)).groupBy("__text").agg(F.first("__sha").alias("__sha"), best("__id").alias("__all_keep"), F.count(F.lit(1)).alias("__all_n"))
     whole = partial.select("__sha", "__all_keep", "__all_n")
     joined = found.join(F.broadcast(whole), "__sha", "left")
