@@ -1,12 +1,13 @@
 """Token ids in a fixed-width binary format: every id takes the least bits that the vocabulary needs.
 
 A file is a header (magic, version, bits, ids in a block, documents, ids, blocks), the byte offset of each block, the
-number of ids of each document, and the blocks. A block holds a fixed number of ids, bit-packed from the lowest bit,
-and starts at a byte, so any id is found by one division and blocks unpack with numpy alone. Files hold whole documents.
-Spark writes them as rows of a Parquet table, which any store that Spark knows can hold.
+name (an integer, or none) and number of ids of each document, and the blocks. A block holds a fixed number of ids, bit-packed
+from the lowest bit, and starts at a byte, so any id is found by one division and blocks unpack with numpy alone: a
+document, or any range of ids, is read from its own blocks. Files hold whole documents, and all that is said of them; Spark
+writes them as values of a Parquet table, which any store that Spark knows can hold, beside their order and sizes.
 
 Defined results: null text counts as empty and gives its end id alone; documents of equal id are in the order of their
-texts; null ids come first; an empty table gives no files; other columns are not carried.
+texts; null ids come first; ids are integers; an empty table gives no files; other columns are not carried.
 """
 
 from __future__ import annotations
@@ -21,12 +22,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import ArrayType, BinaryType, StructField, StructType
 
 from .common import cut, fields, map_lists
 from .tokens import encoder, vocabulary_size
 
-MAGIC, VERSION, HEADER = b"SFBP", 1, struct.Struct("<4sHHIQQQ")
+MAGIC, VERSION, HEADER = b"SFBP", 2, struct.Struct("<4sHHIQQQ")
 #: Ids in a block, and ids after which a writer closes a file at the next document's end.
 BLOCK, FILE_IDS = 4096, 1 << 19
 
@@ -45,11 +45,13 @@ def unpack_bits(data: bytes | memoryview, n: int, bits: int) -> np.ndarray:
     return (planes.astype(np.uint32) << np.arange(bits, dtype=np.uint32)).sum(axis=1, dtype=np.uint32).astype("<u4")
 
 
-def write_file(ids: np.ndarray, lengths: np.ndarray, bits: int, block: int = BLOCK) -> bytes:
+def write_file(ids: np.ndarray, lengths: np.ndarray, bits: int, block: int = BLOCK, names: list[int | None] | None = None) -> bytes:
     blocks = [pack_bits(ids[i : i + block], bits) for i in range(0, len(ids), block)]
     offsets = np.concatenate(([0], np.cumsum([len(b) for b in blocks]))).astype("<u8")
     head = HEADER.pack(MAGIC, VERSION, bits, block, len(lengths), len(ids), len(blocks))
-    return b"".join([head, offsets.tobytes(), lengths.astype("<u8").tobytes(), *blocks])
+    names = names if names is not None else list(range(len(lengths)))
+    known, named = np.array([n is not None for n in names], dtype="u1"), np.array([n or 0 for n in names], dtype="<i8")
+    return b"".join([head, offsets.tobytes(), lengths.astype("<u8").tobytes(), named.tobytes(), known.tobytes(), *blocks])
 
 
 class File:
@@ -64,7 +66,15 @@ class File:
         self.offsets = np.frombuffer(data, "<u8", blocks + 1, at)
         at += 8 * (blocks + 1)
         self.lengths = np.frombuffer(data, "<u8", documents, at).astype(np.int64)
-        self.start = at + 8 * documents
+        at += 8 * documents
+        named, known = np.frombuffer(data, "<i8", documents, at), np.frombuffer(data, "u1", documents, at + 8 * documents)
+        self.names = [n if k else None for n, k in zip(named.tolist(), known.tolist())]
+        self.start = at + 9 * documents
+        self.ends = np.cumsum(self.lengths)
+
+    def document(self, i: int) -> np.ndarray:
+        """The ids of the file's i-th document, from its own blocks."""
+        return self.ids(int(self.ends[i] - self.lengths[i]), int(self.ends[i]))
 
     def ids(self, start: int = 0, end: int | None = None) -> np.ndarray:
         end = self.n if end is None else min(end, self.n)
@@ -79,10 +89,9 @@ class File:
 
 
 def write(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 2) -> DataFrame:
-    """The table of files: __part and file (ascending with the ids), n_ids, doc_ids, data."""
+    """The table of files: part and file (ascending with the documents' integer ids), n_ids, data."""
     bits = max(1, (vocabulary_size(tokenizer) - 1).bit_length())
-    kind = docs.schema[id_col].dataType
-    schema = StructType([*fields("__part int, file long, n_ids long").fields, StructField("doc_ids", ArrayType(kind)), StructField("data", BinaryType())])
+    schema = fields("part int, file long, n_ids long, data binary")
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,8 +100,8 @@ def write(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
 
         def closed() -> pa.RecordBatch:
             ids = np.frombuffer(b"".join(got), "<u4")
-            data = write_file(ids, np.array([len(g) // 4 for g in got]), bits)
-            return pa.RecordBatch.from_pydict({"__part": [part], "file": [file], "n_ids": [len(ids)], "doc_ids": [keys], "data": [data]}, schema=arrow)
+            data = write_file(ids, np.array([len(g) // 4 for g in got]), bits, names=keys)
+            return pa.RecordBatch.from_pydict({"part": [part], "file": [file], "n_ids": [len(ids)], "data": [data]}, schema=arrow)
 
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -105,30 +114,30 @@ def write(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         if got:
             yield closed()
 
-    ordered = docs.select(id_col, text_col).repartitionByRange(F.col(id_col)).sortWithinPartitions(id_col, text_col)
+    named = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    ordered = named.repartitionByRange("id").sortWithinPartitions("id", "text")
     return cut(ordered.mapInArrow(run, schema))
 
 
 def read(files: DataFrame, id_col: str = "doc_id", with_ids: bool = False) -> DataFrame:
     """One row for each document of the files: id, start (ids of all documents before it), n_tokens, ids_crc32 (and ids)."""
-    key = StructField(id_col, files.schema["doc_ids"].dataType.elementType)
-    schema = StructType([*fields("__part int, file long").fields, key, *fields("__before long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids).fields])
+    schema = fields("part int, file long, id long, before long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
 
     def step(batch: dict[str, list]) -> dict[str, list]:
         rows = []
-        for part, number, doc_ids, data in zip(batch["__part"], batch["file"], batch["doc_ids"], batch["data"]):
-            file, at = File(data), 0
-            for doc_id, n in zip(doc_ids, file.lengths.tolist()):
-                ids = file.ids(at, at + n).tobytes()
-                rows.append((part, number, doc_id, at, n, zlib.crc32(ids), ids)[: 6 + with_ids])
-                at += n
+        for part, number, data in zip(batch["part"], batch["file"], batch["data"]):
+            file = File(data)
+            whole = memoryview(file.ids().tobytes())  # each block is unpacked once
+            for name, n, end in zip(file.names, file.lengths.tolist(), file.ends.tolist()):
+                ids = whole[4 * (end - n) : 4 * end]
+                rows.append((part, number, name, end - n, n, zlib.crc32(ids), bytes(ids) if with_ids else None)[: 6 + with_ids])
         return dict(zip(schema.names, map(list, zip(*rows))))
 
     # Two steps: the parts are few, and each part's files are summed by themselves.
-    sizes = files.select("__part", "file", "n_ids")
+    sizes = files.select("part", "file", "n_ids")
     upto = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    parts = sizes.groupBy("__part").agg(F.sum("n_ids").alias("__n")).select("__part", F.coalesce(F.sum("__n").over(upto(Window.orderBy("__part"))), F.lit(0)).alias("__p"))
-    starts = sizes.withColumn("__f", F.coalesce(F.sum("n_ids").over(upto(Window.partitionBy("__part").orderBy("file"))), F.lit(0))).join(parts, "__part")
-    out = map_lists(files.select("__part", "file", "doc_ids", "data"), lambda: step, schema, rows=1)
-    joined = out.join(starts.select("__part", "file", (F.col("__p") + F.col("__f")).alias("__start")), ["__part", "file"])
-    return joined.select(id_col, (F.col("__start") + F.col("__before")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
+    parts = sizes.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", F.coalesce(F.sum("n").over(upto(Window.orderBy("part"))), F.lit(0)).alias("p"))
+    starts = sizes.withColumn("f", F.coalesce(F.sum("n_ids").over(upto(Window.partitionBy("part").orderBy("file"))), F.lit(0))).join(parts, "part")
+    out = map_lists(files.select("part", "file", "data"), lambda: step, schema, rows=1)
+    joined = out.join(starts.select("part", "file", (F.col("p") + F.col("f")).alias("begin")), ["part", "file"])
+    return joined.select(F.col("id").alias(id_col), (F.col("begin") + F.col("before")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)

@@ -63,6 +63,32 @@ def test_best_fit_keeps_every_capacity(rule):
     assert len(packing.best_fit(np.array([], int))) == 0
 
 
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+def test_best_fit_against_brute_force(rule):
+    rng = np.random.default_rng(7)
+    lengths = np.sort(rng.integers(1, 1025, 400))[::-1]
+    for documents, attention in ((1024, 1024 * 1024), (4, 400_000)):
+        w, caps, left, want = (1.0, 0.05, 0.05), (1024, documents, attention), [], []
+        for n in lengths.tolist():
+            need = [n / 1024, 1 / documents, n * n / attention]
+            best = None
+            for b, r in enumerate(left):
+                rest = [x - y for x, y in zip(r, need)]
+                if min(rest) >= -1e-12:
+                    score = sum(k * x * x for k, x in zip(w, rest)) if rule == "norm" else -sum(k * x * y for k, x, y in zip(w, r, need))
+                    if best is None or score < best[0] - 1e-12:
+                        best = (score, b, rest)
+            if best is None:
+                left.append([1 - y for y in need])
+                want.append(len(left) - 1)
+            else:
+                left[best[1]] = best[2]
+                want.append(best[1])
+        got = packing.best_fit(lengths, *caps, rule=rule)
+        fill = lambda bins: sorted(np.bincount(bins, lengths).tolist())
+        assert fill(got) == fill(np.array(want))
+
+
 def test_binary_output(odd, none, truth):
     files = binary.write(odd, TOKENIZER)
     rows = binary.read(files, with_ids=True).collect()
@@ -83,6 +109,9 @@ def test_any_width_and_random_access(bits):
     ids = rng.integers(0, 1 << bits, 10_001, dtype=np.uint64).astype("<u4")
     f = binary.File(binary.write_file(ids, np.array([10_000, 0, 1]), bits, block=128))
     assert (f.ids() == ids).all() and f.lengths.tolist() == [10_000, 0, 1]
+    assert [f.document(i).tolist() for i in (0, 1, 2)] == [ids[:10_000].tolist(), [], ids[10_000:].tolist()]
+    named = binary.File(binary.write_file(ids[:5], np.array([2, 3]), bits, names=[None, -7]))
+    assert named.names == [None, -7] and (named.document(1) == ids[2:5]).all()
     for a, b in ((0, 1), (127, 129), (5000, 9999), (10_000, 10_001), (3, 3)):
         assert (f.ids(a, b) == ids[a:b]).all()
     assert len(f.data) <= 10_001 * bits / 8 + 16 * 90 + 200
