@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, ranged, row_key, with_prefix
+from .common import WORD, cut, packed, ranged, with_prefix
 
 
 def word_count(text: Column) -> Column:
@@ -51,7 +51,8 @@ def draw(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), max_repeat: flo
     parts = ranged(sizes, F.col("__source"), *order)
     placed = with_prefix(parts, ["__source"], order, F.lit(1).cast("long"), "__place")
     targets = source_targets(sizes, weights, max_repeat)
-    offset = F.pmod(F.xxhash64(F.lit(seed), F.col("source")), F.lit(1 << 30)) / float(1 << 30)
+    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("source"), F.lit("")))), 1, 7)
+    offset = F.conv(digits, 16, 10).cast("long") / float(1 << 28)  # one for each source
     mixed = placed.join(targets.withColumn("__offset", offset), F.col("__source").eqNullSafe(F.col("source")))
     crossed = F.floor(F.col("rate") * (F.col("__place") + 1) + F.col("__offset")) - F.floor(F.col("rate") * F.col("__place") + F.col("__offset"))
     return mixed.withColumn("copies", F.least(crossed, F.lit(int(max_repeat))).cast("long"))
@@ -67,11 +68,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """The mixed corpus: docs' own columns, each row as often as it is drawn.
 
     Only narrow rows are ordered and drawn; the texts move once, to meet their rows' copies by a 128-bit row key."""
-    k1, k2 = row_key(docs)
-    keyed = docs.withColumns({"__k1": k1, "__k2": k2})
-    sizes = keyed.select("__k1", "__k2", F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), word_count(F.col(text_col)).alias("__size"))
-    drawn = draw(sizes, **options).groupBy("__k1", "__k2").agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__rows"))
-    numbered = keyed.withColumn("__row", F.row_number().over(Window.partitionBy("__k1", "__k2").orderBy("__k1")))
-    share = F.floor(F.col("__copies") / F.col("__rows")) + (F.col("__row") <= F.col("__copies") % F.col("__rows")).cast("long")
-    rows = numbered.join(drawn.where("__copies > 0"), ["__k1", "__k2"]).withColumn("__times", share.cast("int")).where("__times > 0")
-    return rows.withColumn("__time", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = packed(docs, text_col)
+    value = F.col("doc").getField
+    sizes = keyed.select("k1", "k2", value(id_col).alias("__id"), value(source_col).alias("__source"), word_count(F.col("text")).alias("__size"))
+    drawn = draw(sizes, **options).groupBy("k1", "k2").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"))
+    # The texts move, whatever the size. Equal rows share their copies by turns.
+    rows = keyed.select("k1", "k2", "doc").join(drawn.where("copies > 0").hint("merge"), ["k1", "k2"])
+    rows = rows.withColumn("turn", F.row_number().over(Window.partitionBy("k1", "k2").orderBy("k1")))
+    times = F.floor(F.col("copies") / F.col("rows")) + (F.col("turn") <= F.col("copies") % F.col("rows")).cast("long")
+    taken = rows.select("doc", times.cast("int").alias("times")).where("times > 0")
+    return taken.select("doc", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("time")).select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])

@@ -30,7 +30,7 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.payload_features(media.encode_text(table(spark, sf_dir, "documents")))
+    return media.payload_features(media.store(media.encode_text(table(spark, sf_dir, "documents"))))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,6 +65,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_mixing": r"""
+            WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+            s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [5.0::DOUBLE, 2.0, 1.0][(row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1] AS weight FROM d GROUP BY source),
+            c AS (SELECT *, 3.0::DOUBLE * source_size AS cap FROM s),
+            o AS (SELECT *, row_number() OVER (ORDER BY cap / weight, source IS NULL, source) AS k FROM c),
+            l AS (SELECT *, ((SELECT sum(size) FROM d) - (sum(cap) OVER (ORDER BY k) - cap)) / sum(weight) OVER (ORDER BY k DESC) AS level FROM o),
+            v AS (SELECT coalesce(min_by(level, k), 0) AS level FROM l WHERE cap > level * weight),
+            t AS (SELECT source, source_size, least(cap, v.level * weight) AS target,
+                         CASE WHEN source_size = 0 THEN 0 WHEN cap <= v.level * weight THEN 3.0::DOUBLE ELSE least(cap, v.level * weight) / source_size END AS rate,
+                         CAST('0x' || substr(md5('7:' || coalesce(source, '')), 1, 7) AS BIGINT) / 268435456.0::DOUBLE AS turn FROM c, v),
+            p AS (SELECT doc_id, source, size, row_number() OVER (PARTITION BY source ORDER BY size, doc_id NULLS FIRST) - 1 AS place FROM d),
+            x AS (SELECT doc_id, size, source_size, target, CAST(least(floor(rate * (place + 1) + turn) - floor(rate * place + turn), 3) AS BIGINT) AS copies FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source)
+            SELECT *, copies * size AS taken FROM x""",
         "op6_exact_dedup": """
             WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
             SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
