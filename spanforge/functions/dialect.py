@@ -656,21 +656,45 @@ def literal_of(n) -> str | None:
 
 
 def required_literal(n) -> str:
-    """The longest text that every match holds."""
+    """The longest text that every match holds, or has right after it."""
     items, best, run = n.items if isinstance(n, Seq) else (n,), "", ""
     for x in items:
         found = literal_of(x)
         if found is not None:
             run += found
-        else:
+        elif not isinstance(x, At):  # places take no text
             run = ""
-            inner = x.body if isinstance(x, Group) or isinstance(x, Rep) and x.least > 0 else None
+            inner = x.body if isinstance(x, Group) or isinstance(x, Rep) and x.least > 0 or isinstance(x, Look) and not x.negated else None
             if inner is not None:
                 best = max(best, required_literal(inner), key=len)
         best = max(best, run, key=len)
     return best
 
 
+def looked(n) -> frozenset[int]:
+    """Groups inside lookarounds: what they match doesn't come out."""
+    return frozenset(x.index for look in walk(n) if isinstance(look, Look) for x in walk(look.body) if isinstance(x, Group))
+
+
+def sealed(n, hidden: frozenset[int]):
+    """n with references to groups of other lookarounds as what never matches."""
+    match n:
+        case Back(index) if index in hidden:
+            return Chars(())
+        case Look(body, ahead, negated):
+            own = frozenset(x.index for x in walk(body) if isinstance(x, Group)) - looked(body)
+            return Look(sealed(body, hidden - own), ahead, negated)
+        case Seq(items):
+            return Seq(tuple(sealed(x, hidden) for x in items))
+        case Alt(branches):
+            return Alt(tuple(sealed(x, hidden) for x in branches))
+        case Rep(body, least, most, greedy):
+            return Rep(sealed(body, hidden), least, most, greedy)
+        case Group(body, index):
+            return Group(sealed(body, hidden), index)
+    return n
+
+
 # ---------------------------------------------------------------- spelling
 
 
@@ -700,7 +724,8 @@ class Speller:
         backs = {n.index for n in walk(parsed.node) if isinstance(n, Back)}
         self.number = {g: i for i, g in enumerate(sorted(kept | backs), 1)}
         self.deep: list[str] = []  # why Java can't run it
-        self.text = self.spell(parsed.node, ())
+        self.loops = 0
+        self.text = self.head(parsed.node)
 
     def set(self, n: Chars) -> str:
         if n.java and not self.python:
@@ -721,6 +746,42 @@ class Speller:
         inside = f"(?:(?<={_WORD})(?={_WORD})|(?<!{_WORD})(?!{_WORD}))"
         return {"start": "\\A", "end": end, "end_line_feed": f"(?={feed}?{end})", "line_start": f"(?<![^{feed}])", "line_end": f"(?![^{feed}])", "word": boundary, "not_word": inside}[place]
 
+    def side(self, items: tuple, i: int) -> str | None:
+        """A word's edge next to an item that is a word character (or none) for sure: one look is enough."""
+        before, after = (items[j] if 0 <= j < len(items) else None for j in (i - 1, i + 1))
+        for x, word, other in ((after, f"(?<!{_WORD})", f"(?<={_WORD})"), (before, f"(?!{_WORD})", f"(?={_WORD})")):
+            ranges = x.ranges if isinstance(x, Chars) else x.body.ranges if isinstance(x, Rep) and x.least > 0 and isinstance(x.body, Chars) else ()
+            if ranges:
+                if not cs.intersection(ranges, cs.complement(cs.WORD)):
+                    return word
+                if not cs.intersection(ranges, cs.WORD):
+                    return other
+        return None
+
+    def head(self, n) -> str:
+        """The whole pattern, begun so that few places are tried.
+
+        A literal after a word's edge is tried first, and what stands before it then. A run of one set's characters
+        which ends where something else must follow fails from all its places if it fails from its first."""
+        items = n.items if isinstance(n, Seq) else ()
+        if self.python or len(items) < 2:
+            return self.spell(n, ())
+        if items[0] == At("word"):
+            size = next((i for i, x in enumerate(items[1:]) if literal_of(x) is None or not isinstance(x, Chars)), len(items) - 1)
+            text = items[1 : size + 1]
+            if text and not any(cs.intersection(x.ranges, cs.complement(cs.WORD)) for x in text):
+                spelled = "".join(map(self.set, text))
+                # the rest still sees the last of the text before it
+                rest = self.spell(Seq(items[size:]), ())[len(self.set(items[size])) :]
+                return f"{spelled}(?<!{_WORD}{spelled}){rest}"
+        x = items[0]
+        if isinstance(x, Group) and not any(isinstance(y, Back) and y.index == x.index for y in walk(n)):
+            x = x.body
+        run = isinstance(x, Rep) and isinstance(x.body, Chars) and x.body.ranges and x.least > 0 and x.most is None and x.greedy
+        if run and (not nullable(Seq(items[1:])) or any(isinstance(y, Look | At) for y in items[1:])):
+            return f"(?<!{self.set(x.body)}){self.spell(n, ())}"
+        return self.spell(n, ())
+
     def spell(self, n, after: cs.Ranges) -> str:
         match n:
             case Chars():
@@ -729,6 +790,9 @@ class Speller:
                 out = []
                 for i, x in enumerate(items):
                     rest = Seq(items[i + 1 :])
+                    if x == At("word") and not self.python and (side := self.side(items, i)):
+                        out.append(side)
+                        continue
                     out.append(self.spell(x, cs.union(first(rest), after) if nullable(rest) else first(rest)))
                     if isinstance(x, Alt):
                         out[-1] = f"(?:{out[-1]})"
@@ -736,13 +800,14 @@ class Speller:
             case Alt(branches):
                 return "|".join(self.spell(b, after) for b in branches)
             case Group(body, index):
-                return f"({'' if index in self.number else '?:'}{self.spell(body, after)})"
+                named = f"?P<g{self.number[index]}>" if self.python and index in self.number else ""
+                return f"({named if index in self.number else '?:'}{self.spell(body, after)})"
             case Look(body, ahead, negated):
                 if not ahead and any(isinstance(x, Rep) and x.most is None for x in walk(body)):
                     self.deep.append("unbounded lookbehind")
                 return f"(?{'' if ahead else '<'}{'!' if negated else '='}{self.spell(body, cs.ALL)})"
             case Back(index):
-                return f"\\{self.number[index]}(?:)"
+                return f"(?P=g{self.number[index]})" if self.python else f"\\{self.number[index]}(?:)"
             case At(place):
                 return self.place(place)
             case Cluster():
@@ -758,6 +823,8 @@ class Speller:
         if isinstance(n.body, Chars):
             return f"{self.set(n.body)}{bounds}{lazy}"
         body = self.spell(n.body, cs.union(first(n.body), after))
+        if self.python and n.greedy and n.least <= 1 and n.most != 1 and nullable(n.body) and any(isinstance(x, Group) and x.index in self.number for x in walk(n.body)):
+            return self.filled(body, n)
         if n.most is None or n.most > SHALLOW:
             decided = not nullable(n.body) and not cs.intersection(first(n.body), after) and one_way(n.body, cs.union(first(n.body), after))
             if decided and n.greedy:
@@ -767,6 +834,16 @@ class Speller:
         return f"{body}{bounds}{lazy}" if isinstance(n.body, Group) else f"(?:{body}){bounds}{lazy}"
 
 
+    def filled(self, body: str, n: Rep) -> str:
+        """A loop whose iterations after the first must take text, and which ends after a first one that takes none; so
+        groups keep what they last took. What is left of the text tells whether an iteration took any."""
+        self.loops += 1
+        one, more = f"r{self.loops}a", f"r{self.loops}b"
+        left = lambda name: f"(?P={name})\\Z"
+        again = f"(?:(?=(?P<{more}>[\\s\\S]*))(?:{body})(?!{left(more)})){'*' if n.most is None else f'{{0,{n.most - 1}}}'}"
+        return f"(?:(?=(?P<{one}>[\\s\\S]*))(?:{body})(?:(?!{left(one)}){again}|(?={left(one)}))){'' if n.least else '?'}"
+
+
 def parse(pattern: str, size_limit: int = SIZE_LIMIT, nest_limit: int = NEST_LIMIT) -> Parsed:
     parsed = Reader(pattern, nest_limit).read()
     if size(parsed.node) > size_limit:

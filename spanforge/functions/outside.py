@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -22,19 +23,23 @@ def _compiled(spelled: str) -> regex.Pattern:
 
 
 def found(spelled: str, text: str, seconds: float | None) -> Iterator[regex.Match]:
-    """All matches; an empty one at the end of a match before it is no match."""
-    last = -1
+    """All matches. After one, the search goes on at its end, after an empty one at the next character; an empty match
+    at the end of the match before it is no match."""
+    pattern, at, last, until = _compiled(spelled), 0, -1, None if seconds is None else time.monotonic() + seconds
     try:
-        for m in _compiled(spelled).finditer(text, timeout=seconds):
-            if m.start() == m.end() == last:
-                continue
-            last = m.end()
-            yield m
+        while at <= len(text):
+            left = None if until is None else max(until - time.monotonic(), 1e-9)
+            if (m := pattern.search(text, at, timeout=left)) is None:
+                return
+            start, end = m.span()
+            if not start == end == last:
+                yield m
+            last, at = end, max(end, start + 1)
     except TimeoutError as e:
         raise MatchLimitExceeded(f"over {seconds} s on {len(text)} characters") from e
 
 
-def _place(m: regex.Match, text: str, group: int = 0) -> dict | None:
+def place(m: regex.Match, text: str, group: int | str = 0) -> dict | None:
     """Byte offsets and text of a group; None if it took no part."""
     if m.start(group) < 0:
         return None
@@ -42,8 +47,9 @@ def _place(m: regex.Match, text: str, group: int = 0) -> dict | None:
     return {"start": start, "end": start + len(m.group(group).encode("utf-8")), "text": m.group(group)}
 
 
-def _groups(m: regex.Match, text: str, names: list[str], spans: bool) -> dict:
-    return {n: _place(m, text, i) if spans else m.group(i) for i, n in enumerate(names)}
+def _groups(m: regex.Match, text: str, names: list[str], spans: bool, unseen: frozenset[int]) -> dict:
+    of = lambda i: f"g{i}" if i else 0
+    return {n: None if i in unseen else place(m, text, of(i)) if spans else m.group(of(i)) for i, n in enumerate(names)}
 
 
 def _replaced(spelled: str, text: str, by: str, most: int, seconds: float | None) -> str:
@@ -56,8 +62,8 @@ def _replaced(spelled: str, text: str, by: str, most: int, seconds: float | None
     return "".join([*out, text[at:]])
 
 
-def search(op: str, spelled: str, text: Column, names: list[str] | None = None, spans: bool = False, by: str = "", seconds: float | None = None, as_error: bool = False) -> Column:
-    """op: is_match, find, find_all, spans, count, captures, captures_all, replace, replace_all. as_error: {value, error} instead of failing."""
+def search(op: str, spelled: str, text: Column, names: list[str] | None = None, spans: bool = False, unseen: frozenset[int] = frozenset(), by: str = "", seconds: float | None = None, as_error: bool = False) -> Column:
+    """op: is_match, find, find_all, spans, count, captures, captures_all, replace, replace_all. unseen: groups that are null always. as_error: {value, error} instead of failing."""
     names = names or []
     one = StructType([StructField(n, MATCH if spans else StringType()) for n in names])
     kinds: dict[str, DataType] = {"is_match": BooleanType(), "find": MATCH, "find_all": ArrayType(StringType()), "spans": ArrayType(MATCH), "count": IntegerType(), "captures": one, "captures_all": ArrayType(one), "replace": StringType(), "replace_all": StringType()}
@@ -69,17 +75,17 @@ def search(op: str, spelled: str, text: Column, names: list[str] | None = None,
             case "is_match":
                 return next(matches, None) is not None
             case "find":
-                return _place(m, t) if (m := next(matches, None)) else None
+                return place(m, t) if (m := next(matches, None)) else None
             case "find_all":
                 return [m.group() for m in matches]
             case "spans":
-                return [_place(m, t) for m in matches]
+                return [place(m, t) for m in matches]
             case "count":
                 return sum(1 for _ in matches)
             case "captures":
-                return _groups(m, t, names, spans) if (m := next(matches, None)) else None
+                return _groups(m, t, names, spans, unseen) if (m := next(matches, None)) else None
             case "captures_all":
-                return [_groups(m, t, names, spans) for m in matches]
+                return [_groups(m, t, names, spans, unseen) for m in matches]
             case "replace":
                 return _replaced(spelled, t, by, 1, seconds)
         return _replaced(spelled, t, by, -1, seconds)

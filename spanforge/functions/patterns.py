@@ -9,13 +9,15 @@ from __future__ import annotations
 
 import builtins
 from dataclasses import dataclass
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from . import dialect
 from .dialect import Alt, At, Seq, Speller, always, literal_of, nullable, required_literal
-from .outside import MATCH, search
+from .outside import MATCH, found, place, search
 
 #: What matched texts are marked with to place them; texts that hold these go outside.
 OPEN, CLOSE = "\ue000", "\ue001"
@@ -51,7 +53,9 @@ class Pattern:
     def __init__(self, pattern: str, options: Options = Options()):
         self.pattern, self.options = pattern, options
         self.parsed = dialect.parse(pattern, options.size_limit, options.nest_limit)
-        self.node = merged(self.parsed.node) if options.optimize_prefixes else self.parsed.node
+        self.unseen = dialect.looked(self.parsed.node)
+        self.node = dialect.sealed(self.parsed.node, self.unseen)
+        self.node = merged(self.node) if options.optimize_prefixes else self.node
         self.nullable = nullable(self.node)
         self._whole = self._spelled(builtins.set())
         self.needed = required_literal(self.node)
@@ -87,8 +91,8 @@ class Pattern:
 
     def _reasons(self, op: str) -> list[str]:
         out = list(dict.fromkeys(self._whole.deep))
-        if self.nullable and op != "is_match":
-            out.append("may match nothing")
+        if self.nullable and (op != "is_match" or any(n == At("not_word") or isinstance(n, dialect.Look) and n.negated for n in dialect.walk(self.node))):
+            out.append("may match nothing")  # for the JVM, between the halves of a character too
         if op in ("captures", "captures_all"):
             all_groups = range(1, self.group_count + 1)
             if not all(always(self.node, g) for g in all_groups):
@@ -114,7 +118,18 @@ class Pattern:
 
     def _sifted(self, text: Column, found: Column) -> Column:
         """found, tested only where the text holds what every match holds; contains() also reaches the Parquet scan."""
-        return (F.contains(text, F.lit(self.needed)) & found) if len(self.needed) > 1 else found
+        return (F.contains(text, F.lit(self.needed)) & found) if self.needed else found
+
+    def _where(self, text: Column, found: Column, empty: Column | None = None) -> Column:
+        """found, searched only where the text holds what every match holds; else empty."""
+        if not self.needed:
+            return found
+        sifted = F.when(F.contains(text, F.lit(self.needed)), found)
+        return sifted if empty is None else sifted.when(text.isNotNull(), empty)
+
+    def _alone(self) -> bool:
+        """A match says nothing about what is around it, so it can be taken apart by itself."""
+        return not any(isinstance(n, dialect.Look | At) for n in dialect.walk(self.node))
 
     # ---- tests and matches
 
@@ -129,19 +144,19 @@ class Pattern:
     def count(self, text: Column) -> Column:
         if self._reasons("count"):
             return self._outside("count", text)
-        return F.regexp_count(text, F.lit(self._java()))
+        return self._where(text, F.regexp_count(text, F.lit(self._java())), F.lit(0))
 
     def find_text(self, text: Column) -> Column:
         """The first match's text, or null."""
         if self._reasons("find"):
             return self._outside("find", text).getField("text")
-        return F.regexp_substr(text, F.lit(self._java()))
+        return self._where(text, F.regexp_substr(text, F.lit(self._java())))
 
     def find(self, text: Column) -> Column:
         """The first match: start and end in bytes, text; null if there is none."""
         if self._reasons("find"):
             return self._outside("find", text)
-        value = F.regexp_substr(text, F.lit(self._java()))
+        value = self._where(text, F.regexp_substr(text, F.lit(self._java())))
         start = F.octet_length(F.split(text, self._java(), 2)[0])
         return F.when(value.isNotNull(), F.struct(start.alias("start"), (start + F.octet_length(value)).alias("end"), value.alias("text"))).otherwise(F.lit(None).cast(MATCH))
 
@@ -149,7 +164,7 @@ class Pattern:
         """Texts of all matches."""
         if self._reasons("find_all"):
             return self._outside("find_all", text)
-        return F.regexp_extract_all(text, F.lit(self._java()), F.lit(0))
+        return self._where(text, F.regexp_extract_all(text, F.lit(self._java()), F.lit(0)), F.array().cast("array<string>"))
 
     def spans(self, text: Column) -> Column:
         """All matches as start, end, text. operators.matches places them without leaving the JVM, as rows."""
@@ -165,17 +180,29 @@ class Pattern:
         """A struct of the first match and its groups by name (group<n> without one); null for groups that took no part."""
         kept, names = builtins.set(range(1, self.group_count + 1)), self._names()
         if spans or self._reasons("captures"):
-            return self._outside("captures", text, kept, names=names, spans=spans)
+            return self._outside("captures", text, kept, names=names, spans=spans, unseen=self.unseen)
         java = self._java(kept)
+        if self._alone():  # the text is searched once, its match taken apart
+            first = self._where(text, F.regexp_substr(text, F.lit(java)))
+            return F.when(first.isNotNull(), self._apart(first, java))
         groups = F.struct(*[F.regexp_extract(text, java, i).alias(n) for i, n in enumerate(names)])
-        return F.when(text.rlike(java), groups)
+        return self._where(text, F.when(text.rlike(java), groups))
+
+    def _apart(self, found: Column, java: str) -> Column:
+        names = self._names()
+        return F.struct(found.alias(names[0]), *[F.regexp_extract(found, java, i).alias(n) for i, n in enumerate(names) if i])
 
     def captures_all(self, text: Column, spans: bool = False) -> Column:
         kept, names = builtins.set(range(1, self.group_count + 1)), self._names()
         if spans or self._reasons("captures_all"):
-            return self._outside("captures_all", text, kept, names=names, spans=spans)
-        java = F.lit(self._java(kept))
-        return F.arrays_zip(*[F.regexp_extract_all(text, java, F.lit(i)).alias(n) for i, n in enumerate(names)])
+            return self._outside("captures_all", text, kept, names=names, spans=spans, unseen=self.unseen)
+        java = self._java(kept)
+        none = F.array().cast(ArrayType(StructType([StructField(n, StringType()) for n in names])))
+        if self._alone():
+            groups = F.transform(F.regexp_extract_all(text, F.lit(java), F.lit(0)), lambda m: self._apart(m, java))
+        else:
+            groups = F.arrays_zip(*[F.regexp_extract_all(text, F.lit(java), F.lit(i)).alias(n) for i, n in enumerate(names)])
+        return self._where(text, groups, none)
 
     def group(self, text: Column, which: int | str, strict: bool = False) -> Column:
         """One group of the first match; strict: an absent one is an error."""
@@ -192,24 +219,48 @@ class Pattern:
         if self._reasons("replace"):
             return self._outside("replace", text, by=by)
         parts = F.split(text, self._java(), 2)
-        return F.when(text.rlike(self._java()), F.concat(parts[0], F.lit(by), F.coalesce(F.get(parts, F.lit(1)), F.lit("")))).otherwise(text)
+        return self._where(text, F.when(text.rlike(self._java()), F.concat(parts[0], F.lit(by), F.coalesce(F.get(parts, F.lit(1)), F.lit("")))).otherwise(text), text)
 
     def replace_all(self, text: Column, by: str) -> Column:
         if self._reasons("replace_all"):
             return self._outside("replace_all", text, by=by)
-        return F.regexp_replace(text, self._java(), by.replace("\\", "\\\\").replace("$", "\\$"))
+        return self._where(text, F.regexp_replace(text, self._java(), by.replace("\\", "\\\\").replace("$", "\\$")), text)
 
     # ---- with a limit: {value, error}
 
+    def _tried(self, op: str, text: Column, value: Column) -> Column | None:
+        """value and no error, where the search can't run long: natively, and without references."""
+        if self._reasons(op) or any(isinstance(n, dialect.Back) for n in dialect.walk(self.node)):
+            return None
+        return F.when(text.isNotNull(), F.struct(value.alias("value"), F.lit(None).cast("string").alias("error")))
+
     def try_is_match(self, text: Column) -> Column:
-        return self._outside("is_match", text, as_error=True)
+        tried = self._tried("is_match", text, self.is_match(text))
+        return self._outside("is_match", text, as_error=True) if tried is None else tried
 
     def try_find(self, text: Column) -> Column:
-        return self._outside("find", text, as_error=True)
+        tried = self._tried("find", text, self.find(text))
+        return self._outside("find", text, as_error=True) if tried is None else tried
 
     def try_captures(self, text: Column, spans: bool = False) -> Column:
+        if not spans and (tried := self._tried("captures", text, self.captures(text))) is not None:
+            return tried
         kept = builtins.set(range(1, self.group_count + 1))
-        return self._outside("captures", text, kept, names=self._names(), spans=spans, as_error=True)
+        return self._outside("captures", text, kept, names=self._names(), spans=spans, unseen=self.unseen, as_error=True)
+
+
+def match_length(match: Column) -> Column:
+    """Bytes of a match (start, end, text)."""
+    return match.getField("end") - match.getField("start")
+
+
+def match_is_empty(match: Column) -> Column:
+    return match.getField("end") == match.getField("start")
+
+
+def match_bytes(match: Column) -> Column:
+    """The match's text in UTF-8."""
+    return F.encode(match.getField("text"), "UTF-8")
 
 
 def merged(n):
@@ -240,5 +291,16 @@ def _tail(items: tuple):
     return items[1] if len(items) == 2 and isinstance(items[1], Alt) else Seq(items[1:])
 
 
+@lru_cache(maxsize=256)
+def _searcher(pattern: str, seconds: float | None):
+    p = compile(pattern, seconds=seconds)
+    return p._spelled(builtins.set(), python=True).text
+
+
+def rows_of(pattern: str, text: str, seconds: float | None = 10.0) -> list[dict]:
+    """start, end (bytes) and text of all matches in one text, outside Spark's functions."""
+    return [place(m, text) for m in found(_searcher(pattern, seconds), text, seconds)]
+
+
 def compile(pattern: str, **options) -> Pattern:  # noqa: A001
     return Pattern(pattern, Options(**options))

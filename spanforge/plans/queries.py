@@ -34,7 +34,7 @@ def _count_sql(table: str, key: str, text: str, pattern: str) -> str:
     return f"SELECT {key}, len(regexp_extract_all({text}, '{pattern}')) AS n FROM {table}"
 
 
-@query("SELECT doc_id FROM documents WHERE regexp_matches(text, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{2,}')")
+@query("SELECT doc_id FROM documents WHERE regexp_matches(text, '[0-9A-Za-z][0-9A-Za-z_.+%-]*@(?:[0-9A-Za-z-]+\\.){1,8}[A-Za-z]{2,}')")
 def is_match_email(spark, sf_dir):
     return read_table(spark, sf_dir, "documents").where(compile(presets.EMAIL).is_match(F.col("text"))).select("doc_id")
 
@@ -51,9 +51,9 @@ def literal_anchors(spark, sf_dir):
     return read_table(spark, sf_dir, "customer").where(found).select("c_custkey")
 
 
-@query("SELECT page_id, nullif(regexp_extract(html, 'https?://[^\\s<>\"]+', 0), '') AS url FROM pages")
+@query("SELECT page_id, nullif(regexp_extract(html, 'https?://[0-9A-Za-z.-]+(?::[0-9]{1,5})?(?:/[^\\s<>\"'']*)?', 0), '') AS url FROM pages")
 def find_first_url(spark, sf_dir):
-    return read_table(spark, sf_dir, "pages").select("page_id", compile(r'https?://[^\s<>"]+').find_text(F.col("html")).alias("url"))
+    return read_table(spark, sf_dir, "pages").select("page_id", compile(presets.URL).find_text(F.col("html")).alias("url"))
 
 
 @query("SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS token FROM conversations) GROUP BY token")
@@ -84,7 +84,7 @@ def captures_iter_attrs(spark, sf_dir):
     return found.select("page_id", "name", "value")
 
 
-@query("SELECT page_id, regexp_replace(html, '<[^>]+>', '', 'g') AS plain FROM pages")
+@query("SELECT page_id, regexp_replace(html, '</?[A-Za-z!][^<>]*>', '', 'g') AS plain FROM pages")
 def strip_tags(spark, sf_dir):
     return read_table(spark, sf_dir, "pages").select("page_id", compile(presets.TAG).replace_all(F.col("html"), "").alias("plain"))
 
@@ -207,7 +207,8 @@ def bounded_repeats(spark, sf_dir):
 
 @query(_count_sql("documents", "doc_id", "text", "(?:[a-z]+ )+[a-z]+"))
 def possessive_loop(spark, sf_dir):
-    """A loop over a group, in texts of any length: spelled so that the JVM's stack doesn't grow with the text."""
+    """A loop over a group that gives iterations back, in texts of any length: it would deepen the JVM's stack, so it runs
+    outside (explain() says: deep loop)."""
     return _counted(spark, sf_dir, "documents", "doc_id", "text", r"(?:[a-z]+ )+[a-z]+")
 
 
@@ -269,18 +270,22 @@ def replace_outside(spark, sf_dir):
     return read_table(spark, sf_dir, "conversations").select("conv_id", "turn", compile("(?:a|ab)+c").replace_all(F.col("text"), "#").alias("t"))
 
 
-@query()
+@query("SELECT conv_id, turn, length_grapheme(text) AS n FROM conversations")
 def grapheme_clusters(spark, sf_dir):
-    return read_table(spark, sf_dir, "conversations").select("conv_id", "turn", compile(r"\X").count(F.col("text")).alias("n"))
+    return read_table(spark, sf_dir, "conversations").select("conv_id", "turn", compile(r"\X").count(F.col("text")).cast("long").alias("n"))
 
 
-@query()
+@query("""
+    WITH p AS (SELECT conv_id, turn, regexp_extract(text, '(?:a|an)+d', 0) AS t, strlen(regexp_extract(text, '^(?s:(.*?))(?:a|an)+d', 1)) AS s FROM conversations)
+    SELECT conv_id, turn, CAST(CASE WHEN t <> '' THEN s END AS INTEGER) AS "start", CAST(CASE WHEN t <> '' THEN s + strlen(t) END AS INTEGER) AS "end", CAST(NULL AS VARCHAR) AS error FROM p""")
 def try_find_overlap(spark, sf_dir):
     found = compile(r"(?:a|an)+d", seconds=5.0).try_find(F.col("text"))
     return read_table(spark, sf_dir, "conversations").select("conv_id", "turn", found.alias("f")).select("conv_id", "turn", "f.value.start", "f.value.end", "f.error")
 
 
-@query()
+@query("""
+    WITH p AS (SELECT conv_id, turn, regexp_matches(text, '[A-Z][a-z]+ [a-z]+') AS m, strlen(regexp_extract(text, '^(?s:(.*?))[A-Z][a-z]+ [a-z]+', 1)) AS s, strlen(regexp_extract(text, '[A-Z][a-z]+ [a-z]+', 0)) AS n FROM conversations)
+    SELECT conv_id, turn, CAST(CASE WHEN m THEN s END AS INTEGER) AS first_start, CAST(CASE WHEN m THEN s + n END AS INTEGER) AS then_end FROM p""")
 def capture_spans(spark, sf_dir):
     found = compile(r"(?<first>[A-Z][a-z]+) (?<then>[a-z]+)").captures(F.col("text"), spans=True)
     docs = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", found.alias("c"))
@@ -291,3 +296,39 @@ def capture_spans(spark, sf_dir):
 def token_counts_bpe(spark, sf_dir):
     """How a public tokenizer's pattern splits all documents, counted."""
     return matches.token_counts(read_table(spark, sf_dir, "documents"), "text", compile(presets.BYTE_PAIR_100K))
+
+
+@query("SELECT doc_id FROM documents d WHERE EXISTS (SELECT 1 FROM benchmark b WHERE contains(d.text, b.text))")
+def benchmark_semi_join(spark, sf_dir):
+    """Documents that hold a benchmark passage as it is."""
+    return matches.literal_semi_join(read_table(spark, sf_dir, "documents"), "text", read_table(spark, sf_dir, "benchmark"), "text").select("doc_id")
+
+
+@query("SELECT doc_id FROM documents d WHERE EXISTS (SELECT 1 FROM benchmark b WHERE contains(d.text, b.text))")
+def benchmark_anchor_join(spark, sf_dir):
+    """The same by the way that any number of values takes."""
+    return matches.literal_semi_join(read_table(spark, sf_dir, "documents"), "text", read_table(spark, sf_dir, "benchmark"), "text", most=0).select("doc_id")
+
+
+@query("SELECT conv_id, turn, length(text) + 1 AS n, regexp_replace(text, '', '-', 'g') AS t FROM conversations")
+def empty_matches(spark, sf_dir):
+    """A pattern that would rather match nothing: one empty match before each character and one at the end."""
+    p, text = compile("[a-z]*?"), F.col("text")
+    return read_table(spark, sf_dir, "conversations").select("conv_id", "turn", p.count(text).cast("long").alias("n"), p.replace_all(text, "-").alias("t"))
+
+
+@query("SELECT token, n FROM (SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS token FROM documents) GROUP BY token) ORDER BY n DESC, token LIMIT 25")
+def top_words(spark, sf_dir):
+    return matches.token_counts(read_table(spark, sf_dir, "documents"), "text", compile("[A-Za-z]+")).orderBy(F.desc("n"), "token").limit(25)
+
+
+@query("""
+    WITH p AS (SELECT conv_id, turn, regexp_extract_all(text, '([^A-Z]*)([A-Z][a-z]*)', 1) AS g, regexp_extract_all(text, '([^A-Z]*)([A-Z][a-z]*)', 2) AS w FROM conversations),
+    r AS (SELECT conv_id, turn, unnest(range(1, len(w) + 1)) AS i, unnest(g) AS g, unnest(w) AS w FROM p),
+    s AS (SELECT *, sum(strlen(g) + strlen(w)) OVER (PARTITION BY conv_id, turn ORDER BY i) AS e FROM r)
+    SELECT conv_id, turn, CAST(i AS INTEGER) AS match_no, CAST(e - strlen(w) AS INTEGER) AS "start", CAST(e AS INTEGER) AS "end", w AS text FROM s""")
+def sql_matches(spark, sf_dir):
+    """The table function in SQL."""
+    matches.register(spark)
+    read_table(spark, sf_dir, "conversations").createOrReplaceTempView("spanforge_conversations")
+    return spark.sql("SELECT c.conv_id, c.turn, m.* FROM spanforge_conversations c, LATERAL matches(c.text, '[A-Z][a-z]*') m")

@@ -48,7 +48,7 @@ def ends(n, t, i, g):
             if found != negated:
                 yield i, g
         case d.Back(k):
-            if k in g:
+            if k in g:  # one that took no part matches nowhere
                 part = t[slice(*g[k])]
                 if t.startswith(part, i):
                     yield i + len(part), g
@@ -59,7 +59,11 @@ def ends(n, t, i, g):
 
             def more(i, g, done):
                 for j, h in ends(body, t, i, g):
-                    if j > i or done < least:
+                    if j > i:
+                        yield from loop(j, h, done + 1)
+                    elif greedy and done < max(least, 1):
+                        yield j, h  # an iteration of nothing is the last one, while one is owed
+                    elif not greedy and done < least:
                         yield from loop(j, h, done + 1)
 
             def loop(i, g, done):

@@ -6,7 +6,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from spanforge.functions import compile, escape, escape_column
+from spanforge.functions import compile, escape, escape_column, match_bytes, match_is_empty, match_length
 from spanforge.operators import matches
 
 from . import spec
@@ -14,8 +14,13 @@ from . import spec
 PATTERNS = [
     r"a", r"ab|a", r"[a-c]+", r"\bfoo\b", r"a*", r"a?b?c?", r"\d*", r"\w+(?=ing\b)", r"(?<=@)\w+", r"(['\"])[^'\"]*\1", r"(?m)^\w", r"(?m)\w$", r"\w$", r"(?:ab)+", r"(?:a|ab)+c?", r"(a)|(b)", r"(x)(y)?",
     r"\s+", r"(?i)cat", r".+?b", r"(?:a|b)*c", r"\X", r"[^a]b", r"(?s).", r"\R", r"(?!a)\w", r"x{2,3}", r"(\w)(\w)", r"\p{L}+", r"(?:[a-z]+ )+[a-z]+",
+    r"a*?", r"|a", r"x??", r"\b|x", r"(?:|ab)", r"(|a)*", r"(a*)*", r"x(?:|a)*", r"(?:|a)+b", r"(?:a|)+?b", r"(?:a??b)*", r"\B", r"(?=(a))b?", r"(?=(a))a", r"(?=a(b))(a)", r"(?=(a))\1", r"(?<=(a))\w", r"(?=(\w)\1)\w+",
+    r"\w+1", r"[a-z]+(?=y)", r"\w{2,}\b", r"[ab]+[bc]", r"\bab\b", r"\bx\w", r"\b[ab]+9?\b", r"a\b.", r"\b \b", r"(\w+)=(\w+)", r"\bno\bx", r"é\b", r"\bé",
+]
+TEXTS = [
+    "", "b", "no match here", "one1two2", "\n\n", "x \r\n y", "Cat scat CATS", "naïve café", "ΣσςΑ", "→←", "food foo", "sing king ring", "cost: 5 or 55", "tail\n", "snake_case_9", "mail me@host, you@there",
+    "aaa", "abac", "👍🏽x", "say 'a' or \"b\"", "xxyxxxy", "a=b c=d1", "ab ab1", "abab9 ba", "noxno", "x1y1z1",
 ]
-TEXTS = ["", "a", "abab", "a1b2", "  ", "\t ", "\r\n", "CAT cat", "é", "XéY", "αβγ", "☺", "foobarbaz foo", "running and singing", "$100 and 200", "a\nb", "_under_", "café", "user@site.com", "aa", "baac", "😀", "'a' \"b\"", "xxxy", "abc c", "a b\n"]
 
 
 def corpus():
@@ -29,6 +34,13 @@ def spans(pattern, t):
     return [(b(s), b(e), t[s:e]) for s, e, _ in spec.find_all(pattern, t)]
 
 
+def test_iteration_after_empty_matches():
+    places = lambda p, t: [(a, b) for a, b, _ in spec.find_all(p, t)]
+    assert places("a*?", "aa") == [(0, 0), (1, 1), (2, 2)] and places("a*", "aa") == [(0, 2)]
+    assert places("(|a)*", "a") == [(0, 0), (1, 1)] and places("|a", "a") == [(0, 0), (1, 1)]
+    assert spec.find_all("(a*)*", "a") == [(0, 1, {1: (0, 1)})]
+
+
 @pytest.mark.parametrize("pattern", [p for p in PATTERNS if p != r"\X"])
 def test_all_routes_agree_with_the_specification(spark, pattern):
     p, texts = compile(pattern), corpus()
@@ -75,10 +87,49 @@ def test_texts_that_hold_the_marks(spark):
 
 
 def test_limits_are_errors_only_where_asked(spark):
-    df = spark.createDataFrame([("a" * 40 + "b",)], "t string")
-    p = compile(r"(a*)*\1c$", seconds=0.2)
-    got = df.select(p.try_is_match(F.col("t")).alias("x")).first().x
-    assert got.error is None or "MatchLimitExceeded" in got.error
+    df = spark.createDataFrame([("x" * 4000,), ("aab",), (None,)], "t string")
+    p = compile(r"(x+)(x+)+\1\2y|aab", seconds=0.3)
+    long, short, null = df.select(p.try_is_match(F.col("t")).alias("m"), p.try_find(F.col("t")).alias("f"), p.try_captures(F.col("t")).alias("c")).collect()
+    for x in long:
+        assert x.value is None and x.error.startswith("MatchLimitExceeded")
+    assert [x.error for x in short] == [None] * 3 and short.m.value is True and tuple(short.f.value) == (0, 3, "aab") and short.c.value.match == "aab" and short.c.value.group1 is None
+    assert tuple(null) == (None, None, None)
+    with pytest.raises(Exception, match="MatchLimitExceeded"):
+        df.select(p.is_match(F.col("t"))).collect()
+
+
+def test_tries_run_natively_where_no_limit_can_be_met(spark):
+    df = spark.createDataFrame([("k=v",), ("none",), (None,)], "t string")
+    p = compile(r"(?<key>\w)=(?<value>\w)")
+    plan = df.select(p.try_is_match(F.col("t")).alias("m"), p.try_find(F.col("t")).alias("f"), p.try_captures(F.col("t")).alias("c"))
+    assert "ArrowEval" not in plan._jdf.queryExecution().toString()
+    hit, miss, null = plan.collect()
+    assert hit.m.value and tuple(hit.f.value) == (0, 3, "k=v") and tuple(hit.c.value) == ("k=v", "k", "v")
+    assert miss.m.value is False and miss.f.value is None and miss.c.value is None and miss.m.error is None
+    assert tuple(null) == (None, None, None)
+
+
+def test_options_that_change_no_match(spark):
+    df = spark.createDataFrame([(t,) for t in ["them they the", "thermal", "", "on one only"]], "t string")
+    pattern = r"\b(?:the|them|they|one|only|on)\b|the"
+    plain, merging, jit = compile(pattern), compile(pattern, optimize_prefixes=True), compile(pattern, jit=True)
+    t = F.col("t")
+    for r in df.select(plain.find_all(t).alias("a"), merging.find_all(t).alias("b"), jit.find_all(t).alias("c")).collect():
+        assert r.a == r.b == r.c
+    short = compile("the|them|they", optimize_prefixes=True)
+    assert len(short.explain()) < len(compile("the|them|they").explain()) + 8 and short.explain() != compile("the|them|they").explain()
+    assert df.select(short.find_all(t)).first()[0] == ["the", "the", "the"]  # the first branch is still preferred
+
+
+def test_match_accessors(spark):
+    df = spark.createDataFrame([("é1",), ("x",)], "t string").select(compile(r"é?\d").find(F.col("t")).alias("m"))
+    got = [tuple(r) for r in df.select(match_length(F.col("m")), match_is_empty(F.col("m")), match_bytes(F.col("m"))).collect()]
+    assert got == [(3, False, bytearray("é1".encode())), (None, None, None)]
+
+
+def test_what_every_match_holds():
+    for pattern, text in (("@", "@"), (r"\w+(?=ing\b)", "ing"), (r"\bthe\b", "the"), (r"a(?!bcd)", "a"), (r"(?<=key=)\d+", "key="), (r"(?:ab|cd)x*", ""), (r"a+@[b-d]+\.e", ".e"), (r"a\b\.b", "a.b")):
+        assert compile(pattern).needed == text, pattern
 
 
 def test_escape(spark):
@@ -141,8 +192,37 @@ def test_sources(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).first().start == 1
 
 
-def test_semi_join_checks_what_it_sends(spark):
-    texts, words = spark.createDataFrame([("abc",), ("xyz",)], "t string"), spark.createDataFrame([("b",), ("q",)], "w string")
-    assert matches.literal_semi_join(texts, "t", words, "w").count() == 1
-    with pytest.raises(ValueError, match="at most 1"):
-        matches.literal_semi_join(texts, "t", words, "w", most=1)
+def test_semi_join_of_any_number_of_values(spark):
+    rng = random.Random(3)
+    say = lambda n: "".join(rng.choices("abé\n ", k=n))
+    texts = [say(rng.randint(0, 60)) for _ in range(80)] + [None, "same", "same"]
+    words = [say(n) for n in (2, 3, 4, 5, 6, 8, 9, 15, 16, 17, 20)] + [texts[5][3:30], texts[9][1:9], None, "sam"]
+    df, w = spark.createDataFrame([(t,) for t in texts], "t string"), spark.createDataFrame([(x,) for x in words if x != ""], "w string")
+    want = sorted(t for t in texts if t is not None and any(x in t for x in words if x))
+    for most in (1000, 0):
+        assert sorted(r.t for r in matches.literal_semi_join(df, "t", w, "w", most=most).collect()) == want
+    every = matches.literal_semi_join(df, "t", w.union(spark.createDataFrame([("",)], "w string")), "w", most=0)
+    assert every.count() == len(texts) - 1
+
+
+def test_table_function(spark):
+    matches.register(spark)
+    got = spark.sql("SELECT id, m.* FROM VALUES (1, 'aXbX'), (2, 'n'), (3, null) AS v(id, t), LATERAL matches(t, 'X') m").collect()
+    assert sorted(map(tuple, got)) == [(1, 1, 1, 2, "X"), (1, 2, 3, 4, "X")]
+
+
+def test_sliding_windows_and_late_rows(spark, tmp_path):
+    from spanforge.streaming import match_rates
+
+    at = "timestamp'2024-01-01 00:00:00' + make_interval(0,0,0,0,0,0,{})"
+    schema = None
+    for i, (first, last) in enumerate([(0, 1800), (3600, 5400), (60, 120)]):  # the last file comes far too late
+        rows = spark.sql(f"SELECT {at.format('id')} AS ts, 'error' AS t FROM range({first}, {last}, 10)").coalesce(1)
+        schema = rows.schema
+        rows.write.mode("append").parquet(str(tmp_path / "in" / f"p{i}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    rates = match_rates(stream, "ts", "t", compile("error"), window="10 minutes", slide="5 minutes", late="10 minutes")
+    q = rates.writeStream.format("memory").queryName("slid").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = {r.window_start.isoformat(): r.matches for r in spark.table("slid").collect()}
+    assert got["2024-01-01T00:05:00"] == 60 and got["2023-12-31T23:55:00"] == 30  # late rows add nothing
