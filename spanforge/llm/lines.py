@@ -111,7 +111,7 @@ def near_classes(facts: DataFrame) -> DataFrame:
 
 
 def _tokens(keyed: DataFrame, leaves: DataFrame, depth: int) -> DataFrame:
-    """leaf, masked, place, token of the lines whose leaf is in leaves (each masked line once a batch)."""
+    """leaf, masked, place, token of the lines whose leaf is in leaves, and of few others (for equal bits)."""
     schema = fields("leaf long, masked long, place int, token long")
     marks = keyed.sparkSession.sparkContext.broadcast(bitmap(leaves, "leaf"))  # of BITS bits, whatever the number of leaves
 
@@ -127,8 +127,7 @@ def _tokens(keyed: DataFrame, leaves: DataFrame, depth: int) -> DataFrame:
         columns = [np.repeat(x.leaf[held], sizes).view(np.int64), np.repeat(x.masked[held], sizes).view(np.int64), place.astype(np.int32), token.view(np.int64)]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=schema.names)
 
-    found = map_batches(keyed.select("text"), lambda: step, schema, rows=500)
-    return found.distinct().join(leaves.select("leaf"), "leaf", "left_semi")
+    return map_batches(keyed.select("text"), lambda: step, schema, rows=500).distinct()
 
 
 def recurring(keyed: DataFrame, facts: DataFrame, depth: int = DEPTH, recurs: int = RECURS, constant: float = CONSTANT, short: int = SHORT, short_recurs: int = SHORT_RECURS) -> DataFrame:
@@ -141,13 +140,12 @@ def recurring(keyed: DataFrame, facts: DataFrame, depth: int = DEPTH, recurs: in
     spread = lambda df, *by: df.select(*by, "class", "size").distinct().groupBy(*by).agg(F.count(F.lit(1)).alias("classes"), F.first("size").alias("size")).where(F.col("classes") >= need)
     leaves = cut(spread(lines, "leaf"))
     held = cut(join_keyed(lines, leaves.select("leaf", "classes"), "leaf", "classes"))
-    weights = cut(held.groupBy("leaf", "masked").agg(F.count(F.lit(1)).alias("n")))
-    tokens = cut(_tokens(keyed, leaves, depth).join(weights, ["leaf", "masked"]))
-    support = cut(tokens.groupBy("leaf", "place", "token").agg(F.sum("n").alias("s")).where(F.col("s") >= min(recurs, short_recurs)))
-    marked = tokens.join(support, ["leaf", "place", "token"], "left").withColumn("fixed", F.col("s").isNotNull() & (F.col("token") != int(ANY.astype(np.int64))))
-    spelled = F.when(F.col("fixed"), F.xxhash64("place", "token")).otherwise(F.lit(0))
-    templates = marked.groupBy("leaf", "masked").agg(F.sum(spelled.cast("decimal(38,0)")).alias("t"), F.avg(F.col("fixed").cast("int")).alias("share")).where(F.col("share") >= constant)
-    templates = cut(templates.join(weights, ["leaf", "masked"]).select("masked", F.xxhash64("leaf", "t").alias("template"), "n"))
+    weights = cut(held.groupBy("leaf", "masked", "size").agg(F.count(F.lit(1)).alias("n")))
+    tokens = _tokens(keyed, leaves, depth).where(F.col("token") != int(ANY.astype(np.int64))).join(weights, ["leaf", "masked"])
+    tokens = cut(tokens.select("leaf", "masked", "size", "n", F.xxhash64("leaf", "place", "token").alias("spot")))
+    support = cut(tokens.groupBy("spot").agg(F.sum("n").alias("s")).where(F.col("s") >= min(recurs, short_recurs)))
+    fixed = join_keyed(tokens, support, "spot", "s").groupBy("leaf", "masked", "size", "n").agg(F.sum(F.col("spot").cast("decimal(38,0)")).alias("t"), F.count(F.lit(1)).alias("c"))
+    templates = cut(fixed.where(F.col("c") >= F.col("size") * constant).select("masked", F.xxhash64("leaf", "t").alias("template"), "n"))
     of = cut(join_keyed(held.select("masked", "class", "size"), templates, "masked", "n"))
     dropped = cut(spread(of, "template"))
     gone = cut(templates.join(dropped, "template").select("masked", "n"))

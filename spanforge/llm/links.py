@@ -1,22 +1,16 @@
-"""Connected components over links, as Spark jobs; and the exact test of candidate pairs."""
+"""Connected components over links, as Spark jobs; and clusters of nodes that share keys, by an exact test of pairs."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-from .common import cut, fields, join_keyed, map_batches, map_lists, spent
-
-
-#: Turns that keys are dealt to; a pair of many shared keys is made at most so often.
-TURNS = 8
-#: Pairs for each node that one join may sift by sketches; beyond that, more leaders are tried first.
-SIFTED = 10_000
+from .common import cut, fields, join_keyed, map_batches, spent
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -48,96 +42,12 @@ def jaccard_at_least(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def verify(pairs: DataFrame, texts: DataFrame, set_of: Callable[[str], np.ndarray], percent: int) -> DataFrame:
-    """Those of pairs (a, b) whose texts' sets reach percent; texts: node, text. Each pair is tested in full."""
-    rows = pairs.join(texts.withColumnsRenamed({"node": "b", "text": "__tb"}), "b").join(texts.withColumnsRenamed({"node": "a", "text": "__ta"}), "a")
-
-    def make():
-        known: dict[int, np.ndarray] = {}
-
-        def sets(node: int, text: str) -> np.ndarray:
-            if node not in known:
-                if len(known) >= 256:
-                    known.clear()
-                known[node] = set_of(text)
-            return known[node]
-
-        def step(batch: dict[str, list]) -> dict[str, list]:
-            kept = [(a, b) for a, b, ta, tb in zip(batch["a"], batch["b"], batch["__ta"], batch["__tb"]) if jaccard_at_least(sets(a, ta), sets(b, tb), percent)]
-            return {"a": [a for a, _ in kept], "b": [b for _, b in kept]}
-
-        return step
-
-    schema: StructType = fields("a long, b long")
-    return map_lists(rows.select("a", "b", "__ta", "__tb"), make, schema)
-
-
 def shared_keys(keys: DataFrame) -> DataFrame:
-    """keys (key, node, n) under which several nodes meet. Keys that bring together the same nodes become one, named by
+    """keys (key, node) under which several nodes meet. Keys that bring together the same nodes become one, named by
     a hash of these nodes: pairs that share many keys meet once. (Should two hashes be equal, groups merge and lose none.)"""
     group = Window.partitionBy("key")
-    multi = keys.withColumns({"__lo": F.min("node").over(group), "__hi": F.max("node").over(group)}).where("__lo != __hi").select("key", "node", "n").distinct()
-    return cut(multi.select(F.bit_xor(F.xxhash64("node")).over(group).alias("key"), "node", "n").distinct())
-
-
-def candidate_components(multi: DataFrame, test: Callable[[DataFrame], DataFrame], percent: int, sketches: DataFrame | None = None, rounds: int = 3) -> tuple[DataFrame, DataFrame]:
-    """(labels, links) from multi (key, node, n): every pair of nodes that share a key is in one component or is tested.
-
-    sketches (node, and 64-bit words of a parity sketch): the Hamming distance of two sketches is at most the symmetric
-    difference of their sets, so pairs too far apart are passed over inside the join, before they are rows.
-
-    First each key's nodes are tested against one of them, the leader. Pairs of one component need no test any more.
-    What is left are pairs across components under a shared key; while they are many against the nodes, further
-    leaders are tried, of the component that is the largest under the key; then all that are left are tested. Keys are
-    dealt to TURNS; of the keys of a turn that a pair shares, only the smallest gives the pair."""
-    near = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
-    leader = F.min(F.struct("node", "n"))
-    words = [c for c in sketches.columns if c != "node"] if sketches is not None else []
-
-    def allowed(mine: str = "", other: str = "__o_"):
-        """|A xor B| <= (1 - t) / (1 + t) * (|A| + |B|)"""
-        if not words:
-            return F.lit(True)
-        apart = sum((F.bit_count(F.col(f"{mine}{w}").bitwiseXOR(F.col(f"{other}{w}"))) for w in words[1:]), F.bit_count(F.col(f"{mine}{words[0]}").bitwiseXOR(F.col(f"{other}{words[0]}"))))
-        return apart * (100 + percent) <= (F.col("n") + F.col("m")) * (100 - percent)
-
-    first = multi.groupBy("key").agg(leader.alias("l")).select("key", F.col("l.node").alias("a"), F.col("l.n").alias("m"))
-    tried = cut(multi.join(first, "key").where(near & (F.col("a") != F.col("node"))).select("a", F.col("node").alias("b")).distinct())
-    links = cut(test(tried))
-    for attempt in range(rounds + 1):
-        labels = components(links)
-        labelled = multi.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        counts = labelled.groupBy("key", "label").count().groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.sum("count").alias("s"), F.sum(F.col("count") * F.col("count")).alias("q"))
-        split = counts.where("parts > 1")
-        rest = labelled.join(split.select("key"), "key")
-        rest = cut(rest.join(sketches, "node") if words else rest)
-        nodes = rest.select("node").distinct().count()
-        if not nodes:
-            break
-        groups = split.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()[0]
-        more = groups > SIFTED * nodes and attempt < rounds
-        if more:
-            turn = F.xxhash64(F.lit(attempt), "node")
-            best = rest.groupBy("key", "label").agg(F.min(F.struct(turn.alias("t"), "node", "n")).alias("l"), F.count(F.lit(1)).alias("c"))
-            best = best.select("key", "c", F.col("label").alias("la"), F.col("l.node").alias("a"), F.col("l.n").alias("m"))
-            top = best.groupBy("key").agg(F.max(F.struct("c", "la", "a", "m")).alias("x")).select("key", "x.la", "x.a", "x.m")
-            if words:
-                top = top.join(sketches.withColumnsRenamed({"node": "a"} | {w: f"__o_{w}" for w in words}), "a")
-            pairs = rest.join(top, "key").where((F.col("la") != F.col("label")) & near & allowed())
-        else:
-            turn = F.pmod("key", F.lit(TURNS))
-            rest = cut(rest.withColumn("__keys", F.collect_list("key").over(Window.partitionBy("node", turn))))
-            other = rest.select("key", F.col("node").alias("a"), F.col("n").alias("m"), F.col("label").alias("la"), F.col("__keys").alias("__o_keys"), *[F.col(w).alias(f"__o_{w}") for w in words])
-            once = F.array_min(F.array_intersect("__keys", "__o_keys")) == F.col("key")
-            pairs = rest.join(other, "key").where((F.col("la") < F.col("label")) & near & allowed() & once)
-        fresh = cut(pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
-        found = cut(test(fresh))
-        links = cut(links.union(found))
-        if not more:
-            labels = components(links)
-            break
-        tried = cut(tried.union(fresh))
-    return labels, links
+    multi = keys.withColumns({"__lo": F.min("node").over(group), "__hi": F.max("node").over(group)}).where("__lo != __hi").select("key", "node").distinct()
+    return cut(multi.select(F.bit_xor(F.xxhash64("node")).over(group).alias("key"), "node").distinct())
 
 
 #: Parts that a leader's pairs are dealt to; each part is sent the leader's set once.
@@ -157,15 +67,15 @@ def tested(pairs: DataFrame, sets: DataFrame, set_of: Callable[[bytes], np.ndarr
     rows = heads.union(others).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
 
     def make():
-        mine: list[np.ndarray] = []
+        mine: list = [None, None]  # the leader at hand and its set
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             kept: list[tuple[int, int]] = []
             for a, b, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 found = set_of(words.as_py())
                 if b is None:
-                    mine[:] = [found]
-                elif jaccard_at_least(mine[0], found, percent):
+                    mine[:] = a, found
+                elif mine[0] == a and jaccard_at_least(mine[1], found, percent):
                     kept.append((a, b))
             return pa.RecordBatch.from_pydict({"a": [a for a, _ in kept], "b": [b for _, b in kept]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
@@ -174,52 +84,63 @@ def tested(pairs: DataFrame, sets: DataFrame, set_of: Callable[[bytes], np.ndarr
     return map_batches(rows.select("a", "b", "words"), make, fields("a long, b long"))
 
 
+#: Bits of a parity sketch, and the columns of 64 bits that hold it in joins.
+SKETCH = 512
+_WORDS = [f"w{i}" for i in range(SKETCH // 64)]
+
+
 def _near(percent: int) -> Column:
-    """Of two rows (n, sketch and m, other): whether their sets could reach percent by their sizes and sketches.
+    """Of two rows (n, w0.. and m, other_w0..): whether their sets could reach percent by their sizes and sketches.
 
     The Hamming distance of two parity sketches is at most the symmetric difference of their sets."""
-    words = F.zip_with("sketch", "other", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
-    apart = F.aggregate(words, F.lit(0), lambda x, y: x + y)
+    apart = reduce(lambda x, y: x + y, (F.bit_count(F.col(w).bitwiseXOR(F.col(f"other_{w}"))) for w in _WORDS))
     return (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent) & (apart * (100 + percent) <= (F.col("n") + F.col("m")) * (100 - percent))
 
 
-def clusters(keys: DataFrame, sets_of: Callable[[DataFrame], DataFrame], set_of: Callable[[bytes], np.ndarray], percent: int) -> tuple[DataFrame, list[DataFrame]]:
-    """(labels (node, label), tables that may go after use) from keys (key, node): nodes that share a key and whose sets
-    reach percent are linked; label is the smallest node of the component. sets_of: the sets (node, words, n, sketch) of some nodes.
-
-    Each key's nodes are tested against one of them, the leader; pairs within one component need no test any more. Of the
-    keys that still span components, again and again a node of the largest component is the leader for the nodes of the others, as
-    long as that takes away a share of the open pairs. What is left meets under its key, sifted by sketches in the join."""
-    lead = cut(keys.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z"), F.count(F.lit(1)).alias("rows")).where("a < z").select("key", "a", "rows"))
+def meeting(keys: DataFrame) -> DataFrame:
+    """keys (key, node) under which several nodes meet; a key of many rows meets its nodes in many tasks."""
+    lead = cut(keys.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z"), F.count(F.lit(1)).alias("rows")).where("a < z").select("key", "rows"))
     multi = cut(join_keyed(keys, lead, "key", "rows").distinct())
-    sets = cut(sets_of(multi.select("node").distinct()))
-    links = cut(tested(multi.where("a != node").select("a", F.col("node").alias("b")).distinct(), sets, set_of, percent))
-    groups = cut(multi.select("key", "node"))
-    spent(lead, multi)
-    attempt, before = 0, None
+    spent(lead)
+    return multi
+
+
+def clusters(multi: DataFrame, sets: DataFrame, set_of: Callable[[bytes], np.ndarray], percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(labels (node, label), tables that may go after use) from multi (key, node) and sets (node, words, n, sketch), both
+    written tables: nodes that share a key and whose sets reach percent are linked; label is the smallest node of a component.
+
+    A node of each key, the leader, is tested with the key's others; pairs within one component need no test any more. Of
+    the keys that still span components, again and again a node of the largest component is the leader for the nodes of the
+    others, as long as that takes away a share of many open pairs. What is left meets under its key. All these pairs are
+    sifted by sizes and sketches inside the join, before they are rows."""
+    sketched = sets.select("node", "n", *[F.col("sketch")[i].alias(w) for i, w in enumerate(_WORDS)])
+    rest = cut(multi.join(sketched, "node").withColumn("label", F.col("node")))
+    links, attempt, before = None, 0, None
     while True:
-        labels = components(links)
-        named = groups.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        counts = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.sum("c").alias("rows"), F.sum(F.col("c") * F.col("c")).alias("q"))
+        counts = rest.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.sum("c").alias("rows"), F.sum(F.col("c") * F.col("c")).alias("q"))
         split = cut(counts.where("parts > 1"))
         open_pairs = split.agg(F.sum((F.col("rows") * F.col("rows") - F.col("q")) / 2)).first()[0] or 0
         if not open_pairs:
-            return labels, [sets, groups]
-        rest = cut(join_keyed(named, split.select("key", "rows"), "key", "rows").join(sets.drop("words"), "node"))
-        spent(groups)
-        groups = rest.select("key", "node")
-        last = open_pairs <= OPEN * rest.select("node").distinct().count() or (before is not None and open_pairs > (1 - LESS) * before)
-        attempt, before = attempt + 1, open_pairs
+            labels = components(links if links is not None else rest.select(F.col("node").alias("a"), F.col("node").alias("b")))
+            return labels, [sets, rest]
+        old, rest = rest, cut(join_keyed(rest, split.select("key", "rows"), "key", "rows"))
+        spent(old, split)
+        few = open_pairs <= OPEN * rest.select("node").distinct().count()
+        last = attempt > 0 and (few or open_pairs > (1 - LESS) * before)
         if last:
-            other = rest.select("key", F.col("node").alias("a"), F.col("label").alias("la"), F.col("n").alias("m"), F.col("sketch").alias("other"))
+            other = rest.select("key", F.col("node").alias("a"), F.col("label").alias("la"), F.col("n").alias("m"), *[F.col(w).alias(f"other_{w}") for w in _WORDS])
             pairs = rest.join(other, "key").where((F.col("la") < F.col("label")) & _near(percent))
         else:
             turn = F.xxhash64(F.lit(attempt), "node")
-            best = rest.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"), F.min_by(F.struct("node", "n", "sketch"), turn).alias("l"))
+            best = rest.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"), F.min_by(F.struct("node", "n", *_WORDS), turn).alias("l"))
             top = best.groupBy("key").agg(F.max_by(F.struct("label", "l"), F.struct("c", "label")).alias("x"), F.sum("c").alias("rows"))
-            top = cut(top.select("key", "rows", F.col("x.label").alias("la"), F.col("x.l.node").alias("a"), F.col("x.l.n").alias("m"), F.col("x.l.sketch").alias("other")))
+            top = cut(top.select("key", "rows", F.col("x.label").alias("la"), F.col("x.l.node").alias("a"), F.col("x.l.n").alias("m"), *[F.col(f"x.l.{w}").alias(f"other_{w}") for w in _WORDS]))
             pairs = join_keyed(rest, top, "key", "rows").where((F.col("la") != F.col("label")) & _near(percent))
         found = cut(tested(pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct(), sets, set_of, percent))
-        links = cut(links.union(found))
+        links = found if links is None else cut(links.union(found))
+        labels = components(links)
         if last:
-            return components(links), [sets, rest]
+            return labels, [sets, rest]
+        old, rest = rest, cut(rest.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+        spent(old)
+        attempt, before = attempt + 1, open_pairs

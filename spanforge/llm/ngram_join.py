@@ -20,20 +20,23 @@ component_id is the smallest non-null doc_id of the component (null if it has no
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import cut, fields, map_lists, mix64, row_key, shingles, word_hashes
-from .links import candidate_components, shared_keys, verify
+from .common import batch_words, cut, fields, map_batches, mix64, packed, shingles, spent, word_hashes
+from .links import SKETCH, clusters, shared_keys
 
 #: Chance that a pair exactly at the threshold shares no key.
 MISS = 1e-6
-#: Keys for each shingle of a document in one band, about; BITS of the sketch by which pairs are sifted before their texts meet.
-KEYS, BITS = 0.16, 512
+#: Keys for each shingle of a document in one band, about.
+KEYS = 0.16
 
 
 NODE_SALT = np.uint64(0xA0761D6478BD642F)
@@ -117,89 +120,94 @@ def _sets(docs: DataFrame, text_col: str, k: int) -> DataFrame:
     kept = [f for f in docs.schema.fields if f.name != text_col]
     schema = StructType([*kept, *fields("n_shingles long, node long").fields])
 
-    def step(batch: dict[str, list]) -> dict[str, list]:
-        found = [shingle_set(t, k) for t in batch[text_col]]
-        return {f.name: batch[f.name] for f in kept} | {"n_shingles": [len(s) for s in found], "node": [node_of(s) if len(s) else None for s in found]}
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [*_found(batch.column(batch.num_columns - 1), k)]
+        more = [pa.array([len(s) for s in found], type=pa.int64()), pa.array([node_of(s) if len(s) else None for s in found], type=pa.int64())]
+        return pa.RecordBatch.from_arrays([*batch.columns[:-1], *more], names=schema.names)
 
-    return map_lists(docs, lambda: step, schema)
+    return map_batches(docs.select(*[f.name for f in kept], text_col), lambda: step, schema, rows=200)
 
 
 def _keys(docs: DataFrame, text_col: str, k: int, percent: int) -> DataFrame:
-    """key, node, n; equal sets give their keys once a task, so a group of copies doesn't multiply them."""
+    """key, node; equal sets give their keys once a task, so a group of copies doesn't multiply them."""
+    schema = fields("key long, node long")
 
     def make():
         seen: set[int] = set()
 
-        def step(batch: dict[str, list]) -> dict[str, list] | None:
-            keys, nodes, sizes = [], [], []
-            for text in batch[text_col]:
-                found = shingle_set(text, k)
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+            keys, nodes = [], []
+            for found in _found(batch.column(0), k):
                 if len(found) < 2 or (node := node_of(found)) in seen:
                     continue
                 if len(seen) < 1_000_000:
                     seen.add(node)
                 keys.append(sketch_keys(found, percent).view(np.int64))
                 nodes.append(np.full(len(keys[-1]), node))
-                sizes.append(np.full(len(keys[-1]), len(found)))
-            return {"key": np.concatenate(keys), "node": np.concatenate(nodes), "n": np.concatenate(sizes)} if keys else None
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, nodes)], names=schema.names) if keys else None
 
         return step
 
-    return map_lists(docs.select(text_col), make, fields("key long, node long, n long"), rows=200)
+    return map_batches(docs.select(text_col), make, schema, rows=200)
 
 
-def labelled(docs: DataFrame, text_col: str, k: int = 5, percent: int = 75) -> DataFrame:
-    """docs (with their row_key as __k1, __k2) without the text, with n_shingles, node and label (equal within a component;
+def _found(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
+    """The set of each text."""
+    w = batch_words(texts)
+    for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist()):
+        yield np.unique(shingles(w.hashes[a:b], k))
+
+
+def labelled(docs: DataFrame, k: int = 5, percent: int = 75, text_col: str = "text") -> DataFrame:
+    """docs (k1, k2, the text and others) without the text, with n_shingles, node and label (equal within a component;
     null without shingles)."""
     sets = cut(_sets(docs, text_col, k))
     multi = shared_keys(_keys(docs, text_col, k, percent))
     needed = cut(multi.select("node").distinct())
-    one = sets.where(F.col("node").isNotNull()).join(needed, "node", "left_semi").groupBy("node").agg(F.min(F.struct("__k1", "__k2")).alias("x")).select("node", "x.*")
+    one = sets.where(F.col("node").isNotNull()).join(needed, "node", "left_semi").groupBy("node").agg(F.min(F.struct("k1", "k2")).alias("x")).select("node", "x.*")
     texts = cut(_texts(docs, one, text_col, k))
-    plain = texts.select("node", "text")
-    labels, _ = candidate_components(multi, lambda pairs: verify(pairs, plain, lambda t: shingle_set(t, k), percent), percent, sketch_words(texts))
+    labels, tables = clusters(multi, texts, lambda text: shingle_set(text.decode("utf-8", "surrogatepass"), k), percent)
+    spent(needed, multi, *tables)
     return sets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
 def sketch(found: np.ndarray) -> list[int]:
-    """The parity of the shingles that fall on each of BITS bits, as 64-bit words."""
-    bits = np.bincount((mix64(found) >> np.uint64(20)).astype(np.int64) % BITS, minlength=BITS) & 1
+    """The parity of the shingles that fall on each of SKETCH bits, as 64-bit words."""
+    bits = np.bincount((mix64(found) >> np.uint64(20)).astype(np.int64) % SKETCH, minlength=SKETCH) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.int64).tolist()
 
 
-def sketch_words(texts: DataFrame) -> DataFrame:
-    return texts.select("node", *[F.col("sketch")[i].alias(f"w{i}") for i in range(BITS // 64)])
-
-
 def _texts(docs: DataFrame, one: DataFrame, text_col: str, k: int) -> DataFrame:
-    """node, text, sketch: a text of each node and the sketch of its set."""
-    found = docs.select("__k1", "__k2", F.col(text_col).alias("text")).join(one.withColumnRenamed("node", "__node"), ["__k1", "__k2"])
+    """node, words (a text of each node, in UTF-8), n and sketch of its set."""
+    # The texts move, whatever the size.
+    found = docs.select("k1", "k2", F.col(text_col).alias("text")).join(one.withColumnRenamed("node", "of").hint("merge"), ["k1", "k2"])
+    schema = fields("node long, words binary, n long, sketch array<long>")
 
-    def step(batch: dict[str, list]) -> dict[str, list]:
-        rows = [(n, t, s) for n, t in zip(batch["__node"], batch["text"]) if t and node_of(s := shingle_set(t, k)) == n]
-        return {"node": [n for n, _, _ in rows], "text": [t for _, t, _ in rows], "sketch": [sketch(s) for *_, s in rows]}
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets, nodes = [*_found(batch.column(1), k)], batch.column(0).to_pylist()
+        rows = [(n, t.as_py().encode("utf-8", "surrogatepass"), len(s), sketch(s)) for n, t, s in zip(nodes, batch.column(1), sets) if len(s) and node_of(s) == n]
+        return pa.RecordBatch.from_pydict(dict(zip(schema.names, map(list, zip(*rows)))) if rows else {n: [] for n in schema.names}, schema=to_arrow_schema(schema))
 
-    return map_lists(found.select("__node", "text"), lambda: step, fields("node long, text string, sketch array<long>")).dropDuplicates(["node"])
+    return map_batches(found.select("of", "text"), lambda: step, schema, rows=200).dropDuplicates(["node"])
 
 
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
     """One row for each document: id, n_shingles, component_id."""
-    docs = docs.select(id_col, text_col)
-    k1, k2 = row_key(docs)
-    found = cut(labelled(docs.withColumns({"__k1": k1, "__k2": k2}), text_col, k, percent).drop("__k1", "__k2"))
-    least = cut(found.where(F.col("label").isNotNull()).groupBy("label").agg(F.min(id_col).alias("__least")))
+    keyed = packed(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text").select("k1", "k2", F.col("doc.id").alias("id"), "text")
+    found = cut(labelled(keyed, k, percent).drop("k1", "k2"))
+    least = cut(found.where(F.col("label").isNotNull()).groupBy("label").agg(F.min("id").alias("least")))
     joined = found.join(least, "label", "left")
-    return joined.select(id_col, "n_shingles", F.when(F.col("label").isNull(), F.col(id_col)).otherwise(F.col("__least")).alias("component_id"))
+    return joined.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("label").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
-    """docs with one row of each component, that of the smallest id; rows without shingles stay."""
-    k1, k2 = row_key(docs)
-    keyed = docs.withColumns({"__k1": k1, "__k2": k2})
-    found = cut(labelled(keyed.select(id_col, text_col, "__k1", "__k2"), text_col, k, percent))
-    pick = F.min(F.struct(F.col(id_col).isNull().alias("o"), F.col(id_col).alias("i"), "__k1", "__k2"))
-    stays = found.where(F.col("label").isNotNull()).groupBy("label").agg(pick.alias("x")).select("x.__k1", "x.__k2", F.lit(True).alias("__one"))
-    alone = found.where(F.col("label").isNull()).select("__k1", "__k2", F.lit(False).alias("__one")).distinct()
+    """docs with one row of each component, that of the smallest id; rows without shingles stay; columns may have any names."""
+    keyed = packed(docs, text_col)
+    found = cut(labelled(keyed.select("k1", "k2", F.col("doc").getField(id_col).alias("id"), "text"), k, percent))
+    pick = F.min(F.struct(F.col("id").isNull().alias("o"), F.col("id").alias("i"), "k1", "k2"))
+    stays = found.where(F.col("label").isNotNull()).groupBy("label").agg(pick.alias("x")).select("x.k1", "x.k2", F.lit(True).alias("one"))
+    alone = found.where(F.col("label").isNull()).select("k1", "k2", F.lit(False).alias("one")).distinct()
     kept = cut(stays.union(alone))
-    rows = keyed.join(kept, ["__k1", "__k2"]).withColumn("__row", F.row_number().over(Window.partitionBy("__k1", "__k2").orderBy("__k1")))
-    return rows.where("not __one or __row = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    # The texts move, whatever the size.
+    rows = keyed.select("k1", "k2", "doc").join(kept.hint("merge"), ["k1", "k2"]).withColumn("turn", F.row_number().over(Window.partitionBy("k1", "k2").orderBy("k1")))
+    return rows.where("not one or turn = 1").select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batch_words, cut, fields, join_keyed, lists, map_batches, map_lists, mix64, sequence_hashes, shingles, sliding, spent
-from .links import clusters
+from .links import clusters, meeting
 from .ngram_join import sketch
 
 #: Words to each side of a cut in a long line, MinHash bands and rows of a band, words of a span that is reported, words
@@ -92,8 +92,8 @@ def band_keys(words: np.ndarray, starts: np.ndarray, sizes: np.ndarray, bands: i
 
 
 def _pieces(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int, least_words: int, window: int) -> DataFrame:
-    """A row for each document: doc_id, words (32-bit hashes), pieces (start, end, node of paragraphs and windows), bands (key, node)."""
-    schema = fields("doc_id long, words binary, pieces array<struct<start int, end int, node long>>, bands array<struct<key long, node long>>")
+    """A row for each document: doc_id, words (32-bit hashes), paragraphs and windows (start, end, node), bands (key, node)."""
+    schema = fields("doc_id long, words binary, paragraphs array<struct<start int, end int, node long>>, windows array<struct<start int, end int, node long>>, bands array<struct<key long, node long>>")
     least = max(5, least_words)
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -110,11 +110,14 @@ def _pieces(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int,
         starts, sizes = starts[sizes >= least], sizes[sizes >= least]
         nodes = sequence_hashes(words, starts, sizes)
         at, hashes = chosen_windows(words, owner, w.first, least_words, window)
-        begin, end = np.concatenate((starts, at)), np.concatenate((starts + sizes, at + least_words))
-        of = owner[begin] if n else begin
-        order = np.argsort(of, kind="stable")
-        head = w.first[:-1][of[order]]
-        pieces = pa.StructArray.from_arrays([pa.array((x[order] - head).astype(np.int32)) for x in (begin, end)] + [pa.array(np.concatenate((nodes, hashes))[order].view(np.int64))], ["start", "end", "node"])
+        count = lambda x: np.bincount(x.astype(np.int64), minlength=batch.num_rows)
+
+        def placed(begin: np.ndarray, end: np.ndarray, node: np.ndarray) -> pa.Array:
+            of = owner[begin] if n else begin
+            head = w.first[:-1][of]
+            ints = [pa.array((x - head).astype(np.int32)) for x in (begin, end)]
+            return lists(pa.StructArray.from_arrays([*ints, pa.array(node.view(np.int64))], ["start", "end", "node"]), count(of))
+
         held, one = np.unique(nodes, return_index=True)  # equal paragraphs of a batch give their keys once
         keys = band_keys(words, starts[one], sizes[one], bands, rows) if len(one) else np.empty((0, bands), dtype=np.uint64)
         owners = owner[starts[one]] if n else one
@@ -122,8 +125,7 @@ def _pieces(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int,
         given = pa.StructArray.from_arrays([pa.array(keys[turn].ravel().view(np.int64)), pa.array(np.repeat(held[turn], bands).view(np.int64))], ["key", "node"])
         raw = pa.array(words.astype("<u4")).buffers()[1] if n else pa.py_buffer(b"")
         binary = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer((w.first * 4).astype(np.int32)), raw])
-        count = lambda x: np.bincount(x.astype(np.int64), minlength=batch.num_rows)
-        return pa.RecordBatch.from_arrays([batch.column(0), binary, lists(pieces, count(of)), lists(given, count(owners) * bands)], names=schema.names)
+        return pa.RecordBatch.from_arrays([batch.column(0), binary, placed(starts, starts + sizes, nodes), placed(at, at + least_words, hashes), lists(given, count(owners) * bands)], names=schema.names)
 
     return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col), lambda: step, schema, rows=500)
 
@@ -154,13 +156,19 @@ def _several(lo: str, hi: str, known: str, rows: str):
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, bands: int = BANDS, rows: int = ROWS, least_words: int = LEAST_WORDS, window: int = WINDOW) -> DataFrame:
     """One row for each repeated span: id, start_word, end_word, n_words, first_doc_id (the smallest id that shares any of it), removed."""
     table = cut(_pieces(docs, id_col, text_col, bands, rows, least_words, max(window, least_words)).withColumn("row", F.monotonically_increasing_id()))
-    placed = table.select("row", "doc_id", F.inline("pieces"))
-    place = F.min(F.struct("row", "start", "end")).alias("x")
-    nodes = cut(placed.groupBy("node").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("doc_id").alias("known"), F.count(F.lit(1)).alias("rows"), place))
-    labels, tables = clusters(table.select(F.inline("bands")), lambda needed: _sets(table, nodes.join(needed, "node").select("node", "x.*")), paragraph_set, percent)
-    joined = nodes.drop("x").join(labels, "node", "left").where(F.col("label").isNotNull() | _several("lo", "hi", "known", "rows"))
+    placed = table.select("row", "doc_id", F.inline(F.concat("paragraphs", "windows")))
+    nodes = cut(placed.groupBy("node").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("doc_id").alias("known"), F.count(F.lit(1)).alias("rows")))
+
+    def sets_of(needed: DataFrame) -> DataFrame:
+        """Of each node, one paragraph's."""
+        held = join_keyed(table.select("row", F.inline("paragraphs")), cut(nodes.join(needed, "node", "left_semi").select("node", "rows")), "node", "rows")
+        return _sets(table, held.groupBy("node").agg(F.min(F.struct("row", "start", "end")).alias("x")).select("node", "x.*"))
+
+    multi = meeting(table.select(F.inline("bands")))
+    labels, tables = clusters(multi, cut(sets_of(multi.select("node").distinct())), paragraph_set, percent)
+    joined = nodes.join(labels, "node", "left").where(F.col("label").isNotNull() | _several("lo", "hi", "known", "rows"))
     joined = cut(joined.withColumn("label", F.coalesce("label", "node")))
-    spent(nodes, *tables)
+    spent(nodes, multi, *tables)
     found = joined.groupBy("label").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("known").alias("known"), F.sum("rows").alias("rows"))
     found = found.where(_several("lo", "hi", "known", "rows")).select("label", F.col("lo").alias("first"))
     # Each piece is decided by its own cluster, so that the smallest id of every cluster keeps its copy.

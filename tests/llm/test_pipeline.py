@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from spanforge.llm import mixing, ngram_join
+from spanforge.llm.common import row_key
 from spanforge.llm.queries import TOKENIZER
 
 DATA = "/root/testdata/sf0.001"
@@ -44,10 +45,22 @@ def test_run_gives_the_last_stage(spark, steps):
 
 
 def test_stages_take_odd_rows(spark, odd):
-    docs = odd.select("doc_id", "text", "lang", "source", "n_chars")
+    docs, before = odd, None
     for name, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, DATA).cache()
         assert docs.count() > 0, name
+        if name != "packing":
+            assert docs.schema == odd.schema, name
+            # every column but those of the text is as it was
+            same = lambda df: {repr(tuple(r[c] for c in odd.columns if c not in ("text", "n_chars"))) for r in df.collect()}
+            assert same(docs) <= (before or same(odd)), name
+            before = same(docs)
+
+
+def test_rows_are_told_apart_by_where_nulls_are(spark):
+    df = spark.createDataFrame([(5, None, "x", {"a": 1}), (5, "x", None, {"a": 1}), (5, "x", None, {"a": None}), (5, "x", None, None), (5, "x", None, None)], "doc_id long, lang string, source string, m map<string,int>")
+    keys = [tuple(r) for r in df.select(*row_key(df)).collect()]
+    assert len(set(keys)) == 4 and keys[3] == keys[4]
 
 
 def test_operator_queries_are_registered():
