@@ -17,8 +17,7 @@ from spanforge.llm.queries import TOKENIZER
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised stay; those without letters and rejected ones go."""
     model = langid.train(docs, ~held_out(F.col("doc_id")))
-    found = langid.predict(docs, model, prefix="__")
-    return found.where("not __rejected").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return langid.recognised(docs, model)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
