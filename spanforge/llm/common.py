@@ -194,8 +194,8 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(base: int) -> np.ndarray:
-    out = np.ones(_PIECE + 1, dtype=np.uint64)
+def _powers(base: int, n: int = _PIECE) -> np.ndarray:
+    out = np.ones(n + 1, dtype=np.uint64)
     out[1:] = np.uint64(base)
     return np.multiply.accumulate(out)
 
@@ -203,6 +203,15 @@ def _powers(base: int) -> np.ndarray:
 _POWERS: list[np.ndarray] = []
 
 
+def _both_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a base and of its inverse, up to n and more."""
+    if n > _PIECE:
+        return _powers(_P, n), _powers(_P_INV, n)
+    if not _POWERS:
+        _POWERS.extend((_powers(_P), _powers(_P_INV)))
+    return _POWERS[0], _POWERS[1]
+
+
 def _pieces(data: np.ndarray) -> Iterator[np.ndarray]:
     """Parts of about a mebibyte that end where a word ends (a longer word is kept whole)."""
     start = 0
@@ -224,8 +233,6 @@ def word_hashes(text: str | None, fold: bool = True, lines: bool = False):
     if not text:
         return (np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)) if lines else np.empty(0, dtype=np.uint64)
     raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
-    if not _POWERS:
-        _POWERS.extend((_powers(_P), _powers(_P_INV)))
     out, at, line = [], [], 0
     for data in _pieces(raw):
         space = _SPACE[data]
@@ -237,7 +244,7 @@ def word_hashes(text: str | None, fold: bool = True, lines: bool = False):
             line += len(feeds)
         if not len(starts):
             continue
-        up, down = _POWERS if len(data) <= _PIECE else (_grown(_P, len(data)), _grown(_P_INV, len(data)))
+        up, down = _both_powers(len(data))
         total = np.zeros(len(data) + 1, dtype=np.uint64)
         np.cumsum((_FOLD[data] if fold else data).astype(np.uint64) * up[: len(data)] + up[: len(data)], out=total[1:])
         out.append(mix64((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _MULT))
@@ -270,8 +277,6 @@ def batch_words(texts: pa.Array, fold: bool = True) -> Words:
     at = np.frombuffer(offsets, dtype=np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
     raw = np.frombuffer(data, dtype=np.uint8)[at[0] : at[-1]] if data is not None and len(texts) else np.empty(0, dtype=np.uint8)
     at = at - at[0] if len(at) else np.zeros(1, dtype=np.int64)
-    if not _POWERS:
-        _POWERS.extend((_powers(_P), _powers(_P_INV)))
     hashes, places, lines, digits, feeds_at, begun, feeds_before = [], [], [], [], [], 0, 0
     for data in _pieces(raw):
         edges = at[np.searchsorted(at, begun, "right") : np.searchsorted(at, begun + len(data))] - begun  # texts that start inside
@@ -282,7 +287,7 @@ def batch_words(texts: pa.Array, fold: bool = True) -> Words:
         head[edges], tail[edges - 1] = word[edges], word[edges - 1]
         starts, ends = np.flatnonzero(head), np.flatnonzero(tail) + 1
         feeds = np.flatnonzero(data == 10)
-        up, down = _POWERS if len(data) <= _PIECE else (_grown(_P, len(data)), _grown(_P_INV, len(data)))
+        up, down = _both_powers(len(data))
         total = np.zeros(len(data) + 1, dtype=np.uint64)
         np.cumsum(((_FOLD[data] if fold else data).astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
         hashes.append(mix64((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _MULT))
@@ -314,10 +319,17 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
     return df.mapInArrow(run, schema)
 
 
-def _grown(base: int, n: int) -> np.ndarray:
-    out = np.ones(n + 1, dtype=np.uint64)
-    out[1:] = np.uint64(base)
-    return np.multiply.accumulate(out)
+def sieved(df: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """df without most rows whose column's value wanted doesn't hold: those that a bitmap of fixed size shows to be of no use to a join."""
+    marks = df.sparkSession.sparkContext.broadcast(bitmap(wanted.select(F.xxhash64(column).alias("hash")), "hash"))  # of BITS bits
+    names = df.columns
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        spot = batch.column(batch.num_columns - 1).to_numpy() & (BITS - 1)
+        held = marks.value[spot >> 3] >> (spot & 7).astype(np.uint8) & 1
+        return batch.filter(pa.array(held == 1)).select(names)
+
+    return map_batches(df.withColumn("sieve hash", F.xxhash64(column)), lambda: step, df.schema)
 
 
 def shingles(words: np.ndarray, k: int = 5) -> np.ndarray:
@@ -339,7 +351,7 @@ def sequence_hashes(words: np.ndarray, starts: np.ndarray, sizes: np.ndarray) ->
     """A hash of each of the sequences of `sizes` words from `starts`."""
     if not len(starts):
         return np.empty(0, dtype=np.uint64)
-    up, down = _POWERS if len(words) < _PIECE else (_grown(_P, len(words)), _grown(_P_INV, len(words)))
+    up, down = _both_powers(len(words))
     total = np.zeros(len(words) + 1, dtype=np.uint64)
     np.cumsum((mix64(words + _MULT)) * up[: len(words)], out=total[1:])
     return mix64((total[starts + sizes] - total[starts]) * down[starts] + sizes.astype(np.uint64) * _MULT)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, fields, join_keyed, map_batches, spent
+from .common import HEAVY, cut, fields, join_keyed, map_batches, spent
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -43,17 +43,18 @@ def jaccard_at_least(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def shared_keys(keys: DataFrame) -> DataFrame:
-    """keys (key, node) under which several nodes meet. Keys that bring together the same nodes become one, named by
-    a hash of these nodes: pairs that share many keys meet once. (Should two hashes be equal, groups merge and lose none.)"""
+    """keys (key, node) under which several nodes meet, with lo, the smallest of them. Keys that bring together the same
+    nodes become one, named by a hash of these nodes. (Should two hashes be equal, groups merge and lose none.)"""
     group = Window.partitionBy("key")
-    multi = keys.withColumns({"__lo": F.min("node").over(group), "__hi": F.max("node").over(group)}).where("__lo != __hi").select("key", "node").distinct()
-    return cut(multi.select(F.bit_xor(F.xxhash64("node")).over(group).alias("key"), "node").distinct())
+    multi = keys.withColumns({"lo": F.min("node").over(group), "hi": F.max("node").over(group)}).where("lo != hi").select("key", "node", "lo").distinct()
+    return cut(multi.select(F.bit_xor(F.xxhash64("node")).over(group).alias("key"), "node", "lo").distinct())
 
 
 #: Parts that a leader's pairs are dealt to; each part is sent the leader's set once.
 PARTS = 32
-#: Pairs for each node under which all that are left are sifted at once, and the share of them that a round must take away.
-OPEN, LESS = 64, 0.1
+#: Leaders of a key in a round; pairs for each node under which all that are left are sifted at once; links for each node
+#: that a round must find to be followed by another.
+LEADERS, OPEN, LEAST = 16, 8, 0.25
 
 
 def tested(pairs: DataFrame, sets: DataFrame, set_of: Callable[[bytes], np.ndarray], percent: int) -> DataFrame:
@@ -97,50 +98,66 @@ def _near(percent: int) -> Column:
     return (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent) & (apart * (100 + percent) <= (F.col("n") + F.col("m")) * (100 - percent))
 
 
+#: One of so many nodes is looked at to find keys of very many nodes, and nodes among these that make such a key.
+SOME, MANY = 64, 64
+
+
 def meeting(keys: DataFrame) -> DataFrame:
-    """keys (key, node) under which several nodes meet; a key of many rows meets its nodes in many tasks."""
-    lead = cut(keys.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z"), F.count(F.lit(1)).alias("rows")).where("a < z").select("key", "rows"))
-    multi = cut(join_keyed(keys, lead, "key", "rows").distinct())
-    spent(lead)
-    return multi
+    """keys (key, node; a written table's) under which several nodes meet, with lo, the smallest of them.
+
+    Keys of very many nodes, which some of the nodes show, stay where they are; the others meet in one shuffle. Which way
+    a key goes makes no difference to the rows."""
+    some = keys.where(F.pmod(F.xxhash64(F.lit("some"), "node"), F.lit(SOME)) == 0).distinct()
+    sizes = cut(some.groupBy("key").agg(F.count(F.lit(1)).alias("rows")))
+    least = max(MANY, (sizes.agg(F.sum("rows")).first()[0] or 0) // HEAVY)
+    hot = [r[0] for r in sizes.where(F.col("rows") > least).orderBy(F.desc("rows"), "key").limit(HEAVY).collect()]
+    group = Window.partitionBy("key")
+    rest = keys.where(~F.col("key").isin(hot)) if hot else keys
+    multi = rest.withColumns({"lo": F.min("node").over(group), "hi": F.max("node").over(group)}).where("lo != hi").select("key", "node", "lo")
+    if hot:
+        many = keys.where(F.col("key").isin(hot))
+        multi = multi.union(many.join(F.broadcast(many.groupBy("key").agg(F.min("node").alias("lo"))), "key").select("key", "node", "lo"))  # HEAVY keys at most
+    return cut(multi.distinct())
 
 
 def clusters(multi: DataFrame, sets: DataFrame, set_of: Callable[[bytes], np.ndarray], percent: int) -> tuple[DataFrame, list[DataFrame]]:
-    """(labels (node, label), tables that may go after use) from multi (key, node) and sets (node, words, n, sketch), both
+    """(labels (node, label), tables that may go after use) from multi (key, node, lo) and sets (node, words, n, sketch), both
     written tables: nodes that share a key and whose sets reach percent are linked; label is the smallest node of a component.
 
-    A node of each key, the leader, is tested with the key's others; pairs within one component need no test any more. Of
-    the keys that still span components, again and again a node of the largest component is the leader for the nodes of the
-    others, as long as that takes away a share of many open pairs. What is left meets under its key. All these pairs are
-    sifted by sizes and sketches inside the join, before they are rows."""
+    The smallest node of each key is tested with the key's others, each pair once however many keys it shares; pairs within
+    one component need no test any more. Of the keys that still span components, again and again LEADERS nodes are tested
+    with the nodes of other components, as long as many pairs are open and a round finds links. What is left meets under its
+    key. All these pairs are sifted by sizes and sketches inside the join, before they are rows."""
     sketched = sets.select("node", "n", *[F.col("sketch")[i].alias(w) for i, w in enumerate(_WORDS)])
-    rest = cut(multi.join(sketched, "node").withColumn("label", F.col("node")))
-    links, attempt, before = None, 0, None
+    stars = cut(multi.where("lo != node").select("lo", "node").distinct())
+    sizes = stars.groupBy("lo").agg(F.count(F.lit(1)).alias("rows"))
+    heads = cut(sizes.join(sketched.withColumnRenamed("node", "lo"), "lo").select("lo", "rows", F.col("n").alias("m"), *[F.col(w).alias(f"other_{w}") for w in _WORDS]))
+    near = join_keyed(stars.join(sketched, "node"), heads, "lo", "rows").where(_near(percent))
+    links = cut(tested(near.select(F.col("lo").alias("a"), F.col("node").alias("b")), sets, set_of, percent))
+    spent(stars, heads)
+    known = cut(multi.select("key", "node").join(sketched, "node"))
+    nodes, fresh, tables = sets.count(), float("inf"), [sets, known]
     while True:
-        counts = rest.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.sum("c").alias("rows"), F.sum(F.col("c") * F.col("c")).alias("q"))
-        split = cut(counts.where("parts > 1"))
-        open_pairs = split.agg(F.sum((F.col("rows") * F.col("rows") - F.col("q")) / 2)).first()[0] or 0
+        labels = components(links)
+        rest = cut(known.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+        tables.append(rest)
+        parts = rest.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.sum("c").alias("rows"), F.sum(F.col("c") * F.col("c")).alias("q")).where("parts > 1")
+        open_pairs = parts.agg(F.sum((F.col("rows") * F.col("rows") - F.col("q")) / 2)).first()[0] or 0
         if not open_pairs:
-            labels = components(links if links is not None else rest.select(F.col("node").alias("a"), F.col("node").alias("b")))
-            return labels, [sets, rest]
-        old, rest = rest, cut(join_keyed(rest, split.select("key", "rows"), "key", "rows"))
-        spent(old, split)
-        few = open_pairs <= OPEN * rest.select("node").distinct().count()
-        last = attempt > 0 and (few or open_pairs > (1 - LESS) * before)
+            return labels, tables
+        last = open_pairs <= OPEN * nodes or fresh < LEAST * nodes
         if last:
-            other = rest.select("key", F.col("node").alias("a"), F.col("label").alias("la"), F.col("n").alias("m"), *[F.col(w).alias(f"other_{w}") for w in _WORDS])
-            pairs = rest.join(other, "key").where((F.col("la") < F.col("label")) & _near(percent))
+            split = join_keyed(rest, cut(parts.select("key", "rows")), "key", "rows")
+            other = split.select("key", F.col("node").alias("a"), F.col("label").alias("la"), F.col("n").alias("m"), *[F.col(w).alias(f"other_{w}") for w in _WORDS])
+            pairs = split.join(other, "key").where((F.col("la") < F.col("label")) & _near(percent))
         else:
-            turn = F.xxhash64(F.lit(attempt), "node")
-            best = rest.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"), F.min_by(F.struct("node", "n", *_WORDS), turn).alias("l"))
-            top = best.groupBy("key").agg(F.max_by(F.struct("label", "l"), F.struct("c", "label")).alias("x"), F.sum("c").alias("rows"))
-            top = cut(top.select("key", "rows", F.col("x.label").alias("la"), F.col("x.l.node").alias("a"), F.col("x.l.n").alias("m"), *[F.col(f"x.l.{w}").alias(f"other_{w}") for w in _WORDS]))
-            pairs = join_keyed(rest, top, "key", "rows").where((F.col("la") != F.col("label")) & _near(percent))
+            turn = F.xxhash64(F.lit(open_pairs), "node")
+            some = rest.groupBy("key", F.pmod(turn, F.lit(LEADERS)).alias("slot")).agg(F.min_by(F.struct(F.col("label").alias("la"), F.col("node").alias("a"), F.col("n").alias("m"), *[F.col(w).alias(f"other_{w}") for w in _WORDS]), turn).alias("l"), F.count(F.lit(1)).alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+            leaders = some.groupBy("key").agg(F.collect_list("l").alias("leaders"), F.sum("c").alias("rows"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo != hi")  # LEADERS of each at most
+            met = join_keyed(rest, cut(leaders.select("key", "leaders", "rows")), "key", "rows").select("node", "label", "n", *_WORDS, F.inline("leaders"))
+            pairs = met.where((F.col("la") != F.col("label")) & _near(percent))
         found = cut(tested(pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct(), sets, set_of, percent))
-        links = found if links is None else cut(links.union(found))
-        labels = components(links)
+        links = cut(links.union(found))
         if last:
-            return labels, [sets, rest]
-        old, rest = rest, cut(rest.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
-        spent(old)
-        attempt, before = attempt + 1, open_pairs
+            return components(links), tables
+        fresh = found.count()

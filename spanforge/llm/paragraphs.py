@@ -10,6 +10,8 @@ A passage inside unlike lines is in no such paragraph, so windows of `least_word
 only. A text's windows are chosen by their own hashes (the smallest of every `window` words in a row), so any `window`
 words that two documents share hold a window chosen in both; with window = least_words, all windows are chosen.
 
+With exact_ends, where equal pieces of two texts stand, the words on both sides are compared on, to the ends of the stretch.
+
 The document with the smallest id of a cluster keeps its words, the others' are removals. Runs of words with the same
 decision, also over edits of up to GAP words, are the repeated spans.
 
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_words, cut, fields, join_keyed, lists, map_batches, map_lists, mix64, sequence_hashes, shingles, sliding, spent
+from .common import batch_words, cut, fields, join_keyed, lists, map_batches, map_lists, mix64, sequence_hashes, shingles, sieved, sliding, spent
 from .links import clusters, meeting
 from .ngram_join import sketch
 
@@ -145,7 +147,71 @@ def _sets(table: DataFrame, wanted: DataFrame) -> DataFrame:
         sets = [paragraph_set(p) for _, p in parts]
         return {"node": [n for n, _ in parts], "words": [p for _, p in parts], "n": [len(s) for s in sets], "sketch": [sketch(s) for s in sets]}
 
-    return map_lists(table.select("row", "words").join(refs, "row").select("words", "refs"), lambda: step, schema, rows=100)
+    needed = sieved(table.select("row", "words"), "row", refs)
+    return map_lists(needed.join(refs.hint("merge"), "row").select("words", "refs"), lambda: step, schema, rows=100)
+
+
+def _extended(table: DataFrame, marked: DataFrame, counts: DataFrame, reach: int) -> DataFrame:
+    """row, s (start, end, first, removed): the words up to `reach` beyond both ends of stretches of equal pieces that are
+    equal too, in the text and in that of the first document. marked: row, node, start, end, first, removed; counts: node, rows."""
+    head = marked.where("not removed").groupBy("node").agg(F.min(F.struct("row", "start")).alias("x")).join(counts, "node")
+    head = cut(head.select("node", F.col("x.row").alias("frow"), F.col("x.start").alias("fstart"), "rows"))
+    seeds = join_keyed(marked.where("removed"), head, "node", "rows")
+    lists_of = seeds.groupBy("row").agg(F.collect_list(F.struct("start", "end", "frow", "fstart", "first")).alias("seeds"))  # of one document
+    schema = fields("row long, start int, end int, frow long, fstart int, fend int, first long")
+
+    def stretches(batch: dict[str, list]) -> dict[str, list]:
+        rows = []
+        for row, found in zip(batch["row"], batch["seeds"]):
+            out, last, whole = [], [], _runs([(x["start"], x["end"], 0, True) for x in found], 0)
+            begins, finishes = {a for a, *_ in whole}, {b for _, b, _ in whole}
+            for x in sorted(found, key=lambda x: (x["frow"], x["fstart"] - x["start"], x["start"])):
+                line = (x["frow"], x["fstart"] - x["start"])
+                if last and last[0] == line and x["start"] <= last[2] + 1:
+                    last[2] = max(last[2], x["end"])
+                else:
+                    last = [line, x["start"], x["end"], x["first"]]
+                    out.append(last)
+            # what other stretches go on beyond needs no look
+            rows += [(row, a, b, line[0], a + line[1], b + line[1], first) for line, a, b, first in out if a in begins or b in finishes]
+        return dict(zip(schema.names, map(list, zip(*rows)))) if rows else {n: [] for n in schema.names}
+
+    runs = cut(map_lists(lists_of, lambda: stretches, schema, rows=200))
+    places = runs.select("row", "start", "end").union(runs.select("frow", "fstart", "fend")).groupBy("row", "start", "end").agg(F.count(F.lit(1)).alias("uses"))
+    around = fields("row long, start int, end int, uses long, before binary, after binary")
+
+    def slices(batch: dict[str, list]) -> dict[str, list]:
+        rows = []
+        for row, words, refs in zip(batch["row"], batch["words"], batch["refs"]):
+            rows += [(row, x["start"], x["end"], x["uses"], words[4 * max(0, x["start"] - reach) : 4 * x["start"]], words[4 * x["end"] : 4 * (x["end"] + reach)]) for x in refs]
+        return dict(zip(around.names, map(list, zip(*rows))))
+
+    refs = cut(places.groupBy("row").agg(F.collect_list(F.struct("start", "end", "uses")).alias("refs")))
+    near = cut(map_lists(sieved(table.select("row", "words"), "row", refs).join(refs.hint("merge"), "row").select("row", "words", "refs"), lambda: slices, around, rows=100).withColumn("place", F.xxhash64("row", "start", "end")))
+    mine = near.select("place", F.col("before").alias("b"), F.col("after").alias("a"))
+    theirs = near.select(F.col("place").alias("fplace"), F.col("before").alias("fb"), F.col("after").alias("fa"), "uses")
+    both = runs.withColumns({"place": F.xxhash64("row", "start", "end"), "fplace": F.xxhash64("frow", "fstart", "fend")}).join(mine, "place")
+    schema_out = fields("row long, start int, end int, first long, removed boolean")
+
+    def ends(batch: dict[str, list]) -> dict[str, list]:
+        rows = set()
+        for i, row in enumerate(batch["row"]):
+            x, y, z, w = (np.frombuffer(batch[c][i], dtype="<u4") for c in ("b", "fb", "a", "fa"))
+            left, right = _equal(x[::-1], y[::-1]), _equal(z, w)
+            if left or right:
+                for r, a, b, gone in ((row, batch["start"][i], batch["end"][i], True), (batch["frow"][i], batch["fstart"][i], batch["fend"][i], False)):
+                    rows.add((r, a - left, b + right, batch["first"][i], gone))
+        return dict(zip(schema_out.names, map(list, zip(*rows)))) if rows else {n: [] for n in schema_out.names}
+
+    joined = join_keyed(both, theirs, "fplace", "uses").select("row", "start", "end", "frow", "fstart", "fend", "first", "b", "a", "fb", "fa")
+    return map_lists(joined, lambda: ends, schema_out, rows=500).distinct()
+
+
+def _equal(a: np.ndarray, b: np.ndarray) -> int:
+    """How many words at the start of both are equal."""
+    n = min(len(a), len(b))
+    differ = np.flatnonzero(a[:n] != b[:n])
+    return int(differ[0]) if len(differ) else n
 
 
 def _several(lo: str, hi: str, known: str, rows: str):
@@ -153,9 +219,12 @@ def _several(lo: str, hi: str, known: str, rows: str):
     return (F.col(lo) < F.col(hi)) | ((F.col(known) > 0) & (F.col(known) < F.col(rows)))
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, bands: int = BANDS, rows: int = ROWS, least_words: int = LEAST_WORDS, window: int = WINDOW) -> DataFrame:
-    """One row for each repeated span: id, start_word, end_word, n_words, first_doc_id (the smallest id that shares any of it), removed."""
-    table = cut(_pieces(docs, id_col, text_col, bands, rows, least_words, max(window, least_words)).withColumn("row", F.monotonically_increasing_id()))
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, bands: int = BANDS, rows: int = ROWS, least_words: int = LEAST_WORDS, window: int = WINDOW, exact_ends: bool = True) -> DataFrame:
+    """One row for each repeated span: id, start_word, end_word, n_words, first_doc_id (the smallest id that shares any of it), removed.
+
+    exact_ends: compare on to the ends of shared stretches; else a span inside a line may end up to window - least_words words short."""
+    window = max(window, least_words)
+    table = cut(_pieces(docs, id_col, text_col, bands, rows, least_words, window).withColumn("row", F.monotonically_increasing_id()))
     placed = table.select("row", "doc_id", F.inline(F.concat("paragraphs", "windows")))
     nodes = cut(placed.groupBy("node").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("doc_id").alias("known"), F.count(F.lit(1)).alias("rows")))
 
@@ -173,8 +242,12 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = found.where(_several("lo", "hi", "known", "rows")).select("label", F.col("lo").alias("first"))
     # Each piece is decided by its own cluster, so that the smallest id of every cluster keeps its copy.
     shared = cut(joined.join(found, "label").select("node", "first", "rows"))
-    marked = join_keyed(placed, shared, "node", "rows").select("row", "doc_id", F.struct("start", "end", "first", (~F.col("first").eqNullSafe(F.col("doc_id"))).alias("removed")).alias("s"))
-    spans = marked.groupBy("row", "doc_id").agg(F.collect_list("s").alias("spans"))  # of one document
+    marked = cut(join_keyed(placed, shared, "node", "rows").withColumn("removed", ~F.col("first").eqNullSafe(F.col("doc_id"))))
+    more = _extended(table, marked, shared.select("node", "rows"), window) if exact_ends and window > least_words else None
+    spans = marked.select("row", "start", "end", "first", "removed")
+    spans = spans if more is None else spans.union(more)
+    spans = spans.groupBy("row").agg(F.collect_list(F.struct("start", "end", "first", "removed")).alias("spans"))  # of one document
+    spans = spans.join(table.select("row", "doc_id"), "row")
     schema = fields("doc_id long, start_word int, end_word int, n_words int, first_doc_id long, removed boolean")
 
     def step(batch: dict[str, list]) -> dict[str, list]:
@@ -207,11 +280,11 @@ def decided(spans: list[tuple[int, int, int | None, bool]], least_words: int) ->
     return sorted(out)
 
 
-def _runs(spans: list[tuple[int, int, int | None, bool]]) -> list[tuple[int, int, int | None]]:
-    """(start, end, smallest first) of spans that overlap or touch, or that are of one first document and up to GAP words apart."""
+def _runs(spans: list[tuple[int, int, int | None, bool]], gap: int = GAP) -> list[tuple[int, int, int | None]]:
+    """(start, end, smallest first) of spans that overlap or touch, or that are of one first document and up to gap words apart."""
     out: list[list] = []
     for start, end, first, _ in sorted(spans, key=lambda s: s[:2]):
-        if out and start <= out[-1][1] + (GAP if first == out[-1][2] else 0):
+        if out and start <= out[-1][1] + (gap if first == out[-1][2] else 0):
             out[-1][1] = max(out[-1][1], end)
             if out[-1][2] is None or (first is not None and first < out[-1][2]):
                 out[-1][2] = first

@@ -300,19 +300,25 @@ def passages(seed=8):
     return rows + clean, planted, {i for i, _ in clean}
 
 
-def test_planted_passages_are_found(spark):
+@pytest.mark.parametrize("exact_ends", [False, True])
+def test_planted_passages_are_found(spark, exact_ends):
     rows, planted, clean = passages()
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     spans = defaultdict(list)
-    for r in paragraphs.repeated_spans(df).collect():
+    for r in paragraphs.repeated_spans(df, exact_ends=exact_ends).collect():
         spans[r.doc_id].append(r)
     assert not clean & set(spans)
     for places in planted.values():
         first = min(d for d, *_ in places)
         for doc, a, b in places:
             (r,) = spans[doc]
-            assert a - paragraphs.REACH <= r.start_word and r.end_word <= b + paragraphs.REACH and r.n_words >= 25
-            assert r.first_doc_id == first and r.removed == (doc != first)
+            assert r.first_doc_id == first and r.removed == (doc != first) and r.n_words >= 25
+            if not exact_ends:
+                assert r.start_word <= a + 25 and b - 25 <= r.end_word
+                continue
+            assert r.start_word <= a and b <= r.end_word
+            # more words only where the whole paragraphs are near copies
+            assert (r.start_word, r.end_word) == (a, b) or r.n_words <= 4 * (b - a) / 3 + 5
 
 
 def test_near_paragraphs_are_joined(spark):
