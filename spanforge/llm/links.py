@@ -136,11 +136,13 @@ def clusters(multi: DataFrame, sets: DataFrame, set_of: Callable[[bytes], np.nda
     links = cut(tested(near.select(F.col("lo").alias("a"), F.col("node").alias("b")), sets, set_of, percent))
     spent(stars, heads)
     known = cut(multi.select("key", "node").join(sketched, "node"))
-    nodes, fresh, tables = sets.count(), float("inf"), [sets, known]
+    nodes, fresh, old = sets.count(), float("inf"), None
     while True:
         labels = components(links)
         rest = cut(known.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
-        tables.append(rest)
+        if old is not None:
+            spent(old)
+        old, tables = rest, [sets, known, rest]
         parts = rest.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.sum("c").alias("rows"), F.sum(F.col("c") * F.col("c")).alias("q")).where("parts > 1")
         open_pairs = parts.agg(F.sum((F.col("rows") * F.col("rows") - F.col("q")) / 2)).first()[0] or 0
         if not open_pairs:
