@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary, exact, langid, lines, media, mixing, ngram_join, packing, paragraphs, quality
+from . import binary, exact, langid, lines, media, mixing, ngram_join, packing, paragraphs, quality, whiten
 from .common import held_out, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -59,8 +59,12 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary.read(binary.write(table(spark, sf_dir, "documents"), TOKENIZER))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.whitening_report(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_language_id, op3_packing, op4_media, op5_quality, op6_exact_dedup, op7_line_dedup, op8_substring_dedup, op9_ngram_join, op10_token_output)}
+    return {f.__name__: f for f in (op1_mixing, op2_language_id, op3_packing, op4_media, op5_quality, op6_exact_dedup, op7_line_dedup, op8_substring_dedup, op9_ngram_join, op10_token_output, op13_whitening)}
 
 
 def oracle_sql() -> dict[str, str]:
