@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary, exact, langid, lines, media, mixing, ngram_join, packing, paragraphs, quality, whiten
+from . import binary, exact, langid, lines, media, mixing, ngram_join, packing, paragraphs, quality, resample, whiten
 from .common import held_out, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -59,12 +59,16 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary.read(binary.write(table(spark, sf_dir, "documents"), TOKENIZER))
 
 
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resampling_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten.whitening_report(table(spark, sf_dir, "embeddings"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_language_id, op3_packing, op4_media, op5_quality, op6_exact_dedup, op7_line_dedup, op8_substring_dedup, op9_ngram_join, op10_token_output, op13_whitening)}
+    return {f.__name__: f for f in (op1_mixing, op2_language_id, op3_packing, op4_media, op5_quality, op6_exact_dedup, op7_line_dedup, op8_substring_dedup, op9_ngram_join, op10_token_output, op12_resampling, op13_whitening)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -87,4 +91,17 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                    coalesce(doc_id = max(doc_id) OVER w, false) AS kept, sha256(t) AS text_sha256
             FROM n WINDOW w AS (PARTITION BY t)""",
+        "op12_resampling": r"""
+            WITH bits AS (SELECT list(v ORDER BY i) AS crc FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i))),
+            d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+            b AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),
+            f AS (SELECT doc_id, word, count(*) AS c FROM (SELECT doc_id, unnest(words) AS word FROM d) GROUP BY ALL),
+            w AS (SELECT word, CAST(sum(s) AS BIGINT) AS s, CAST(sum(t) AS BIGINT) AS t FROM (SELECT word, c AS s, 0 AS t FROM f UNION ALL SELECT unnest(words), 0, 1 FROM b) GROUP BY word),
+            h AS (SELECT word, s, t, xor(list_reduce(list_transform(range(octet_length(encode(word))), lambda p: CAST('0x' || substr(hex(encode(word)), CAST(2 * p + 1 AS BIGINT), 2) AS BIGINT)), lambda x, y: xor(x >> 8, crc[(xor(x, y) & 255) + 1]), 4294967295), 4294967295) % 10000 AS bucket FROM w, bits),
+            g AS (SELECT bucket, floor(1000 * ln((CAST(sum(t) AS DOUBLE) + 1) * ((SELECT sum(s) FROM w)::DOUBLE + 10000) / ((CAST(sum(s) AS DOUBLE) + 1) * ((SELECT sum(t) FROM w)::DOUBLE + 10000)))) AS gain FROM h GROUP BY bucket),
+            m AS (SELECT doc_id, CAST(sum(c) AS BIGINT) AS n_features, CAST(floor(sum(c * gain) / sum(c)) AS BIGINT) AS weight FROM f JOIN h USING (word) JOIN g USING (bucket) GROUP BY doc_id),
+            x AS (SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+                         coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score FROM d LEFT JOIN m USING (doc_id)),
+            r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM x WHERE n_features >= 20 QUALIFY rank <= count(*) OVER () * 10 // 100)
+            SELECT doc_id, n_features, weight, score, CAST(rank AS BIGINT) AS rank FROM x LEFT JOIN r USING (doc_id)""",
     }
