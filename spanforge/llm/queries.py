@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary, exact, langid, lines, media, mixing, ngram_join, packing, paragraphs, quality, resample, whiten
+from . import binary, exact, langid, lines, media, mixing, ngram_join, packing, paragraphs, quality, resample, warc, whiten
 from .common import held_out, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -59,6 +59,10 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary.read(binary.write(table(spark, sf_dir, "documents"), TOKENIZER))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.revisit_report(table(spark, sf_dir, "pages"))
+
+
 def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resampling_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -68,7 +72,7 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_language_id, op3_packing, op4_media, op5_quality, op6_exact_dedup, op7_line_dedup, op8_substring_dedup, op9_ngram_join, op10_token_output, op12_resampling, op13_whitening)}
+    return {f.__name__: f for f in (op1_mixing, op2_language_id, op3_packing, op4_media, op5_quality, op6_exact_dedup, op7_line_dedup, op8_substring_dedup, op9_ngram_join, op10_token_output, op11_warc, op12_resampling, op13_whitening)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -91,6 +95,13 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                    coalesce(doc_id = max(doc_id) OVER w, false) AS kept, sha256(t) AS text_sha256
             FROM n WINDOW w AS (PARTITION BY t)""",
+        "op11_warc": """
+            WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+            k AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS kept FROM p)
+            SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes,
+                   array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((CAST('0x' || substr(sha1(html), CAST(i // 8 * 10 + 1 AS BIGINT), 10) AS BIGINT) >> (35 - 5 * (i % 8))) & 31) + 1 AS BIGINT), 1)), '') AS payload_digest,
+                   CASE WHEN page_id = kept THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> kept THEN kept END AS refers_to
+            FROM k""",
         "op12_resampling": r"""
             WITH bits AS (SELECT list(v ORDER BY i) AS crc FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i))),
             d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
