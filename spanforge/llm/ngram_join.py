@@ -31,7 +31,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from .common import batch_words, cut, fields, map_batches, mix64, packed, shingles, spent, word_hashes
-from .links import SKETCH, clusters, shared_keys
+from .links import SKETCH, SOME, clusters, meeting
 
 #: Chance that a pair exactly at the threshold shares no key.
 MISS = 1e-6
@@ -160,15 +160,17 @@ def _found(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
 
 def labelled(docs: DataFrame, k: int = 5, percent: int = 75, text_col: str = "text") -> DataFrame:
     """docs (k1, k2, the text and others) without the text, with n_shingles, node and label (equal within a component;
-    null without shingles)."""
+    null without shingles); a written table."""
     sets = cut(_sets(docs, text_col, k))
-    multi = shared_keys(_keys(docs, text_col, k, percent))
+    some = docs.where(F.pmod(F.xxhash64(F.lit("some"), text_col), F.lit(SOME)) == 0)
+    multi = meeting(_keys(docs, text_col, k, percent), _keys(some, text_col, k, percent), merge=True)
     needed = cut(multi.select("node").distinct())
     one = sets.where(F.col("node").isNotNull()).join(needed, "node", "left_semi").groupBy("node").agg(F.min(F.struct("k1", "k2")).alias("x")).select("node", "x.*")
     texts = cut(_texts(docs, one, text_col, k))
     labels, tables = clusters(multi, texts, lambda text: shingle_set(text.decode("utf-8", "surrogatepass"), k), percent)
-    spent(needed, multi, *tables)
-    return sets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    out = cut(sets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    spent(needed, multi, sets, labels, *tables)
+    return out
 
 
 def sketch(found: np.ndarray) -> list[int]:
@@ -194,7 +196,7 @@ def _texts(docs: DataFrame, one: DataFrame, text_col: str, k: int) -> DataFrame:
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
     """One row for each document: id, n_shingles, component_id."""
     keyed = packed(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text").select("k1", "k2", F.col("doc.id").alias("id"), "text")
-    found = cut(labelled(keyed, k, percent).drop("k1", "k2"))
+    found = labelled(keyed, k, percent)
     least = cut(found.where(F.col("label").isNotNull()).groupBy("label").agg(F.min("id").alias("least")))
     joined = found.join(least, "label", "left")
     return joined.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("label").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id"))
@@ -203,7 +205,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
     """docs with one row of each component, that of the smallest id; rows without shingles stay; columns may have any names."""
     keyed = packed(docs, text_col)
-    found = cut(labelled(keyed.select("k1", "k2", F.col("doc").getField(id_col).alias("id"), "text"), k, percent))
+    found = labelled(keyed.select("k1", "k2", F.col("doc").getField(id_col).alias("id"), "text"), k, percent)
     pick = F.min(F.struct(F.col("id").isNull().alias("o"), F.col("id").alias("i"), "k1", "k2"))
     stays = found.where(F.col("label").isNotNull()).groupBy("label").agg(pick.alias("x")).select("x.k1", "x.k2", F.lit(True).alias("one"))
     alone = found.where(F.col("label").isNull()).select("k1", "k2", F.lit(False).alias("one")).distinct()

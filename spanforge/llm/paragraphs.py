@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batch_words, cut, fields, join_keyed, lists, map_batches, map_lists, mix64, sequence_hashes, shingles, sieved, sliding, spent
-from .links import clusters, meeting
+from .links import SOME, clusters, meeting
 from .ngram_join import sketch
 
 #: Words to each side of a cut in a long line, MinHash bands and rows of a band, words of a span that is reported, words
@@ -233,11 +233,12 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         held = join_keyed(table.select("row", F.inline("paragraphs")), cut(nodes.join(needed, "node", "left_semi").select("node", "rows")), "node", "rows")
         return _sets(table, held.groupBy("node").agg(F.min(F.struct("row", "start", "end")).alias("x")).select("node", "x.*"))
 
-    multi = meeting(table.select(F.inline("bands")))
+    keys = table.select(F.inline("bands"))
+    multi = meeting(keys, keys.where(F.pmod(F.xxhash64(F.lit("some"), "node"), F.lit(SOME)) == 0))
     labels, tables = clusters(multi, cut(sets_of(multi.select("node").distinct())), paragraph_set, percent)
     joined = nodes.join(labels, "node", "left").where(F.col("label").isNotNull() | _several("lo", "hi", "known", "rows"))
     joined = cut(joined.withColumn("label", F.coalesce("label", "node")))
-    spent(nodes, multi, *tables)
+    spent(nodes, multi, labels, *tables)
     found = joined.groupBy("label").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("known").alias("known"), F.sum("rows").alias("rows"))
     found = found.where(_several("lo", "hi", "known", "rows")).select("label", F.col("lo").alias("first"))
     # Each piece is decided by its own cluster, so that the smallest id of every cluster keeps its copy.
