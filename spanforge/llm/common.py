@@ -319,15 +319,16 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
     return df.mapInArrow(run, schema)
 
 
-def sieved(df: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
-    """df without most rows whose column's value wanted doesn't hold: those that a bitmap of fixed size shows to be of no use to a join."""
+def sieved(df: DataFrame, column: str, wanted: DataFrame, held: bool = True) -> DataFrame:
+    """df without most rows whose column's value wanted doesn't hold: those that a bitmap of fixed size shows to be of no use to a join.
+    Without held, those rows."""
     marks = df.sparkSession.sparkContext.broadcast(bitmap(wanted.select(F.xxhash64(column).alias("hash")), "hash"))  # of BITS bits
     names = df.columns
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         spot = batch.column(batch.num_columns - 1).to_numpy() & (BITS - 1)
-        held = marks.value[spot >> 3] >> (spot & 7).astype(np.uint8) & 1
-        return batch.filter(pa.array(held == 1)).select(names)
+        found = marks.value[spot >> 3] >> (spot & 7).astype(np.uint8) & 1
+        return batch.filter(pa.array(found == held)).select(names)
 
     return map_batches(df.withColumn("sieve hash", F.xxhash64(column)), lambda: step, df.schema)
 

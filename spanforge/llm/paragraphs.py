@@ -6,11 +6,11 @@ one node; bands of MinHash values (BANDS of ROWS, which find 97.8 % of the pairs
 ones) bring the others together, pairs that collide are verified by exact Jaccard, and components of the links are the
 clusters.
 
-A passage inside unlike lines is in no such paragraph, so windows of `least_words` words are nodes too, of equal words
-only. A text's windows are chosen by their own hashes (the smallest of every `window` words in a row), so any `window`
-words that two documents share hold a window chosen in both; with window = least_words, all windows are chosen.
-
-With exact_ends, where equal pieces of two texts stand, the words on both sides are compared on, to the ends of the stretch.
+What equal copies leave is searched for passages inside unlike lines: every `least_words` words in a row that two
+documents still share are found. Anchors (runs of ANCHOR words, the smallest hash of every `least_words` words) are
+alike wherever the same words stand; around the anchors of several texts, all windows of `least_words` words are nodes, of
+equal words only. So after all removals no `least_words` words in a row are left in two documents, other than in parts
+of removals that are too short to go.
 
 The document with the smallest id of a cluster keeps its words, the others' are removals. Runs of words with the same
 decision, also over edits of up to GAP words, are the repeated spans.
@@ -27,14 +27,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import batch_words, cut, fields, join_keyed, lists, map_batches, map_lists, mix64, sequence_hashes, shingles, sieved, sliding, spent
 from .links import SOME, clusters, meeting
 from .ngram_join import sketch
 
 #: Words to each side of a cut in a long line, MinHash bands and rows of a band, words of a span that is reported, words
-#: in a row that hold a window for sure, words of an edit inside a span.
-REACH, BANDS, ROWS, LEAST_WORDS, WINDOW, GAP = 32, 7, 3, 25, 50, 3
+#: of an anchor, words of an edit inside a span.
+REACH, BANDS, ROWS, LEAST_WORDS, ANCHOR, GAP = 32, 7, 3, 25, 8, 3
 _NONE = np.uint64((1 << 64) - 1)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -93,9 +94,9 @@ def band_keys(words: np.ndarray, starts: np.ndarray, sizes: np.ndarray, bands: i
     return keys
 
 
-def _pieces(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int, least_words: int, window: int) -> DataFrame:
-    """A row for each document: doc_id, words (32-bit hashes), paragraphs and windows (start, end, node), bands (key, node)."""
-    schema = fields("doc_id long, words binary, paragraphs array<struct<start int, end int, node long>>, windows array<struct<start int, end int, node long>>, bands array<struct<key long, node long>>")
+def _pieces(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int, least_words: int) -> DataFrame:
+    """A row for each document: doc_id, words (32-bit hashes), paragraphs (start, end, node), bands (key, node)."""
+    schema = fields("doc_id long, words binary, paragraphs array<struct<start int, end int, node long>>, bands array<struct<key long, node long>>")
     least = max(5, least_words)
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -111,7 +112,6 @@ def _pieces(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int,
         sizes = np.diff(np.append(starts, n))
         starts, sizes = starts[sizes >= least], sizes[sizes >= least]
         nodes = sequence_hashes(words, starts, sizes)
-        at, hashes = chosen_windows(words, owner, w.first, least_words, window)
         count = lambda x: np.bincount(x.astype(np.int64), minlength=batch.num_rows)
 
         def placed(begin: np.ndarray, end: np.ndarray, node: np.ndarray) -> pa.Array:
@@ -127,7 +127,7 @@ def _pieces(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int,
         given = pa.StructArray.from_arrays([pa.array(keys[turn].ravel().view(np.int64)), pa.array(np.repeat(held[turn], bands).view(np.int64))], ["key", "node"])
         raw = pa.array(words.astype("<u4")).buffers()[1] if n else pa.py_buffer(b"")
         binary = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer((w.first * 4).astype(np.int32)), raw])
-        return pa.RecordBatch.from_arrays([batch.column(0), binary, placed(starts, starts + sizes, nodes), placed(at, at + least_words, hashes), lists(given, count(owners) * bands)], names=schema.names)
+        return pa.RecordBatch.from_arrays([batch.column(0), binary, placed(starts, starts + sizes, nodes), lists(given, count(owners) * bands)], names=schema.names)
 
     return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col), lambda: step, schema, rows=500)
 
@@ -151,67 +151,82 @@ def _sets(table: DataFrame, wanted: DataFrame) -> DataFrame:
     return map_lists(needed.join(refs.hint("merge"), "row").select("words", "refs"), lambda: step, schema, rows=100)
 
 
-def _extended(table: DataFrame, marked: DataFrame, counts: DataFrame, reach: int) -> DataFrame:
-    """row, s (start, end, first, removed): the words up to `reach` beyond both ends of stretches of equal pieces that are
-    equal too, in the text and in that of the first document. marked: row, node, start, end, first, removed; counts: node, rows."""
-    head = marked.where("not removed").groupBy("node").agg(F.min(F.struct("row", "start")).alias("x")).join(counts, "node")
-    head = cut(head.select("node", F.col("x.row").alias("frow"), F.col("x.start").alias("fstart"), "rows"))
-    seeds = join_keyed(marked.where("removed"), head, "node", "rows")
-    lists_of = seeds.groupBy("row").agg(F.collect_list(F.struct("start", "end", "frow", "fstart", "first")).alias("seeds"))  # of one document
-    schema = fields("row long, start int, end int, frow long, fstart int, fend int, first long")
-
-    def stretches(batch: dict[str, list]) -> dict[str, list]:
-        rows = []
-        for row, found in zip(batch["row"], batch["seeds"]):
-            out, last, whole = [], [], _runs([(x["start"], x["end"], 0, True) for x in found], 0)
-            begins, finishes = {a for a, *_ in whole}, {b for _, b, _ in whole}
-            for x in sorted(found, key=lambda x: (x["frow"], x["fstart"] - x["start"], x["start"])):
-                line = (x["frow"], x["fstart"] - x["start"])
-                if last and last[0] == line and x["start"] <= last[2] + 1:
-                    last[2] = max(last[2], x["end"])
-                else:
-                    last = [line, x["start"], x["end"], x["first"]]
-                    out.append(last)
-            # what other stretches go on beyond needs no look
-            rows += [(row, a, b, line[0], a + line[1], b + line[1], first) for line, a, b, first in out if a in begins or b in finishes]
-        return dict(zip(schema.names, map(list, zip(*rows)))) if rows else {n: [] for n in schema.names}
-
-    runs = cut(map_lists(lists_of, lambda: stretches, schema, rows=200))
-    places = runs.select("row", "start", "end").union(runs.select("frow", "fstart", "fend")).groupBy("row", "start", "end").agg(F.count(F.lit(1)).alias("uses"))
-    around = fields("row long, start int, end int, uses long, before binary, after binary")
-
-    def slices(batch: dict[str, list]) -> dict[str, list]:
-        rows = []
-        for row, words, refs in zip(batch["row"], batch["words"], batch["refs"]):
-            rows += [(row, x["start"], x["end"], x["uses"], words[4 * max(0, x["start"] - reach) : 4 * x["start"]], words[4 * x["end"] : 4 * (x["end"] + reach)]) for x in refs]
-        return dict(zip(around.names, map(list, zip(*rows))))
-
-    refs = cut(places.groupBy("row").agg(F.collect_list(F.struct("start", "end", "uses")).alias("refs")))
-    near = cut(map_lists(sieved(table.select("row", "words"), "row", refs).join(refs.hint("merge"), "row").select("row", "words", "refs"), lambda: slices, around, rows=100).withColumn("place", F.xxhash64("row", "start", "end")))
-    mine = near.select("place", F.col("before").alias("b"), F.col("after").alias("a"))
-    theirs = near.select(F.col("place").alias("fplace"), F.col("before").alias("fb"), F.col("after").alias("fa"), "uses")
-    both = runs.withColumns({"place": F.xxhash64("row", "start", "end"), "fplace": F.xxhash64("frow", "fstart", "fend")}).join(mine, "place")
-    schema_out = fields("row long, start int, end int, first long, removed boolean")
-
-    def ends(batch: dict[str, list]) -> dict[str, list]:
-        rows = set()
-        for i, row in enumerate(batch["row"]):
-            x, y, z, w = (np.frombuffer(batch[c][i], dtype="<u4") for c in ("b", "fb", "a", "fa"))
-            left, right = _equal(x[::-1], y[::-1]), _equal(z, w)
-            if left or right:
-                for r, a, b, gone in ((row, batch["start"][i], batch["end"][i], True), (batch["frow"][i], batch["fstart"][i], batch["fend"][i], False)):
-                    rows.add((r, a - left, b + right, batch["first"][i], gone))
-        return dict(zip(schema_out.names, map(list, zip(*rows)))) if rows else {n: [] for n in schema_out.names}
-
-    joined = join_keyed(both, theirs, "fplace", "uses").select("row", "start", "end", "frow", "fstart", "fend", "first", "b", "a", "fb", "fa")
-    return map_lists(joined, lambda: ends, schema_out, rows=500).distinct()
-
-
-def _equal(a: np.ndarray, b: np.ndarray) -> int:
-    """How many words at the start of both are equal."""
-    n = min(len(a), len(b))
-    differ = np.flatnonzero(a[:n] != b[:n])
-    return int(differ[0]) if len(differ) else n
+def _left(spans: list[tuple[int, int]], n: int, margin: int) -> list[tuple[int, int]]:
+    """What spans leave of n words, with `margin` words of the spans around it; parts that then touch are one."""
+    out: list[list[int]] = []
+    at = 0
+    for start, end in [*sorted(spans), (n, n)]:
+        if start > at:
+            a, b = max(0, at - margin), min(n, start + margin)
+            if out and a <= out[-1][1]:
+                out[-1][1] = b
+            else:
+                out.append([a, b])
+        at = max(at, end)
+    return [(a, b) for a, b in out]
+
+
+def _anchors(table: DataFrame, gone: DataFrame, least_words: int) -> DataFrame:
+    """gram, row, start: anchors of the words that gone (row, spans; written) leaves; a written table."""
+    schema = fields("gram long, row long, start int")
+    size = min(ANCHOR, least_words)
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        parts, rows, begins = [], [], []
+        spans_of = batch.column(2).to_pylist() if batch.num_columns > 2 else [None] * batch.num_rows
+        for row, raw, spans in zip(batch.column(0).to_pylist(), batch.column(1), spans_of):
+            words = np.frombuffer(raw.as_buffer() or b"", dtype="<u4")
+            for a, b in _left([(x["start"], x["end"]) for x in spans or ()], len(words), least_words - 1):
+                if b - a >= least_words:
+                    parts.append(words[a:b])
+                    rows.append(row)
+                    begins.append(a)
+        if not parts:
+            return pa.RecordBatch.from_pydict({"gram": [], "row": [], "start": []}, schema=to_arrow_schema(schema))
+        first = np.concatenate(([0], np.cumsum([len(p) for p in parts])))
+        part = np.repeat(np.arange(len(parts)), np.diff(first))
+        at, grams = chosen_windows(np.concatenate(parts).astype(np.uint64), part, first, size, least_words)
+        of = part[at]
+        return pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(np.array(rows, dtype=np.int64)[of]), pa.array((np.array(begins)[of] + at - first[of]).astype(np.int32))], schema=to_arrow_schema(schema))
+
+    words = table.select("row", "words")
+    whole = map_batches(sieved(words, "row", gone, held=False), lambda: step, schema, rows=500)
+    cut_up = sieved(words, "row", gone).join(gone.hint("merge"), "row", "left").select("row", "words", "spans")
+    return cut(whole.union(map_batches(cut_up, lambda: step, schema, rows=500)))
+
+
+def _windows(table: DataFrame, gone: DataFrame, least_words: int) -> DataFrame:
+    """row, doc_id, start, end, node: all windows of least_words words around anchors that several rows share; a written table."""
+    anchors = _anchors(table, gone, least_words)
+    shared = anchors.groupBy("gram").agg(F.min("row").alias("lo"), F.max("row").alias("hi"), F.count(F.lit(1)).alias("rows")).where("lo != hi")
+    shared = cut(shared.select("gram", "rows"))
+    hits = join_keyed(sieved(anchors, "gram", shared), shared, "gram", "rows")
+    refs = cut(hits.groupBy("row").agg(F.collect_list("start").alias("starts")))  # of one document
+    spent(anchors, shared)
+    schema = fields("row long, doc_id long, start int, end int, node long")
+    size = min(ANCHOR, least_words)
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out: list[list[np.ndarray]] = [[], [], []]  # number in the batch, start, node
+        for i, (raw, starts) in enumerate(zip(batch.column(2), batch.column(3))):
+            words = np.frombuffer(raw.as_buffer() or b"", dtype="<u4").astype(np.uint64)
+            marks = np.zeros(len(words) + 1, dtype=np.int64)
+            begins = starts.values.to_numpy()
+            np.add.at(marks, np.maximum(begins + size - least_words, 0), 1)
+            np.add.at(marks, np.minimum(begins + 1, len(words)), -1)
+            at = np.flatnonzero(np.cumsum(marks)[: max(0, len(words) - least_words + 1)])
+            out[0].append(np.full(len(at), i))
+            out[1].append(at)
+            out[2].append(sequence_hashes(words, at, np.full(len(at), least_words)))
+        of, at, nodes = (np.concatenate(x) for x in out)
+        took = pa.array(of)
+        ends = [pa.array(x.astype(np.int32)) for x in (at, at + least_words)]
+        return pa.RecordBatch.from_arrays([batch.column(0).take(took), batch.column(1).take(took), *ends, pa.array(nodes.astype(np.uint64).view(np.int64))], schema=to_arrow_schema(schema))
+
+    rows = sieved(table.select("row", "doc_id", "words"), "row", refs).join(refs.hint("merge"), "row")
+    out = cut(map_batches(rows.select("row", "doc_id", "words", "starts"), lambda: step, schema, rows=100))
+    spent(refs)
+    return out
 
 
 def _several(lo: str, hi: str, known: str, rows: str):
@@ -219,14 +234,22 @@ def _several(lo: str, hi: str, known: str, rows: str):
     return (F.col(lo) < F.col(hi)) | ((F.col(known) > 0) & (F.col(known) < F.col(rows)))
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, bands: int = BANDS, rows: int = ROWS, least_words: int = LEAST_WORDS, window: int = WINDOW, exact_ends: bool = True) -> DataFrame:
-    """One row for each repeated span: id, start_word, end_word, n_words, first_doc_id (the smallest id that shares any of it), removed.
+def _marked(placed: DataFrame, shared: DataFrame) -> DataFrame:
+    """row, start, end, first, removed, same: pieces of placed whose nodes shared (node, first, same, rows; written) holds."""
+    rows = join_keyed(placed, shared, "node", "rows").withColumn("removed", ~F.col("first").eqNullSafe(F.col("doc_id")))
+    return rows.select("row", "start", "end", "first", "removed", "same")
+
+
+def _nodes(placed: DataFrame) -> DataFrame:
+    """node, and the smallest and largest id, known ids and rows of its pieces; a written table."""
+    return cut(placed.groupBy("node").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("doc_id").alias("known"), F.count(F.lit(1)).alias("rows")))
+
 
-    exact_ends: compare on to the ends of shared stretches; else a span inside a line may end up to window - least_words words short."""
-    window = max(window, least_words)
-    table = cut(_pieces(docs, id_col, text_col, bands, rows, least_words, window).withColumn("row", F.monotonically_increasing_id()))
-    placed = table.select("row", "doc_id", F.inline(F.concat("paragraphs", "windows")))
-    nodes = cut(placed.groupBy("node").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("doc_id").alias("known"), F.count(F.lit(1)).alias("rows")))
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, bands: int = BANDS, rows: int = ROWS, least_words: int = LEAST_WORDS) -> DataFrame:
+    """One row for each repeated span: id, start_word, end_word, n_words, first_doc_id (the smallest id that shares any of it), removed."""
+    table = cut(_pieces(docs, id_col, text_col, bands, rows, least_words).withColumn("row", F.monotonically_increasing_id()))
+    placed = table.select("row", "doc_id", F.inline("paragraphs"))
+    nodes = _nodes(placed)
 
     def sets_of(needed: DataFrame) -> DataFrame:
         """Of each node, one paragraph's."""
@@ -242,12 +265,15 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = joined.groupBy("label").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("known").alias("known"), F.sum("rows").alias("rows"))
     found = found.where(_several("lo", "hi", "known", "rows")).select("label", F.col("lo").alias("first"))
     # Each piece is decided by its own cluster, so that the smallest id of every cluster keeps its copy.
-    shared = cut(joined.join(found, "label").select("node", "first", "rows"))
-    marked = cut(join_keyed(placed, shared, "node", "rows").withColumn("removed", ~F.col("first").eqNullSafe(F.col("doc_id"))))
-    more = _extended(table, marked, shared.select("node", "rows"), window) if exact_ends and window > least_words else None
-    spans = marked.select("row", "start", "end", "first", "removed")
-    spans = spans if more is None else spans.union(more)
-    spans = spans.groupBy("row").agg(F.collect_list(F.struct("start", "end", "first", "removed")).alias("spans"))  # of one document
+    marked = cut(_marked(placed, cut(joined.join(found, "label").select("node", "first", F.col("lo").eqNullSafe(F.col("first")).alias("same"), "rows"))))
+    spent(joined)
+    # Words of near copies are searched too: what they share with others may go on beyond the paragraph there.
+    gone = cut(marked.where("removed and same").groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("spans")))  # of one document
+    windows = _windows(table, gone, least_words)
+    nodes = _nodes(windows)
+    more = _marked(windows, cut(nodes.where(_several("lo", "hi", "known", "rows")).select("node", F.col("lo").alias("first"), F.lit(True).alias("same"), "rows")))
+    spent(gone)
+    spans = marked.union(more).groupBy("row").agg(F.collect_list(F.struct("start", "end", "first", "removed")).alias("spans"))  # of one document
     spans = spans.join(table.select("row", "doc_id"), "row")
     schema = fields("doc_id long, start_word int, end_word int, n_words int, first_doc_id long, removed boolean")
 
