@@ -762,7 +762,8 @@ class Speller:
         """The whole pattern, begun so that few places are tried.
 
         A literal after a word's edge is tried first, and what stands before it then. A run of one set's characters
-        which ends where something else must follow fails from all its places if it fails from its first."""
+        which ends where something else must follow fails from all its places if it fails from its first: the run's
+        start, or the end of the match before, if that lies inside the run."""
         items = n.items if isinstance(n, Seq) else ()
         if self.python or len(items) < 2:
             return self.spell(n, ())
@@ -779,7 +780,7 @@ class Speller:
             x = x.body
         run = isinstance(x, Rep) and isinstance(x.body, Chars) and x.body.ranges and x.least > 0 and x.most is None and x.greedy
         if run and (not nullable(Seq(items[1:])) or any(isinstance(y, Look | At) for y in items[1:])):
-            return f"(?<!{self.set(x.body)}){self.spell(n, ())}"
+            return f"(?:(?<!{self.set(x.body)})|\\G){self.spell(n, ())}"
         return self.spell(n, ())
 
     def spell(self, n, after: cs.Ranges) -> str:

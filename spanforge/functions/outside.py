@@ -24,13 +24,16 @@ def _compiled(spelled: str) -> regex.Pattern:
 
 def found(spelled: str, text: str, seconds: float | None) -> Iterator[regex.Match]:
     """All matches. After one, the search goes on at its end, after an empty one at the next character; an empty match
-    at the end of the match before it is no match."""
-    pattern, at, last, until = _compiled(spelled), 0, -1, None if seconds is None else time.monotonic() + seconds
+    at the end of the match before it is no match. seconds: for all searches in the text together, not for what the
+    caller does between them."""
+    pattern, at, last, left = _compiled(spelled), 0, -1, seconds
     try:
         while at <= len(text):
-            left = None if until is None else max(until - time.monotonic(), 1e-9)
+            begun = time.monotonic()
             if (m := pattern.search(text, at, timeout=left)) is None:
                 return
+            if left is not None:
+                left = max(left - (time.monotonic() - begun), 1e-9)
             start, end = m.span()
             if not start == end == last:
                 yield m
@@ -39,17 +42,28 @@ def found(spelled: str, text: str, seconds: float | None) -> Iterator[regex.Matc
         raise MatchLimitExceeded(f"over {seconds} s on {len(text)} characters") from e
 
 
-def place(m: regex.Match, text: str, group: int | str = 0) -> dict | None:
-    """Byte offsets and text of a group; None if it took no part."""
-    if m.start(group) < 0:
-        return None
-    start = len(text[: m.start(group)].encode("utf-8"))
-    return {"start": start, "end": start + len(m.group(group).encode("utf-8")), "text": m.group(group)}
+class Places:
+    """Byte offsets of matches that come in order: each stretch of the text is encoded once."""
 
+    def __init__(self, text: str):
+        self.text, self.at, self.byte, self.plain = text, 0, 0, text.isascii()
 
-def _groups(m: regex.Match, text: str, names: list[str], spans: bool, unseen: frozenset[int]) -> dict:
+    def of(self, at: int) -> int:
+        if self.plain:
+            return at
+        self.byte += len(self.text[self.at : at].encode("utf-8")) if at >= self.at else -len(self.text[at : self.at].encode("utf-8"))
+        self.at = at
+        return self.byte
+
+    def place(self, m: regex.Match, group: int | str = 0) -> dict | None:
+        """Byte offsets and text of a group; None if it took no part."""
+        start, end = m.span(group)
+        return None if start < 0 else {"start": self.of(start), "end": self.of(end), "text": m.group(group)}
+
+
+def _groups(m: regex.Match, places: Places | None, names: list[str], unseen: frozenset[int]) -> dict:
     of = lambda i: f"g{i}" if i else 0
-    return {n: None if i in unseen else place(m, text, of(i)) if spans else m.group(of(i)) for i, n in enumerate(names)}
+    return {n: None if i in unseen else places.place(m, of(i)) if places else m.group(of(i)) for i, n in enumerate(names)}
 
 
 def _replaced(spelled: str, text: str, by: str, most: int, seconds: float | None) -> str:
@@ -75,17 +89,19 @@ def search(op: str, spelled: str, text: Column, names: list[str] | None = None,
             case "is_match":
                 return next(matches, None) is not None
             case "find":
-                return place(m, t) if (m := next(matches, None)) else None
+                return Places(t).place(m) if (m := next(matches, None)) else None
             case "find_all":
                 return [m.group() for m in matches]
             case "spans":
-                return [place(m, t) for m in matches]
+                places = Places(t)
+                return [places.place(m) for m in matches]
             case "count":
                 return sum(1 for _ in matches)
             case "captures":
-                return _groups(m, t, names, spans, unseen) if (m := next(matches, None)) else None
+                return _groups(m, Places(t) if spans else None, names, unseen) if (m := next(matches, None)) else None
             case "captures_all":
-                return [_groups(m, t, names, spans, unseen) for m in matches]
+                places = Places(t) if spans else None
+                return [_groups(m, places, names, unseen) for m in matches]
             case "replace":
                 return _replaced(spelled, t, by, 1, seconds)
         return _replaced(spelled, t, by, -1, seconds)

@@ -17,7 +17,7 @@ from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from . import dialect
 from .dialect import Alt, At, Seq, Speller, always, literal_of, nullable, required_literal
-from .outside import MATCH, found, place, search
+from .outside import MATCH, Places, found, search
 
 #: What matched texts are marked with to place them; texts that hold these go outside.
 OPEN, CLOSE = "\ue000", "\ue001"
@@ -299,7 +299,8 @@ def _searcher(pattern: str, seconds: float | None):
 
 def rows_of(pattern: str, text: str, seconds: float | None = 10.0) -> list[dict]:
     """start, end (bytes) and text of all matches in one text, outside Spark's functions."""
-    return [place(m, text) for m in found(_searcher(pattern, seconds), text, seconds)]
+    places = Places(text)
+    return [places.place(m) for m in found(_searcher(pattern, seconds), text, seconds)]
 
 
 def compile(pattern: str, **options) -> Pattern:  # noqa: A001
