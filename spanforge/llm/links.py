@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import HEAVY, cut, fields, join_keyed, map_batches, mix64, spent
 
@@ -65,8 +66,8 @@ PARTS = 32
 LEADERS, ROUNDS = 16, 2
 #: Nodes of a key that meet each other under it; those of larger keys meet under their rarest shingles.
 SMALL = 32
-#: Nodes of a key that one task gets at once; counters by which shingles are called rare.
-BLOCK, COUNTERS = 1024, 1 << 20
+#: Nodes of a key that one task gets at once; counters by which shingles are called rare, and tasks that add them up.
+BLOCK, COUNTERS, DEALT = 1024, 1 << 20, 16
 
 
 def tested(pairs: DataFrame, sets: DataFrame, set_of: Callable[[bytes], np.ndarray], percent: int) -> DataFrame:
@@ -177,20 +178,36 @@ def sifted(pairs: DataFrame, sketched: DataFrame, percent: int) -> DataFrame:
 
 
 def _rarity(sets: DataFrame, set_of: Callable[[bytes], np.ndarray]) -> np.ndarray:
-    """For each of COUNTERS hash values, how often sets (node, words, label) hold shingles of it: never less than a shingle's own number."""
+    """For each of COUNTERS hash values, how often sets (node, words, label) hold shingles of it: never less than a shingle's
+    own number. Tasks add up their own, and DEALT tasks what all give for their share of the counters."""
+    schema, share = fields("share int, spots array<int>, counts array<long>"), COUNTERS // DEALT
 
-    def run(batches):
+    def told(total: np.ndarray, which: int) -> pa.RecordBatch:
+        part = total[which * share : (which + 1) * share]
+        at = np.flatnonzero(part)
+        return pa.RecordBatch.from_pydict({"share": [which], "spots": [at], "counts": [part[at]]}, schema=to_arrow_schema(schema))
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, dtype=np.int64)
         for batch in batches:
             for words in batch.column(0):
-                total += np.bincount(_spot(set_of(words.as_py())), minlength=COUNTERS)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, type=pa.int64()), pa.array(total[at])], names=["spot", "c"])
+                np.add.at(total, _spot(set_of(words.as_py())), 1)
+        for which in np.flatnonzero(total.reshape(DEALT, -1).any(axis=1)).tolist():
+            yield told(total, which)
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, held = np.zeros(COUNTERS, dtype=np.int64), set()
+        for batch in batches:
+            for which, spots, counts in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                held.add(which)
+                total[which * share + spots.values.to_numpy()] += counts.values.to_numpy()
+        for which in held:
+            yield told(total, which)
 
     out = np.zeros(COUNTERS, dtype=np.int64)
-    counts = sets.select("words").mapInArrow(run, fields("spot long, c long")).groupBy("spot").agg(F.sum("c").alias("c"))
-    for batch in counts.toArrow().to_batches():  # COUNTERS rows at most
-        out[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
+    sums = sets.select("words").mapInArrow(own, schema).repartition(DEALT, "share").mapInArrow(together, schema)
+    for r in sums.toLocalIterator():  # DEALT rows
+        out[r["share"] * share + np.array(r["spots"], dtype=np.int64)] = r["counts"]
     return out
 
 
