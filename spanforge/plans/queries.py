@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import compile, escape, escape_column, presets
-from ..operators import matches
+from ..operators import intervals, matches
 from ..sources import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -292,6 +292,50 @@ def capture_spans(spark, sf_dir):
     return docs.select("conv_id", "turn", F.col("c.first.start").alias("first_start"), F.col("c.then.end").alias("then_end"))
 
 
+def _runs_sql(name: str, table: str, keys: str, text: str, inside: str) -> str:
+    """A common table of the runs of a class of characters: keys, i, s, e (bytes), t."""
+    other = f"([^{inside}]*)([{inside}]+)"
+    return f"""{name}p AS (SELECT {keys}, regexp_extract_all({text}, '{other}', 1) AS g, regexp_extract_all({text}, '{other}', 2) AS w FROM {table}),
+    {name}r AS (SELECT {keys}, CAST(unnest(range(1, len(w) + 1)) AS INTEGER) AS i, unnest(g) AS g, unnest(w) AS t FROM {name}p),
+    {name} AS (SELECT {keys}, i, t, CAST(sum(strlen(g) + strlen(t)) OVER (PARTITION BY {keys} ORDER BY i) AS INTEGER) AS e, e - strlen(t) AS s FROM {name}r)"""
+
+
+_HEADS = f"WITH {_runs_sql('a', 'pages', 'page_id', 'html', 'A-Z')}, {_runs_sql('b', 'pages', 'page_id', 'html', '0-9')}"
+
+
+@query(f"""{_HEADS}
+    SELECT a.page_id, a.i AS a_match_no, CAST(a.s AS INTEGER) AS a_start, a.e AS a_end, a.t AS a_text, b.i AS b_match_no, CAST(b.s AS INTEGER) AS b_start, b.e AS b_end, b.t AS b_text,
+           CAST(greatest(b.s - a.e, a.s - b.e) AS BIGINT) AS gap
+    FROM a JOIN b ON a.page_id = b.page_id AND greatest(b.s - a.e, a.s - b.e) <= 12""")
+def near_matches(spark, sf_dir):
+    return intervals.near_matches(read_table(spark, sf_dir, "pages"), ["page_id"], "html", compile("[A-Z]+"), compile("[0-9]+"), 12)
+
+
+@query(f"""{_HEADS}
+    SELECT b.page_id, b.i AS match_no, CAST(b.s AS INTEGER) AS "start", b.e AS "end", b.t AS text, a.i AS mark_no, CAST(a.s AS INTEGER) AS mark_start, a.e AS mark_end, a.t AS mark
+    FROM b ASOF LEFT JOIN a ON b.page_id = a.page_id AND b.s >= a.e""")
+def last_before(spark, sf_dir):
+    return intervals.last_before(read_table(spark, sf_dir, "pages"), ["page_id"], "html", compile("[A-Z]+"), compile("[0-9]+"))
+
+
+@query("""
+    SELECT p.event_id, e.event_id AS error_id, CAST(epoch_us(p.ts) - epoch_us(e.ts) AS BIGINT) AS micros
+    FROM events p LEFT JOIN events e ON p.user_id = e.user_id AND e.ts <= p.ts AND epoch_us(p.ts) - epoch_us(e.ts) <= 864000000000 AND regexp_matches(e.event_type, 'error|signup')
+    WHERE regexp_matches(p.event_type, 'purchase') QUALIFY row_number() OVER (PARTITION BY p.event_id ORDER BY e.ts DESC NULLS LAST, e.event_id DESC) = 1""")
+def asof_events(spark, sf_dir):
+    """Each purchase with the same user's last error or signup of the ten days before it."""
+    events, kind = read_table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type"), F.col("event_type")
+    found = intervals.asof_join(events.where(compile("purchase").is_match(kind)), events.where(compile("error|signup").is_match(kind)), ["user_id"], "ts", "ts", width=86400, ties=["event_id"], within=864000)
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    return found.select("event_id", F.col("found.event_id").alias("error_id"), (micros("ts") - micros("found.ts")).alias("micros"))
+
+
+@query(_count_sql("documents", "doc_id", "text", "\\d+\\.\\d"))
+def version_pairs(spark, sf_dir):
+    """A match may start inside the run of digits that the match before it ended in."""
+    return _counted(spark, sf_dir, "documents", "doc_id", "text", r"\d+\.\d")
+
+
 @query()
 def token_counts_bpe(spark, sf_dir):
     """How a public tokenizer's pattern splits all documents, counted."""
