@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import compile, escape, escape_column, presets
 from ..operators import intervals, matches
 from ..sources import read_table
+from ..streaming.chunks import match_sessions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -330,6 +331,18 @@ def asof_events(spark, sf_dir):
     return found.select("event_id", F.col("found.event_id").alias("error_id"), (micros("ts") - micros("found.ts")).alias("micros"))
 
 
+@query("""
+    WITH h AS (SELECT user_id, ts FROM events WHERE regexp_matches(event_type, 'error|purchase')),
+    g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 90 HOUR THEN 0 ELSE 1 END AS new FROM h),
+    s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+    SELECT user_id, epoch_us(min(ts)) AS first, epoch_us(max(ts)) AS last, count(*) AS rows, count(*) AS matches FROM s GROUP BY user_id, k""")
+def session_matches(spark, sf_dir):
+    """Sessions of a user's errors and purchases, less than 90 hours apart."""
+    found = match_sessions(read_table(spark, sf_dir, "events"), "ts", ["user_id"], "event_type", compile("error|purchase"), "90 hours")
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    return found.select("user_id", micros("session_start").alias("first"), (micros("session_end") - 90 * 3_600_000_000).alias("last"), "rows", "matches")
+
+
 @query(_count_sql("documents", "doc_id", "text", "\\d+\\.\\d"))
 def version_pairs(spark, sf_dir):
     """A match may start inside the run of digits that the match before it ended in."""
