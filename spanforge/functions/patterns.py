@@ -87,18 +87,17 @@ class Pattern:
     engine_name = route
 
     def explain(self, op: str = "is_match") -> str:
-        return f"{self.route(op)}: {', '.join(self._reasons(op)) or self._whole.text}"
+        return f"{self.route(op)}: {', '.join(self._reasons(op)) or self._java()}"
 
     def _reasons(self, op: str) -> list[str]:
         out = list(dict.fromkeys(self._whole.deep))
-        if self.nullable and (op != "is_match" or any(n == At("not_word") or isinstance(n, dialect.Look) and n.negated for n in dialect.walk(self.node))):
-            out.append("may match nothing")  # for the JVM, between the halves of a character too
-        if op in ("captures", "captures_all"):
-            all_groups = range(1, self.group_count + 1)
-            if not all(always(self.node, g) for g in all_groups):
-                out.append("a group may take no part")
+        if op in ("captures", "captures_all", "capture_spans"):
+            if any(nullable(n.body) and not always(self.node, n.index) and n.index not in self.unseen for n in dialect.walk(self.node) if isinstance(n, dialect.Group)):
+                out.append("a group may take no part or match nothing")  # the JVM's functions give the same text for both
             elif any(isinstance(n, dialect.Rep) and nullable(n.body) and any(isinstance(x, dialect.Group) for x in dialect.walk(n)) for n in dialect.walk(self.node)):
                 out.append("group in a loop that may match nothing")
+        if op == "capture_spans" and not out and self._pieces() is None:
+            out.append("a group inside a loop or a branch")
         return out
 
     def _literal(self) -> tuple[str, bool, bool] | None:
@@ -111,7 +110,23 @@ class Pattern:
         return None if not text else (text, start, end)
 
     def _java(self, kept: builtins.set[int] = frozenset()) -> str:
-        return self._spelled(builtins.set(kept)).text if kept else self._whole.text
+        return self._guarded(self._spelled(builtins.set(kept)).text if kept else self._whole.text)
+
+    def _guarded(self, java: str) -> str:
+        """The JVM also looks for empty matches between the halves of a character, and right after a match: neither counts."""
+        return f"(?![\\x{{DC00}}-\\x{{DFFF}}])(?>{java})(?:(?!\\G)|\\A)" if self.nullable else java
+
+    def _before(self, text: Column) -> Column:
+        """What comes before the first match; only where there is one."""
+        if self.nullable:  # split() drops an empty text before an empty match
+            return F.regexp_extract(text, f"\\A[\\s\\S]*?(?={self._java()})", 0)
+        return F.split(text, self._java(), 2)[0]
+
+    def _first(self, text: Column, java: str) -> Column:
+        """The first match's text, or null."""
+        if self.nullable:
+            return F.when(text.rlike(java), F.regexp_extract(text, java, 0))
+        return F.regexp_substr(text, F.lit(java))
 
     def _outside(self, op: str, text: Column, kept: builtins.set[int] = frozenset(), **more) -> Column:
         return search(op, self._spelled(builtins.set(kept), python=True).text, text, seconds=self.options.seconds, **more)
@@ -150,14 +165,14 @@ class Pattern:
         """The first match's text, or null."""
         if self._reasons("find"):
             return self._outside("find", text).getField("text")
-        return self._where(text, F.regexp_substr(text, F.lit(self._java())))
+        return self._where(text, self._first(text, self._java()))
 
     def find(self, text: Column) -> Column:
         """The first match: start and end in bytes, text; null if there is none."""
         if self._reasons("find"):
             return self._outside("find", text)
-        value = self._where(text, F.regexp_substr(text, F.lit(self._java())))
-        start = F.octet_length(F.split(text, self._java(), 2)[0])
+        value = self._where(text, self._first(text, self._java()))
+        start = F.octet_length(self._before(text))
         return F.when(value.isNotNull(), F.struct(start.alias("start"), (start + F.octet_length(value)).alias("end"), value.alias("text"))).otherwise(F.lit(None).cast(MATCH))
 
     def find_all(self, text: Column) -> Column:
@@ -176,21 +191,87 @@ class Pattern:
         by_number = {i: n for n, i in self.parsed.names.items()}
         return ["match", *(by_number.get(g, f"group{g}") for g in range(1, self.group_count + 1))]
 
+    def _value(self, found: Column, java: str, g: int) -> Column:
+        """Group g of the first match in found (the match itself with 0)."""
+        return F.lit(None).cast("string") if g in self.unseen else self._took(F.regexp_extract(found, java, g), g)
+
+    def _took(self, value: Column, g: int) -> Column:
+        """A group that may take no part matches some text if it does: so no text is none."""
+        return F.nullif(value, F.lit("")) if g and not always(self.node, g) else value
+
     def captures(self, text: Column, spans: bool = False) -> Column:
         """A struct of the first match and its groups by name (group<n> without one); null for groups that took no part."""
         kept, names = builtins.set(range(1, self.group_count + 1)), self._names()
-        if spans or self._reasons("captures"):
+        if self._reasons("capture_spans" if spans else "captures"):
             return self._outside("captures", text, kept, names=names, spans=spans, unseen=self.unseen)
+        if spans:
+            return self._placed(text, self.find(text))
         java = self._java(kept)
         if self._alone():  # the text is searched once, its match taken apart
-            first = self._where(text, F.regexp_substr(text, F.lit(java)))
+            first = self._where(text, self._first(text, java))
             return F.when(first.isNotNull(), self._apart(first, java))
-        groups = F.struct(*[F.regexp_extract(text, java, i).alias(n) for i, n in enumerate(names)])
+        groups = F.struct(*[self._value(text, java, i).alias(n) for i, n in enumerate(names)])
         return self._where(text, F.when(text.rlike(java), groups))
 
     def _apart(self, found: Column, java: str) -> Column:
         names = self._names()
-        return F.struct(found.alias(names[0]), *[F.regexp_extract(found, java, i).alias(n) for i, n in enumerate(names) if i])
+        return F.struct(found.alias(names[0]), *[self._value(found, java, i).alias(n) for i, n in enumerate(names) if i])
+
+    def _pieces(self) -> tuple[str, dict[int, int], dict[int, list[int]]] | None:
+        """A spelling in which all pieces of a match are groups, its numbers of the pattern's groups, and for each of these
+        the numbers of the pieces before it;
+        None if a group stands inside a loop (but that of a group alone, taken once or not), a branch or a look."""
+        before: dict[int, list[int]] = {}
+        count = self.group_count
+
+        def held(n) -> bool:
+            return any(isinstance(x, dialect.Group) and x.index not in self.unseen for x in dialect.walk(n))
+
+        def pieced(n, done: list[int]):
+            """n with all of it in groups; done: pieces before it, and then n's too."""
+            nonlocal count
+            match n:
+                case dialect.Rep(dialect.Group(body, index), 0, 1, _) if not held(body):
+                    before[index] = list(done)
+                    done.append(index)
+                    return n
+                case dialect.Group(body, index):
+                    before[index] = list(done)
+                    inner = pieced(body, list(done)) if held(body) else body
+                    done.append(index)
+                    return None if inner is None else dialect.Group(inner, index)
+                case Seq(items) if held(n):
+                    out = [pieced(x, done) for x in items]
+                    return None if None in out else Seq(tuple(out))
+            if held(n):
+                return None
+            if isinstance(n, dialect.Look | At):
+                return n
+            count += 1
+            done.append(count)
+            return dialect.Group(n, count)
+
+        node = pieced(self.node, [])
+        if node is None:
+            return None
+        number = {n.index: i for i, n in enumerate((n for n in dialect.walk(node) if isinstance(n, dialect.Group)), 1)}
+        spelled = Speller(dialect.Parsed(numbered(node, number), count, self.parsed.names), builtins.set(number.values()))
+        return None if spelled.deep else (spelled.text, number, {g: [number[x] for x in pieces] for g, pieces in before.items()})
+
+    def _placed(self, text: Column, found: Column) -> Column:
+        """The groups of a match (start, end, text) placed by the lengths of the pieces before them."""
+        spelled, number, before = self._pieces()
+        java, alone = self._guarded(spelled), self._alone()
+        source = found["text"] if alone else text
+        size = lambda g: F.octet_length(F.regexp_extract(source, java, g))
+        whole = [found.alias(self._names()[0])]
+        for g, name in enumerate(self._names()):
+            if g:
+                value = F.lit(None).cast("string") if g in self.unseen else self._took(F.regexp_extract(source, java, number[g]), g)
+                start = found["start"] + sum(map(size, before.get(g, [])), F.lit(0))
+                placed = F.struct(start.cast("int").alias("start"), (start + F.octet_length(value)).cast("int").alias("end"), value.alias("text"))
+                whole.append(F.when(value.isNotNull(), placed).otherwise(F.lit(None).cast(MATCH)).alias(name))
+        return F.when(found.isNotNull(), F.struct(*whole))
 
     def captures_all(self, text: Column, spans: bool = False) -> Column:
         kept, names = builtins.set(range(1, self.group_count + 1)), self._names()
@@ -201,7 +282,8 @@ class Pattern:
         if self._alone():
             groups = F.transform(F.regexp_extract_all(text, F.lit(java), F.lit(0)), lambda m: self._apart(m, java))
         else:
-            groups = F.arrays_zip(*[F.regexp_extract_all(text, F.lit(java), F.lit(i)).alias(n) for i, n in enumerate(names)])
+            each = lambda i: F.transform(F.regexp_extract_all(text, F.lit(java), F.lit(0 if i in self.unseen else i)), lambda v: F.lit(None).cast("string") if i in self.unseen else self._took(v, i))
+            groups = F.arrays_zip(*[each(i).alias(n) for i, n in enumerate(names)])
         return self._where(text, groups, none)
 
     def group(self, text: Column, which: int | str, strict: bool = False) -> Column:
@@ -218,6 +300,10 @@ class Pattern:
         """The first match replaced."""
         if self._reasons("replace"):
             return self._outside("replace", text, by=by)
+        if self.nullable:
+            before, value = self._before(text), F.regexp_extract(text, self._java(), 0)
+            rest = F.substring(text, F.char_length(before) + F.char_length(value) + 1, F.char_length(text))
+            return self._where(text, F.when(text.rlike(self._java()), F.concat(before, F.lit(by), rest)).otherwise(text), text)
         parts = F.split(text, self._java(), 2)
         return self._where(text, F.when(text.rlike(self._java()), F.concat(parts[0], F.lit(by), F.coalesce(F.get(parts, F.lit(1)), F.lit("")))).otherwise(text), text)
 
@@ -243,7 +329,7 @@ class Pattern:
         return self._outside("find", text, as_error=True) if tried is None else tried
 
     def try_captures(self, text: Column, spans: bool = False) -> Column:
-        if not spans and (tried := self._tried("captures", text, self.captures(text))) is not None:
+        if (tried := self._tried("capture_spans" if spans else "captures", text, self.captures(text, spans))) is not None:
             return tried
         kept = builtins.set(range(1, self.group_count + 1))
         return self._outside("captures", text, kept, names=self._names(), spans=spans, unseen=self.unseen, as_error=True)
@@ -287,6 +373,24 @@ def merged(n):
     return n
 
 
+def numbered(n, number: dict[int, int]):
+    """n with other numbers of its groups."""
+    match n:
+        case dialect.Group(body, index):
+            return dialect.Group(numbered(body, number), number[index])
+        case dialect.Back(index):
+            return dialect.Back(number.get(index, index))
+        case Seq(items):
+            return Seq(tuple(numbered(x, number) for x in items))
+        case Alt(branches):
+            return Alt(tuple(numbered(x, number) for x in branches))
+        case dialect.Rep(body, least, most, greedy):
+            return dialect.Rep(numbered(body, number), least, most, greedy)
+        case dialect.Look(body, ahead, negated):
+            return dialect.Look(numbered(body, number), ahead, negated)
+    return n
+
+
 def _tail(items: tuple):
     return items[1] if len(items) == 2 and isinstance(items[1], Alt) else Seq(items[1:])
 

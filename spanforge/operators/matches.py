@@ -35,8 +35,15 @@ def _outside(df: DataFrame, keys: list[str], text_col: str, pattern: Pattern) ->
     return rows.select(*keys, (F.col("n") + 1).alias("match_no"), "m.start", "m.end", "m.text")
 
 
-def capture_table(df: DataFrame, keys: list[str], text_col: str, pattern: Pattern) -> DataFrame:
-    """keys, match_no, and a column for the match and each group."""
+def capture_table(df: DataFrame, keys: list[str], text_col: str, pattern: Pattern, spans: bool = False) -> DataFrame:
+    """keys, match_no, and a column for the match and each group; spans: as start, end (bytes) and text."""
+    if spans:
+        if pattern.route("capture_spans") == "native" and pattern._alone():
+            found = match_table(df, keys, text_col, pattern)
+            m = F.struct("start", "end", "text")
+            return found.select(*keys, "match_no", pattern._placed(F.col("text"), m).alias("m")).select(*keys, "match_no", "m.*")
+        rows = df.select(*keys, F.posexplode(pattern.captures_all(F.col(text_col), spans=True)).alias("n", "m"))
+        return rows.select(*keys, (F.col("n") + 1).alias("match_no"), "m.*")
     rows = df.select(*keys, F.posexplode(pattern.captures_all(F.col(text_col))).alias("n", "m"))
     return rows.select(*keys, (F.col("n") + 1).alias("match_no"), "m.*")
 

@@ -69,8 +69,9 @@ def test_routes():
     assert compile(r'"(?:[^"\\]|\\.)*"').route() == "native" and "*+" in compile(r'"(?:[^"\\]|\\.)*"').explain()
     assert compile(r"(?:a|ab)*c").route() == "outside"
     assert compile(r"(?<=a.*)x").route() == "outside"
-    assert compile(r"a*").route("find_all") == "outside" and compile(r"a*").route() == "native"
-    assert compile("(a)|(b)").route("captures") == "outside" and compile("(a)(b)").route("captures") == "native"
+    assert compile(r"a*").route("find_all") == compile(r"a*").route() == compile(r"\b|x").route("count") == "native"
+    assert compile("(a)|(b)").route("captures") == compile("(a)(b)").route("captures") == "native" and compile("(a*)|(b)").route("captures") == "outside"
+    assert compile("(a)(b)?").route("capture_spans") == "native" and compile("(?:x(a))?b").route("capture_spans") == "outside"
 
 
 def test_names_and_escape():

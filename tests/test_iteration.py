@@ -84,3 +84,79 @@ def test_only_searching_counts_for_the_limit():
         time.sleep(0.01)
         seen += 1
     assert seen == 30
+
+
+GROUPED = [r"(a)|(b)", r"(x)(y)?", r"(a)?(b)?c", r"(?:(a)|b)*c", r"(a+)?-(b)?", r"((a)b)?c", r"(?=(a))\w", r"(\w)(?:-(\d))?", r"(a)(?:b|(c))", r"(?:(a)|(b)|c)+", r"(?<x>\d)(?<y>\.\d)?(?<z>a|b)?", r"(a)(b)?\1", r"(?:(b)c)?a", r"(a(b(c)?)?)"]
+PLACED = [r"(a+)(b)?", r"-(\w)(\d)?", r"(a(b)(c)?)1", r"\b(a)\w(b)?", r"x?(\w+)[. ](\w)", r"((a)(b))c", r"(é)(\d)", r"(?<=a)(b)(c)?", r"(\w)(\w)\1", r"(\d+)(?=\.)", r"a(b|c)(1)?"]
+NULLABLE = [r"a*", r"\b|x", r"a*?", r"|a", r"(?:|a)+b?", r"\d*", r"(?=a)", r"\B", r"(?!b)", r"(?:ab?)*", r"$", r"(?m)^", r"[^a]*", r"(?<!a)", r"x?\b", r"a??b?"]
+
+
+def test_groups_that_may_take_no_part_are_native(spark):
+    rng = random.Random(6)
+    data = texts(rng, 120) + ["ac", "xy x", "bca", "abcabc", "aba", "😀a", "é1", ""]
+    df, t = spark.createDataFrame([(x,) for x in data], "t string"), F.col("t")
+    some = [compile(p) for p in GROUPED]
+    assert all(p.route("captures_all") == "native" for p in some), [p.pattern for p in some if p.route("captures_all") != "native"]
+    shown = [c for i, p in enumerate(some) for c in (p.captures(t).alias(f"c{i}"), p.captures_all(t).alias(f"a{i}"))]
+    plan = df.select(t, *shown)
+    assert "ArrowEval" not in plan._jdf.queryExecution().toString()
+    for row in plan.collect():
+        for i, p in enumerate(some):
+            hits = spec.find_all(p.pattern, row.t)
+            want = [(row.t[a:b], *(row.t[slice(*g[k])] if k in g and k not in p.unseen else None for k in range(1, p.group_count + 1))) for a, b, g in hits]
+            assert [tuple(x) for x in row[f"a{i}"]] == want, (p.pattern, row.t)
+            assert (row[f"c{i}"] and tuple(row[f"c{i}"])) == (want[0] if want else None), (p.pattern, row.t)
+    assert compile(r"(a*)?b").route("captures") == "outside"
+
+
+def test_groups_are_placed_natively(spark):
+    rng = random.Random(8)
+    data = texts(rng, 120) + ["abc1", "é1", "éabc x1", "😀ab", "aXa bcb"]
+    df, t = spark.createDataFrame([(i, x) for i, x in enumerate(data)], "id int, t string"), F.col("t")
+    some = [compile(p) for p in PLACED]
+    native = [p for p in some if p.route("capture_spans") == "native"]
+    assert len(native) >= len(some) - 2
+    plan = df.select(t, *[p.captures(t, spans=True).alias(f"c{i}") for i, p in enumerate(native)])
+    assert "ArrowEval" not in plan._jdf.queryExecution().toString()
+    byte = lambda x, i: len(x[:i].encode())
+
+    def placed(p, x):
+        for a, b, g in spec.find_all(p.pattern, x):
+            yield tuple((byte(x, s[0]), byte(x, s[1]), x[s[0] : s[1]]) if s else None for s in [(a, b), *(g.get(k) if k not in p.unseen else None for k in range(1, p.group_count + 1))])
+
+    for row in plan.collect():
+        for i, p in enumerate(native):
+            got = row[f"c{i}"] and tuple(x and tuple(x) for x in row[f"c{i}"])
+            assert got == next(placed(p, row.t), None), (p.pattern, row.t)
+    for p in some[:4]:
+        rows = sorted(matches.capture_table(df, ["id"], "t", p, spans=True).collect(), key=lambda r: (r.id, r.match_no))
+        want = [(i, k, *m) for i, x in enumerate(data) for k, m in enumerate(placed(p, x), 1)]
+        assert [(r[0], r[1], *(x and tuple(x) for x in r[2:])) for r in rows] == want, p.pattern
+
+
+def test_patterns_that_may_match_nothing_are_native(spark):
+    rng = random.Random(4)
+    data = texts(rng, 60) + ["😀", "a😀😀b", "aa😀", "é", "", "b", "aab", "x x", "中a", "a"]
+    df, t = spark.createDataFrame([(i, x) for i, x in enumerate(data)], "id int, t string"), F.col("t")
+    some = [p for p in map(compile, NULLABLE) if p.route("find_all") == "native"]
+    assert len(some) >= len(NULLABLE) - 2  # loops over groups
+    shown = [c for i, p in enumerate(some) for c in (p.is_match(t).alias(f"m{i}"), p.find_all(t).alias(f"a{i}"), p.count(t).alias(f"n{i}"), p.replace_all(t, "<>").alias(f"r{i}"), p.replace(t, "<>").alias(f"o{i}"), p.find(t).alias(f"f{i}"))]
+    plan = df.select("id", t, *shown)
+    assert "ArrowEval" not in plan._jdf.queryExecution().toString()
+    for row in plan.collect():
+        for i, p in enumerate(some):
+            hits = spec.find_all(p.pattern, row.t)
+            where = (p.pattern, row.t)
+            assert row[f"a{i}"] == [row.t[a:b] for a, b, _ in hits] and row[f"n{i}"] == len(hits) and row[f"m{i}"] == bool(hits), where
+            out, at = [], 0
+            for a, b, _ in hits:
+                out += [row.t[at:a], "<>"]
+                at = b
+            assert row[f"r{i}"] == "".join([*out, row.t[at:]]), where
+            first = hits[0][:2] if hits else None
+            assert row[f"o{i}"] == (row.t[: first[0]] + "<>" + row.t[first[1] :] if first else row.t), where
+            byte = lambda k, x=row.t: len(x[:k].encode())
+            assert (row[f"f{i}"] and tuple(row[f"f{i}"])) == (first and (byte(first[0]), byte(first[1]), row.t[slice(*first)])), where
+    for p in some[:6]:
+        got = sorted((r.id, r.match_no, r.start, r.end, r.text) for r in matches.match_table(df, ["id"], "t", p).collect())
+        assert got == sorted((i, k, *m.values()) for i, x in enumerate(data) for k, m in enumerate(rows_of(p.pattern, x), 1)), p.pattern

@@ -40,6 +40,12 @@ def test_query(spark, duck, name):
         assert rows
 
 
+@pytest.mark.parametrize("name", ["optional_group_null", "capture_spans", "empty_matches", "version_pairs"])
+def test_runs_in_the_jvm(spark, name):
+    plan = QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 1000
     assert set(entry.oracle_sql()) <= set(entry.queries())
