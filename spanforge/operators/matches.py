@@ -109,6 +109,25 @@ class MatchRows:
             yield k, m["start"], m["end"], m["text"]
 
 
+def register_pattern(spark: SparkSession, name: str, pattern: Pattern) -> None:
+    """Makes one pattern a table function of SQL: SELECT ... FROM t, LATERAL name(t.text), with match_no, start, end (bytes)
+    and text. Its body is the pattern's native spelling, so the plan holds Spark's own functions alone.
+
+    ValueError for patterns of the route outside and for those that may match nothing (their rows: `register`)."""
+    if pattern.nullable or pattern.route("find_all") != "native":
+        raise ValueError(f"not native, or may match nothing: {pattern.pattern}")
+    java = "'" + pattern._java().replace("\\", "\\\\").replace("'", "\\'") + "'"
+    row = "STRUCT<match_no INT, start INT, end INT, text STRING>"
+    begun, ended = "acc.at + octet_length(x.gap)", "acc.at + octet_length(x.gap) + octet_length(x.found)"
+    spark.sql(f"""
+        CREATE OR REPLACE TEMPORARY FUNCTION {name}(value STRING) RETURNS TABLE (match_no INT, start INT, end INT, text STRING)
+        RETURN SELECT m.match_no, m.start, m.end, m.text FROM (SELECT explode(aggregate(
+            zip_with(slice(split(value, {java}), 1, size(regexp_extract_all(value, {java}, 0))), regexp_extract_all(value, {java}, 0), (g, f) -> named_struct('gap', g, 'found', f)),
+            named_struct('at', 0, 'out', CAST(array() AS ARRAY<{row}>)),
+            (acc, x) -> named_struct('at', {ended}, 'out', array_append(acc.out, CAST(named_struct('match_no', size(acc.out) + 1, 'start', {begun}, 'end', {ended}, 'text', x.found) AS {row}))),
+            acc -> acc.out)) AS m)""")
+
+
 def register(spark: SparkSession, name: str = "matches") -> None:
     """Makes the table function known to SQL: SELECT ... FROM t, LATERAL matches(t.text, 'pattern')."""
     spark.udtf.register(name, MatchRows)

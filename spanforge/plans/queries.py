@@ -385,7 +385,7 @@ def top_words(spark, sf_dir):
     s AS (SELECT *, sum(strlen(g) + strlen(w)) OVER (PARTITION BY conv_id, turn ORDER BY i) AS e FROM r)
     SELECT conv_id, turn, CAST(i AS INTEGER) AS match_no, CAST(e - strlen(w) AS INTEGER) AS "start", CAST(e AS INTEGER) AS "end", w AS text FROM s""")
 def sql_matches(spark, sf_dir):
-    """The table function in SQL."""
-    matches.register(spark)
+    """A pattern as a table function of SQL, of Spark's own functions."""
+    matches.register_pattern(spark, "capital_words", compile("[A-Z][a-z]*"))
     read_table(spark, sf_dir, "conversations").createOrReplaceTempView("spanforge_conversations")
-    return spark.sql("SELECT c.conv_id, c.turn, m.* FROM spanforge_conversations c, LATERAL matches(c.text, '[A-Z][a-z]*') m")
+    return spark.sql("SELECT c.conv_id, c.turn, m.* FROM spanforge_conversations c, LATERAL capital_words(c.text) m")

@@ -160,3 +160,18 @@ def test_patterns_that_may_match_nothing_are_native(spark):
     for p in some[:6]:
         got = sorted((r.id, r.match_no, r.start, r.end, r.text) for r in matches.match_table(df, ["id"], "t", p).collect())
         assert got == sorted((i, k, *m.values()) for i, x in enumerate(data) for k, m in enumerate(rows_of(p.pattern, x), 1)), p.pattern
+
+
+def test_a_pattern_as_a_table_function_of_sql(spark):
+    rng = random.Random(12)
+    data = texts(rng, 60) + ["\ue000a'\ue001 b\\'c", "😀é1", None, ""]
+    spark.createDataFrame([(i, x) for i, x in enumerate(data)], "id int, t string").createOrReplaceTempView("sql_texts")
+    for k, pattern in enumerate([r"[a-c]+(?:1|-)?", r"(?<=a)\w", r"\\'\w|'", r"\w+\b", "é"]):
+        matches.register_pattern(spark, f"found_{k}", compile(pattern))
+        df = spark.sql(f"SELECT v.id, m.* FROM sql_texts v, LATERAL found_{k}(v.t) m")
+        assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+        want = [(i, j, *m.values()) for i, x in enumerate(data) if x is not None for j, m in enumerate(rows_of(pattern, x), 1)]
+        assert sorted(map(tuple, df.collect())) == sorted(want), pattern
+    for pattern in ("a*", r"(?:a|ab)+c"):
+        with pytest.raises(ValueError, match="not native"):
+            matches.register_pattern(spark, "none", compile(pattern))
