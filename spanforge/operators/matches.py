@@ -72,32 +72,6 @@ def dictionary_matches(df: DataFrame, keys: list[str], text_col: str, words: lis
     return found.groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("n"))
 
 
-#: Lengths of the beginnings by which texts and values meet, the longest that a value has.
-ANCHORS = (16, 8, 4, 1)
-
-
-def literal_semi_join(texts: DataFrame, text_col: str, patterns: DataFrame, pattern_col: str, most: int = 1000) -> DataFrame:
-    """texts that hold any of the patterns' values.
-
-    Up to `most` values are sent to all tasks, after they are counted. More of them meet the texts' substrings by their
-    first characters in a join, and are then compared in full; so their number has no bound."""
-    values = patterns.select(F.col(pattern_col).alias("__value")).where(F.col(pattern_col).isNotNull()).distinct()
-    text = F.col(text_col)
-    if values.count() <= most:
-        return texts.join(F.broadcast(values), F.contains(text, F.col("__value")), "left_semi")
-    if not values.where("__value = ''").isEmpty():
-        return texts.where(text.isNotNull())
-    size = F.coalesce(*[F.when(F.char_length("__value") >= n, n) for n in ANCHORS])
-    begun = values.select("__value", F.left("__value", size).alias("__anchor"))
-    sizes = [r[0] for r in begun.select(F.char_length("__anchor")).distinct().collect()]
-    hashes = [F.xxhash64(text).alias("__h1"), F.xxhash64(F.lit("text"), text).alias("__h2")]
-    pieces = F.array_distinct(F.concat(*[F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in sizes]))
-    met = texts.select(*hashes, F.explode(pieces).alias("__anchor")).join(begun, "__anchor").select("__h1", "__h2", "__value").distinct()
-    held = texts.select(text.alias("__text"), *hashes).dropDuplicates(["__h1", "__h2"]).join(met, ["__h1", "__h2"]).where(F.contains("__text", F.col("__value")))
-    found = held.select(F.col("__h1").alias("__f1"), F.col("__h2").alias("__f2")).distinct()
-    return texts.join(found, (hashes[0] == F.col("__f1")) & (hashes[1] == F.col("__f2")), "left_semi")
-
-
 @udtf(returnType="match_no int, start int, end int, text string")
 class MatchRows:
     """One row for each match of a pattern in a text; null gives none."""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import compile, escape, escape_column, presets
-from ..operators import intervals, matches
+from ..operators import intervals, literals, matches
 from ..sources import read_table
 from ..streaming.chunks import match_sessions
 
@@ -225,9 +225,22 @@ def dictionary(spark, sf_dir):
     return matches.dictionary_matches(read_table(spark, sf_dir, "documents"), ["doc_id"], "text", ["the", "and", "of", "que", "les", "der"])
 
 
-@query("SELECT page_id FROM pages p WHERE EXISTS (SELECT 1 FROM nation n WHERE contains(p.html, n.n_name))")
+@query("SELECT page_id FROM pages p WHERE EXISTS (SELECT 1 FROM benchmark b WHERE contains(p.html, split_part(b.text, ' ', 1) || ' ' || split_part(b.text, ' ', 2)))")
 def literal_semi_join(spark, sf_dir):
-    return matches.literal_semi_join(read_table(spark, sf_dir, "pages"), "html", read_table(spark, sf_dir, "nation"), "n_name").select("page_id")
+    """Pages that hold the first two words of a benchmark text."""
+    heads = read_table(spark, sf_dir, "benchmark").select(F.substring_index("text", " ", 2).alias("head"))
+    return literals.literal_semi_join(read_table(spark, sf_dir, "pages"), "html", heads, "head").select("page_id")
+
+
+@query("""
+    WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[0-9A-Za-z_]+')) AS word FROM benchmark),
+    t AS (SELECT conv_id, turn, unnest(regexp_extract_all(text, '[0-9A-Za-z_]+')) AS word FROM conversations)
+    SELECT conv_id, turn, word AS text, count(*) AS n FROM t WHERE word IN (SELECT word FROM w) GROUP BY ALL""")
+def dictionary_join(spark, sf_dir):
+    """All words of the benchmark, a dictionary that grows with its table, in all conversations."""
+    words = matches.tokenize(read_table(spark, sf_dir, "benchmark"), ["item_id"], "text", compile("[0-9A-Za-z_]+")).select("token")
+    found = literals.dictionary_join(read_table(spark, sf_dir, "conversations"), ["conv_id", "turn"], "text", words, "token")
+    return found.groupBy("conv_id", "turn", "text").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(r"""
@@ -358,13 +371,14 @@ def token_counts_bpe(spark, sf_dir):
 @query("SELECT doc_id FROM documents d WHERE EXISTS (SELECT 1 FROM benchmark b WHERE contains(d.text, b.text))")
 def benchmark_semi_join(spark, sf_dir):
     """Documents that hold a benchmark passage as it is."""
-    return matches.literal_semi_join(read_table(spark, sf_dir, "documents"), "text", read_table(spark, sf_dir, "benchmark"), "text").select("doc_id")
+    return literals.literal_semi_join(read_table(spark, sf_dir, "documents"), "text", read_table(spark, sf_dir, "benchmark"), "text").select("doc_id")
 
 
-@query("SELECT doc_id FROM documents d WHERE EXISTS (SELECT 1 FROM benchmark b WHERE contains(d.text, b.text))")
+@query("SELECT doc_id FROM documents d WHERE EXISTS (SELECT 1 FROM conversations c WHERE length(c.text) >= 25 AND contains(d.text, substr(c.text, 1, 25)))")
 def benchmark_anchor_join(spark, sf_dir):
-    """The same by the way that any number of values takes."""
-    return matches.literal_semi_join(read_table(spark, sf_dir, "documents"), "text", read_table(spark, sf_dir, "benchmark"), "text", most=0).select("doc_id")
+    """Documents that hold the first 25 characters of a turn of a conversation: a dictionary that grows with its table."""
+    turns = read_table(spark, sf_dir, "conversations").where("length(text) >= 25").select(F.left("text", F.lit(25)).alias("head"))
+    return literals.literal_semi_join(read_table(spark, sf_dir, "documents"), "text", turns, "head").select("doc_id")
 
 
 @query("SELECT conv_id, turn, length(text) + 1 AS n, regexp_replace(text, '', '-', 'g') AS t FROM conversations")

@@ -192,19 +192,6 @@ def test_sources(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).first().start == 1
 
 
-def test_semi_join_of_any_number_of_values(spark):
-    rng = random.Random(3)
-    say = lambda n: "".join(rng.choices("abé\n ", k=n))
-    texts = [say(rng.randint(0, 60)) for _ in range(80)] + [None, "same", "same"]
-    words = [say(n) for n in (2, 3, 4, 5, 6, 8, 9, 15, 16, 17, 20)] + [texts[5][3:30], texts[9][1:9], None, "sam"]
-    df, w = spark.createDataFrame([(t,) for t in texts], "t string"), spark.createDataFrame([(x,) for x in words if x != ""], "w string")
-    want = sorted(t for t in texts if t is not None and any(x in t for x in words if x))
-    for most in (1000, 0):
-        assert sorted(r.t for r in matches.literal_semi_join(df, "t", w, "w", most=most).collect()) == want
-    every = matches.literal_semi_join(df, "t", w.union(spark.createDataFrame([("",)], "w string")), "w", most=0)
-    assert every.count() == len(texts) - 1
-
-
 def test_table_function(spark):
     matches.register(spark)
     got = spark.sql("SELECT id, m.* FROM VALUES (1, 'aXbX'), (2, 'n'), (3, null) AS v(id, t), LATERAL matches(t, 'X') m").collect()
