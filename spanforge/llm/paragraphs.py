@@ -16,7 +16,7 @@ The document with the smallest id of a cluster keeps its words, the others' are
 decision, also over edits of up to GAP words, are the repeated spans.
 
 Defined results: null and wordless texts, and those of fewer than `least_words` words, have no spans; repeats within one
-document alone are no repeats across documents; rows of equal id, and all of a null id, count as one document (null is
+document alone are no repeats across documents; ids may be of any simple type; rows of equal id, and all of a null id, count as one document (null is
 after every other id); equal rows give equal spans each; other columns are not carried; an empty table gives no rows.
 Words are compared by 32-bit and whole windows and paragraphs by 64-bit hashes.
 """
@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from .common import batch_words, cut, fields, join_keyed, lists, map_batches, map_lists, mix64, sequence_hashes, shingles, sieved, sliding, spent
 from .links import SOME, clusters, meeting
@@ -95,8 +96,9 @@ def band_keys(words: np.ndarray, starts: np.ndarray, sizes: np.ndarray, bands: i
 
 
 def _pieces(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int, least_words: int) -> DataFrame:
-    """A row for each document: doc_id, words (32-bit hashes), paragraphs (start, end, node), bands (key, node)."""
-    schema = fields("doc_id long, words binary, paragraphs array<struct<start int, end int, node long>>, bands array<struct<key long, node long>>")
+    """A row for each document: doc_id (of its own type), words (32-bit hashes), paragraphs (start, end, node), bands (key, node)."""
+    kind = docs.schema[id_col].dataType
+    schema = StructType([StructField("doc_id", kind), *fields("words binary, paragraphs array<struct<start int, end int, node long>>, bands array<struct<key long, node long>>").fields])
     least = max(5, least_words)
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -129,7 +131,7 @@ def _pieces(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int,
         binary = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer((w.first * 4).astype(np.int32)), raw])
         return pa.RecordBatch.from_arrays([batch.column(0), binary, placed(starts, starts + sizes, nodes), lists(given, count(owners) * bands)], names=schema.names)
 
-    return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col), lambda: step, schema, rows=500)
+    return map_batches(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`")), lambda: step, schema, rows=500)
 
 
 def paragraph_set(words: bytes) -> np.ndarray:
@@ -203,7 +205,7 @@ def _windows(table: DataFrame, gone: DataFrame, least_words: int) -> DataFrame:
     hits = join_keyed(sieved(anchors, "gram", shared), shared, "gram", "rows")
     refs = cut(hits.groupBy("row").agg(F.collect_list("start").alias("starts")))  # of one document
     spent(anchors, shared)
-    schema = fields("row long, doc_id long, start int, end int, node long")
+    schema = StructType([*fields("row long").fields, table.schema["doc_id"], *fields("start int, end int, node long").fields])
     size = min(ANCHOR, least_words)
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -275,7 +277,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spent(gone)
     spans = marked.union(more).groupBy("row").agg(F.collect_list(F.struct("start", "end", "first", "removed")).alias("spans"))  # of one document
     spans = spans.join(table.select("row", "doc_id"), "row")
-    schema = fields("doc_id long, start_word int, end_word int, n_words int, first_doc_id long, removed boolean")
+    kind = docs.schema[id_col].dataType
+    schema = StructType([StructField("doc_id", kind), *fields("start_word int, end_word int, n_words int").fields, StructField("first_doc_id", kind), StructField("removed", BooleanType())])
 
     def step(batch: dict[str, list]) -> dict[str, list]:
         out = []
@@ -283,7 +286,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             out += [(doc_id, a, b, b - a, first, gone) for a, b, first, gone in decided([(x["start"], x["end"], x["first"], x["removed"]) for x in found], least_words)]
         return dict(zip(schema.names, map(list, zip(*out)))) if out else {n: [] for n in schema.names}
 
-    return map_lists(spans.select("doc_id", "spans"), lambda: step, schema).select(F.col("doc_id").cast(docs.schema[id_col].dataType).alias(id_col), "start_word", "end_word", "n_words", "first_doc_id", "removed")
+    return map_lists(spans.select("doc_id", "spans"), lambda: step, schema).select(F.col("doc_id").alias(id_col), "start_word", "end_word", "n_words", "first_doc_id", "removed")
 
 
 def decided(spans: list[tuple[int, int, int | None, bool]], least_words: int) -> list[tuple[int, int, int | None, bool]]:

@@ -144,7 +144,9 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, train: np.nd
 
 
 def train(docs: DataFrame, labels: DataFrame, learnable, text_col: str = "text", id_col: str = "doc_id", label_col: str = "quality", rows: int = TRAIN_ROWS) -> Model:
-    """Samples positives and unlabelled rows, at most about `rows` of each, estimates the prior over all learnable rows, and fits."""
+    """Samples positives and unlabelled rows, at most about `rows` of each, estimates the prior over all learnable rows, and fits.
+
+    An id with several labels has the largest of them; rows without an id or a label count for nothing."""
     positives = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("label")).where("label = 1").where(learnable(F.col("id"))).select("id")
     texts = docs.where(F.col(text_col).isNotNull() & learnable(F.col(id_col))).select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
     spread = F.pmod(F.xxhash64(F.lit("train"), "id"), F.lit(1 << 40))

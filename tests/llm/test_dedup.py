@@ -378,6 +378,15 @@ def test_nothing_is_left_in_two_documents(spark):
             assert sum(g in left for g in grams) >= 0.6 * len(grams)
 
 
+def test_ids_of_any_simple_type(spark):
+    rng = random.Random(3)
+    say = lambda n: " ".join(f"w{rng.randint(0, 99999)}" for _ in range(n))
+    shared = say(40)
+    df = spark.createDataFrame([("b", f"{say(50)} {shared} {say(50)}"), ("a", f"{say(60)} {shared}"), (None, say(80))], "name string, text string")
+    got = {(r.name, r.first_doc_id, r.removed) for r in paragraphs.repeated_spans(df, "name").collect()}
+    assert got == {("a", "a", False), ("b", "a", True)}
+
+
 def test_near_paragraphs_are_joined(spark):
     rng = random.Random(2)
     base = [f"p{rng.randint(0, 99999)}" for _ in range(13)]

@@ -83,6 +83,8 @@ def test_quality_of_odd_rows(spark, odd, none):
     rows = quality.score(odd.drop("score"), model).collect()
     assert len(rows) == odd.count() and all(0 <= r.score <= 1 for r in rows)
     assert len({r.score for r in rows if not r.text}) == 1
+    clashing = labels.union(spark.createDataFrame([(5, 0), (6, None), (21, 0)], labels.schema))  # the largest label of an id counts
+    assert np.array_equal(quality.train(odd, clashing, lambda c: ~held_out(c)).weights, model.weights)
     blank = quality.train(none, labels.limit(0), lambda c: ~held_out(c))
     assert {r.score for r in quality.score(odd.drop("score"), blank).collect()} == {0.5}
     assert quality.score(none.drop("score"), blank).count() == 0
