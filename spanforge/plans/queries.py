@@ -374,11 +374,14 @@ def benchmark_semi_join(spark, sf_dir):
     return literals.literal_semi_join(read_table(spark, sf_dir, "documents"), "text", read_table(spark, sf_dir, "benchmark"), "text").select("doc_id")
 
 
-@query("SELECT doc_id FROM documents d WHERE EXISTS (SELECT 1 FROM conversations c WHERE length(c.text) >= 25 AND contains(d.text, substr(c.text, 1, 25)))")
+@query("""
+    WITH p AS (SELECT text, unnest(range(1, length(text) - 38, 40)) AS i FROM benchmark)
+    SELECT doc_id FROM documents d WHERE EXISTS (SELECT 1 FROM p WHERE contains(d.text, substr(p.text, p.i, 40)))""")
 def benchmark_anchor_join(spark, sf_dir):
-    """Documents that hold the first 25 characters of a turn of a conversation: a dictionary that grows with its table."""
-    turns = read_table(spark, sf_dir, "conversations").where("length(text) >= 25").select(F.left("text", F.lit(25)).alias("head"))
-    return literals.literal_semi_join(read_table(spark, sf_dir, "documents"), "text", turns, "head").select("doc_id")
+    """Documents that hold a piece of 40 characters of a benchmark passage."""
+    texts = read_table(spark, sf_dir, "benchmark").where("length(text) >= 40")
+    pieces = texts.select("text", F.explode(F.sequence(F.lit(1), F.length("text") - 39, F.lit(40))).alias("i"))
+    return literals.literal_semi_join(read_table(spark, sf_dir, "documents"), "text", pieces.select(F.substring("text", F.col("i"), F.lit(40)).alias("piece")), "piece").select("doc_id")
 
 
 @query("SELECT conv_id, turn, length(text) + 1 AS n, regexp_replace(text, '', '-', 'g') AS t FROM conversations")
