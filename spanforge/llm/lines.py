@@ -29,7 +29,7 @@ from .links import components
 
 #: Leading tokens of a leaf; classes of near copies that make a line recur; constant tokens' (never <*>) least share of
 #: a template; tokens under which a line is short, and the classes that make such a line recur.
-DEPTH, RECURS, CONSTANT, SHORT, SHORT_RECURS = 3, 5, 0.5, 4, 10
+DEPTH, RECURS, CONSTANT, SHORT, SHORT_RECURS = 3, 3, 0.5, 4, 6
 #: Values of a signature, rows of a band, and the share of equal values that makes near copies.
 HASHES, ROWS, NEAR = 64, 4, 0.7
 #: What a token with digits is read as.
