@@ -103,12 +103,12 @@ SKETCH = 512
 _WORDS = [f"w{i}" for i in range(SKETCH // 64)]
 
 
-def _near(percent: int) -> Column:
-    """Of two rows (n, w0.. and other_n, other_w0..): whether their sets could reach percent by their sizes and sketches.
+def _near(percent: int, other: Callable[[str], Column] = lambda c: F.col(f"other_{c}")) -> Column:
+    """Of two rows (n, w0.. and other("n"), other("w0")..): whether their sets could reach percent by their sizes and sketches.
 
     The Hamming distance of two parity sketches is at most the symmetric difference of their sets."""
-    apart = reduce(lambda x, y: x + y, (F.bit_count(F.col(w).bitwiseXOR(F.col(f"other_{w}"))) for w in _WORDS))
-    return (F.least("n", "other_n") * 100 >= F.greatest("n", "other_n") * percent) & (apart * (100 + percent) <= (F.col("n") + F.col("other_n")) * (100 - percent))
+    apart = reduce(lambda x, y: x + y, (F.bit_count(F.col(w).bitwiseXOR(other(w))) for w in _WORDS))
+    return (F.least("n", other("n")) * 100 >= F.greatest("n", other("n")) * percent) & (apart * (100 + percent) <= (F.col("n") + other("n")) * (100 - percent))
 
 
 #: One of so many nodes is looked at to find keys of very many nodes, and nodes among these that make such a key; parts
@@ -275,9 +275,9 @@ def clusters(multi: DataFrame, sets: DataFrame, set_of: Callable[[bytes], np.nda
             slot = F.xxhash64(F.lit(turn), "node")
             some = known.groupBy("key", F.pmod(slot, F.lit(LEADERS)).alias("slot")).agg(F.min_by(F.struct("label", "node", "n", *_WORDS), slot).alias("l"), F.count(F.lit(1)).alias("c"))
             leaders = cut(some.groupBy("key").agg(F.collect_list("l").alias("leaders"), F.sum("c").alias("many")))  # LEADERS of each at most
-            met = join_keyed(known, leaders, "key", "many").select("node", "label", "n", *_WORDS, F.explode("leaders").alias("l"))
-            met = met.select("node", "label", "n", *_WORDS, *[F.col(f"l.{c}").alias(f"other_{c}") for c in ("node", "label", "n", *_WORDS)]).where((F.col("label") != F.col("other_label")) & _near(percent))
-            pairs = met.select(F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b")).distinct()
+            fit = F.filter("leaders", lambda l: (F.col("label") != l["label"]) & _near(percent, lambda c: l[c]))  # noqa: E741
+            met = join_keyed(known, leaders, "key", "many").select("node", F.explode(F.transform(fit, lambda l: l["node"])).alias("other"))  # noqa: E741
+            pairs = met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
             made = [leaders]
         else:
             rare = rare_pairs(known.where(F.col("rows") > SMALL).select("node", "label").distinct(), sets, set_of, percent)
