@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import compile, escape, escape_column, presets
-from ..operators import intervals, literals, matches
+from ..operators import intervals, literals, matches, summaries
 from ..sources import read_table
 from ..streaming.chunks import match_sessions
 
@@ -252,6 +252,17 @@ def host_rollup(spark, sf_dir):
     return pages.rollup("scheme", "host").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("""
+    WITH m AS (SELECT page_id, unnest(regexp_extract_all(html, '(\\w+)="(\\w)', 1)) AS name, unnest(regexp_extract_all(html, '(\\w+)="(\\w)', 2)) AS first FROM pages),
+    s AS (SELECT name, first, count(*) AS matches, count(DISTINCT page_id) AS texts FROM m GROUP BY ALL)
+    SELECT name, first, CAST(grouping(name) * 2 + grouping(first) AS BIGINT) AS level, CAST(sum(matches) AS BIGINT) AS matches, CAST(sum(texts) AS BIGINT) AS texts FROM s GROUP BY CUBE (name, first)""")
+def attribute_cube(spark, sf_dir):
+    """Attributes by name and first character of the value, over all grouping sets, from a summary that merges."""
+    pages = read_table(spark, sf_dir, "pages")
+    summary = summaries.match_summary(pages, "html", compile(r'(?<name>\w+)="(?<first>\w)'), ["name", "first"])
+    return summaries.rolled_up(summary).drop("distinct")
+
+
 @query("SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events WHERE regexp_matches(event_type, 'error|purchase') GROUP BY 1")
 def daily_event_matches(spark, sf_dir):
     events = read_table(spark, sf_dir, "events").where(compile("error|purchase").is_match(F.col("event_type")))
