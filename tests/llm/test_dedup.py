@@ -378,6 +378,39 @@ def test_nothing_is_left_in_two_documents(spark):
             assert sum(g in left for g in grams) >= 0.6 * len(grams)
 
 
+def test_a_whole_table_against_brute_force(spark):
+    """All documents of a small table: every 25 words in a row that two documents hold are in spans of both or removed, and
+    what stays shares none; documents that share none with any other have no span but of near copies."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: WORD.findall((r.text or "").translate(FOLD)) for r in docs.collect()}
+    marked, gone = defaultdict(set), defaultdict(set)
+    for r in paragraphs.repeated_spans(docs).collect():
+        marked[r.doc_id] |= set(range(r.start_word, r.end_word))
+        if r.removed:
+            assert r.first_doc_id < r.doc_id
+            gone[r.doc_id] |= set(range(r.start_word, r.end_word))
+    shared, left = defaultdict(set), defaultdict(set)
+    for d, words in texts.items():
+        for at in range(len(words) - 24):
+            window = tuple(words[at : at + 25])
+            shared[window].add(d)
+            if not gone[d] & set(range(at, at + 25)):
+                left[window].add(d)
+    assert sum(len(h) > 1 for h in shared.values()) > 500 and all(len(h) == 1 for h in left.values())
+    fives = defaultdict(set)
+    for d, words in texts.items():
+        for at in range(len(words) - 4):
+            fives[tuple(words[at : at + 5])].add(d)
+    for d, words in texts.items():
+        for at in range(len(words) - 24):
+            if len(shared[tuple(words[at : at + 25])]) > 1:
+                assert set(range(at, at + 25)) <= marked[d], (d, at)
+        if not marked[d]:
+            continue
+        runs = [at for at in range(len(words) - 4) if at in marked[d] and at + 4 in marked[d]]
+        assert sum(len(fives[tuple(words[at : at + 5])]) > 1 for at in runs) >= 0.6 * len(runs), d
+
+
 def test_ids_of_any_simple_type(spark):
     rng = random.Random(3)
     say = lambda n: " ".join(f"w{rng.randint(0, 99999)}" for _ in range(n))
