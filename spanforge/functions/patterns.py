@@ -19,8 +19,6 @@ from . import dialect
 from .dialect import Alt, At, Seq, Speller, always, literal_of, nullable, required_literal
 from .outside import MATCH, Places, found, search
 
-#: What matched texts are marked with to place them; texts that hold these go outside.
-OPEN, CLOSE = "\ue000", "\ue001"
 #: Characters that `escape` leaves a backslash before (fixed values of the dialect), and those with a letter of their own.
 SPECIAL, LETTERS = "\\.*+?|^$()[]{}#", {"\n": "\\n", "\r": "\\r", "\t": "\\t"}
 
@@ -182,8 +180,13 @@ class Pattern:
         return self._where(text, F.regexp_extract_all(text, F.lit(self._java()), F.lit(0)), F.array().cast("array<string>"))
 
     def spans(self, text: Column) -> Column:
-        """All matches as start, end, text. operators.matches places them without leaving the JVM, as rows."""
-        return self._outside("spans", text)
+        """All matches as start, end (bytes), text."""
+        if self._reasons("find_all"):
+            return self._outside("spans", text)
+        java = F.lit(self._java())
+        both = F.struct(F.split(text, java, -1).alias("gaps"), F.regexp_extract_all(text, java, F.lit(0)).alias("texts"))
+        placed = bound(both, lambda b: _placed_pieces(b["gaps"], b["texts"]))
+        return self._where(text, F.when(text.isNotNull(), placed), F.array().cast(ArrayType(MATCH)))
 
     # ---- groups
 
@@ -275,6 +278,8 @@ class Pattern:
 
     def captures_all(self, text: Column, spans: bool = False) -> Column:
         kept, names = builtins.set(range(1, self.group_count + 1)), self._names()
+        if spans and self._alone() and not self._reasons("capture_spans"):
+            return F.transform(self.spans(text), lambda m: self._placed(text, m))
         if spans or self._reasons("captures_all"):
             return self._outside("captures_all", text, kept, names=names, spans=spans, unseen=self.unseen)
         java = self._java(kept)
@@ -335,6 +340,40 @@ class Pattern:
         return self._outside("captures", text, kept, names=self._names(), spans=spans, unseen=self.unseen, as_error=True)
 
 
+#: Matches of a text that are placed by one running sum; sums of such blocks are added up by another.
+BLOCK = 256
+
+
+def bound(value: Column, use) -> Column:
+    """use(value), with value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _running(items: Column, start: Column, size, told, kind: str) -> Column:
+    """told(item, what comes before it) of each item, where size(item) adds up from start. It copies what it has for each item, so
+    items are few."""
+    begin = F.struct(start.alias("at"), F.array().cast(kind).alias("out"))
+    return F.aggregate(items, begin, lambda acc, x: F.struct((acc["at"] + size(x)).alias("at"), F.array_append(acc["out"], told(x, acc["at"])).alias("out")), lambda acc: acc["out"])
+
+
+def _placed_pieces(gaps: Column, texts: Column) -> Column:
+    """start, end and text of matches from the texts between them and their own."""
+    n = F.size(texts)
+    # a text that starts with an empty match has no gap before it in split()
+    gaps = F.when(F.size(gaps) == n, F.concat(F.array(F.lit("")), gaps)).otherwise(gaps)
+    items = F.zip_with(F.slice(gaps, F.lit(1), n), texts, lambda g, t: F.struct(F.octet_length(g).alias("gap"), F.octet_length(t).alias("size"), t.alias("text")))
+    blocks = bound(items, lambda items: F.transform(F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int")), lambda k: F.slice(items, k * BLOCK + 1, F.lit(BLOCK))))
+    whole = lambda block: F.aggregate(block, F.lit(0), lambda a, x: a + x["gap"] + x["size"])
+    one = lambda x, at: F.struct((at + x["gap"]).alias("start"), (at + x["gap"] + x["size"]).alias("end"), x["text"].alias("text"))
+    match = "array<struct<start:int,end:int,text:string>>"
+
+    def placed(blocks: Column) -> Column:
+        starts = _running(F.transform(blocks, whole), F.lit(0), lambda x: x, lambda x, at: at, "array<int>")
+        return F.flatten(F.zip_with(blocks, starts, lambda block, at: _running(block, at, lambda x: x["gap"] + x["size"], one, match)))
+
+    return F.when(n > 0, bound(blocks, placed)).otherwise(F.array().cast(match))
+
+
 def match_length(match: Column) -> Column:
     """Bytes of a match (start, end, text)."""
     return match.getField("end") - match.getField("start")

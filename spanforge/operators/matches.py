@@ -2,49 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
-from ..functions.patterns import CLOSE, OPEN, Pattern, rows_of
+from ..functions.patterns import Pattern, rows_of
 
 
 def match_table(df: DataFrame, keys: list[str], text_col: str, pattern: Pattern) -> DataFrame:
-    """keys, match_no (from 1), start, end (bytes), text: one row for each match; keys name a row of df.
-
-    Each match is marked in place, the marked text is split, and a running sum of the pieces' bytes places the matches;
-    so the search itself runs once, in the JVM. Texts that hold the marks already, and patterns that the JVM can't run,
-    take the route outside."""
-    text = F.col(text_col)
-    if pattern.route("find_all") == "outside":
-        return _outside(df, keys, text_col, pattern)
-    held = text.rlike(f"[{OPEN}{CLOSE}]")
-    marked = F.split(F.regexp_replace(text, pattern._java(), f"{OPEN}$0{CLOSE}"), OPEN)
-    pieces = df.where(~held & text.isNotNull()).select(*keys, F.posexplode(marked).alias("match_no", "piece"))
-    parts = F.split(F.col("piece"), CLOSE, 2)
-    found = F.when(F.col("match_no") > 0, parts[0])
-    length = F.octet_length("piece") - F.when(F.col("match_no") > 0, F.octet_length(F.lit(CLOSE))).otherwise(0)
-    before = Window.partitionBy(*keys).orderBy("match_no").rowsBetween(Window.unboundedPreceding, -1)
-    placed = pieces.withColumn("text", found).withColumn("start", F.sum(length).over(before).cast("int")).where("match_no > 0")
-    native = placed.select(*keys, "match_no", "start", (F.col("start") + F.octet_length("text")).cast("int").alias("end"), "text")
-    return native.union(_outside(df.where(held), keys, text_col, pattern))
-
-
-def _outside(df: DataFrame, keys: list[str], text_col: str, pattern: Pattern) -> DataFrame:
+    """keys, match_no (from 1), start, end (bytes), text: one row for each match; no row leaves its place."""
     rows = df.select(*keys, F.posexplode(pattern.spans(F.col(text_col))).alias("n", "m"))
     return rows.select(*keys, (F.col("n") + 1).alias("match_no"), "m.start", "m.end", "m.text")
 
 
 def capture_table(df: DataFrame, keys: list[str], text_col: str, pattern: Pattern, spans: bool = False) -> DataFrame:
     """keys, match_no, and a column for the match and each group; spans: as start, end (bytes) and text."""
-    if spans:
-        if pattern.route("capture_spans") == "native" and pattern._alone():
-            found = match_table(df, keys, text_col, pattern)
-            m = F.struct("start", "end", "text")
-            return found.select(*keys, "match_no", pattern._placed(F.col("text"), m).alias("m")).select(*keys, "match_no", "m.*")
-        rows = df.select(*keys, F.posexplode(pattern.captures_all(F.col(text_col), spans=True)).alias("n", "m"))
-        return rows.select(*keys, (F.col("n") + 1).alias("match_no"), "m.*")
-    rows = df.select(*keys, F.posexplode(pattern.captures_all(F.col(text_col))).alias("n", "m"))
+    rows = df.select(*keys, F.posexplode(pattern.captures_all(F.col(text_col), spans)).alias("n", "m"))
     return rows.select(*keys, (F.col("n") + 1).alias("match_no"), "m.*")
 
 

@@ -175,3 +175,13 @@ def test_a_pattern_as_a_table_function_of_sql(spark):
     for pattern in ("a*", r"(?:a|ab)+c"):
         with pytest.raises(ValueError, match="not native"):
             matches.register_pattern(spark, "none", compile(pattern))
+
+
+def test_places_in_long_texts_take_linear_time_in_the_jvm(spark):
+    text = "plain words é " * 100_000
+    df = spark.createDataFrame([(1, text)], "id int, t string")
+    begun = time.time()
+    table = matches.match_table(df, ["id"], "t", compile(r"\w+"))
+    last = table.selectExpr("max(struct(match_no, start, end, text)) AS m", "count(*) AS n").first()
+    assert "Python" not in table._jdf.queryExecution().executedPlan().toString() and "Exchange" not in table._jdf.queryExecution().executedPlan().toString()
+    assert last.n == 200_000 and tuple(last.m) == (200_000, len(text.encode()) - 9, len(text.encode()) - 4, "words") and time.time() - begun < 60

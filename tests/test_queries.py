@@ -40,7 +40,7 @@ def test_query(spark, duck, name):
         assert rows
 
 
-@pytest.mark.parametrize("name", ["optional_group_null", "capture_spans", "empty_matches", "version_pairs"])
+@pytest.mark.parametrize("name", ["optional_group_null", "capture_spans", "empty_matches", "version_pairs", "match_spans", "near_matches", "last_before", "sql_matches"])
 def test_runs_in_the_jvm(spark, name):
     plan = QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
