@@ -341,7 +341,7 @@ class Pattern:
 
 
 #: Matches of a text that are placed by one running sum; sums of such blocks are added up by another.
-BLOCK = 256
+BLOCK = 16
 
 
 def bound(value: Column, use) -> Column:
