@@ -101,7 +101,7 @@ def bitmap(df: DataFrame, column: str) -> np.ndarray:
     rows = df.select(F.bitmap_bucket_number(spot).alias("bucket"), F.bitmap_bit_position(spot).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
     out = np.zeros(BITS // 8, dtype=np.uint8)
     width = 4096  # bytes of one of Spark's bitmaps
-    for bucket, bits in rows.toLocalIterator():
+    for bucket, bits in rows.collect():  # BITS bits at most
         raw = np.unpackbits(np.frombuffer(bits, dtype=np.uint8), bitorder="little")
         at = np.flatnonzero(raw) + (bucket - 1) * 8 * width
         np.bitwise_or.at(out, at >> 3, (1 << (at & 7)).astype(np.uint8))

@@ -206,7 +206,7 @@ def _rarity(sets: DataFrame, set_of: Callable[[bytes], np.ndarray]) -> np.ndarra
 
     out = np.zeros(COUNTERS, dtype=np.int64)
     sums = sets.select("words").mapInArrow(own, schema).repartition(DEALT, "share").mapInArrow(together, schema)
-    for r in sums.toLocalIterator():  # DEALT rows
+    for r in sums.collect():  # DEALT rows, COUNTERS numbers at most
         out[r["share"] * share + np.array(r["spots"], dtype=np.int64)] = r["counts"]
     return out
 
