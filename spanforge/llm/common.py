@@ -29,7 +29,7 @@ _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_PIECE = 1 << 20  # bytes hashed at once
+_PIECE, _KEPT = 1 << 18, 1 << 20  # bytes hashed at once, powers that a worker keeps
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -194,7 +194,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(base: int, n: int = _PIECE) -> np.ndarray:
+def _powers(base: int, n: int) -> np.ndarray:
     out = np.ones(n + 1, dtype=np.uint64)
     out[1:] = np.uint64(base)
     return np.multiply.accumulate(out)
@@ -205,15 +205,16 @@ _POWERS: list[np.ndarray] = []
 
 def _both_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of a base and of its inverse, up to n and more."""
-    if n > _PIECE:
+    if n > _KEPT:
         return _powers(_P, n), _powers(_P_INV, n)
-    if not _POWERS:
-        _POWERS.extend((_powers(_P), _powers(_P_INV)))
+    if not _POWERS or len(_POWERS[0]) <= n:
+        size = max(_PIECE, 1 << n.bit_length())
+        _POWERS[:] = _powers(_P, size), _powers(_P_INV, size)
     return _POWERS[0], _POWERS[1]
 
 
 def _pieces(data: np.ndarray) -> Iterator[np.ndarray]:
-    """Parts of about a mebibyte that end where a word ends (a longer word is kept whole)."""
+    """Parts of about _PIECE bytes that end where a word ends (a longer word is kept whole)."""
     start = 0
     while len(data) - start > _PIECE:
         end = start + _PIECE
@@ -319,18 +320,20 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
     return df.mapInArrow(run, schema)
 
 
-def sieved(df: DataFrame, column: str, wanted: DataFrame, held: bool = True) -> DataFrame:
+def sieved(df: DataFrame, column: str, wanted: DataFrame, held: bool = True, then: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None, schema: StructType | None = None, rows: int = 1000) -> DataFrame:
     """df without most rows whose column's value wanted doesn't hold: those that a bitmap of fixed size shows to be of no use to a join.
-    Without held, those rows."""
+    Without held, those rows. With then, what it makes (of schema) of the rows that stay, `rows` at a time, in the same worker:
+    a second map after this one would take a second worker for each task, and workers keep their memory between tasks."""
     marks = df.sparkSession.sparkContext.broadcast(bitmap(wanted.select(F.xxhash64(column).alias("hash")), "hash"))  # of BITS bits
     names = df.columns
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         spot = batch.column(batch.num_columns - 1).to_numpy() & (BITS - 1)
         found = marks.value[spot >> 3] >> (spot & 7).astype(np.uint8) & 1
-        return batch.filter(pa.array(found == held)).select(names)
+        left = batch.filter(pa.array(found == held)).select(names)
+        return then(left) if then else left
 
-    return map_batches(df.withColumn("sieve hash", F.xxhash64(column)), lambda: step, df.schema)
+    return map_batches(df.withColumn("sieve hash", F.xxhash64(column)), lambda: step, schema or df.schema, rows=rows)
 
 
 def shingles(words: np.ndarray, k: int = 5) -> np.ndarray:

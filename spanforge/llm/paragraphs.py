@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -192,7 +193,7 @@ def _anchors(table: DataFrame, gone: DataFrame, least_words: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(np.array(rows, dtype=np.int64)[of]), pa.array((np.array(begins)[of] + at - first[of]).astype(np.int32))], schema=to_arrow_schema(schema))
 
     words = table.select("row", "words")
-    whole = map_batches(sieved(words, "row", gone, held=False), lambda: step, schema, rows=500)
+    whole = sieved(words, "row", gone, held=False, then=step, schema=schema, rows=500)
     cut_up = sieved(words, "row", gone).join(gone.hint("merge"), "row", "left").select("row", "words", "spans")
     return cut(whole.union(map_batches(cut_up, lambda: step, schema, rows=500)))
 
@@ -280,21 +281,59 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kind = docs.schema[id_col].dataType
     schema = StructType([StructField("doc_id", kind), *fields("start_word int, end_word int, n_words int").fields, StructField("first_doc_id", kind), StructField("removed", BooleanType())])
 
-    def step(batch: dict[str, list]) -> dict[str, list]:
-        out = []
-        for doc_id, found in zip(batch["doc_id"], batch["spans"]):
-            out += [(doc_id, a, b, b - a, first, gone) for a, b, first, gone in decided([(x["start"], x["end"], x["first"], x["removed"]) for x in found], least_words)]
-        return dict(zip(schema.names, map(list, zip(*out)))) if out else {n: [] for n in schema.names}
-
-    return map_lists(spans.select("doc_id", "spans"), lambda: step, schema).select(F.col("doc_id").alias(id_col), "start_word", "end_word", "n_words", "first_doc_id", "removed")
+    step = lambda batch: decided_batch(batch, schema.names, least_words)
+    return map_batches(spans.select("doc_id", "spans"), lambda: step, schema, rows=200).select(F.col("doc_id").alias(id_col), "start_word", "end_word", "n_words", "first_doc_id", "removed")
+
+
+def decided_batch(batch: pa.RecordBatch, names: list[str], least_words: int) -> pa.RecordBatch:
+    """decided() for each row of batch (doc_id, spans): doc_id, start, end, words, first, removed. Most spans overlap, so
+    they are joined as arrays, and only what is apart then becomes Python's objects."""
+    row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False))
+    start, end, first, removed = batch.column(1).flatten().flatten()
+    coded = first.dictionary_encode()
+    known = coded.dictionary.to_pylist()
+    turn = sorted(range(len(known)), key=lambda i: (known[i] != known[i], known[i]))  # NaN is after all numbers, as in Spark
+    rank = np.empty(len(known) + 1, dtype=np.int64)
+    rank[[*turn, len(known)]] = np.arange(len(known) + 1)  # null is last
+    code = rank[pc.fill_null(coded.indices, len(known)).to_numpy()]
+    group = row * 2 + removed.to_numpy(zero_copy_only=False)
+    places, begins, ends, leads, lows = joined(group, start.to_numpy().astype(np.int64), end.to_numpy().astype(np.int64), code)
+    runs: dict[int, list] = {}
+    for place, run in zip(places.tolist(), zip(begins.tolist(), ends.tolist(), leads.tolist(), lows.tolist())):
+        runs.setdefault(place, []).append(run)
+    out = [(i, *r) for i in sorted({g >> 1 for g in runs}) for r in _disjoint(_runs(runs.get(2 * i + 1, [])), _runs(runs.get(2 * i, [])), least_words)]
+    of, begins, ends, low, gone = np.array(out, dtype=np.int64).reshape(-1, 5).T
+    firsts = coded.dictionary.take(pa.array(np.array([*turn, 0], dtype=np.int64)[low], mask=low == len(known)))
+    ints = [pa.array(x.astype(np.int32)) for x in (begins, ends, ends - begins)]
+    return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), *ints, firsts, pa.array(gone.astype(bool))], names=names)
+
+
+def joined(group: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
+    """group, start, end, first of the leading span and smallest first of what spans that overlap or touch make; in order of group and start."""
+    if not len(group):
+        return group, start, end, first, first
+    order = np.lexsort((first, end, start, group))
+    group, start, end, first = (x[order] for x in (group, start, end, first))
+    far = group << 32  # beyond all spans of the groups before
+    reach = np.maximum.accumulate(end + far)
+    new = np.ones(len(start), dtype=bool)
+    new[1:] = start[1:] + far[1:] > reach[:-1]
+    at = np.flatnonzero(new)
+    last = np.append(at[1:], len(start)) - 1
+    return group[at], start[at], reach[last] - far[at], first[at], np.minimum.reduceat(first, at)
 
 
 def decided(spans: list[tuple[int, int, int | None, bool]], least_words: int) -> list[tuple[int, int, int | None, bool]]:
     """Disjoint (start, end, smallest first, removed) from spans that overlap; what any span removes is removed.
 
     Removals that don't make least_words words in a row stay, and are part of what is kept around them."""
-    gone = [r for r in _runs([s for s in spans if s[3]]) if r[1] - r[0] >= least_words]
-    kept = _runs([s for s in spans if not s[3]])
+    gone, kept = ([(a, b, f, f) for a, b, f, removed in spans if removed == which] for which in (True, False))
+    return _disjoint(_runs(gone), _runs(kept), least_words)
+
+
+def _disjoint(gone: list[tuple], kept: list[tuple], least_words: int) -> list[tuple[int, int, int | None, bool]]:
+    """decided() from the _runs of removals and of what is kept."""
+    gone = [r for r in gone if r[1] - r[0] >= least_words]
     out, at = [(*r, True) for r in gone], 0
     for start, end, first in kept:
         while at < len(gone) and gone[at][1] <= start:
@@ -310,11 +349,13 @@ def decided(spans: list[tuple[int, int, int | None, bool]], least_words: int) ->
     return sorted(out)
 
 
-def _runs(spans: list[tuple[int, int, int | None, bool]], gap: int = GAP) -> list[tuple[int, int, int | None]]:
-    """(start, end, smallest first) of spans that overlap or touch, or that are of one first document and up to gap words apart."""
+def _runs(spans: list[tuple[int, int, int | None, int | None]], gap: int = GAP) -> list[tuple[int, int, int | None]]:
+    """(start, end, smallest first) of spans that overlap or touch, or that are of one first document and up to gap words apart.
+
+    A span has two firsts: one that is compared with what is before it, and the smallest."""
     out: list[list] = []
-    for start, end, first, _ in sorted(spans, key=lambda s: s[:2]):
-        if out and start <= out[-1][1] + (gap if first == out[-1][2] else 0):
+    for start, end, lead, first in sorted(spans, key=lambda s: s[:2]):
+        if out and start <= out[-1][1] + (gap if lead == out[-1][2] else 0):
             out[-1][1] = max(out[-1][1], end)
             if out[-1][2] is None or (first is not None and first < out[-1][2]):
                 out[-1][2] = first

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 
 from spanforge.llm import lines, links, ngram_join, paragraphs
-from spanforge.llm.common import batch_words, shingles, word_hashes
+from spanforge.llm.common import batch_words, cut, shingles, word_hashes
 
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -342,6 +342,56 @@ def test_short_stretches_inside_unlike_lines_are_found(spark, n):
     assert exact >= 0.9 * len(at) == 0.9 * len(found)
 
 
+@pytest.mark.parametrize("kind", [pa.int64(), pa.string(), pa.float64(), pa.bool_()])
+def test_spans_are_decided_as_arrays(kind):
+    rng = random.Random(4)
+    firsts = {"int64": [None, 3, -7, 90], "string": [None, "b", "é", "a"], "double": [None, 0.5, -2.0, 7.0], "bool": [None, True, False]}[str(kind)]
+    rows = [[(a, a + rng.choice([25, 25, 25, 40]), rng.choice(firsts), rng.random() < 0.4) for a in (rng.randrange(rng.choice([90, 900])) for _ in range(rng.randrange(30)))] for _ in range(300)]
+    least = lambda s: (s[0], s[1], s[2] is None, s[2] or 0 if str(kind) != "string" else s[2] or "")
+    rows = [sorted(r, key=least) for r in rows]  # of spans at one place, the one with the smallest first leads
+    struct = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("first", kind), ("removed", pa.bool_())]))
+    spans = pa.array([[dict(zip(("start", "end", "first", "removed"), s)) for s in rng.sample(r, len(r))] for r in rows], type=struct)
+    names = ["doc_id", "start", "end", "words", "first", "removed"]
+    whole = pa.RecordBatch.from_arrays([pa.array(range(len(rows))), spans], names=["doc_id", "spans"])
+    for batch in (whole, whole.slice(100, 7), whole.slice(0, 0)):
+        got = [tuple(r.values()) for r in paragraphs.decided_batch(batch, names, 25).to_pylist()]
+        assert got == [(i, a, b, b - a, f, g) for i in batch.column(0).to_pylist() for a, b, f, g in paragraphs.decided(rows[i], 25)]
+
+
+def test_no_task_takes_two_workers(spark, monkeypatch):
+    """Each worker keeps its memory when its task is over, so a task with two maps in a row holds twice the memory."""
+    plans = []
+    monkeypatch.setattr(paragraphs, "cut", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), cut(df))[1])
+    rng = random.Random(2)
+    texts = [" ".join(f"w{rng.randrange(9999)}" for _ in range(60)) for _ in range(6)]
+    spans = paragraphs.repeated_spans(spark.createDataFrame(list(enumerate([*texts, "x " + texts[0] + " y"])), "doc_id long, text string"))
+    assert spans.where("removed").count() == 1
+    plans.append(spans._jdf.queryExecution().executedPlan().toString())
+    assert sum("MapInArrow" in p for p in plans) > 3
+    for plan in plans:
+        open_at = None  # depth of a map that no exchange or join is under yet
+        for line in plan.split("\n"):
+            depth, name = re.match(r"[\s:+|-]*", line).end(), line.lstrip(" :+|-")
+            if open_at is not None and (depth <= open_at or "Exchange" in name or "Join" in name):
+                open_at = None
+            if "MapInArrow" in name:
+                assert open_at is None, plan
+                open_at = depth
+
+
+def test_deciding_spans_takes_little_memory():
+    import tracemalloc
+
+    struct = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("first", pa.int64()), ("removed", pa.bool_())]))
+    spans = pa.array([[{"start": a, "end": a + 25, "first": 1, "removed": True} for a in range(300)]] * 200, type=struct)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(200)), spans], names=["doc_id", "spans"])
+    tracemalloc.start()
+    out = paragraphs.decided_batch(batch, ["doc_id", "start", "end", "words", "first", "removed"], 25)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out.column(3).to_pylist() == [324] * 200 and peak < 150 * 60_000, peak
+
+
 def test_nothing_is_left_in_two_documents(spark):
     """Texts of passages, copies, edits and quotes of all lengths: by brute force, what stays shares no 25 words in a row."""
     rng = random.Random(21)
